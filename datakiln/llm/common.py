@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,7 +58,7 @@ def remove(spark: SparkSession, *paths: str) -> None:
 
 def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of an Arrow batch of about limit bytes in the column; one longer value makes a slice of its own."""
-    lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist() if batch.num_rows else []
+    lengths = pc.binary_length(batch.column(column)).fill_null(0).to_pylist() if batch.num_rows else []
     first, total = 0, 0
     for i, n in enumerate(lengths):
         if i > first and total + n > limit:
