@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from datakiln.llm import pieces
+from datakiln.llm import pieces, token_store
 
 QUERIES = {
+    "op1_token_store": token_store.op1_token_store,
     "op5_sentencepiece": pieces.op5_sentencepiece,
 }
 
