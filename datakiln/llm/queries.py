@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from datakiln.llm import pieces, token_store
+from datakiln.llm import line_rules, pieces, token_store
 
 QUERIES = {
     "op1_token_store": token_store.op1_token_store,
     "op5_sentencepiece": pieces.op5_sentencepiece,
+    "op8_line_frequency": line_rules.op8_line_frequency,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_line_frequency": line_rules.OP8_SQL,
+}
