@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from datakiln.llm import line_rules, pieces, token_store
+from datakiln.llm import line_rules, pieces, simhash, token_store
 
 QUERIES = {
     "op1_token_store": token_store.op1_token_store,
     "op5_sentencepiece": pieces.op5_sentencepiece,
     "op8_line_frequency": line_rules.op8_line_frequency,
+    "op10_simhash": simhash.op10_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
