@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from datakiln.llm import line_rules, pieces, simhash, token_store
+from datakiln.llm import line_rules, pieces, sharding, simhash, token_store, warc
 
 QUERIES = {
     "op1_token_store": token_store.op1_token_store,
+    "op2_warc": warc.op2_warc,
     "op5_sentencepiece": pieces.op5_sentencepiece,
+    "op7_extendible_shards": sharding.op7_extendible_shards,
     "op8_line_frequency": line_rules.op8_line_frequency,
     "op10_simhash": simhash.op10_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc": warc.OP2_SQL,
+    "op7_extendible_shards": sharding.OP7_SQL,
     "op8_line_frequency": line_rules.OP8_SQL,
 }
