@@ -28,7 +28,7 @@ from datakiln.llm.common import steps, table
 META = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Segments kept per worker, and the longest that is kept.
-TABLE_SIZE, TABLE_LONGEST = 600_000, 48
+TABLE_SIZE, TABLE_LONGEST = 1_000_000, 48
 
 
 def _varint(data: bytes, i: int) -> tuple[int, int]:
@@ -180,7 +180,7 @@ def _from_bytes(run: bytes) -> str:
 
 
 class _Tables:
-    """Encoded segments of one worker: ids as text, their count, and the decoded string."""
+    """Encoded segments of one worker: ids as text, and what they decode to where that is not the segment itself."""
 
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -188,8 +188,7 @@ class _Tables:
         self.model = PieceModel(path)
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.text: dict[str, str] = {}
-        self.count: dict[str, int] = {}
-        self.plain: dict[str, str] = {}
+        self.other: dict[str, str] = {}
 
     def learn(self, new: list[str]) -> None:
         """Encodes segments not met so far and holds them against the library in one call."""
@@ -210,15 +209,16 @@ class _Tables:
                 if own != ids:
                     raise ValueError(f"segment {s!r}: {own} here, {ids} in the library")
                 self.text[s] = " ".join(map(str, own))
-                self.count[s] = len(own)
-                self.plain[s] = model._raw(own)
+                if (plain := model._raw(own)) != s.replace(META, " "):
+                    self.other[s] = plain
 
     def forget(self, long: list[str]) -> None:
         if len(self.text) > TABLE_SIZE:
-            self.text.clear(), self.count.clear(), self.plain.clear()
+            self.text.clear(), self.other.clear()
         else:
             for s in long:
-                del self.text[s], self.count[s], self.plain[s]
+                del self.text[s]
+                self.other.pop(s, None)
 
 
 _TABLES: dict[str, _Tables] = {}
@@ -239,8 +239,8 @@ def encode_documents(docs: DataFrame, model_path: str, keep_ids: bool = False) -
                 counts, digests, plains, ids = [], [], [], []
                 for segs in cut:
                     joined = " ".join([*map(t.text.__getitem__, segs), end])
-                    plain = "".join(map(t.plain.__getitem__, segs))
-                    counts.append(sum(map(t.count.__getitem__, segs)) + 1)
+                    plain = "".join([t.other.get(s, s) for s in segs] if t.other else segs).replace(META, " ")
+                    counts.append(joined.count(" ") + 1)
                     digests.append(sha(joined.encode()).hexdigest())
                     plains.append(sha((plain[1:] if t.model.dummy_prefix and plain[:1] == " " else plain).encode()).hexdigest())
                     if keep_ids:
