@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from datakiln.llm import line_rules, pieces, sharding, simhash, token_store, warc
+from datakiln.llm import language_id, line_rules, pieces, sharding, simhash, token_store, warc
 
 QUERIES = {
     "op1_token_store": token_store.op1_token_store,
     "op2_warc": warc.op2_warc,
+    "op3_language_id": language_id.op3_language_id,
     "op5_sentencepiece": pieces.op5_sentencepiece,
     "op7_extendible_shards": sharding.op7_extendible_shards,
     "op8_line_frequency": line_rules.op8_line_frequency,
