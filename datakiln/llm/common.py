@@ -11,7 +11,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Texts handed to one vectorised step; keeps working memory flat whatever the Arrow batch holds.
@@ -67,34 +66,3 @@ def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterat
         total += n
     if lengths:
         yield batch.slice(first)
-
-
-def with_running_start(df: DataFrame, order: list[str], amount: str, start: str, name: str) -> DataFrame:
-    """Adds start: the sum of amount over all rows before this one in the given order.
-
-    Range partitions are ordered among themselves and sorted within, so each needs only its own running sum and the
-    total of the partitions before it; one row per partition is all that meets in one place.
-    """
-    schema = df.schema.add("part", "int").add("within", "long")
-    at = df.columns.index(amount)
-
-    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-        from pyspark import TaskContext
-
-        part, total = TaskContext.get().partitionId(), 0
-        for b in batches:
-            n = np.asarray(b.column(at).to_numpy(zero_copy_only=False), dtype=np.int64)
-            before = total + np.cumsum(n) - n
-            total += int(n.sum())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(n), part, dtype=np.int32)), pa.array(before)], names=[*b.schema.names, "part", "within"])
-
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    kept = saved(ranged.mapInArrow(within, schema), name)
-    totals = kept.groupBy("part").agg(F.sum(amount).alias("total"))
-    from pyspark.sql import Window
-
-    bases = totals.select(F.col("part"), F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    out = kept.join(F.broadcast(bases), "part").select(*df.columns, "part", (F.col("base") + F.col("within")).alias(start))
-    out.saved_path = kept.saved_path
-    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datakiln.llm import language_id, line_rules, pieces, sharding, simhash, token_store, warc
+from datakiln.llm import language_id, line_rules, mixing, pieces, sharding, simhash, token_store, warc
 
 QUERIES = {
     "op1_token_store": token_store.op1_token_store,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_sentencepiece": pieces.op5_sentencepiece,
     "op7_extendible_shards": sharding.op7_extendible_shards,
     "op8_line_frequency": line_rules.op8_line_frequency,
+    "op9_mixing": mixing.op9_mixing,
     "op10_simhash": simhash.op10_simhash,
 }
 

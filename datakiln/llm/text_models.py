@@ -63,7 +63,7 @@ _POWERS = np.cumprod(np.full(64, 0x100000001B3, dtype=np.uint64))
 
 
 def word_features(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words and runs of punctuation of the lower-cased text, and a feature for the share of capitals."""
+    """Words, the first five bytes of longer words, runs of punctuation of the lower-cased text, and its share of capitals."""
     raw = np.frombuffer(text.lower().encode(), dtype=np.uint8)
     kind = _CLASS[raw]
     starts = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1]))) if len(raw) else np.zeros(0, np.int64)
@@ -71,11 +71,12 @@ def word_features(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     lengths = np.diff(np.concatenate((starts, [len(raw)])))
     within = np.arange(len(raw)) - np.repeat(starts, lengths)
-    hashes = np.add.reduceat((raw.astype(np.uint64) + np.uint64(1)) * _POWERS[within & 63], starts)
-    hashes = hashes[kind[starts] > 0]
+    terms = (raw.astype(np.uint64) + np.uint64(1)) * _POWERS[within & 63]
+    hashes = np.add.reduceat(terms, starts)[kind[starts] > 0]
+    stems = np.add.reduceat(np.where(within < 5, terms, np.uint64(0)), starts)[lengths > 5] ^ np.uint64(1 << 63)
     capitals = sum(map(str.isupper, text)) if not text.islower() else 0
     share = min(9, 10 * capitals // len(text))
-    return counted(np.concatenate((hashes, np.full(8, share + 7, dtype=np.uint64))), bits)
+    return counted(np.concatenate((hashes, stems, np.full(8, share + 7, dtype=np.uint64))), bits)
 
 
 def weighted(slots: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
