@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from datakiln.llm import language_id, line_rules, mixing, pieces, sharding, simhash, token_store, warc
+from datakiln.llm import language_id, line_rules, mixing, pieces, sharding, simhash, token_store, topk_search, warc
 
 QUERIES = {
     "op1_token_store": token_store.op1_token_store,
     "op2_warc": warc.op2_warc,
     "op3_language_id": language_id.op3_language_id,
     "op5_sentencepiece": pieces.op5_sentencepiece,
+    "op6_topk": topk_search.op6_topk,
     "op7_extendible_shards": sharding.op7_extendible_shards,
     "op8_line_frequency": line_rules.op8_line_frequency,
     "op9_mixing": mixing.op9_mixing,
@@ -17,6 +18,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": warc.OP2_SQL,
+    "op6_topk": topk_search.OP6_SQL,
     "op7_extendible_shards": sharding.OP7_SQL,
     "op8_line_frequency": line_rules.OP8_SQL,
 }
