@@ -16,14 +16,14 @@ equal or null doc_id are judged apart and each gives a result. Columns other tha
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from datakiln.llm.common import DOCUMENT_COLUMNS, saved, steps, table
 
@@ -108,33 +108,38 @@ def judged(facts: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     return out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("removed_words") <= MOST_REMOVED * F.col("n_words")))
 
 
-def without_lines(docs: DataFrame, hashed) -> DataFrame:
-    """Documents (with a column drop: array of line hashes) without those lines; n_chars follows the text."""
-    columns = list(DOCUMENT_COLUMNS)
+def without_lines(docs: DataFrame, hashed: Callable[[bytes], int | None]) -> DataFrame:
+    """docs without the lines whose hash is in the row's array drop; n_chars, if there, follows a changed text. Adds n_dropped."""
+    rows = docs.select(*(c for c in docs.columns if c != "drop"), "drop")
+    names = rows.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, "text"):
-                texts = []
+                texts, counts = [], []
                 for text, drop in zip(part.column("text").to_pylist(), part.column("drop").to_pylist()):
+                    dropped = 0
                     if text is not None and drop:
-                        gone = set(drop)
-                        text = b"\n".join(x for x in text.encode().split(b"\n") if hashed(x) not in gone).decode()
+                        gone, lines = set(drop), text.encode().split(b"\n")
+                        left = [x for x in lines if hashed(x) not in gone]
+                        dropped = len(lines) - len(left)
+                        text = b"\n".join(left).decode()
                     texts.append(text)
-                table = {c: part.column(c) for c in columns} | {"text": pa.array(texts, pa.string())}
-                changed = pa.array([None if t is None else len(t) for t in texts], pa.int64())
-                had = [bool(x) for x in part.column("drop").to_pylist()]
-                table["n_chars"] = pa.compute.if_else(pa.array(had, pa.bool_()), changed, part.column("n_chars"))
-                yield pa.RecordBatch.from_arrays([table[c] for c in columns], names=columns)
+                    counts.append(dropped)
+                out = {c: part.column(c) for c in names} | {"text": pa.array(texts, pa.string())}
+                if "n_chars" in out:
+                    old = out["n_chars"].to_pylist()
+                    out["n_chars"] = pa.array([len(t) if n else k for t, n, k in zip(texts, counts, old)], pa.int64())
+                yield pa.RecordBatch.from_arrays([*out.values(), pa.array(counts, pa.int64())], names=[*names, "n_dropped"])
 
-    return docs.select(*columns, "drop").mapInArrow(run, "doc_id long, text string, lang string, source string, n_chars long")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], StructField("n_dropped", LongType())]))
 
 
 def apply_rules(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """The kept documents without their boilerplate lines."""
     numbered = saved(docs.select(*DOCUMENT_COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered", compression="zstd")
     verdict = judged(measured(numbered), min_documents).where("kept").select("row", F.col("boilerplate").alias("drop"))
-    return without_lines(numbered.join(verdict, "row"), line_hash)
+    return without_lines(numbered.join(verdict, "row"), line_hash).select(*DOCUMENT_COLUMNS)
 
 
 def op8_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:

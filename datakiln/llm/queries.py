@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from datakiln.llm import language_id, line_rules, mixing, pieces, sharding, simhash, token_store, topk_search, warc
+from datakiln.llm import language_id, line_rules, line_templates, mixing, pieces, sharding, simhash, token_store, topk_search, warc
 
 QUERIES = {
     "op1_token_store": token_store.op1_token_store,
     "op2_warc": warc.op2_warc,
     "op3_language_id": language_id.op3_language_id,
+    "op4_line_templates": line_templates.op4_line_templates,
     "op5_sentencepiece": pieces.op5_sentencepiece,
     "op6_topk": topk_search.op6_topk,
     "op7_extendible_shards": sharding.op7_extendible_shards,
