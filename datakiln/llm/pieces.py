@@ -20,6 +20,7 @@ import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -244,7 +245,7 @@ def encode_documents(docs: DataFrame, model_path: str, keep_ids: bool = False) -
                     digests.append(sha(joined.encode()).hexdigest())
                     plains.append(sha((plain[1:] if t.model.dummy_prefix and plain[:1] == " " else plain).encode()).hexdigest())
                     if keep_ids:
-                        ids.append([int(x) for x in joined.split(" ")])
+                        ids.append(np.fromstring(joined, dtype=np.int32, sep=" "))
                 t.forget([s for s in new if len(s) > TABLE_LONGEST])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(plains, pa.string()), *([pa.array(ids, pa.list_(pa.int32()))] if keep_ids else [])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep_ids else [])])
 

@@ -8,6 +8,11 @@ only the edges whose label lies within the radius of the distance just measured.
 level over whole shards. A block value shared by more than GROUP fingerprints is cut into pieces of about GROUP; a tree
 is built over each piece and searched with each piece, so no task holds more than two pieces of one group.
 
+With a radius so wide that blocks no longer tell fingerprints apart (the five-word stage, where texts that share 0.8 of
+their shingles differ in up to about 16 bits), blocks are met by query-directed probing instead: a bit is likely to flip
+only if its vote was close, so besides its own block value a fingerprint asks for those that differ in its closest bits.
+Recall of that search is measured against brute force in the tests.
+
 A shard reports a spanning forest, not pairs. Components of what the shards report are found by alternating large-star
 and small-star rounds, each written to the shared folder. Trees are shipped to the shard that searches them rather than
 broadcast whole, because their total size grows with the input.
@@ -18,7 +23,7 @@ never a component id unless all of the component's are null. Repeated rows each
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,30 +32,40 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datakiln.llm.common import remove, saved, steps, table
+from datakiln.llm.common import DOCUMENT_COLUMNS, remove, saved, steps, table
 
 SEED = 42
+#: The five-word stage: bits that may differ, blocks, close bits probed in each, sketch size and the share of it that must agree.
+WIDE_SHINGLE, WIDE_RADIUS, PROBE_BLOCKS, PROBE_BITS, SKETCH, AGREE = 5, 13, 4, 3, 48, 0.75
 GROUP = 4096
 #: Fingerprints a shard holds, about.
 SHARD = 100_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """Unsigned fingerprint: bit set if it is set in over half of the shingles' XXH64."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle of the text; of the whole sequence if it has fewer words; none if it has no word."""
     words = (text or "").encode().translate(_LOWER).split()
-    if not words:
-        return 0
     joined, h = b" ".join(words), xxhash.xxh64_intdigest
-    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     if len(words) <= shingle:
-        return h(joined, SEED)
+        return np.array([h(joined, SEED)] if words else [], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - shingle + 1].tolist()
-    hashes = np.fromiter((h(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())), dtype=np.uint64, count=len(starts))
+    return np.fromiter((h(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())), dtype=np.uint64, count=len(starts))
+
+
+def votes(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes have each bit set, from the highest bit down."""
     ones = np.zeros(64, dtype=np.int64)
     for k in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[k : k + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+    return ones
+
+
+def fingerprint(text: str | None, shingle: int) -> int:
+    """Unsigned fingerprint: bit set if it is set in over half of the shingles' XXH64."""
+    hashes = shingle_hashes(text, shingle)
+    return int.from_bytes(np.packbits(2 * votes(hashes) > len(hashes)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, shingle: int, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -151,20 +166,53 @@ def _blocks(radius: int) -> list[tuple[int, int]]:
 
 def links(nodes: DataFrame, radius: int) -> DataFrame:
     """u, v: links that connect the distinct fingerprints (column fp) within the radius exactly as all pairs would."""
-    spark = nodes.sparkSession
     values = [F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1).cast("long")).alias("value")) for i, (shift, width) in enumerate(_blocks(radius))]
     member = nodes.select("fp", F.explode(F.array(*values)).alias("b")).select("fp", "b.*")
-    sizes = member.groupBy("block", "value").agg(F.count("*").alias("size")).where("size > 1")
-    met = member.join(sizes, ["block", "value"])
-    pieces = F.ceil(F.col("size") / GROUP).cast("int")
-    own = F.pmod(F.xxhash64("fp", F.lit(7)), pieces).cast("int")
-    met = met.select("fp", "block", "value", pieces.alias("pieces"), own.alias("own"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    return _shard_links(member, None, radius)
+
+
+def probed_links(nodes: DataFrame, radius: int) -> DataFrame:
+    """u, v: links within the radius found by probing. nodes: fp, close (a mask of the PROBE_BITS closest votes of each block)."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = b.column("fp").to_numpy(zero_copy_only=False)
+            close = b.column("close").to_numpy(zero_copy_only=False).view(np.uint64)
+            for i, (shift, width) in enumerate(_blocks(PROBE_BLOCKS - 1)):
+                mask = np.uint64((1 << width) - 1)
+                value, near = fps.view(np.uint64) >> np.uint64(shift) & mask, close >> np.uint64(shift) & mask
+                flip = near
+                while len(fps):  # the subsets of the close bits, down to none
+                    yield pa.RecordBatch.from_arrays([pa.array(fps), pa.array(np.full(len(fps), i, np.int32)), pa.array((value ^ flip).view(np.int64)), pa.array(flip == 0)], names=["fp", "block", "value", "held"])
+                    if not flip.any():
+                        break
+                    flip = flip - np.uint64(1) & near
+
+    met = saved(nodes.select("fp", "close").mapInArrow(keys, "fp long, block int, value long, held boolean"), "probes")
+    return _shard_links(met.where("held").drop("held"), met.where("not held").drop("held"), radius)
+
+
+def _shard_links(held: DataFrame, askers: DataFrame | None, radius: int) -> DataFrame:
+    """u, v: forests of the links among the fingerprints held for each (block, value), and between them and its askers."""
+    sizes = held.groupBy("block", "value").agg(F.count("*").alias("size"))
+    pieces, at = F.ceil(F.col("size") / GROUP).cast("int"), ["block", "value"]
+    own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("pieces")).cast("int")
+
+    def dealt(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+        met = rows.join(sizes.select(*at, pieces.alias("pieces")), at).select("fp", *at, "pieces", own.alias("own"))
+        return met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+
     low, high = F.least("own", "other"), F.greatest("own", "other")
     # the piece with the smaller number is the tree, the other one asks; a piece also asks itself
-    met = met.select("fp", F.xxhash64("block", "value", low, high).alias("grp"), (F.col("own") == low).alias("in_tree"), (F.col("own") == high).alias("as_query"))
-    shards = max(1, nodes.count() * len(values) // SHARD, spark.sparkContext.defaultParallelism)
-    return met.withColumn("shard", F.pmod(F.col("grp"), F.lit(shards))).groupBy("shard").applyInPandas(lambda pdf: forest_links(pdf, radius), "u long, v long")
+    out = dealt(held, sizes.where("size > 1")).select("fp", F.xxhash64(*at, low, high).alias("grp"), (F.col("own") == low).alias("in_tree"), (F.col("own") == high).alias("as_query"))
+    n = held.count()
+    if askers is not None:
+        trees = sizes.join(askers.select(*at).distinct(), at, "left_semi")
+        tree = dealt(held, trees).select("fp", F.xxhash64(*at, "own", "other", F.lit(1)).alias("grp"), F.lit(True).alias("in_tree"), F.lit(False).alias("as_query"))
+        ask = dealt(askers, sizes).select("fp", F.xxhash64(*at, "other", "own", F.lit(1)).alias("grp"), F.lit(False).alias("in_tree"), F.lit(True).alias("as_query"))
+        out, n = out.union(tree).union(ask), n + askers.count()
+    shards = max(1, n // SHARD, held.sparkSession.sparkContext.defaultParallelism)
+    return out.withColumn("shard", F.pmod(F.col("grp"), F.lit(shards))).groupBy("shard").applyInPandas(lambda pdf: forest_links(pdf, radius), "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -194,15 +242,56 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
 
 
-def with_component(prints: DataFrame, radius: int, label: Column, name: str = "component_id") -> DataFrame:
-    """prints (with fp) and the smallest label of each row's component."""
-    nodes = saved(prints.groupBy("fp").agg(F.min(label).alias("label")), "nodes")
-    roots = components(links(nodes, radius))
+def with_component(prints: DataFrame, radius: int, label: Column, name: str = "component_id", linked: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """prints (with fp) and the smallest label of each row's component; linked gives other links than those of links()."""
+    extra = [F.min("close").alias("close")] if "close" in prints.columns else []
+    nodes = saved(prints.groupBy("fp").agg(F.min(label).alias("label"), *extra), "nodes")
+    roots = components(linked(nodes) if linked else links(nodes, radius))
     by_root = nodes.join(roots, nodes.fp == roots.node).select("fp", "root", "label")
     least = by_root.groupBy("root").agg(F.min("label").alias(name))
     moved = by_root.join(least, "root").select(F.col("fp").alias("f"), name)
     full = nodes.join(moved, nodes.fp == moved.f, "left").select(F.col("fp").alias("f"), F.coalesce(name, "label").alias(name))
-    return prints.join(full, prints.fp == full.f).drop("f")
+    return prints.join(saved(full, "labels"), F.col("fp") == F.col("f")).drop("f")  # both sides are dealt for this join, so a hot one can be split
+
+
+def wide_prints(docs: DataFrame) -> DataFrame:
+    """row, doc_id, fp, close and sketch (the SKETCH least hashes) of each (row, doc_id, text), on five-word shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts = _blocks(PROBE_BLOCKS - 1)
+        for batch in batches:
+            for part in steps(batch, "text"):
+                fps, masks, sketches = [], [], []
+                for text in part.column("text").to_pylist():
+                    hashes = shingle_hashes(text, WIDE_SHINGLE)
+                    lead = (2 * votes(hashes) - len(hashes))[::-1]  # from the lowest bit up
+                    mask = 0
+                    for shift, width in cuts:
+                        for k in np.argsort(np.abs(lead[shift : shift + width]), kind="stable")[:PROBE_BITS].tolist():
+                            mask |= 1 << shift + k
+                    fps.append(int.from_bytes(np.packbits(lead[::-1] > 0).tobytes(), "big"))
+                    masks.append(mask)
+                    sketches.append(np.unique(hashes)[:SKETCH].view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (fps, masks)), pa.array(sketches, pa.list_(pa.int64()))], names=["row", "doc_id", "fp", "close", "sketch"])
+
+    return docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, fp long, close long, sketch array<long>")
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """Documents with one of each group of near duplicates, the one with the smallest doc_id (null last).
+
+    A document goes only if it shares a part of its sketch with the one that stays, so a chance link of two unlike
+    fingerprints costs no document. Documents without a word are copies of each other.
+    """
+    numbered = saved(docs.select(*DOCUMENT_COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered", compression="zstd")
+    prints = saved(wide_prints(numbered), "wide-prints")
+    first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
+    member = with_component(prints, WIDE_RADIUS, first, "first", lambda nodes: probed_links(nodes, WIDE_RADIUS))
+    others = saved(member.where("row <> first.row").select("row", "sketch", F.col("first.row").alias("stays")), "others")
+    kept = prints.join(others.select("stays").distinct(), F.col("row") == F.col("stays"), "left_semi").select(F.col("row").alias("stays"), F.col("sketch").alias("own"))
+    alike = F.size(F.array_intersect("sketch", "own")) >= AGREE * F.least(F.size("sketch"), F.size("own"))
+    gone = others.join(saved(kept, "stay"), "stays").where(alike).select("row")
+    return numbered.join(gone, "row", "left_anti").select(*DOCUMENT_COLUMNS)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
