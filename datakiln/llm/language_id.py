@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from datakiln.llm.common import steps, table
-from datakiln.llm.text_models import Model, char_ngrams, document_frequencies, fitted, sample_rows
+from datakiln.llm.text_models import Model, char_ngrams, document_frequencies, fitted, inverse_frequencies, sample_rows
 
 BITS, SAMPLE = 15, 4000
 
@@ -35,7 +35,7 @@ def trained(rows: DataFrame, bound: int = SAMPLE) -> Model | None:
     """A model from (doc_id, text, lang) rows; None if no text with a language has a letter."""
     rows = rows.where("text is not null and lang is not null")
     sample = [x for x in sample_rows(rows, "lang", grams, bound) if len(x[2])]
-    return fitted(sample, *document_frequencies(rows, grams, BITS)) if sample else None
+    return fitted(sample, inverse_frequencies(*document_frequencies(rows, grams, BITS))) if sample else None
 
 
 def predicted(docs: DataFrame, model: Model | None) -> DataFrame:

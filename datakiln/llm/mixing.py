@@ -1,8 +1,7 @@
 """Soft-membership mixing of documents to target domain weights.
 
 Domains come from a labelled table: toxic (toxic is 1), low (quality is 0) and high. A classifier fitted on a bounded
-sample of labelled documents (SAMPLE rows, the documented bound; document frequencies come from all of them) gives every
-document its posterior over the domains. Each document then gets a rate of at least zero such that the expected tokens of
+sample of labelled documents (about SAMPLE, the documented bound) gives every document its posterior over the domains. Each document then gets a rate of at least zero such that the expected tokens of
 a domain, the sum of rate times tokens times posterior over all documents, meet the targets: distributed projected-gradient
 least squares from rate one. Every step is one pass over a few numbers per document; the step's only result is a residual
 per domain, summed by task, and a document's rate is the steps applied to it in turn, cut off at zero each time. Steps are
@@ -13,8 +12,8 @@ other targets follow from the weights, but are never over what their domain has.
 of a clean document still has a little of the other domains, whose targets would otherwise pull its rate below one.
 
 Defined results: a null or empty text has no tokens, the prior as its posterior, and the rate that its posterior gives. A
-doc_id labelled more than once takes its worst labels; null labels and labels of absent documents are left out. Without
-any usable label every document is high with rate one. Rows that share a doc_id are rated by their own texts.
+doc_id labelled more than once takes its worst labels, and of texts that share it the least one is learned from; null labels
+and labels of absent documents are left out. Without any usable label every document is high with rate one. Rows that share a doc_id are rated by their own texts.
 """
 
 from __future__ import annotations
@@ -28,30 +27,40 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from datakiln.llm.common import DOCUMENT_COLUMNS, saved, steps, table
-from datakiln.llm.text_models import Model, document_frequencies, fitted, sample_rows, word_features
+from datakiln.llm.text_models import Model, featured, fitted, word_features
 
 BITS, SAMPLE = 17, 12_000
 DOMAINS = ("high", "low", "toxic")
 #: Target shares of tokens, and the passes over the anchor domain that they add up to.
 WEIGHTS, BUDGET = {"high": 0.95, "low": 0.05, "toxic": 0.0}, 1.15
-ROUNDS, CLOSE = 30, 1e-4
+#: Steps at most; the solver also stops where all domains are within CLOSE of their targets or a step gains less than GAIN.
+ROUNDS, CLOSE, GAIN = 30, 1e-4, 0.05
 
 
 def words(text: str) -> tuple[np.ndarray, np.ndarray]:
     return word_features(text, BITS)
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, domain of the labelled documents."""
+def drawn(labels: DataFrame, bound: int = SAMPLE) -> DataFrame | None:
+    """About bound labelled doc_ids with their domain as label, as many of each domain as there are; drawn by a hash of doc_id."""
     worst = labels.select("doc_id", "quality", "toxic").dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").otherwise("high")
-    return docs.select("doc_id", "text").where("text is not null").join(worst.withColumn("domain", domain), "doc_id").select("doc_id", "text", "domain")
+    rows = worst.select("doc_id", domain.alias("label"))
+    counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+    if not counts:
+        return None
+    rate = F.create_map(*(F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, bound / len(counts) / n))))
+    return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30) < rate[F.col("label")])
 
 
-def trained(rows: DataFrame, bound: int = SAMPLE) -> Model | None:
-    rows = saved(rows, "labelled", compression="zstd")
-    sample = [x for x in sample_rows(rows, "domain", words, bound) if len(x[2])]
-    return fitted(sample, *document_frequencies(rows, words, BITS), epochs=8, alpha=20.0, l1=0.2) if sample else None
+def trained(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model | None:
+    """A model of the domains from (doc_id, text) rows and their labels; None without any labelled text that has a word."""
+    ids = drawn(labels, bound)
+    if ids is None:
+        return None
+    rows = docs.where("text is not null").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    sample = [x for x in featured(rows, words) if len(x[2])]
+    return fitted(sample, np.ones(1 << BITS), epochs=8, alpha=20.0, l1=0.2) if sample else None
 
 
 def memberships(docs: DataFrame, model: Model | None, keep: tuple[str, ...]) -> DataFrame:
@@ -126,10 +135,13 @@ def solved(members: DataFrame, weights: dict[str, float]) -> tuple[list[np.ndarr
     scale = max(1.0, float(goal.sum()))
     inverse = np.linalg.pinv(gram / scale + 1e-9 * np.eye(len(DOMAINS)))
     moves: list[np.ndarray] = []
+    before = np.inf
     for _ in range(ROUNDS):
         miss = (total - goal) / scale
-        if np.abs(miss).max() <= CLOSE:
+        now = float(miss @ inverse @ miss)
+        if np.abs(miss).max() <= CLOSE or now > (1 - GAIN) * before:
             break
+        before = now
         moves.append(inverse @ miss)
         total, _ = _totals(members, moves)
     return moves, goal, total
@@ -148,7 +160,7 @@ def rated(members: DataFrame, moves: list[np.ndarray]) -> DataFrame:
 def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """The documents that a pass over the mix takes: once if the rate is at least one, else with the rate as its chance."""
     numbered = saved(docs.select(*DOCUMENT_COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered", compression="zstd")
-    members = saved(memberships(numbered, trained(labelled(numbered, labels)), ("row", "doc_id")), "members")
+    members = saved(memberships(numbered, trained(numbered, labels), ("row", "doc_id")), "members")
     chance = F.pmod(F.xxhash64("doc_id", "row", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
     chosen = rated(members, solved(members, weights)[0]).where(chance < F.col("rate") + 1e-3).select("row")
     return numbered.join(chosen, "row").select(*DOCUMENT_COLUMNS)
@@ -156,7 +168,7 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHT
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    model = trained(labelled(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")))
+    model = trained(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
     members = saved(memberships(docs, model, ("doc_id",)), "members")
     p = [F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)]
     return rated(members, solved(members, WEIGHTS)[0]).select("doc_id", "n_tokens", *p, "rate")

@@ -150,7 +150,12 @@ def sample_rows(rows: DataFrame, label: str, features: Features, bound: int) ->
     each = max(1, bound // len(counts))
     rate = F.create_map(*(F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, each / n))))
     u = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    taken = rows.where(u < rate[F.col("label")]).select("label", "text", F.xxhash64("text", "doc_id", F.lit(5)).alias("order"))
+    return featured(rows.where(u < rate[F.col("label")]).dropDuplicates(["doc_id", "text"]), features)
+
+
+def featured(rows: DataFrame, features: Features) -> list[tuple[str, bool, np.ndarray, np.ndarray]]:
+    """(label, held back for the temperature, slots, counts) of a bounded set of (doc_id, text, label) rows."""
+    taken = rows.select("label", "text", F.xxhash64("text", "doc_id", F.lit(5)).alias("order"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,11 +167,14 @@ def sample_rows(rows: DataFrame, label: str, features: Features, bound: int) ->
     return [(r.label, r.order % 5 == 0, np.frombuffer(r.slots, "<i4").astype(np.int64), np.frombuffer(r.counts, "<i4")) for r in found]
 
 
-def fitted(sample: list[tuple[str, bool, np.ndarray, np.ndarray]], df: np.ndarray, n_texts: int, epochs: int = 4, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.001) -> Model:
+def inverse_frequencies(df: np.ndarray, n_texts: int) -> np.ndarray:
+    return np.log((1 + n_texts) / (1 + df)) + 1
+
+
+def fitted(sample: list[tuple[str, bool, np.ndarray, np.ndarray]], idf: np.ndarray, epochs: int = 4, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.001) -> Model:
     """FTRL-proximal with an elastic net, then the temperature with the least log loss on the rows held back."""
     classes = sorted({y for y, *_ in sample})
-    idf = np.log((1 + n_texts) / (1 + df)) + 1
-    z, n = np.zeros((len(df), len(classes))), np.zeros((len(df), len(classes)))
+    z, n = np.zeros((len(idf), len(classes))), np.zeros((len(idf), len(classes)))
 
     def at(slots: np.ndarray) -> np.ndarray:
         zs = z[slots]
@@ -184,7 +192,7 @@ def fitted(sample: list[tuple[str, bool, np.ndarray, np.ndarray]], df: np.ndarra
             root = np.sqrt(n[slots])
             n[slots] += grad * grad
             z[slots] += grad - (np.sqrt(n[slots]) - root) / alpha * w
-    model = Model(classes, idf, at(np.arange(len(df))).astype(np.float64))
+    model = Model(classes, idf, at(np.arange(len(idf))).astype(np.float64))
     held = [(y, x @ model.weights[s]) for y, h, s, x in rows if h]
     if held and len(classes) > 1:
         ys, logits = np.array([y for y, _ in held]), np.array([v for _, v in held])
