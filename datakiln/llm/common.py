@@ -11,10 +11,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Texts handed to one vectorised step; keeps working memory flat whatever the Arrow batch holds.
 STEP_BYTES = 8 << 20
+_OWN: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -24,13 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see (spark.checkpoint.dir); a temporary one only where the setting is absent, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(spark.sparkContext.applicationId)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='datakiln-')}"
         atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
+        _OWN[spark.sparkContext.applicationId] = found
     return found.rstrip("/") if "://" in found or found.startswith("file:") else f"file://{found.rstrip('/')}"
 
 
@@ -48,6 +50,18 @@ def saved(df: DataFrame, name: str, path: str | None = None, **options: str) ->
     return back
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with row, a number that stays the same however often and in whatever parts df is read.
+
+    Rows read from files are named by a hash of file and place in it (64 bits: two of n rows share one with a chance of about
+    n * n / 2**65); other rows are numbered and written first.
+    """
+    hidden = df._jdf.queryExecution().analyzed().metadataOutput()
+    if any(hidden.apply(i).name() == "_metadata" for i in range(hidden.size())):
+        return df.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("row"))
+    return saved(df.withColumn("row", F.monotonically_increasing_id()), "numbered", compression="zstd")
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Deletes written tables that nothing will read again."""
     for path in paths:

@@ -24,7 +24,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datakiln.llm.common import new_folder, saved, table
+from datakiln.llm.common import new_folder, numbered, saved, table
 
 LEAST = 100
 #: Compressed bytes after which a task begins another file, and bytes read or decompressed at once.
@@ -150,8 +150,8 @@ def read_records(stream, keep_payload: bool = True) -> Iterator[Record]:
 
 def write_archives(pages: DataFrame, path: str, least: int = LEAST) -> DataFrame:
     """Writes (page_id, url, html) rows as .warc.gz files below path; returns the written manifest: file, n_records, n_bytes."""
-    numbered = saved(pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("row", F.monotonically_increasing_id()), "pages", compression="zstd")
-    slim = saved(numbered.select("row", "page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("n")).where(F.col("n") >= least), "payloads")
+    rows = numbered(pages.select("page_id", "url", "html")).withColumn("html", F.coalesce("html", F.lit("")))
+    slim = saved(rows.select("row", "page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("n")).where(F.col("n") >= least), "payloads")
     firsts = slim.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
     refers = slim.select("row", "digest").join(firsts, "digest").where("row <> first.row").select("row", F.struct("first.page_id", "first.row").alias("refers"))
     schema = "file string, n_records long, n_bytes long"
@@ -187,7 +187,7 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST) -> DataFrame
             close()
         yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("file", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64())]))
 
-    return saved(numbered.join(refers, "row", "left").select("page_id", "url", "html", "row", "refers").mapInArrow(write, schema), "manifest", f"{path}/manifest")
+    return saved(rows.join(refers, "row", "left").select("page_id", "url", "html", "row", "refers").mapInArrow(write, schema), "manifest", f"{path}/manifest")
 
 
 def _name(page_id: int | None, row: int) -> str:
