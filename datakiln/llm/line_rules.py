@@ -5,10 +5,10 @@ collapsed, A-Z lower-cased, digits made equal) and hashed; for every host the di
 counted over the whole corpus. A line above the limits is boilerplate: it is removed, and a document that loses more than
 half of its words is depleted and rejected, as is one that fails the base rules.
 
-Copies of one text are one document to the count: documents are told apart by their longest word (ties: the greatest in
-code point order), which near copies share and unrelated texts don't. A line is above the limits if at least MIN_DOCUMENTS
-such documents hold it and they make up at least half of the rows that hold it, so a large group of copies does not turn
-its own text into boilerplate.
+Copies of one text are one document to the count. A line's holders are told apart by a mark: of the MARKS longest distinct
+words of the document (ties: the greatest in byte order) without those of the line itself, the one with the least MD5. Near
+copies share it and unrelated texts don't. A line is above the limits if at least MIN_DOCUMENTS marks hold it and they are
+at least half as many as the rows that hold it, so a large group of copies does not turn its own text into boilerplate.
 
 Defined results: a null or empty text has no words, fails the base rules and is not kept. A null host is a host. Rows with
 equal or null doc_id are judged apart and each gives a result. Columns other than those named are not read.
@@ -16,7 +16,9 @@ equal or null doc_id are judged apart and each gives a result. Columns other tha
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from datakiln.llm.common import DOCUMENT_COLUMNS, saved, steps, table
+from datakiln.llm.common import DOCUMENT_COLUMNS, numbered, saved, steps, table
 
-MIN_DOCUMENTS = 10
+MIN_DOCUMENTS, MARKS = 10, 16
 MIN_WORDS, MOST_REPEATED, MOST_REMOVED = 50, 50, 50
 _SYMBOLS = b"#*$%&|<>"
 _NORMAL = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", b"abcdefghijklmnopqrstuvwxyz000000000")
-FACTS = "row long, doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, identity long, lines array<struct<hash:long,n:long>>"
+FACTS = "row long, doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<hash:long,n:long,mark:long>>"
 
 
 def line_hash(line: bytes) -> int | None:
@@ -56,33 +58,45 @@ def repeated_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
-def identity(words: list[bytes]) -> int:
-    """Hash of the longest word in bytes (ties: the greatest); near copies share it."""
-    longest = max(map(len, words), default=0)
-    return xxhash.xxh64_intdigest(max((w for w in words if len(w) == longest), default=b"")) - (1 << 63)
+def marks(words: list[bytes]) -> list[tuple[int, bytes]]:
+    """The longest distinct words in the order of their MD5, each with the first 64 bits of it."""
+    longest = heapq.nlargest(MARKS, set(words), key=lambda w: (len(w), w))
+    return [(int.from_bytes(d[:8], "big", signed=True), w) for d, w in sorted((md5(w).digest(), w) for w in longest)]
+
+
+def mark_of(found: list[tuple[int, bytes]], own: set[bytes]) -> int:
+    """The first mark that is no word of the line; 0 if there is none."""
+    return next((d for d, w in found if w not in own), 0)
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in steps(batch, "text"):
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(6)]
             for text in part.column("text").to_pylist():
                 raw = (text or "").encode()
                 words = raw.split()
                 spaces = len(raw) - len(raw.translate(None, b" \t\n\x0b\x0c\r"))
-                seen: dict[int, int] = {}
+                seen: dict[int, list] = {}
                 exact, with_word = set(), 0
                 for line in raw.split(b"\n"):
                     h = line_hash(line)
                     if h is not None:
                         with_word += 1
                         exact.add(line)
-                        seen[h] = seen.get(h, 0) + len(line.split())
-                values = (len(words), len(text or "") - spaces, len(raw) - len(raw.translate(None, _SYMBOLS)), with_word - len(exact), repeated_words(words), identity(words), [{"hash": h, "n": n} for h, n in seen.items()])
+                        own = line.split()
+                        if h in seen:
+                            seen[h][0] += len(own)
+                            seen[h][1].update(own)
+                        else:
+                            seen[h] = [len(own), set(own)]
+                found = marks(words)
+                lines = [{"hash": h, "n": n, "mark": mark_of(found, own)} for h, (n, own) in seen.items()]
+                values = (len(words), len(text or "") - spaces, len(raw) - len(raw.translate(None, _SYMBOLS)), with_word - len(exact), repeated_words(words), lines)
                 for column, v in zip(out, values):
                     column.append(v)
-            kinds = [pa.int64()] * 6 + [pa.list_(pa.struct([("hash", pa.int64()), ("n", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), part.column("host"), *(pa.array(c, k) for c, k in zip(out, kinds))], names=[f.split(" ")[0] for f in FACTS.split("array")[0].split(", ")[:-1]] + ["lines"])
+            kinds = [pa.int64()] * 5 + [pa.list_(pa.struct([("hash", pa.int64()), ("n", pa.int64()), ("mark", pa.int64())]))]
+            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), part.column("host"), *(pa.array(c, k) for c, k in zip(out, kinds))], names=["row", "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"])
 
 
 def measured(docs: DataFrame, host: str = "source") -> DataFrame:
@@ -92,8 +106,8 @@ def measured(docs: DataFrame, host: str = "source") -> DataFrame:
 
 def frequent_lines(facts: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """host, hash, n_rows, n_documents of the lines above the limits. Copies and hot lines shrink before the shuffle."""
-    lines = facts.select("host", "identity", F.explode("lines.hash").alias("hash"))
-    per = lines.groupBy("host", "hash", "identity").agg(F.count("*").alias("n"))
+    lines = facts.select("host", F.explode("lines").alias("line")).select("host", "line.hash", "line.mark")
+    per = lines.groupBy("host", "hash", "mark").agg(F.count("*").alias("n"))
     counts = per.groupBy("host", "hash").agg(F.count("*").alias("n_documents"), F.sum("n").alias("n_rows"))
     return counts.where((F.col("n_documents") >= min_documents) & (2 * F.col("n_documents") >= F.col("n_rows")))
 
@@ -101,10 +115,10 @@ def frequent_lines(facts: DataFrame, min_documents: int = MIN_DOCUMENTS) -> Data
 def judged(facts: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """facts with removed_words, the hashes of boilerplate lines, base_failed and kept."""
     above = frequent_lines(facts, min_documents).select(F.col("host").alias("h"), "hash")
-    lines = facts.select("row", "host", F.explode("lines").alias("line")).select("row", "host", "line.*")
+    lines = facts.select("row", "host", F.explode("lines").alias("line")).select("row", "host", "line.hash", "line.n")
     hit = lines.join(above, lines.host.eqNullSafe(above.h) & (lines.hash == above.hash)).groupBy("row").agg(F.sum("n").alias("removed_words"), F.collect_set(lines.hash).alias("boilerplate"))
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    out = facts.drop("lines", "identity").join(hit, "row", "left").fillna(0, ["removed_words"]).withColumn("base_failed", base_failed)
+    out = facts.drop("lines").join(hit, "row", "left").fillna(0, ["removed_words"]).withColumn("base_failed", base_failed)
     return out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("removed_words") <= MOST_REMOVED * F.col("n_words")))
 
 
@@ -137,9 +151,9 @@ def without_lines(docs: DataFrame, hashed: Callable[[bytes], int | None]) -> Dat
 
 def apply_rules(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """The kept documents without their boilerplate lines."""
-    numbered = saved(docs.select(*DOCUMENT_COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered", compression="zstd")
-    verdict = judged(measured(numbered), min_documents).where("kept").select("row", F.col("boilerplate").alias("drop"))
-    return without_lines(numbered.join(verdict, "row"), line_hash).select(*DOCUMENT_COLUMNS)
+    rows = numbered(docs.select(*DOCUMENT_COLUMNS))
+    verdict = judged(measured(rows), min_documents).where("kept").select("row", F.col("boilerplate").alias("drop"))
+    return without_lines(rows.join(verdict, "row"), line_hash).select(*DOCUMENT_COLUMNS)
 
 
 def op8_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,9 +172,10 @@ l0 AS (SELECT r, source, unnest(string_split(t, chr(10))) AS line FROM w),
 l AS (SELECT r, source, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
       translate(array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000') AS k FROM l0 WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY r),
-long AS (SELECT r, max(struct_pack(n := strlen(x), x := x)).x AS identity FROM (SELECT r, unnest(ws) AS x FROM w) GROUP BY r),
-freq AS (SELECT source, k FROM l JOIN long USING (r) GROUP BY source, k
-         HAVING count(DISTINCT identity) >= 10 AND 2 * count(DISTINCT identity) >= count(DISTINCT r)),
+long AS (SELECT r, x FROM (SELECT DISTINCT r, unnest(ws) AS x FROM w) QUALIFY row_number() OVER (PARTITION BY r ORDER BY strlen(x) DESC, x DESC) <= 16),
+own AS (SELECT r, source, k, flatten(list(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS ows FROM l GROUP BY r, source, k),
+marked AS (SELECT own.r, source, k, coalesce(min(CASE WHEN NOT list_contains(ows, x) THEN md5(x) END), '') AS mark FROM own JOIN long USING (r) GROUP BY own.r, source, k),
+freq AS (SELECT source, k FROM marked GROUP BY source, k HAVING count(DISTINCT mark) >= 10 AND 2 * count(DISTINCT mark) >= count(*)),
 gone AS (SELECT l.r, sum(n)::BIGINT AS removed_words FROM l JOIN freq ON l.source IS NOT DISTINCT FROM freq.source AND l.k = freq.k GROUP BY l.r),
 j AS (SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(array_to_string(ws, '')), 0)::BIGINT AS word_chars,
       (len(t) - len(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
