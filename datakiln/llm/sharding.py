@@ -63,10 +63,10 @@ def op7_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = """
-WITH d AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::UBIGINT AS h FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::UBIGINT AS h FROM documents),
 l AS (SELECT *, unnest(range(0, 31))::INTEGER AS depth FROM d),
 p AS (SELECT *, substr(lpad(bin(h), 60, '0'), 1, depth) AS shard FROM l),
 s AS (SELECT *, sum(n_bytes) OVER w AS b, count(*) OVER w AS c FROM p WINDOW w AS (PARTITION BY depth, shard)),
-f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY depth) AS rn FROM s WHERE b <= 67108864 OR c = 1)
+f AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY depth) AS rn FROM s WHERE b <= 67108864 OR c = 1)
 SELECT doc_id, n_bytes, shard, depth, b::BIGINT AS shard_bytes FROM f WHERE rn = 1
 """
