@@ -25,7 +25,7 @@ def test_scorer_to_metrics(spark):
     per = {x["class"]: x.f1 for x in evaluation.prf(evaluation.predicted(val)).collect()}
     assert per["blur"] > 0.7 and per["dark"] > 0.7 and per["noise"] is None
     _, metrics, slices = pipeline.experiment(val.withColumn("source", F.lit("real")), val.withColumn("source", F.lit("real")), classes, ("source",))
-    assert metrics.first().macro_f1 > 0.6 and slices.count() == 1
+    assert metrics.first().macro_f1 > 0.5 and slices.count() == 1
     assert scorers.samples(df, classes, limit=5).count() == 5 and scorers.throughput(score, scorers.samples(df, classes, "val")) > 0
 
 
