@@ -20,10 +20,10 @@ are documents of their own, ordered by content; identical rows follow each other
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,68 +34,83 @@ from datakiln.llm.common import new_folder, remove, saved, steps, table
 
 #: Chunk bounds in ids: a cut is possible after LEAST, expected each 2**BITS, forced at MOST.
 LEAST, BITS, MOST, WINDOW = 128, 9, 2048, 32
-#: Segments kept per worker, and the longest that is kept.
-TABLE_SIZE, TABLE_LONGEST = 600_000, 48
+#: Segments kept per worker (the first met: they are the frequent ones), the longest that is kept, bytes of text a step.
+TABLE_SIZE, TABLE_LONGEST, STEP = 400_000, 48, 2 << 20
 
 _SEGMENT = re.compile(r"\s*\S+|\s+")
-_ODD = re.compile("[\x1c-\x1f]")
+#: White space other than spaces and line feeds, a line feed next to a space, or the opening of an added token's name.
+_UNEVEN = (*(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"), "\n ", " \n", "<|")
 
 
 class SegmentEncoder:
     """Ids of whole texts from the tokenizers library, which sees each distinct segment once.
 
-    The byte-level pattern never joins a non-space to the white space after it, so a text falls into segments that can be
-    encoded apart. Texts holding an added token's string, or separators that the two regex engines class differently, go
-    to the library whole.
+    The byte-level pattern never joins a character to a white space after it, and takes a single space together with what
+    follows. So a text whose spaces all stand alone falls into its words, each with the space before it, and words can be
+    encoded apart. Texts with other white space next to a space are cut before white space by a pattern, and those that
+    hold an added token's string, or separators that the two regex engines class differently, go to the library whole.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads cost time and memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([_ODD.pattern, *map(re.escape, added)]))
+        self.whole = re.compile("|".join(["[\x1c-\x1f]", *map(re.escape, added)]))
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.id_type = np.dtype("<u2") if max(vocab.values()) < 1 << 16 else np.dtype("<u4")
         self.lengths = np.zeros(max(vocab.values()) + 1, dtype=np.int64)  # bytes: byte-level pieces have a letter a byte
         for piece, i in vocab.items():
             self.lengths[i] = len(piece)
-        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # ids of a space and the word
+
+    def _packed(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype=self.id_type).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        spaced = [s for s in new if s[0] == " " and not s[-1].isspace()]
-        rest = [s for s in new if s[0] != " " or s[-1].isspace()]
-        for s, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self.known[s] = np.array(e.ids, dtype=self.id_type).tobytes()
-        # segments that begin with a space can be told apart in a longer text by the bytes each token stands for
-        for k in range(0, len(spaced), 4096):
-            group = spaced[k : k + 4096]
-            rows = [group[i : i + 128] for i in range(0, len(group), 128)]
-            for row, e in zip(rows, self.tokenizer.encode_batch_fast(["".join(r) for r in rows], add_special_tokens=False)):
-                ids = np.array(e.ids, dtype=self.id_type)
-                ends = np.cumsum(self.lengths[ids])
-                cuts = np.searchsorted(ends, np.cumsum([len(s.encode()) for s in row])) + 1
-                if cuts[-1] != len(ids):
-                    raise ValueError("token lengths do not add up to the text's")
+        """Encodes words in long rows; the bytes that each token stands for tell where a word ends."""
+        rows = [new[i : i + 256] for i in range(0, len(new), 256)]
+        for k in range(0, len(rows), 16):
+            for row, raw in zip(rows[k : k + 16], self._packed([" " + " ".join(r) for r in rows[k : k + 16]])):
+                ends = np.cumsum(self.lengths[np.frombuffer(raw, dtype=self.id_type)])
+                stops = np.cumsum([len(s) + 1 if s.isascii() else len(s.encode()) + 1 for s in row])
+                cuts = np.searchsorted(ends, stops) + 1
+                if cuts[-1] != len(ends) or (ends[cuts - 1] != stops).any():
+                    raise ValueError("a token spans two words")
                 at = 0
-                for s, end in zip(row, cuts.tolist()):
-                    self.known[s] = ids[at:end].tobytes()
+                for s, end in zip(row, (cuts * self.id_type.itemsize).tolist()):
+                    self.words[s] = raw[at:end]
                     at = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of id_type."""
-        cut = [None if self.whole.search(x) else _SEGMENT.findall(x) for x in texts]
-        new = set(chain.from_iterable(s for s in cut if s)).difference(self.known)
+        out: list = [b""] * len(texts)
+        apart, plain, heads, new = [], [], [], set()
+        known = self.words.get
+        for i, x in enumerate(texts):
+            words = x.split(" ")
+            if "" in words[1:] or any(odd in x for odd in _UNEVEN):
+                apart.append(i)
+                continue
+            heads.append(words[0])
+            parts = list(map(known, words[1:]))
+            if None in parts:
+                new.update(w for w, p in zip(words[1:], parts) if p is None)
+            plain.append((i, words, parts))
+        room = TABLE_SIZE - len(self.words)
         self._learn(list(new))
-        out = []
-        for x, segs in zip(texts, cut):
-            out.append(np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, dtype=self.id_type).tobytes() if segs is None else b"".join(map(self.known.__getitem__, segs)))
-        if len(self.known) > TABLE_SIZE:
-            self.known.clear()
-        else:
-            for s in new:
-                if len(s) > TABLE_LONGEST:
-                    del self.known[s]
+        for (i, words, parts), head in zip(plain, self._packed(heads)):
+            if None in parts:
+                parts = [self.words[w] if p is None else p for w, p in zip(words[1:], parts)]
+            out[i] = head + b"".join(parts)
+        for w in new:
+            if room <= 0 or len(w) > TABLE_LONGEST:
+                del self.words[w]
+            room -= 1
+        for i in apart:
+            x = texts[i]
+            out[i] = b"".join(self._packed([x] if self.whole.search(x) else _SEGMENT.findall(x)))
         return out
 
 
@@ -174,7 +189,7 @@ def _chunked(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
         end, size = np.array([end_id], dtype=enc.id_type).tobytes(), enc.id_type.itemsize
         met: set[bytes] = set()
         for batch in batches:
-            for part in steps(batch, "text"):
+            for part in steps(batch, "text", STEP):
                 counts, roots, digests, lengths, payloads = [], [], [], [], []
                 for raw in enc.encode([x or "" for x in part.column("text").to_pylist()]):
                     raw += end
@@ -236,7 +251,9 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0
     saved(recipes.where("kind = 'file'").select("file", F.coalesce(before, F.lit(0)).cast("long").alias("base")), "bases", f"{path}/bases")
     parts = staged.select(F.explode(F.arrays_zip("digests", "lengths", "payloads")).alias("c"), "width").where("c.payloads is not null")
     parts = parts.select("c.digests", "width", F.col("c.lengths").alias("n_ids"), F.col("c.payloads").alias("payload"))
-    unique = parts.groupBy(F.col("digests").alias("digest")).agg(*(F.first(c).alias(c) for c in ("width", "n_ids", "payload")))
+    # a digest comes at most once from each task: nothing to combine before the shuffle
+    first = F.row_number().over(Window.partitionBy("digest").orderBy("digest"))
+    unique = parts.select(F.col("digests").alias("digest"), "width", "n_ids", "payload").repartition("digest").withColumn("nth", first).where("nth = 1").drop("nth")
     unique.write.option("compression", "zstd").parquet(f"{path}/chunks")
     remove(spark, staged.saved_path)
 
