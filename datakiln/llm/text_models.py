@@ -113,7 +113,7 @@ def document_frequencies(texts: DataFrame, features: Features, bits: int, fan: i
         parts = -(-parts // fan)
         sums = sums.repartition(parts).mapInArrow(add, schema)
     total, n = np.zeros(1 << bits, dtype=np.int64), 0
-    for row in sums.toLocalIterator():
+    for row in sums.collect():  # at most fan rows
         total += np.frombuffer(row.df, dtype=np.int64)
         n += row.n
     return total, n

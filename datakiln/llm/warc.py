@@ -168,6 +168,8 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST) -> DataFrame
         def close() -> None:
             out.close()
             final = f"{name}-{len(done):04d}.warc.gz"
+            if fs.get_file_info(f"{base}/{final}").type != pafs.FileType.NotFound:
+                fs.delete_file(f"{base}/{final}")  # of an earlier attempt of this task
             fs.move(temp, f"{base}/{final}")
             done.append({"file": f"{path}/{final}", "n_records": records, "n_bytes": size})
 
