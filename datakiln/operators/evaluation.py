@@ -76,11 +76,26 @@ def bin_edges(spark: SparkSession, bins: int = 10) -> DataFrame:
     return spark.createDataFrame([(i, edges[i], edges[i + 1]) for i in range(bins)], "bin int, lo double, hi double")
 
 
+def _step_of(x: Column, low: float, step: float, last: int, closed_below: bool) -> Column:
+    """Index of the grid interval that holds x, exactly as comparisons with low + index * step would give it.
+
+    The quotient can be off by one where doubles round, so it is checked against the two edges. Intervals are closed below
+    or above; what lies outside goes to -1 or last (closed below), or to the first or last interval (closed above).
+    """
+    at = F.floor((x - low) / step) if closed_below else F.ceil((x - low) / step) - 1
+    edge, following = F.lit(low) + at * F.lit(step), F.lit(low) + (at + 1) * F.lit(step)
+    if closed_below:
+        exact = F.when(x >= following, at + 1).when(x < edge, at - 1).otherwise(at)
+        return F.greatest(F.lit(-1), F.least(F.lit(last), exact)).cast("int")
+    exact = F.when(x > following, at + 1).when(x <= edge, at - 1).otherwise(at)
+    return F.greatest(F.lit(0), F.least(F.lit(last), exact)).cast("int")
+
+
 def reliability_bins(pairs: DataFrame, bins: int = 10, conf: str = "prob", correct: str = "correct") -> DataFrame:
     """bin, lo, hi, n, confidence, accuracy; empty bins are there with nulls. The first bin is closed below too."""
-    edges = F.broadcast(bin_edges(pairs.sparkSession, bins))
-    inside = (F.col(conf) <= F.col("hi")) & ((F.col(conf) > F.col("lo")) | ((F.col("bin") == 0) & (F.col(conf) >= F.col("lo"))))
-    stats = pairs.join(edges, inside).groupBy("bin").agg(F.count("*").alias("n"), F.avg(conf).alias("confidence"), F.avg(F.col(correct).cast("double")).alias("accuracy"))
+    edges = bin_edges(pairs.sparkSession, bins)
+    inside = pairs.where(F.col(conf).between(0.0, 1.0)).withColumn("bin", _step_of(F.col(conf), 0.0, 1.0 / bins, bins - 1, False))
+    stats = inside.groupBy("bin").agg(F.count("*").alias("n"), F.avg(conf).alias("confidence"), F.avg(F.col(correct).cast("double")).alias("accuracy"))
     return edges.join(stats, "bin", "left").select("bin", "lo", "hi", F.coalesce("n", F.lit(0)).alias("n"), "confidence", "accuracy")
 
 
@@ -124,13 +139,20 @@ def threshold_grid(spark: SparkSession, n: int = GRID, low: float = 0.05, high:
     return spark.range(n).select(F.col("id").cast("int").alias("step"), (F.lit(low) + F.col("id") * F.lit(step)).alias("threshold"))
 
 
-def threshold_curve(scores: DataFrame, n: int = GRID) -> DataFrame:
-    """class, threshold, precision, recall at each grid point; predictions here are prob >= threshold."""
-    grid = F.broadcast(threshold_grid(scores.sparkSession, n))
-    yes, truth = F.col("prob") >= F.col("threshold"), F.col("y") == 1
-    counts = scores.crossJoin(grid).groupBy("class", "threshold").agg(F.count_if(yes & truth).alias("tp"), F.count_if(yes & ~truth).alias("fp"), F.count_if(~yes & truth).alias("fn"))
+def threshold_curve(scores: DataFrame, n: int = GRID, low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """class, threshold, precision, recall at each grid point; predictions here are prob >= threshold.
+
+    One pass makes a histogram over the grid per class; the counts above each point are running sums of it.
+    """
+    truth = F.col("y") == 1
+    reached = _step_of(F.col("prob"), low, (high - low) / (n - 1), n - 1, True)
+    hist = scores.where(F.col("prob").isNotNull()).groupBy("class", reached.alias("step")).agg(F.count_if(truth).alias("pos"), F.count_if(~truth).alias("neg"))
+    totals = hist.groupBy("class").agg(F.sum("pos").alias("all_pos"))
+    points = totals.crossJoin(F.broadcast(threshold_grid(scores.sparkSession, n, low, high))).join(hist, ["class", "step"], "left")
+    above = Window.partitionBy("class").orderBy(F.desc("step"))
+    tp, fp = (F.sum(F.coalesce(c, F.lit(0))).over(above) for c in ("pos", "neg"))
     zero = F.lit(0.0)
-    return counts.select("class", "threshold", F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fp")), zero).alias("precision"), F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fn")), zero).alias("recall"))
+    return points.select("class", "threshold", "all_pos", tp.alias("tp"), fp.alias("fp")).select("class", "threshold", F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fp")), zero).alias("precision"), F.coalesce(F.try_divide("tp", "all_pos"), zero).alias("recall"))
 
 
 def search_thresholds(scores: DataFrame, recall_floor: float = 0.95, n: int = GRID) -> DataFrame:

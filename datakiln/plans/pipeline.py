@@ -27,9 +27,10 @@ def curate(real: DataFrame, procedural: int = 6000, edits: int = 2000, eval_targ
     from datakiln.functions.expressions import stratum
     from datakiln.functions.image import with_phash
 
-    made = build_procedural(real, procedural, seed).unionByName(build_edits(real, edits, seed, offset=procedural), allowMissingColumns=True)
-    top = real.agg(F.max("seq")).first()[0] or 0
-    made = with_phash(made).withColumn("seq", top + 1 + F.row_number().over(_order("file"))).drop("i")
+    top = (real.agg(F.max("seq")).first()[0] or 0) + 1
+    first = build_procedural(real, procedural, seed).withColumn("seq", F.col("i") + top)
+    second = build_edits(real, edits, seed, offset=procedural).withColumn("seq", F.col("i") + top + procedural)
+    made = with_phash(first.unionByName(second)).drop("i")
     rows = tables.manifest_union(real, made)
     marked = dedup.dedup(rows, threshold)
     live = tables.active(marked)
@@ -44,12 +45,6 @@ def curate(real: DataFrame, procedural: int = 6000, edits: int = 2000, eval_targ
     return Dataset(done, tables.eval_rows(tables.manifest_union(chosen.drop("_c", "defect", "cell_scene", "cell_difficulty"), tail)))
 
 
-def _order(column: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(column)
-
-
 def experiment(val: DataFrame, test: DataFrame, classes: tuple[str, ...], keys: tuple[str, ...] = ("scene", "difficulty", "source")) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Thresholds found on val only, and the metrics and slices of test at them; both hold long scores with prob."""
     thresholds = evaluation.search_thresholds(val)
