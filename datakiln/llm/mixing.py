@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from datakiln.llm.common import DOCUMENT_COLUMNS, saved, steps, table
+from datakiln.llm.common import DOCUMENT_COLUMNS, numbered, saved, steps, table
 from datakiln.llm.text_models import Model, featured, fitted, word_features
 
 BITS, SAMPLE = 17, 12_000
@@ -159,11 +159,11 @@ def rated(members: DataFrame, moves: list[np.ndarray]) -> DataFrame:
 
 def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """The documents that a pass over the mix takes: once if the rate is at least one, else with the rate as its chance."""
-    numbered = saved(docs.select(*DOCUMENT_COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered", compression="zstd")
-    members = saved(memberships(numbered, trained(numbered, labels), ("row", "doc_id")), "members")
+    rows = numbered(docs.select(*DOCUMENT_COLUMNS))
+    members = saved(memberships(rows, trained(rows, labels), ("row", "doc_id")), "members")
     chance = F.pmod(F.xxhash64("doc_id", "row", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
     chosen = rated(members, solved(members, weights)[0]).where(chance < F.col("rate") + 1e-3).select("row")
-    return numbered.join(chosen, "row").select(*DOCUMENT_COLUMNS)
+    return rows.join(chosen, "row").select(*DOCUMENT_COLUMNS)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

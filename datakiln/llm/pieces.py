@@ -28,8 +28,8 @@ from datakiln.llm.common import steps, table
 
 META = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Segments kept per worker, and the longest that is kept.
-TABLE_SIZE, TABLE_LONGEST = 1_000_000, 48
+#: Segments kept per worker (the first met: they are the frequent ones), the longest that is kept, and bytes of text a step.
+TABLE_SIZE, TABLE_LONGEST, STEP = 500_000, 48, 2 << 20
 
 
 def _varint(data: bytes, i: int) -> tuple[int, int]:
@@ -213,13 +213,14 @@ class _Tables:
                 if (plain := model._raw(own)) != s.replace(META, " "):
                     self.other[s] = plain
 
-    def forget(self, long: list[str]) -> None:
-        if len(self.text) > TABLE_SIZE:
-            self.text.clear(), self.other.clear()
-        else:
-            for s in long:
+    def forget(self, new: set[str]) -> None:
+        """Drops the new segments that the table has no room for, or that are long."""
+        room = TABLE_SIZE - len(self.text) + len(new)
+        for s in new:
+            if room <= 0 or len(s) > TABLE_LONGEST:
                 del self.text[s]
                 self.other.pop(s, None)
+            room -= 1
 
 
 _TABLES: dict[str, _Tables] = {}
@@ -233,7 +234,7 @@ def encode_documents(docs: DataFrame, model_path: str, keep_ids: bool = False) -
         end = str(t.model.eos)
         sha = hashlib.sha256
         for batch in batches:
-            for part in steps(batch, "text"):
+            for part in steps(batch, "text", STEP):
                 cut = [t.model.segments(x or "") for x in part.column("text").to_pylist()]
                 new = set().union(*cut).difference(t.text)
                 t.learn(list(new))
@@ -246,7 +247,7 @@ def encode_documents(docs: DataFrame, model_path: str, keep_ids: bool = False) -
                     plains.append(sha((plain[1:] if t.model.dummy_prefix and plain[:1] == " " else plain).encode()).hexdigest())
                     if keep_ids:
                         ids.append(np.fromstring(joined, dtype=np.int32, sep=" "))
-                t.forget([s for s in new if len(s) > TABLE_LONGEST])
+                t.forget(new)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(plains, pa.string()), *([pa.array(ids, pa.list_(pa.int32()))] if keep_ids else [])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep_ids else [])])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
