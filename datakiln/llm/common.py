@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -33,7 +34,9 @@ def shared_dir(spark: SparkSession) -> str:
         found = f"file://{tempfile.mkdtemp(prefix='datakiln-')}"
         atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
         _OWN[spark.sparkContext.applicationId] = found
-    return found.rstrip("/") if "://" in found or found.startswith("file:") else f"file://{found.rstrip('/')}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    return f"file://{full[5:]}" if re.match("file:/[^/]", full) else full
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
