@@ -114,7 +114,8 @@ def frequent_lines(facts: DataFrame, min_documents: int = MIN_DOCUMENTS) -> Data
 
 def judged(facts: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """facts with removed_words, the hashes of boilerplate lines, base_failed and kept."""
-    above = frequent_lines(facts, min_documents).select(F.col("host").alias("h"), "hash")
+    # written, so that a hot line can be split in the join
+    above = saved(frequent_lines(facts, min_documents).select(F.col("host").alias("h"), "hash"), "frequent")
     lines = facts.select("row", "host", F.explode("lines").alias("line")).select("row", "host", "line.hash", "line.n")
     hit = lines.join(above, lines.host.eqNullSafe(above.h) & (lines.hash == above.hash)).groupBy("row").agg(F.sum("n").alias("removed_words"), F.collect_set(lines.hash).alias("boilerplate"))
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
