@@ -13,7 +13,8 @@ their shingles differ in up to about 16 bits), blocks are met by query-directed
 only if its vote was close, so besides its own block value a fingerprint asks for those that differ in its closest bits.
 Recall of that search is measured against brute force in the tests.
 
-A shard reports a spanning forest, not pairs. Components of what the shards report are found by alternating large-star
+A shard reports a spanning forest, not pairs. In the five-word stage a link enters the forest only if the sketches of its
+texts agree, so that links met by chance, whose number grows with the corpus, never take the place of true ones. Components of what the shards report are found by alternating large-star
 and small-star rounds, each written to the shared folder. Trees are shipped to the shard that searches them rather than
 broadcast whole, because their total size grows with the input.
 
@@ -39,8 +40,8 @@ SEED = 42
 #: agree. Texts that share 0.8 of their shingles share 0.89 of their sketches, give or take 0.05.
 WIDE_SHINGLE, WIDE_RADIUS, PROBE_BLOCKS, PROBE_BITS, SKETCH, AGREE = 5, 17, 5, 2, 48, 0.78
 GROUP = 4096
-#: Fingerprints a shard holds, about.
-SHARD = 100_000
+#: Fingerprints a shard holds, about, and pairs whose sketches are compared at once.
+SHARD, PAIRS = 100_000, 1 << 14
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -141,9 +142,42 @@ def joined_up(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         used.append(at[first])
 
 
+class Sketches:
+    """Sketches cut to the low 32 bits of each hash: two that agree in whole agree here."""
+
+    def __init__(self, packed: list[bytes]) -> None:
+        self.size = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 4
+        self.values = np.zeros((len(packed), SKETCH), dtype=np.uint32)
+        filled = np.arange(SKETCH) < self.size[:, None]
+        self.values[filled] = np.frombuffer(b"".join(packed), dtype="<u4")
+        self.bits = np.zeros((len(packed), 2), dtype=np.uint64)  # which values modulo 128 there are
+        for k in range(SKETCH):
+            for word in range(2):
+                has = filled[:, k] & (self.values[:, k] >> np.uint32(6) & np.uint32(1) == word)
+                self.bits[has, word] |= np.uint64(1) << (self.values[has, k] & np.uint32(63)).astype(np.uint64)
+
+    def agree(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Whether the sketches u[i] and v[i] share AGREE of the smaller one."""
+        need = AGREE * np.minimum(self.size[u], self.size[v])
+        # a value whose bit the other one lacks isn't shared
+        out = self.size[u] - np.bitwise_count(self.bits[u] & ~self.bits[v]).sum(axis=1, dtype=np.int64) >= need
+        at = np.flatnonzero(out)
+        both = []
+        for side, x in enumerate((u[at], v[at])):
+            none = np.arange(SKETCH, dtype=np.uint64) + np.uint64((side + 1) << 32)  # like nothing else
+            both.append(np.where(np.arange(SKETCH) < self.size[x][:, None], self.values[x].astype(np.uint64), none))
+        met = np.sort(np.concatenate(both, axis=1), axis=1)
+        out[at] = (met[:, 1:] == met[:, :-1]).sum(axis=1) >= need[at]
+        return out
+
+
 def forest_links(shard: pd.DataFrame, radius: int) -> pd.DataFrame:
-    """Spanning forest of the links within a shard. shard: fp; grp, the tree it takes part in; in_tree and as_query."""
-    fps, number = np.unique(shard.fp.to_numpy(), return_inverse=True)
+    """Spanning forest of the links within a shard. shard: fp; grp, the tree it takes part in; in_tree and as_query.
+
+    With a column sketch (values of Sketches) only links whose sketches agree count.
+    """
+    fps, first, number = np.unique(shard.fp.to_numpy(), return_index=True, return_inverse=True)
+    sketches = Sketches(shard.sketch.iloc[first].tolist()) if "sketch" in shard else None
     grp = np.unique(shard.grp.to_numpy(), return_inverse=True)[1].astype(np.int64)
     keys = shard.fp.to_numpy().view(np.uint64)
     tree, query = shard.in_tree.to_numpy(), np.flatnonzero(shard.as_query.to_numpy())
@@ -153,9 +187,17 @@ def forest_links(shard: pd.DataFrame, radius: int) -> pd.DataFrame:
     for k in range(0, len(query), 1024):
         q = query[k : k + 1024]
         for asked, node in forest.search(keys[q], grp[q], radius):
-            u, v = number[q[asked]], number[members[node]]
-            used = joined_up(parent, u, v)
-            us.append(fps[u[used]]), vs.append(fps[v[used]])
+            all_u, all_v = number[q[asked]], number[members[node]]
+            for i in range(0, len(all_u), PAIRS):
+                u, v = all_u[i : i + PAIRS], all_v[i : i + PAIRS]
+                apart = parent[u] != parent[v]
+                u, v = u[apart], v[apart]
+                if sketches is not None and len(u):
+                    alike = sketches.agree(u, v)
+                    u, v = u[alike], v[alike]
+                if len(u):
+                    used = joined_up(parent, u, v)
+                    us.append(fps[u[used]]), vs.append(fps[v[used]])
     none = np.zeros(0, np.int64)
     return pd.DataFrame({"u": np.concatenate([none, *us]), "v": np.concatenate([none, *vs])})
 
@@ -175,7 +217,10 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
 
 
 def probed_links(nodes: DataFrame, radius: int) -> DataFrame:
-    """u, v: links within the radius found by probing. nodes: fp, close (a mask of the PROBE_BITS closest votes of each block)."""
+    """u, v: links within the radius found by probing, between texts whose sketches agree but for chance of 32-bit hashes.
+
+    nodes: fp, close (a mask of the PROBE_BITS closest votes of each block), sketch.
+    """
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -191,11 +236,19 @@ def probed_links(nodes: DataFrame, radius: int) -> DataFrame:
                         break
                     flip = flip - np.uint64(1) & near
 
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = b.column("sketch")
+            low = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).astype("<u4")
+            ends = np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int32) * 4
+            yield pa.RecordBatch.from_arrays([b.column("fp"), pa.Array.from_buffers(pa.binary(), len(b), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(low)])], names=["fp", "sketch"])
+
     met = saved(nodes.select("fp", "close").mapInArrow(keys, "fp long, block int, value long, held boolean"), "probes")
-    return _shard_links(met.where("held").drop("held"), met.where("not held").drop("held"), radius)
+    sketches = nodes.select("fp", "sketch").mapInArrow(packed, "fp long, sketch binary")
+    return _shard_links(met.where("held").drop("held"), met.where("not held").drop("held"), radius, sketches)
 
 
-def _shard_links(held: DataFrame, askers: DataFrame | None, radius: int) -> DataFrame:
+def _shard_links(held: DataFrame, askers: DataFrame | None, radius: int, sketches: DataFrame | None = None) -> DataFrame:
     """u, v: forests of the links among the fingerprints held for each (block, value), and between them and its askers."""
     sizes = held.groupBy("block", "value").agg(F.count("*").alias("size"))
     pieces, at = F.ceil(F.col("size") / GROUP).cast("int"), ["block", "value"]
@@ -214,6 +267,8 @@ def _shard_links(held: DataFrame, askers: DataFrame | None, radius: int) -> Data
         tree = dealt(held, trees).select("fp", F.xxhash64(*at, "own", "other", F.lit(1)).alias("grp"), F.lit(True).alias("in_tree"), F.lit(False).alias("as_query"))
         ask = dealt(askers, sizes).select("fp", F.xxhash64(*at, "other", "own", F.lit(1)).alias("grp"), F.lit(False).alias("in_tree"), F.lit(True).alias("as_query"))
         out, n = out.union(tree).union(ask), n + askers.count()
+    if sketches is not None:
+        out = out.join(sketches, "fp")
     shards = max(1, n // SHARD, held.sparkSession.sparkContext.defaultParallelism)
     return out.withColumn("shard", F.pmod(F.col("grp"), F.lit(shards))).groupBy("shard").applyInPandas(lambda pdf: forest_links(pdf, radius), "u long, v long")
 
@@ -281,7 +336,7 @@ def wide_prints(docs: DataFrame) -> DataFrame:
 
 
 def _confirmed(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The links whose sketches agree: with so wide a radius a few links are chance."""
+    """The links whose sketches agree in all 64 bits of their hashes; the shards compared 32."""
     u, v = (nodes.select(F.col("fp").alias(s), F.col("sketch").alias(f"sketch_{s}")) for s in "uv")
     both = saved(edges.distinct(), "links").join(u, "u").join(v, "v")
     alike = F.size(F.array_intersect("sketch_u", "sketch_v")) >= AGREE * F.least(F.size("sketch_u"), F.size("sketch_v"))

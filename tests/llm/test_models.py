@@ -186,6 +186,32 @@ def test_near_duplicates_recall_and_precision(spark):
     assert len(kept) - 60 - 40 <= 16  # recall over 0.92 of 200 copies at a similarity of 0.81; above it is higher
 
 
+def test_chance_links_displace_no_true_ones(spark):
+    """Unlike fingerprints that share a block and connect by chance, and near copies of some of them."""
+    rng = np.random.default_rng(8)
+    rows, pairs = [], 300
+    for i in range(2000):
+        fp, sketch = int(rng.integers(0, 1 << 51)), sorted(rng.integers(0, 1 << 60, 48).tolist())
+        rows.append((i, _signed(fp << 13), 0, sketch))
+        if i < pairs:  # 12 bits apart, 44 of 48 hashes shared
+            other = fp ^ sum(1 << int(b) for b in rng.choice(51, 12, replace=False))
+            rows.append((10_000 + i, _signed(other << 13), 0, sorted(sketch[4:] + rng.integers(0, 1 << 60, 4).tolist())))
+    df = spark.createDataFrame(rows, "doc_id long, fp long, close long, sketch array<long>")
+    got = simhash.with_component(df, simhash.WIDE_RADIUS, F.col("doc_id"), "first", lambda nodes: simhash._confirmed(simhash.probed_links(nodes, simhash.WIDE_RADIUS), nodes))
+    first = {r.doc_id: r["first"] for r in got.collect()}
+    assert first == {d: d % 10_000 for d, *_ in rows}
+
+
+def test_sketches_equal_brute_force():
+    rng = np.random.default_rng(9)
+    values = rng.integers(0, 1 << 32, 60).astype("<u4")
+    sets = [rng.choice(values, rng.integers(0, 49), replace=False) for _ in range(80)]
+    found = simhash.Sketches([x.tobytes() for x in sets])
+    u, v = (x.ravel() for x in np.meshgrid(np.arange(80), np.arange(80)))
+    want = [len(set(sets[i]) & set(sets[j])) >= simhash.AGREE * min(len(sets[i]), len(sets[j])) for i, j in zip(u, v)]
+    assert found.agree(u, v).tolist() == want
+
+
 def test_topk_bounds_are_bounds():
     rng = np.random.default_rng(7)
     x = rng.integers(-64, 64, (300, 16)).astype(float)
