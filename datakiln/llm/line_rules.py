@@ -8,7 +8,9 @@ half of its words is depleted and rejected, as is one that fails the base rules.
 Copies of one text are one document to the count. A line's holders are told apart by a mark: of the MARKS longest distinct
 words of the document (ties: the greatest in byte order) without those of the line itself, the one with the least MD5. Near
 copies share it and unrelated texts don't. A line is above the limits if at least MIN_DOCUMENTS marks hold it and they are
-at least half as many as the rows that hold it, so a large group of copies does not turn its own text into boilerplate.
+at least half as many as the rows that hold it, so a large group of near copies does not turn its own text into boilerplate.
+The pipeline takes rows of a host with equal texts as one row there, so exact copies don't save a line from removal either;
+op8_line_frequency counts all rows, as its SQL does.
 
 Defined results: a null or empty text has no words, fails the base rules and is not kept. A null host is a host. Rows with
 equal or null doc_id are judged apart and each gives a result. Columns other than those named are not read.
@@ -33,7 +35,7 @@ MIN_DOCUMENTS, MARKS = 10, 16
 MIN_WORDS, MOST_REPEATED, MOST_REMOVED = 50, 50, 50
 _SYMBOLS = b"#*$%&|<>"
 _NORMAL = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", b"abcdefghijklmnopqrstuvwxyz000000000")
-FACTS = "row long, doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<hash:long,n:long,mark:long>>"
+FACTS = "row long, doc_id long, host string, copy long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<hash:long,n:long,mark:long>>"
 
 
 def line_hash(line: bytes) -> int | None:
@@ -42,6 +44,11 @@ def line_hash(line: bytes) -> int | None:
     return xxhash.xxh64_intdigest(b" ".join(words)) - (1 << 63) if words else None
 
 
+def text_hash(raw: bytes) -> int:
+    """Signed 64-bit hash that tells texts apart."""
+    return xxhash.xxh64_intdigest(raw) - (1 << 63)
+
+
 def repeated_words(words: list[bytes]) -> int:
     """Words inside 3-word windows that occur twice or more in the text."""
     n = len(words) - 2
@@ -72,7 +79,7 @@ def mark_of(found: list[tuple[int, bytes]], own: set[bytes]) -> int:
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in steps(batch, "text"):
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             for text in part.column("text").to_pylist():
                 raw = (text or "").encode()
                 words = raw.split()
@@ -92,11 +99,11 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             seen[h] = [len(own), set(own)]
                 found = marks(words)
                 lines = [{"hash": h, "n": n, "mark": mark_of(found, own)} for h, (n, own) in seen.items()]
-                values = (len(words), len(text or "") - spaces, len(raw) - len(raw.translate(None, _SYMBOLS)), with_word - len(exact), repeated_words(words), lines)
+                values = (text_hash(raw), len(words), len(text or "") - spaces, len(raw) - len(raw.translate(None, _SYMBOLS)), with_word - len(exact), repeated_words(words), lines)
                 for column, v in zip(out, values):
                     column.append(v)
-            kinds = [pa.int64()] * 5 + [pa.list_(pa.struct([("hash", pa.int64()), ("n", pa.int64()), ("mark", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), part.column("host"), *(pa.array(c, k) for c, k in zip(out, kinds))], names=["row", "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"])
+            kinds = [pa.int64()] * 6 + [pa.list_(pa.struct([("hash", pa.int64()), ("n", pa.int64()), ("mark", pa.int64())]))]
+            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), part.column("host"), *(pa.array(c, k) for c, k in zip(out, kinds))], names=["row", "doc_id", "host", "copy", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"])
 
 
 def measured(docs: DataFrame, host: str = "source") -> DataFrame:
@@ -104,18 +111,20 @@ def measured(docs: DataFrame, host: str = "source") -> DataFrame:
     return saved(docs.select("row", "doc_id", "text", F.col(host).alias("host")).mapInArrow(_measure, FACTS), "line-facts")
 
 
-def frequent_lines(facts: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+def frequent_lines(facts: DataFrame, min_documents: int = MIN_DOCUMENTS, copies_once: bool = False) -> DataFrame:
     """host, hash, n_rows, n_documents of the lines above the limits. Copies and hot lines shrink before the shuffle."""
-    lines = facts.select("host", F.explode("lines").alias("line")).select("host", "line.hash", "line.mark")
+    lines = facts.select("host", "copy", F.explode("lines").alias("line")).select("host", "copy", "line.hash", "line.mark")
+    if copies_once:
+        lines = lines.distinct()
     per = lines.groupBy("host", "hash", "mark").agg(F.count("*").alias("n"))
     counts = per.groupBy("host", "hash").agg(F.count("*").alias("n_documents"), F.sum("n").alias("n_rows"))
     return counts.where((F.col("n_documents") >= min_documents) & (2 * F.col("n_documents") >= F.col("n_rows")))
 
 
-def judged(facts: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+def judged(facts: DataFrame, min_documents: int = MIN_DOCUMENTS, copies_once: bool = False) -> DataFrame:
     """facts with removed_words, the hashes of boilerplate lines, base_failed and kept."""
     # written, so that a hot line can be split in the join
-    above = saved(frequent_lines(facts, min_documents).select(F.col("host").alias("h"), "hash"), "frequent")
+    above = saved(frequent_lines(facts, min_documents, copies_once).select(F.col("host").alias("h"), "hash"), "frequent")
     lines = facts.select("row", "host", F.explode("lines").alias("line")).select("row", "host", "line.hash", "line.n")
     hit = lines.join(above, lines.host.eqNullSafe(above.h) & (lines.hash == above.hash)).groupBy("row").agg(F.sum("n").alias("removed_words"), F.collect_set(lines.hash).alias("boilerplate"))
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
@@ -153,7 +162,7 @@ def without_lines(docs: DataFrame, hashed: Callable[[bytes], int | None]) -> Dat
 def apply_rules(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """The kept documents without their boilerplate lines."""
     rows = numbered(docs.select(*DOCUMENT_COLUMNS))
-    verdict = judged(measured(rows), min_documents).where("kept").select("row", F.col("boilerplate").alias("drop"))
+    verdict = judged(measured(rows), min_documents, copies_once=True).where("kept").select("row", F.col("boilerplate").alias("drop"))
     return without_lines(rows.join(verdict, "row"), line_hash).select(*DOCUMENT_COLUMNS)
 
 

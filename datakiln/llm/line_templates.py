@@ -9,7 +9,8 @@ in the order of their text, and the templates found are dealt and parsed again u
 merges nothing more; so a leaf with very many lines shrinks where it is spread, and no task holds a whole hot leaf.
 
 Copies of one text are one document to the count: as in the quality rules, a line's holders are told apart by a mark, and a
-template recurs if MIN_DOCUMENTS marks hold it and they are at least half as many as the rows with its lines.
+template recurs if MIN_DOCUMENTS marks hold it and they are at least half as many as the rows with its lines. Rows with equal
+texts are one row there, so that exact copies neither make a template recur nor keep it from that.
 
 Defined results: a null text stays null and has no lines, an empty one stays empty; lines without a token are kept. Rows
 with equal or null doc_id are documents of their own. Other columns than those named are not read.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from datakiln.llm.common import DOCUMENT_COLUMNS, numbered, saved, steps, table
-from datakiln.llm.line_rules import mark_of, marks, without_lines
+from datakiln.llm.line_rules import mark_of, marks, text_hash, without_lines
 
 DEPTH, SIMILAR = 3, 0.7
 MIN_DOCUMENTS = 4
@@ -64,14 +65,14 @@ def leaf_key(tokens: list[bytes]) -> int:
     return _hash(b" ".join([str(len(tokens)).encode(), *tokens[:DEPTH]]))
 
 
-FACTS = "row long, n_lines long, lines array<struct<key:long,leaf:long,mark:long>>"
+FACTS = "row long, copy long, n_lines long, lines array<struct<key:long,leaf:long,mark:long>>"
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("key", pa.int64()), ("leaf", pa.int64()), ("mark", pa.int64())]))
     for batch in batches:
         for part in steps(batch, "text"):
-            counts, lines = [], []
+            counts, copies, lines = [], [], []
             for text in part.column("text").to_pylist():
                 raw, found, n = (text or "").encode(), {}, 0
                 for line in raw.split(b"\n"):
@@ -84,8 +85,9 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             found[key] = (leaf_key(tokens), set(line.split()))
                 known = marks(raw.split())
                 counts.append(n)
+                copies.append(text_hash(raw))
                 lines.append([{"key": k, "leaf": leaf, "mark": mark_of(known, own)} for k, (leaf, own) in found.items()])
-            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(counts, pa.int64()), pa.array(lines, kind)], names=["row", "n_lines", "lines"])
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(copies, pa.int64()), pa.array(counts, pa.int64()), pa.array(lines, kind)], names=["row", "copy", "n_lines", "lines"])
 
 
 def _texts(docs: DataFrame, leaves: np.ndarray | None) -> DataFrame:
@@ -186,11 +188,11 @@ def parsed(docs: DataFrame, facts: DataFrame) -> DataFrame:
 def recurring(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> tuple[DataFrame, DataFrame]:
     """The facts of docs (row, text), and (row, drop): the keys of the lines to drop of each row that has any."""
     facts = saved(docs.select("row", "text").mapInArrow(_facts, FACTS), "line-keys")
-    lines = facts.select("row", F.explode("lines").alias("l")).select("row", "l.mark", "l.key")
+    lines = facts.select("row", "copy", F.explode("lines").alias("l")).select("row", "copy", "l.mark", "l.key")
     mapped = parsed(docs, facts)
-    lines = lines.join(mapped, "key", "left").select("row", "mark", "key", F.coalesce("template", "key").alias("template"))
+    lines = lines.join(mapped, "key", "left").select("row", "copy", "mark", "key", F.coalesce("template", "key").alias("template"))
     lines = saved(lines, "line-templates")
-    per = lines.groupBy("template", "mark").agg(F.count("*").alias("n"))
+    per = lines.select("template", "mark", "copy").distinct().groupBy("template", "mark").agg(F.count("*").alias("n"))
     counts = per.groupBy("template").agg(F.count("*").alias("n_documents"), F.sum("n").alias("n_rows"))
     gone = counts.where((F.col("n_documents") >= min_documents) & (2 * F.col("n_documents") >= F.col("n_rows"))).select("template")
     drop = lines.join(saved(gone, "recurring"), "template", "left_semi").groupBy("row").agg(F.collect_set("key").alias("drop"))

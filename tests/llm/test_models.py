@@ -81,6 +81,15 @@ def test_templates(spark):
     assert line_templates.templates(["a b c d", "a b c e", "x y z w"]) == ["a b c <*>", "a b c <*>", "x y z w"]
 
 
+def test_copies_do_not_save_a_shared_line(spark):
+    notice = "All rights reserved under the terms of the licence"
+    rows = [(i, f"{notice}\n{_body(i)}") for i in range(30)]
+    rows += [(100 + i, f"{notice}\n{_body(500)}\n{_body(501)}") for i in range(90)]  # copies of one text
+    want = {d: x.split("\n", 1)[1] for d, x in rows}
+    for apply in (line_rules.apply_rules, line_templates.apply_templates):
+        assert {r.doc_id: r.text for r in apply(_docs(spark, rows)).collect()} == want
+
+
 def test_mixing_meets_its_targets(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents", "doc_id", "text")
     labels = table(spark, "/root/testdata/sf0.01", "labels", "doc_id", "quality", "toxic")
