@@ -54,15 +54,29 @@ def saved(df: DataFrame, name: str, path: str | None = None, **options: str) ->
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """df with row, a number that stays the same however often and in whatever parts df is read.
+    """df with row, a name that stays the same however often and in whatever parts df is read.
 
-    Rows read from files are named by a hash of file and place in it (64 bits: two of n rows share one with a chance of about
-    n * n / 2**65); other rows are numbered and written first.
+    Rows read from files are named by a 64-bit hash of the file's path, of which there are at most some millions, and the
+    place in the file, so no two rows share a name; other rows are numbered and written first.
     """
     hidden = df._jdf.queryExecution().analyzed().metadataOutput()
     if any(hidden.apply(i).name() == "_metadata" for i in range(hidden.size())):
-        return df.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("row"))
-    return saved(df.withColumn("row", F.monotonically_increasing_id()), "numbered", compression="zstd")
+        file, at = F.xxhash64("_metadata.file_path"), F.col("_metadata.row_index")
+        return df.select("*", F.struct(file.alias("file"), at.alias("at")).alias("row"))
+    here = F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))
+    return saved(df.withColumn("row", here), "numbered", compression="zstd")
+
+
+def in_pieces(members: DataFrame, sizes: DataFrame, at: list[str], key: str, limit: int) -> DataFrame:
+    """members joined with sizes (at, size) and repeated so that two members of a group meet whatever its size.
+
+    A group of more than limit members is cut into pieces of about limit by a hash of key. Adds pieces, own (the row's
+    piece) and other (each piece it is to meet).
+    """
+    pieces = F.ceil(F.col("size") / limit).cast("int").alias("pieces")
+    own = F.pmod(F.xxhash64(key, F.lit(7)), F.col("pieces")).cast("int").alias("own")
+    met = members.join(sizes.select(*at, pieces), at).select(*members.columns, "pieces", own)
+    return met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
 
 
 def remove(spark: SparkSession, *paths: str) -> None:

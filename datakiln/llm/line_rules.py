@@ -2,15 +2,12 @@
 
 Each text gets base measures (words, symbols, repeated lines and 3-word windows). Its lines are normalised (white space
 collapsed, A-Z lower-cased, digits made equal) and hashed; for every host the distinct documents that hold a line are
-counted over the whole corpus. A line above the limits is boilerplate: it is removed, and a document that loses more than
-half of its words is depleted and rejected, as is one that fails the base rules.
+counted over the whole corpus. A line that MIN_DOCUMENTS of them hold is boilerplate: it is removed, and a document that
+loses more than half of its words is depleted and rejected, as is one that fails the base rules.
 
-Copies of one text are one document to the count. A line's holders are told apart by a mark: of the MARKS longest distinct
-words of the document (ties: the greatest in byte order) without those of the line itself, the one with the least MD5. Near
-copies share it and unrelated texts don't. A line is above the limits if at least MIN_DOCUMENTS marks hold it and they are
-at least half as many as the rows that hold it, so a large group of near copies does not turn its own text into boilerplate.
-The pipeline takes rows of a host with equal texts as one row there, so exact copies don't save a line from removal either;
-op8_line_frequency counts all rows, as its SQL does.
+Documents are distinct if their sequences of normalised lines differ. So copies of a text, also those that differ in white
+space, case or digits only, are one document to the count, however many there are: they neither make a line boilerplate nor
+save one from it. Near copies that differ in words are documents of their own.
 
 Defined results: a null or empty text has no words, fails the base rules and is not kept. A null host is a host. Rows with
 equal or null doc_id are judged apart and each gives a result. Columns other than those named are not read.
@@ -18,35 +15,43 @@ equal or null doc_id are judged apart and each gives a result. Columns other tha
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable, Iterator
-from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
 from datakiln.llm.common import DOCUMENT_COLUMNS, numbered, saved, steps, table
 
-MIN_DOCUMENTS, MARKS = 10, 16
+MIN_DOCUMENTS = 10
 MIN_WORDS, MOST_REPEATED, MOST_REMOVED = 50, 50, 50
 _SYMBOLS = b"#*$%&|<>"
 _NORMAL = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", b"abcdefghijklmnopqrstuvwxyz000000000")
-FACTS = "row long, doc_id long, host string, copy long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<hash:long,n:long,mark:long>>"
+#: What a text gives, after row, doc_id and host.
+FACTS = {
+    "copy": pa.int64(),
+    **dict.fromkeys(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), pa.int64()),
+    "lines": pa.list_(pa.struct([("hash", pa.int64()), ("n", pa.int64())])),
+}
 
 
-def line_hash(line: bytes) -> int | None:
-    """Signed 64-bit hash of a normalised line; None if it has no word."""
-    words = line.translate(_NORMAL).split()
-    return xxhash.xxh64_intdigest(b" ".join(words)) - (1 << 63) if words else None
+def signed(h: int) -> int:
+    """An unsigned 64-bit hash moved to the signed range."""
+    return h - (1 << 63)
+
 
+def normalised(line: bytes) -> bytes:
+    return b" ".join(line.translate(_NORMAL).split())
 
-def text_hash(raw: bytes) -> int:
-    """Signed 64-bit hash that tells texts apart."""
-    return xxhash.xxh64_intdigest(raw) - (1 << 63)
+
+def line_hash(line: bytes) -> int | None:
+    """Signed 64-bit hash of a normalised line; None if it has no word."""
+    normal = normalised(line)
+    return signed(xxhash.xxh64_intdigest(normal)) if normal else None
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -65,71 +70,62 @@ def repeated_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
-def marks(words: list[bytes]) -> list[tuple[int, bytes]]:
-    """The longest distinct words in the order of their MD5, each with the first 64 bits of it."""
-    longest = heapq.nlargest(MARKS, set(words), key=lambda w: (len(w), w))
-    return [(int.from_bytes(d[:8], "big", signed=True), w) for d, w in sorted((md5(w).digest(), w) for w in longest)]
-
-
-def mark_of(found: list[tuple[int, bytes]], own: set[bytes]) -> int:
-    """The first mark that is no word of the line; 0 if there is none."""
-    return next((d for d, w in found if w not in own), 0)
-
-
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in steps(batch, "text"):
-            out: list[list] = [[] for _ in range(7)]
-            for text in part.column("text").to_pylist():
-                raw = (text or "").encode()
-                words = raw.split()
-                spaces = len(raw) - len(raw.translate(None, b" \t\n\x0b\x0c\r"))
-                seen: dict[int, list] = {}
-                exact, with_word = set(), 0
-                for line in raw.split(b"\n"):
-                    h = line_hash(line)
-                    if h is not None:
-                        with_word += 1
-                        exact.add(line)
-                        own = line.split()
-                        if h in seen:
-                            seen[h][0] += len(own)
-                            seen[h][1].update(own)
-                        else:
-                            seen[h] = [len(own), set(own)]
-                found = marks(words)
-                lines = [{"hash": h, "n": n, "mark": mark_of(found, own)} for h, (n, own) in seen.items()]
-                values = (text_hash(raw), len(words), len(text or "") - spaces, len(raw) - len(raw.translate(None, _SYMBOLS)), with_word - len(exact), repeated_words(words), lines)
-                for column, v in zip(out, values):
-                    column.append(v)
-            kinds = [pa.int64()] * 6 + [pa.list_(pa.struct([("hash", pa.int64()), ("n", pa.int64()), ("mark", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), part.column("host"), *(pa.array(c, k) for c, k in zip(out, kinds))], names=["row", "doc_id", "host", "copy", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"])
+def measures(text: str | None) -> tuple:
+    """The values of FACTS for a text."""
+    raw = (text or "").encode()
+    words = raw.split()
+    spaces = len(raw) - len(raw.translate(None, b" \t\n\x0b\x0c\r"))
+    found: dict[int, int] = {}
+    exact, order = set(), []
+    for line in raw.split(b"\n"):
+        normal = normalised(line)
+        if normal:
+            order.append(normal)
+            exact.add(line)
+            h = signed(xxhash.xxh64_intdigest(normal))
+            found[h] = found.get(h, 0) + normal.count(b" ") + 1
+    copy = signed(xxhash.xxh64_intdigest(b"\n".join(order)))
+    n_symbols = len(raw) - len(raw.translate(None, _SYMBOLS))
+    lines = [{"hash": h, "n": n} for h, n in found.items()]
+    return copy, len(words), len(text or "") - spaces, n_symbols, len(order) - len(exact), repeated_words(words), lines
 
 
 def measured(docs: DataFrame, host: str = "source") -> DataFrame:
-    """A row of FACTS per document, written so that later passes read a few bytes a line. docs: row, doc_id, text, host."""
-    return saved(docs.select("row", "doc_id", "text", F.col(host).alias("host")).mapInArrow(_measure, FACTS), "line-facts")
+    """row, doc_id, host and FACTS per document, written so that later passes read a few bytes a line.
+
+    docs: row, doc_id, text and the column of the host.
+    """
+    rows = docs.select("row", "doc_id", F.col(host).cast("string").alias("host"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in steps(batch, "text"):
+                columns = zip(*map(measures, part.column("text").to_pylist()))
+                values = [pa.array(c, kind) for c, kind in zip(columns, FACTS.values())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *values], names=["row", "doc_id", "host", *FACTS])
+
+    schema = StructType([*rows.schema.fields[:3], *from_arrow_schema(pa.schema(list(FACTS.items()))).fields])
+    return saved(rows.mapInArrow(run, schema), "line-facts")
 
 
-def frequent_lines(facts: DataFrame, min_documents: int = MIN_DOCUMENTS, copies_once: bool = False) -> DataFrame:
-    """host, hash, n_rows, n_documents of the lines above the limits. Copies and hot lines shrink before the shuffle."""
-    lines = facts.select("host", "copy", F.explode("lines").alias("line")).select("host", "copy", "line.hash", "line.mark")
-    if copies_once:
-        lines = lines.distinct()
-    per = lines.groupBy("host", "hash", "mark").agg(F.count("*").alias("n"))
-    counts = per.groupBy("host", "hash").agg(F.count("*").alias("n_documents"), F.sum("n").alias("n_rows"))
-    return counts.where((F.col("n_documents") >= min_documents) & (2 * F.col("n_documents") >= F.col("n_rows")))
+def frequent_lines(facts: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+    """host, hash, n_documents of the lines above the limit. Copies and hot lines shrink before each shuffle."""
+    lines = facts.select("host", "copy", F.explode("lines").alias("line")).select("host", "copy", "line.hash")
+    counts = lines.groupBy("host", "hash").agg(F.count_distinct("copy").alias("n_documents"))
+    return counts.where(F.col("n_documents") >= min_documents)
 
 
-def judged(facts: DataFrame, min_documents: int = MIN_DOCUMENTS, copies_once: bool = False) -> DataFrame:
+def judged(facts: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """facts with removed_words, the hashes of boilerplate lines, base_failed and kept."""
     # written, so that a hot line can be split in the join
-    above = saved(frequent_lines(facts, min_documents, copies_once).select(F.col("host").alias("h"), "hash"), "frequent")
+    above = saved(frequent_lines(facts, min_documents).select(F.col("host").alias("h"), "hash"), "frequent")
     lines = facts.select("row", "host", F.explode("lines").alias("line")).select("row", "host", "line.hash", "line.n")
-    hit = lines.join(above, lines.host.eqNullSafe(above.h) & (lines.hash == above.hash)).groupBy("row").agg(F.sum("n").alias("removed_words"), F.collect_set(lines.hash).alias("boilerplate"))
+    met = lines.join(above, lines.host.eqNullSafe(above.h) & (lines.hash == above.hash))
+    hit = met.groupBy("row").agg(F.sum("n").alias("removed_words"), F.collect_set(lines.hash).alias("boilerplate"))
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     out = facts.drop("lines").join(hit, "row", "left").fillna(0, ["removed_words"]).withColumn("base_failed", base_failed)
-    return out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("removed_words") <= MOST_REMOVED * F.col("n_words")))
+    depleted = 100 * F.col("removed_words") > MOST_REMOVED * F.col("n_words")
+    return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
 def without_lines(docs: DataFrame, hashed: Callable[[bytes], int | None]) -> DataFrame:
@@ -162,13 +158,14 @@ def without_lines(docs: DataFrame, hashed: Callable[[bytes], int | None]) -> Dat
 def apply_rules(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """The kept documents without their boilerplate lines."""
     rows = numbered(docs.select(*DOCUMENT_COLUMNS))
-    verdict = judged(measured(rows), min_documents, copies_once=True).where("kept").select("row", F.col("boilerplate").alias("drop"))
-    return without_lines(rows.join(verdict, "row"), line_hash).select(*DOCUMENT_COLUMNS)
+    kept = judged(measured(rows), min_documents).where("kept").select("row", F.col("boilerplate").alias("drop"))
+    return without_lines(rows.join(kept, "row"), line_hash).select(*DOCUMENT_COLUMNS)
 
 
 def op8_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source").withColumn("row", F.monotonically_increasing_id())
-    return judged(measured(docs)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
+    return judged(measured(docs)).select("doc_id", *names)
 
 
 OP8_SQL = r"""
@@ -178,14 +175,13 @@ win AS (SELECT r, unnest(range(1, len(ws) - 1)) AS i, ws FROM w WHERE len(ws) >=
 win2 AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS k FROM win),
 rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS c FROM win2) WHERE c > 1),
 repw AS (SELECT r, count(DISTINCT i + o) AS n_repeat_words FROM rep, (SELECT unnest([0, 1, 2]) AS o) GROUP BY r),
-l0 AS (SELECT r, source, unnest(string_split(t, chr(10))) AS line FROM w),
-l AS (SELECT r, source, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
-      translate(array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000') AS k FROM l0 WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+l0 AS (SELECT r, source, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM w),
+l1 AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lws FROM l0),
+l AS (SELECT r, source, line, i, len(lws) AS n, translate(array_to_string(lws, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789',
+      'abcdefghijklmnopqrstuvwxyz000000000') AS k FROM l1 WHERE len(lws) > 0),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY r),
-long AS (SELECT r, x FROM (SELECT DISTINCT r, unnest(ws) AS x FROM w) QUALIFY row_number() OVER (PARTITION BY r ORDER BY strlen(x) DESC, x DESC) <= 16),
-own AS (SELECT r, source, k, flatten(list(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS ows FROM l GROUP BY r, source, k),
-marked AS (SELECT own.r, source, k, coalesce(min(CASE WHEN NOT list_contains(ows, x) THEN md5(x) END), '') AS mark FROM own JOIN long USING (r) GROUP BY own.r, source, k),
-freq AS (SELECT source, k FROM marked GROUP BY source, k HAVING count(DISTINCT mark) >= 10 AND 2 * count(DISTINCT mark) >= count(*)),
+copies AS (SELECT r, string_agg(k, chr(10) ORDER BY i) AS copy FROM l GROUP BY r),
+freq AS (SELECT source, k FROM l JOIN copies USING (r) GROUP BY source, k HAVING count(DISTINCT copy) >= 10),
 gone AS (SELECT l.r, sum(n)::BIGINT AS removed_words FROM l JOIN freq ON l.source IS NOT DISTINCT FROM freq.source AND l.k = freq.k GROUP BY l.r),
 j AS (SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(array_to_string(ws, '')), 0)::BIGINT AS word_chars,
       (len(t) - len(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,

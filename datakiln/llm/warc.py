@@ -192,8 +192,8 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST) -> DataFrame
     return saved(rows.join(refers, "row", "left").select("page_id", "url", "html", "row", "refers").mapInArrow(write, schema), "manifest", f"{path}/manifest")
 
 
-def _name(page_id: int | None, row: int) -> str:
-    return f"urn:page:{'null' if page_id is None else page_id}:{row}"
+def _name(page_id: int | None, row: dict[str, int]) -> str:
+    return f"urn:page:{'null' if page_id is None else page_id}:{row['file']}:{row['at']}"
 
 
 RECORDS = "page_id long, record string, payload_bytes long, payload_digest string, record_type string, refers string"
