@@ -1,25 +1,26 @@
 """Near duplicates by SimHash fingerprints and BK-trees.
 
 A fingerprint has 64 bits; two link if at most `radius` bits differ. Equal fingerprints are one node from the start, so
-copies cost nothing. By the pigeonhole principle two fingerprints within the radius agree on a whole one of radius + 1
-blocks of bits, so each distinct fingerprint goes to the shards of its blocks, and a shard holds a forest of BK-trees, one
-per block value: a child hangs below its parent under the integer Hamming distance between the two, and a search follows
-only the edges whose label lies within the radius of the distance just measured. Trees are built and searched level by
-level over whole shards. A block value shared by more than GROUP fingerprints is cut into pieces of about GROUP; a tree
-is built over each piece and searched with each piece, so no task holds more than two pieces of one group.
-
-With a radius so wide that blocks no longer tell fingerprints apart (the five-word stage, where texts that share 0.8 of
-their shingles differ in up to about 16 bits), blocks are met by query-directed probing instead: a bit is likely to flip
-only if its vote was close, so besides its own block value a fingerprint asks for those that differ in its closest bits.
-Recall of that search is measured against brute force in the tests.
-
-A shard reports a spanning forest, not pairs. In the five-word stage a link enters the forest only if the sketches of its
-texts agree, so that links met by chance, whose number grows with the corpus, never take the place of true ones. Components of what the shards report are found by alternating large-star
+copies cost nothing. Fingerprints are dealt to groups in which linked ones meet, and a shard holds a forest of BK-trees, one
+per group: a child hangs below its parent under the integer Hamming distance between the two, and a search follows only the
+edges whose label lies within the radius of the distance just measured. Trees are built and searched level by level over
+whole shards. A group of more than GROUP fingerprints is cut into pieces of about GROUP; a tree is built over each piece and
+searched with each piece, so no task holds more than two pieces of one group. Of groups with the same members one is enough.
+
+Groups at a small radius are blocks of bits: by the pigeonhole principle two fingerprints within the radius agree on a whole
+one of radius + 1 blocks. That is exact. In the five-word stage, where texts that share 0.8 of their shingles differ in up to
+about 17 bits and blocks tell nothing apart, a group is the documents that have a shingle hash among their BOTTOM least ones:
+two texts that share 0.8 of their shingles have none of these in common with a chance of at most 0.2 ** BOTTOM (0.0016), and
+unlike texts only meet where they share a passage, so the work grows with the documents and not with their square. A link
+within the radius counts there if the sketches of the texts agree. Recall is measured against brute force in the tests.
+
+A shard reports a spanning forest, not pairs. Components of what the shards report are found by alternating large-star
 and small-star rounds, each written to the shared folder. Trees are shipped to the shard that searches them rather than
 broadcast whole, because their total size grows with the input.
 
-Defined results: null and empty texts have no words and fingerprint zero, which links like any other. A null doc_id is
-never a component id unless all of the component's are null. Repeated rows each give a result.
+Defined results: null and empty texts and texts without a word have fingerprint zero and are linked like any other. Rows
+with a null doc_id take part; a component of such rows alone has a null id. Repeated rows each give a result. Other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -32,13 +33,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
-from datakiln.llm.common import DOCUMENT_COLUMNS, numbered, remove, saved, steps, table
+from datakiln.llm.common import DOCUMENT_COLUMNS, in_pieces, numbered, remove, saved, steps, table
 
 SEED = 42
-#: The five-word stage: bits that may differ, blocks, close bits probed in each, sketch size and the share of it that must
+#: The five-word stage: bits that may differ, least hashes that are groups, sketch size and the share of it that must
 #: agree. Texts that share 0.8 of their shingles share 0.89 of their sketches, give or take 0.05.
-WIDE_SHINGLE, WIDE_RADIUS, PROBE_BLOCKS, PROBE_BITS, SKETCH, AGREE = 5, 17, 5, 2, 48, 0.78
+WIDE_SHINGLE, WIDE_RADIUS, BOTTOM, SKETCH, AGREE = 5, 17, 4, 48, 0.78
 GROUP = 4096
 #: Fingerprints a shard holds, about, and pairs whose sketches are compared at once.
 SHARD, PAIRS = 100_000, 1 << 14
@@ -211,66 +213,63 @@ def _blocks(radius: int) -> list[tuple[int, int]]:
 
 def links(nodes: DataFrame, radius: int) -> DataFrame:
     """u, v: links that connect the distinct fingerprints (column fp) within the radius exactly as all pairs would."""
-    values = [F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1).cast("long")).alias("value")) for i, (shift, width) in enumerate(_blocks(radius))]
-    member = nodes.select("fp", F.explode(F.array(*values)).alias("b")).select("fp", "b.*")
-    return _shard_links(member, None, radius)
+    blocks = []
+    for i, (shift, width) in enumerate(_blocks(radius)):
+        mask = F.lit((1 << width) - 1 if width < 64 else -1).cast("long")
+        value = F.shiftrightunsigned("fp", shift).bitwiseAND(mask)
+        blocks.append(F.struct(F.lit(i).alias("block"), value.alias("value")))
+    members = nodes.select("fp", F.explode(F.array(*blocks)).alias("b")).select("fp", "b.*")
+    return _shard_links(members, ["block", "value"], radius)
 
 
-def probed_links(nodes: DataFrame, radius: int) -> DataFrame:
-    """u, v: links within the radius found by probing, between texts whose sketches agree but for chance of 32-bit hashes.
+def sketched_links(nodes: DataFrame, radius: int) -> DataFrame:
+    """u, v: links within the radius between texts with a hash in common among their least and with sketches that agree.
 
-    nodes: fp, close (a mask of the PROBE_BITS closest votes of each block), sketch.
+    nodes: fp and sketch, the least hashes in ascending order. Shards compare 32 bits of each hash; what they report is
+    confirmed with all 64.
     """
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = b.column("fp").to_numpy(zero_copy_only=False)
-            close = b.column("close").to_numpy(zero_copy_only=False).view(np.uint64)
-            for i, (shift, width) in enumerate(_blocks(PROBE_BLOCKS - 1)):
-                mask = np.uint64((1 << width) - 1)
-                value, near = fps.view(np.uint64) >> np.uint64(shift) & mask, close >> np.uint64(shift) & mask
-                flip = near
-                while len(fps):  # the subsets of the close bits, down to none
-                    yield pa.RecordBatch.from_arrays([pa.array(fps), pa.array(np.full(len(fps), i, np.int32)), pa.array((value ^ flip).view(np.int64)), pa.array(flip == 0)], names=["fp", "block", "value", "held"])
-                    if not flip.any():
-                        break
-                    flip = flip - np.uint64(1) & near
-
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             column = b.column("sketch")
             low = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).astype("<u4")
-            ends = np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int32) * 4
-            yield pa.RecordBatch.from_arrays([b.column("fp"), pa.Array.from_buffers(pa.binary(), len(b), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(low)])], names=["fp", "sketch"])
-
-    met = saved(nodes.select("fp", "close").mapInArrow(keys, "fp long, block int, value long, held boolean"), "probes")
-    sketches = nodes.select("fp", "sketch").mapInArrow(packed, "fp long, sketch binary")
-    return _shard_links(met.where("held").drop("held"), met.where("not held").drop("held"), radius, sketches)
+            sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+            ends = (np.concatenate(([0], np.cumsum(sizes))) * 4).astype(np.int32)
+            values = pa.Array.from_buffers(pa.binary(), len(b), [None, pa.py_buffer(ends), pa.py_buffer(low)])
+            yield pa.RecordBatch.from_arrays([b.column("fp"), values], names=["fp", "sketch"])
 
+    members = saved(nodes.select("fp", F.explode(F.slice("sketch", 1, BOTTOM)).alias("value")), "least-hashes")
+    found = _shard_links(members, ["value"], radius, nodes.select("fp", "sketch").mapInArrow(packed, "fp long, sketch binary"))
+    u, v = (nodes.select(F.col("fp").alias(s), F.col("sketch").alias(f"sketch_{s}")) for s in "uv")
+    both = saved(found.distinct(), "links").join(u, "u").join(v, "v")
+    shared = F.size(F.array_intersect("sketch_u", "sketch_v"))
+    return both.where(shared >= AGREE * F.least(F.size("sketch_u"), F.size("sketch_v"))).select("u", "v")
 
-def _shard_links(held: DataFrame, askers: DataFrame | None, radius: int, sketches: DataFrame | None = None) -> DataFrame:
-    """u, v: forests of the links among the fingerprints held for each (block, value), and between them and its askers."""
-    sizes = held.groupBy("block", "value").agg(F.count("*").alias("size"))
-    pieces, at = F.ceil(F.col("size") / GROUP).cast("int"), ["block", "value"]
-    own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("pieces")).cast("int")
 
-    def dealt(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-        met = rows.join(sizes.select(*at, pieces.alias("pieces")), at).select("fp", *at, "pieces", own.alias("own"))
-        return met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+def dealt_groups(members: DataFrame, at: list[str]) -> tuple[DataFrame, int]:
+    """fp, grp (a group's pair of pieces), in_tree, as_query of the members (fp, at) of groups, and the number of rows.
 
+    The piece with the smaller number is the tree and the other one asks; a piece also asks itself.
+    """
+    sums = [F.count("*").alias("size"), *(F.bit_xor(F.xxhash64("fp", F.lit(k))).alias(f"x{k}") for k in (1, 2))]
+    sizes = members.groupBy(*at).agg(*sums).where("size > 1")
+    sizes = sizes.groupBy("size", "x1", "x2").agg(F.min(F.struct(*at)).alias("first")).select("first.*", "size")
+    sizes = saved(sizes, "group-sizes")  # written, so that a hot group can be split in the join
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    # the piece with the smaller number is the tree, the other one asks; a piece also asks itself
-    out = dealt(held, sizes.where("size > 1")).select("fp", F.xxhash64(*at, low, high).alias("grp"), (F.col("own") == low).alias("in_tree"), (F.col("own") == high).alias("as_query"))
-    n = held.count()
-    if askers is not None:
-        trees = sizes.join(askers.select(*at).distinct(), at, "left_semi")
-        tree = dealt(held, trees).select("fp", F.xxhash64(*at, "own", "other", F.lit(1)).alias("grp"), F.lit(True).alias("in_tree"), F.lit(False).alias("as_query"))
-        ask = dealt(askers, sizes).select("fp", F.xxhash64(*at, "other", "own", F.lit(1)).alias("grp"), F.lit(False).alias("in_tree"), F.lit(True).alias("as_query"))
-        out, n = out.union(tree).union(ask), n + askers.count()
+    in_tree, as_query = (F.col("own") == low).alias("in_tree"), (F.col("own") == high).alias("as_query")
+    met = in_pieces(members, sizes, at, "fp", GROUP)
+    n = sizes.agg(F.sum(F.col("size") * F.ceil(F.col("size") / GROUP))).first()[0] or 0
+    return met.select("fp", F.xxhash64(*at, low, high).alias("grp"), in_tree, as_query), int(n)
+
+
+def _shard_links(members: DataFrame, at: list[str], radius: int, sketches: DataFrame | None = None) -> DataFrame:
+    """u, v: forests of the links among the members (fp, at) of each group."""
+    dealt, n = dealt_groups(members, at)
     if sketches is not None:
-        out = out.join(sketches, "fp")
-    shards = max(1, n // SHARD, held.sparkSession.sparkContext.defaultParallelism)
-    return out.withColumn("shard", F.pmod(F.col("grp"), F.lit(shards))).groupBy("shard").applyInPandas(lambda pdf: forest_links(pdf, radius), "u long, v long")
+        dealt = dealt.join(sketches, "fp")
+    shards = max(1, -(-n // SHARD), members.sparkSession.sparkContext.defaultParallelism)
+    rows = dealt.withColumn("shard", F.pmod(F.col("grp"), F.lit(shards)))
+    return rows.groupBy("shard").applyInPandas(lambda pdf: forest_links(pdf, radius), "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -289,9 +288,11 @@ def components(edges: DataFrame) -> DataFrame:
     while mark[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        turned = F.col("v").alias("u"), F.col("m").alias("v")
+        large = both.join(least, "u").where("v > u").select(*turned).distinct()
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(smallest, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(smallest.select("u", F.col("m").alias("v"))).distinct()
+        smaller = large.join(smallest, "u").where("v > m").select(*turned)
+        small = smaller.union(smallest.select("u", F.col("m").alias("v"))).distinct()
         after = saved(small, "edges")
         remove(spark, now.saved_path)
         now, (before, mark) = after, (mark, signature(after))
@@ -300,47 +301,37 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
 
 
-def with_component(prints: DataFrame, radius: int, label: Column, name: str = "component_id", linked: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def with_component(
+    prints: DataFrame, radius: int, label: Column, name: str = "component_id", linked: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """prints (with fp) and the smallest label of each row's component; linked gives other links than those of links()."""
-    extra = [F.min(c).alias(c) for c in ("close", "sketch") if c in prints.columns]
+    extra = [F.min(c).alias(c) for c in ("sketch",) if c in prints.columns]
     nodes = saved(prints.groupBy("fp").agg(F.min(label).alias("label"), *extra), "nodes")
     roots = components(linked(nodes) if linked else links(nodes, radius))
     by_root = nodes.join(roots, nodes.fp == roots.node).select("fp", "root", "label")
     least = by_root.groupBy("root").agg(F.min("label").alias(name))
     moved = by_root.join(least, "root").select(F.col("fp").alias("f"), name)
     full = nodes.join(moved, nodes.fp == moved.f, "left").select(F.col("fp").alias("f"), F.coalesce(name, "label").alias(name))
-    return prints.join(saved(full, "labels"), F.col("fp") == F.col("f")).drop("f")  # both sides are dealt for this join, so a hot one can be split
+    # both sides are dealt for this join, so a hot one can be split
+    return prints.join(saved(full, "labels"), F.col("fp") == F.col("f")).drop("f")
 
 
 def wide_prints(docs: DataFrame) -> DataFrame:
-    """row, doc_id, fp, close and sketch (the SKETCH least hashes) of each (row, doc_id, text), on five-word shingles."""
+    """row, doc_id, fp and sketch (the SKETCH least hashes, ascending) of each (row, doc_id, text), on five-word shingles."""
+    rows = docs.select("row", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts = _blocks(PROBE_BLOCKS - 1)
         for batch in batches:
             for part in steps(batch, "text"):
-                fps, masks, sketches = [], [], []
+                fps, sketches = [], []
                 for text in part.column("text").to_pylist():
                     hashes = shingle_hashes(text, WIDE_SHINGLE)
-                    lead = (2 * votes(hashes) - len(hashes))[::-1]  # from the lowest bit up
-                    mask = 0
-                    for shift, width in cuts:
-                        for k in np.argsort(np.abs(lead[shift : shift + width]), kind="stable")[:PROBE_BITS].tolist():
-                            mask |= 1 << shift + k
-                    fps.append(int.from_bytes(np.packbits(lead[::-1] > 0).tobytes(), "big"))
-                    masks.append(mask)
+                    fps.append(int.from_bytes(np.packbits(2 * votes(hashes) > len(hashes)).tobytes(), "big"))
                     sketches.append(np.unique(hashes)[:SKETCH].view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (fps, masks)), pa.array(sketches, pa.list_(pa.int64()))], names=["row", "doc_id", "fp", "close", "sketch"])
-
-    return docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, fp long, close long, sketch array<long>")
+                columns = [pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sketches, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], *columns], names=["row", "doc_id", "fp", "sketch"])
 
-
-def _confirmed(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The links whose sketches agree in all 64 bits of their hashes; the shards compared 32."""
-    u, v = (nodes.select(F.col("fp").alias(s), F.col("sketch").alias(f"sketch_{s}")) for s in "uv")
-    both = saved(edges.distinct(), "links").join(u, "u").join(v, "v")
-    alike = F.size(F.array_intersect("sketch_u", "sketch_v")) >= AGREE * F.least(F.size("sketch_u"), F.size("sketch_v"))
-    return both.where(alike).select("u", "v")
+    return rows.mapInArrow(run, rows.select("row", "doc_id").schema.add("fp", "long").add("sketch", ArrayType(LongType())))
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -352,11 +343,12 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     rows = numbered(docs.select(*DOCUMENT_COLUMNS))
     prints = saved(wide_prints(rows), "wide-prints")
     first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
-    member = with_component(prints, WIDE_RADIUS, first, "first", lambda nodes: _confirmed(probed_links(nodes, WIDE_RADIUS), nodes))
+    member = with_component(prints, WIDE_RADIUS, first, "first", lambda nodes: sketched_links(nodes, WIDE_RADIUS))
     return rows.join(member.where("row <> first.row").select("row"), "row", "left_anti").select(*DOCUMENT_COLUMNS)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     prints = saved(fingerprints(docs, 3), "fingerprints")
-    return with_component(prints, 2, F.col("doc_id")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    shown = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return with_component(prints, 2, F.col("doc_id")).select("doc_id", shown, "component_id")
