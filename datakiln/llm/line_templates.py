@@ -1,16 +1,18 @@
 """Line deduplication with a tree of log templates.
 
 A line is its tokens, with tokens that hold a digit taken as variable. The tree has fixed depth: number of tokens, then the
-leading tokens. In a leaf, lines that agree in most positions become one template whose other positions are variable. A
-template that recurs across documents is boilerplate or a repeated passage: its lines are dropped.
+leading tokens. In a leaf, lines that agree in SIMILAR of their positions belong to one template, and so do lines that such
+steps connect; where the lines of a template differ, its tokens are variable. A template that MIN_DOCUMENTS distinct
+documents hold is boilerplate or a repeated passage: its lines are dropped.
 
-Only leaves with more than one distinct line need parsing. Their distinct lines are dealt to groups of about GROUP, parsed
-in the order of their text, and the templates found are dealt and parsed again until each leaf is one group or a round
-merges nothing more; so a leaf with very many lines shrinks where it is spread, and no task holds a whole hot leaf.
+Similar lines are found by the pigeonhole principle. Two lines that may differ in m positions agree on a whole one of m + 1
+blocks of the positions after the leading ones, so only lines that share a block are compared, and of blocks with the same
+lines only one. Lines that share a block are compared in pieces of about GROUP; each task reports a spanning forest, and the
+components of all forests are the templates. So they don't depend on GROUP or on how lines are dealt.
 
-Copies of one text are one document to the count: as in the quality rules, a line's holders are told apart by a mark, and a
-template recurs if MIN_DOCUMENTS marks hold it and they are at least half as many as the rows with its lines. Rows with equal
-texts are one row there, so that exact copies neither make a template recur nor keep it from that.
+Rows with equal sequences of lines (digits made equal) are one document to the count, so copies of a text neither make a
+template recur nor keep it from that. A document that would lose more than MOST_DROPPED per cent of its words stays whole:
+it is a copy or a near copy of others, which is for near deduplication to settle, not a page with boilerplate.
 
 Defined results: a null text stays null and has no lines, an empty one stays empty; lines without a token are kept. Rows
 with equal or null doc_id are documents of their own. Other columns than those named are not read.
@@ -19,7 +21,6 @@ with equal or null doc_id are documents of their own. Other columns than those n
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,15 +29,20 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from datakiln.llm.common import DOCUMENT_COLUMNS, numbered, saved, steps, table
-from datakiln.llm.line_rules import mark_of, marks, text_hash, without_lines
-
-DEPTH, SIMILAR = 3, 0.7
-MIN_DOCUMENTS = 4
-GROUP = 2000
-#: Distinct lines a parsing task takes, and leaves that are few enough to be sent to every task.
-SHARD, FEW_LEAVES = 50_000, 500_000
+from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.types import StructType
+
+from datakiln.llm.common import DOCUMENT_COLUMNS, in_pieces, numbered, saved, steps, table
+from datakiln.llm.line_rules import without_lines
+from datakiln.llm.simhash import components, joined_up
+
+#: Leading tokens in the path to a leaf; tenths of the positions in which lines of a template agree.
+DEPTH, SIMILAR = 3, 7
+MIN_DOCUMENTS, MOST_DROPPED = 4, 50
+#: Lines of a block compared with as many at once, lines a task takes, and cells of a comparison held in memory.
+GROUP, SHARD, CELLS = 2000, 50_000, 1 << 21
+#: Leaves that are few enough to be sent to every task.
+FEW_LEAVES = 500_000
 #: Bytes of text tokenised at once.
 STEP = 2 << 20
 ANY = b"<*>"
@@ -65,29 +71,45 @@ def leaf_key(tokens: list[bytes]) -> int:
     return _hash(b" ".join([str(len(tokens)).encode(), *tokens[:DEPTH]]))
 
 
-FACTS = "row long, copy long, n_lines long, lines array<struct<key:long,leaf:long,mark:long>>"
+#: What a text gives, after row.
+FACTS = {
+    "copy": pa.int64(),
+    "n_lines": pa.int64(),
+    "n_words": pa.int64(),
+    "lines": pa.list_(pa.struct([("key", pa.int64()), ("leaf", pa.int64()), ("n", pa.int64())])),
+}
+
+
+def line_facts(text: str | None) -> tuple:
+    """The values of FACTS for a text."""
+    found: dict[int, list[int]] = {}
+    keys, n_words = [], 0
+    for line in (text or "").encode().split(b"\n"):
+        if tokens := masked(line):
+            key = _hash(b" ".join(tokens))
+            keys.append(key)
+            n_words += len(tokens)
+            if key in found:
+                found[key][1] += len(tokens)
+            else:
+                found[key] = [leaf_key(tokens), len(tokens)]
+    copy = _hash(np.array(keys, dtype=np.int64).tobytes())
+    return copy, len(keys), n_words, [{"key": k, "leaf": leaf, "n": n} for k, (leaf, n) in found.items()]
+
+
+def _facts(docs: DataFrame) -> DataFrame:
+    """row and FACTS of each (row, text)."""
+    rows = docs.select("row", "text")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in steps(batch, "text"):
+                columns = zip(*map(line_facts, part.column("text").to_pylist()))
+                values = [pa.array(c, kind) for c, kind in zip(columns, FACTS.values())]
+                yield pa.RecordBatch.from_arrays([part.column("row"), *values], names=["row", *FACTS])
 
-def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("key", pa.int64()), ("leaf", pa.int64()), ("mark", pa.int64())]))
-    for batch in batches:
-        for part in steps(batch, "text"):
-            counts, copies, lines = [], [], []
-            for text in part.column("text").to_pylist():
-                raw, found, n = (text or "").encode(), {}, 0
-                for line in raw.split(b"\n"):
-                    if tokens := masked(line):
-                        n += 1
-                        key = _hash(b" ".join(tokens))
-                        if key in found:
-                            found[key][1].update(line.split())
-                        else:
-                            found[key] = (leaf_key(tokens), set(line.split()))
-                known = marks(raw.split())
-                counts.append(n)
-                copies.append(text_hash(raw))
-                lines.append([{"key": k, "leaf": leaf, "mark": mark_of(known, own)} for k, (leaf, own) in found.items()])
-            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(copies, pa.int64()), pa.array(counts, pa.int64()), pa.array(lines, kind)], names=["row", "copy", "n_lines", "lines"])
+    schema = StructType([rows.schema["row"], *from_arrow_schema(pa.schema(list(FACTS.items()))).fields])
+    return saved(rows.mapInArrow(run, schema), "line-keys")
 
 
 def _texts(docs: DataFrame, leaves: np.ndarray | None) -> DataFrame:
@@ -98,105 +120,148 @@ def _texts(docs: DataFrame, leaves: np.ndarray | None) -> DataFrame:
         wanted = shared.value
         for batch in batches:
             for part in steps(batch, "text", STEP):
-                lines = [tokens for text in part.column("text").to_pylist() for line in (text or "").encode().split(b"\n") if len(tokens := masked(line)) > DEPTH]
+                texts = [(text or "").encode() for text in part.column("text").to_pylist()]
+                lines = [tokens for text in texts for line in text.split(b"\n") if len(tokens := masked(line)) > DEPTH]
                 leaf = np.fromiter(map(leaf_key, lines), dtype=np.int64, count=len(lines))
                 at = range(len(lines)) if wanted is None else np.flatnonzero(np.isin(leaf, wanted)).tolist()
                 found = {}
                 for i in at:
                     body = b" ".join(lines[i])
-                    found[_hash(body)] = (int(leaf[i]), body.decode())
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([x for x, _ in found.values()], pa.int64()), pa.array([x for _, x in found.values()], pa.string())], names=["key", "leaf", "body"])
-
-    return docs.select("text").mapInArrow(run, "key long, leaf long, body string")
-
-
-def templates(bodies: list[str]) -> list[str]:
-    """The template of each line of a leaf's group; all have the same number of tokens. Lines are taken in text order."""
-    found: list[list[str]] = []
-    index: dict[tuple[int, str], list[int]] = defaultdict(list)
-    joined = {}
-    for body in sorted(set(bodies)):
-        tokens = body.split(" ")
-        need = SIMILAR * len(tokens)
-        agree: dict[int, int] = defaultdict(int)
-        for i, t in enumerate(tokens):
-            for k in index.get((i, t), ()):
-                agree[k] += 1
-        best = max(agree.items(), key=lambda x: (x[1], -x[0]), default=(0, 0))
-        if best[1] < need:
-            joined[body] = len(found)
-            for i, t in enumerate(tokens):
-                index[i, t].append(len(found))
-            found.append(tokens)
-            continue
-        joined[body] = k = best[0]
-        own = found[k]
-        for i, t in enumerate(tokens):
-            if own[i] != t and own[i] != "<*>":
-                index[i, own[i]].remove(k)
-                index[i, "<*>"].append(k)
-                own[i] = "<*>"
-    return [" ".join(found[joined[b]]) for b in bodies]
-
-
-def _parsed(shard: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    for _, group in shard.groupby(["leaf", "part"], sort=False):
-        out.append(pd.DataFrame({"leaf": group.leaf, "body": group.body, "template": templates(group.body.tolist())}))
-    return pd.concat(out, ignore_index=True)
-
-
-def _parse_round(bodies: DataFrame) -> DataFrame:
-    """leaf, body, template for (leaf, body, size) rows, size being the leaf's number of bodies."""
-    n = bodies.count()
-    parts = F.ceil(F.col("size") / GROUP)
-    dealt = bodies.withColumn("part", F.pmod(F.xxhash64("body"), parts)).withColumn("shard", F.pmod(F.xxhash64("leaf", "part"), F.lit(max(1, -(-n // SHARD), bodies.sparkSession.sparkContext.defaultParallelism))))
-    return saved(dealt.groupBy("shard").applyInPandas(_parsed, "leaf long, body string, template string"), "templates")
-
-
-def _sized(bodies: DataFrame) -> DataFrame:
-    sizes = saved(bodies.groupBy("leaf").agg(F.count("*").alias("size")), "sizes")  # written, so that a hot leaf can be split in the join
-    return bodies.join(sizes, "leaf")
+                    found[_hash(body)] = (int(leaf[i]), body)
+                leaf_of, bodies = zip(*found.values()) if found else ((), ())
+                columns = [pa.array(list(found), pa.int64()), pa.array(leaf_of, pa.int64()), pa.array(bodies, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "leaf", "body"])
+
+    return docs.select("text").mapInArrow(run, "key long, leaf long, body binary")
+
+
+def needed(n: int) -> int:
+    """In how many of n positions two lines of a template agree at least."""
+    return -(-SIMILAR * n // 10)
+
+
+def spans(n: int) -> list[tuple[int, int]]:
+    """Blocks of the positions after the leading ones, of which similar lines of n tokens share a whole one."""
+    free, blocks = n - DEPTH, n - needed(n) + 1
+    if blocks > free:  # lines of the leaf can't differ in too many positions
+        return [(n, n)]
+    return [(DEPTH + free * i // blocks, DEPTH + free * (i + 1) // blocks) for i in range(blocks)]
+
+
+def block_keys(leaf: int, body: bytes) -> list[int]:
+    """Hashes of a line's blocks: the leaf, the block's place and its tokens."""
+    tokens = body.split(b" ")
+    head = leaf.to_bytes(8, "little", signed=True)
+    return [_hash(b"%s%d %s" % (head, a, b" ".join(tokens[a:b]))) for a, b in spans(len(tokens))]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in steps(batch, "body", STEP):
+            names, lines = [], []
+            for key, leaf, body in zip(*(part.column(c).to_pylist() for c in ("key", "leaf", "body"))):
+                got = block_keys(leaf, body)
+                names += got
+                lines += [key] * len(got)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(lines, pa.int64())], names=["block", "key"])
+
+
+def similar_links(keys: np.ndarray, bodies: list[bytes], first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as keys, of the links between the lines marked first and those marked second.
+
+    All lines have the same number of tokens and agree in the leading ones.
+    """
+    rows = [b.split(b" ")[DEPTH:] for b in bodies]
+    width = len(rows[0])
+    number: dict[bytes, int] = {}
+    ids = np.array([[number.setdefault(t, len(number)) for t in r] for r in rows], dtype=np.int32).reshape(len(rows), width)
+    a, b = np.flatnonzero(first), np.flatnonzero(second)
+    need = needed(width + DEPTH) - DEPTH
+    columns = np.ascontiguousarray(ids[b].T)
+    parent, us, vs = np.arange(len(rows)), [], []
+    step = max(1, CELLS // max(1, len(b)))
+    for k in range(0, len(a), step):
+        some = a[k : k + step]
+        if len(some) * len(b) * width <= CELLS:
+            agree = (ids[some][:, None, :] == ids[b][None, :, :]).sum(axis=2)
+        else:
+            agree = np.zeros((len(some), len(b)), dtype=np.int32)
+            for p in range(width):
+                agree += ids[some, p][:, None] == columns[p][None, :]
+        i, j = np.nonzero(agree >= need)
+        u, v = some[i], b[j]
+        apart = parent[u] != parent[v]
+        u, v = u[apart], v[apart]
+        used = joined_up(parent, u, v)
+        us.append(u[used]), vs.append(v[used])
+    none = np.zeros(0, np.int64)
+    return keys[np.concatenate([none, *us])], keys[np.concatenate([none, *vs])]
+
+
+def _compared(shard: pd.DataFrame) -> pd.DataFrame:
+    """u, v: the forests of a shard's groups. shard: grp, key, body, first, second."""
+    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    order = np.argsort(shard.grp.to_numpy(), kind="stable")
+    grp, keys, bodies = shard.grp.to_numpy()[order], shard.key.to_numpy()[order], shard.body.to_numpy()[order]
+    first, second = shard["first"].to_numpy()[order], shard["second"].to_numpy()[order]
+    cuts = [0, *(np.flatnonzero(grp[1:] != grp[:-1]) + 1).tolist(), len(grp)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b - a > 1:
+            u, v = similar_links(keys[a:b], bodies[a:b].tolist(), first[a:b], second[a:b])
+            us.append(u), vs.append(v)
+    return pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
+
+
+def line_links(bodies: DataFrame) -> DataFrame:
+    """u, v: links that connect the keys of (key, leaf, body) lines as all pairs of similar lines of a leaf would."""
+    blocks = saved(bodies.mapInArrow(_blocks, "block long, key long"), "blocks")
+    sums = [F.count("*").alias("size"), *(F.bit_xor(F.xxhash64("key", F.lit(k))).alias(f"x{k}") for k in (1, 2))]
+    sizes = blocks.groupBy("block").agg(*sums).where("size > 1")
+    sizes = sizes.groupBy("size", "x1", "x2").agg(F.min("block").alias("block")).select("block", "size")
+    sizes = saved(sizes, "block-sizes")  # written, so that a hot block can be split in the join
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    dealt = in_pieces(blocks, sizes, ["block"], "key", GROUP)
+    first, second = (F.col("own") == low).alias("first"), (F.col("own") == high).alias("second")
+    dealt = dealt.select("key", F.xxhash64("block", low, high).alias("grp"), first, second)
+    n = sizes.agg(F.sum(F.col("size") * F.ceil(F.col("size") / GROUP))).first()[0] or 0
+    shards = max(1, -(-n // SHARD), bodies.sparkSession.sparkContext.defaultParallelism)
+    rows = dealt.join(bodies.select("key", "body"), "key").withColumn("shard", F.pmod("grp", F.lit(shards)))
+    return rows.groupBy("shard").applyInPandas(_compared, "u long, v long")
 
 
 def parsed(docs: DataFrame, facts: DataFrame) -> DataFrame:
-    """key, template: the template's key for the lines whose template is not the masked line itself."""
-    spark = docs.sparkSession
-    leaves = facts.select(F.explode("lines").alias("l")).select("l.key", "l.leaf").groupBy("key", "leaf").agg(F.count("*").alias("n")).groupBy("leaf").agg(F.count("*").alias("size")).where("size > 1").select("leaf")
-    leaves = saved(leaves, "leaves")
-    few = leaves.count() <= FEW_LEAVES
-    if few:
+    """key, template: the template, named by the least key of its lines, of the lines that share theirs with others."""
+    keys = facts.select(F.explode("lines").alias("l")).select("l.key", "l.leaf").groupBy("key", "leaf").agg(F.count("*").alias("n"))
+    leaves = saved(keys.groupBy("leaf").agg(F.count("*").alias("size")).where("size > 1").select("leaf"), "leaves")
+    if leaves.count() <= FEW_LEAVES:
         lines = _texts(docs, np.sort(leaves.toPandas().leaf.to_numpy(dtype=np.int64)))
     else:
         lines = _texts(docs, None).join(leaves, "leaf", "left_semi")
-    lines = saved(lines.groupBy("key", "leaf").agg(F.first("body").alias("body")), "bodies")
-    now = _sized(lines.select("leaf", "body"))
-    found = _parse_round(now)
-    whole = saved(lines.join(found, ["leaf", "body"]).select("key", "leaf", F.col("body").alias("own"), "template"), "parsed")
-    big, before = saved(now.where(F.col("size") > GROUP).select("leaf").distinct(), "big-leaves"), None
-    while not big.isEmpty():
-        left = saved(_sized(whole.join(big, "leaf", "left_semi").select("leaf", F.col("template").alias("body")).distinct()), "left")
-        after = left.count()
-        if after == before:
-            break
-        moved = _parse_round(left).select("leaf", F.col("body").alias("template"), F.col("template").alias("next"))
-        whole = saved(whole.join(moved, ["leaf", "template"], "left").select("key", "leaf", "own", F.coalesce("next", "template").alias("template")), "parsed")
-        big, before = saved(left.where(F.col("size") > GROUP).select("leaf").distinct(), "big-leaves"), after
-    return whole.where("own <> template").select("key", F.xxhash64("template").alias("template"))
+    bodies = saved(lines.groupBy("key", "leaf").agg(F.first("body").alias("body")), "bodies")
+    return components(line_links(bodies)).select(F.col("node").alias("key"), F.col("root").alias("template"))
+
+
+def patterns(members: DataFrame) -> DataFrame:
+    """template, pattern of (template, body) lines: the tokens in which all its lines agree, <*> elsewhere."""
+    tokens = members.select("template", F.posexplode(F.split(F.col("body").cast("string"), " ")).alias("at", "token"))
+    least, most = F.min("token"), F.max("token")
+    each = tokens.groupBy("template", "at").agg(F.when(least == most, least).otherwise(ANY.decode()).alias("token"))
+    ordered = F.array_sort(F.collect_list(F.struct("at", "token")))
+    return each.groupBy("template").agg(F.concat_ws(" ", F.transform(ordered, lambda x: x.token)).alias("pattern"))
 
 
 def recurring(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> tuple[DataFrame, DataFrame]:
     """The facts of docs (row, text), and (row, drop): the keys of the lines to drop of each row that has any."""
-    facts = saved(docs.select("row", "text").mapInArrow(_facts, FACTS), "line-keys")
-    lines = facts.select("row", "copy", F.explode("lines").alias("l")).select("row", "copy", "l.mark", "l.key")
-    mapped = parsed(docs, facts)
-    lines = lines.join(mapped, "key", "left").select("row", "copy", "mark", "key", F.coalesce("template", "key").alias("template"))
+    facts = _facts(docs)
+    own = ("row", "copy", "n_words")
+    lines = facts.select(*own, F.explode("lines").alias("l")).select(*own, "l.key", "l.n")
+    lines = lines.join(parsed(docs, facts), "key", "left").withColumn("template", F.coalesce("template", "key"))
     lines = saved(lines, "line-templates")
-    per = lines.select("template", "mark", "copy").distinct().groupBy("template", "mark").agg(F.count("*").alias("n"))
-    counts = per.groupBy("template").agg(F.count("*").alias("n_documents"), F.sum("n").alias("n_rows"))
-    gone = counts.where((F.col("n_documents") >= min_documents) & (2 * F.col("n_documents") >= F.col("n_rows"))).select("template")
-    drop = lines.join(saved(gone, "recurring"), "template", "left_semi").groupBy("row").agg(F.collect_set("key").alias("drop"))
-    return facts, drop
+    counts = lines.groupBy("template").agg(F.count_distinct("copy").alias("n_documents"))
+    gone = saved(counts.where(F.col("n_documents") >= min_documents).select("template"), "recurring")
+    met = lines.join(gone, "template", "left_semi")
+    drop = met.groupBy("row", "n_words").agg(F.sum("n").alias("n"), F.collect_set("key").alias("drop"))
+    return facts, drop.where(100 * F.col("n") <= MOST_DROPPED * F.col("n_words")).select("row", "drop")
 
 
 def apply_templates(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
@@ -210,4 +275,5 @@ def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the text that is left, n_lines (with a token) and n_dropped."""
     rows = numbered(table(spark, sf_dir, "documents", "doc_id", "text"))
     facts, drop = recurring(rows)
-    return without_lines(rows.join(facts.select("row", "n_lines"), "row").join(drop, "row", "left"), line_key).select("doc_id", "text", "n_lines", "n_dropped")
+    judged = rows.join(facts.select("row", "n_lines"), "row").join(drop, "row", "left")
+    return without_lines(judged, line_key).select("doc_id", "text", "n_lines", "n_dropped")

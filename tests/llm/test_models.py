@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from datakiln.llm import language_id, line_rules, line_templates, mixing, sharding, simhash, text_models, topk_search
@@ -72,13 +73,88 @@ def test_templates(spark):
     names = ["anna", "bob", "carl", "dora", "emil", "fritz"]
     rows = [(i, f"session of user {names[i % 6]} was closed by the server\n{_body(i)}\nshort") for i in range(30)]
     rows += [(100 + i, _body(500) + "\n" + _body(501)) for i in range(9)]
-    line_templates.GROUP, old = 4, line_templates.GROUP
-    try:
-        got = {r.doc_id: r.text for r in line_templates.apply_templates(_docs(spark, rows)).collect()}
-    finally:
-        line_templates.GROUP = old
+    got = {r.doc_id: r.text for r in line_templates.apply_templates(_docs(spark, rows)).collect()}
     assert all(got[i] == _body(i) for i in range(30)) and all(got[100 + i] == rows[30][1] for i in range(9))
-    assert line_templates.templates(["a b c d", "a b c e", "x y z w"]) == ["a b c <*>", "a b c <*>", "x y z w"]
+
+
+def test_near_copies_stay_whole(spark):
+    """Documents of which most would go are copies: they are left to near deduplication."""
+    text = [_body(700 + k) for k in range(8)]
+    rows = [(i, "\n".join(t if k != i else _body(3000 + i) for k, t in enumerate(text))) for i in range(8)]
+    got = {r.doc_id: r.text for r in line_templates.apply_templates(_docs(spark, rows)).collect()}
+    assert got == dict(rows)
+
+
+def _tree(lines):
+    """Brute force: the least key of each line's template, by comparing all pairs of a leaf."""
+    leaves, out = {}, {}
+    for x in set(lines):
+        tokens = line_templates.masked(x)
+        leaves.setdefault((len(tokens), *tokens[:3]), []).append(tokens)
+    for leaf in leaves.values():
+        parent = list(range(len(leaf)))
+
+        def root(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for i, a in enumerate(leaf):
+            for j, b in enumerate(leaf[:i]):
+                if 10 * sum(x == y for x, y in zip(a, b)) >= 7 * len(a):
+                    parent[max(root(i), root(j))] = min(root(i), root(j))
+        keys = [line_templates.line_key(b" ".join(t)) for t in leaf]
+        for i in range(len(leaf)):
+            out[keys[i]] = min(k for j, k in enumerate(keys) if root(j) == root(i))
+    return out
+
+
+def _leaf_lines(rng):
+    """One leaf with 150 templates of five lines each, leaves of every short length, and unlike lines."""
+    fields = [[_word(int(x)) for x in rng.integers(0, 9999, 9)] for _ in range(150)]
+    lines = [["job", "on", "host", *f[:4], _word(int(rng.integers(9999))), *f[4:]] for f in fields for _ in range(5)]
+    for n in range(4, 14):
+        for _ in range(60):
+            lines.append(["a", "b", "c", *(_word(int(x)) for x in rng.integers(0, 4, n - 3))])
+    return [" ".join(x) for x in lines]
+
+
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_templates_are_those_of_all_pairs_whatever_the_group(spark, monkeypatch, few):
+    monkeypatch.setattr(line_templates, "FEW_LEAVES", few)
+    lines = _leaf_lines(np.random.default_rng(2))
+    docs = spark.createDataFrame([(i, "\n".join(lines[i::40])) for i in range(40)], "row long, text string")
+    want = _tree([x.encode() for x in lines])
+    facts = line_templates._facts(docs)
+    for group in (20, 50, 2000) if few else (2000,):
+        monkeypatch.setattr(line_templates, "GROUP", group)
+        got = {r.key: r.template for r in line_templates.parsed(docs, facts).collect()}
+        assert {k: got.get(k, k) for k in want} == want
+
+
+def test_patterns(spark):
+    rows = [(1, bytearray(b"a b c d")), (1, bytearray(b"a b x d")), (2, bytearray(b"q <*> r"))]
+    got = {tuple(r) for r in line_templates.patterns(spark.createDataFrame(rows, "template long, body binary")).collect()}
+    assert got == {(1, "a b <*> d"), (2, "q <*> r")}
+
+
+@pytest.mark.parametrize("n_links", [4, 20])
+def test_shared_lines_with_the_longest_words_go(spark, n_links):
+    """Each of 400 documents of a host holds a cookie line and a footer of long addresses."""
+    footer = " ".join(f"https://example.org/sections/{_word(k)}/{_word(k + 50)}/page" for k in range(n_links))
+    rows = [(i, f"We use cookies to give you the best experience\n{_body(i, 120)}\n{footer}") for i in range(400)]
+    rows += [(1000 + i, _body(9000, 200) + "\n" + _body(9001, 90)) for i in range(50)]  # copies of one text
+    want = {d: _body(d, 120) if d < 1000 else x for d, x in rows}
+    for apply in (line_rules.apply_rules, line_templates.apply_templates):
+        assert {r.doc_id: r.text for r in apply(_docs(spark, rows)).collect()} == want
+
+
+def test_nulls_and_repeated_rows_of_lines(spark):
+    rows = [(1, None), (2, ""), (None, "one two"), (None, "one two"), (3, "x"), (3, "x")]
+    df = spark.createDataFrame([(d, x, None, None, None) for d, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in line_templates.apply_templates(df).collect()), key=str)
+    assert got == sorted(rows, key=str)
+    assert line_rules.apply_rules(df).count() == 0
 
 
 def test_copies_do_not_save_a_shared_line(spark):
@@ -196,21 +272,51 @@ def test_near_duplicates_recall_and_precision(spark):
 
 
 def test_chance_links_displace_no_true_ones(spark):
-    """Unlike fingerprints that share a block and connect by chance, and near copies of some of them."""
+    """Unlike fingerprints that share a least hash and connect by chance, and near copies of some of them."""
     rng = np.random.default_rng(8)
     rows, pairs = [], 300
     for i in range(2000):
-        fp, sketch = int(rng.integers(0, 1 << 51)), sorted(rng.integers(0, 1 << 60, 48).tolist())
-        rows.append((i, _signed(fp << 13), 0, sketch))
+        fp, sketch = int(rng.integers(0, 1 << 22)), [7, *sorted(rng.integers(8, 1 << 60, 47).tolist())]
+        rows.append((i, _signed(fp << 13), sketch))
         if i < pairs:  # 12 bits apart, 44 of 48 hashes shared
-            other = fp ^ sum(1 << int(b) for b in rng.choice(51, 12, replace=False))
-            rows.append((10_000 + i, _signed(other << 13), 0, sorted(sketch[4:] + rng.integers(0, 1 << 60, 4).tolist())))
-    df = spark.createDataFrame(rows, "doc_id long, fp long, close long, sketch array<long>")
-    got = simhash.with_component(df, simhash.WIDE_RADIUS, F.col("doc_id"), "first", lambda nodes: simhash._confirmed(simhash.probed_links(nodes, simhash.WIDE_RADIUS), nodes))
+            other = fp ^ sum(1 << int(b) for b in rng.choice(22, 12, replace=False))
+            rows.append((10_000 + i, _signed(other << 13), sorted(sketch[:44] + rng.integers(8, 1 << 60, 4).tolist())))
+    df = spark.createDataFrame(rows, "doc_id long, fp long, sketch array<long>")
+    got = simhash.with_component(df, simhash.WIDE_RADIUS, F.col("doc_id"), "first", lambda nodes: simhash.sketched_links(nodes, simhash.WIDE_RADIUS))
     first = {r.doc_id: r["first"] for r in got.collect()}
     assert first == {d: d % 10_000 for d, *_ in rows}
 
 
+def test_hot_group_is_dealt_to_shards(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "GROUP", 100)
+    monkeypatch.setattr(simhash, "SHARD", 5000)
+    df = spark.range(2000).select(F.col("id").alias("fp"), F.lit(1).cast("long").alias("value"))
+    dealt, n = simhash.dealt_groups(df, ["value"])
+    assert dealt.count() == n == 2000 * 20
+    shards = max(1, -(-n // simhash.SHARD))
+    sizes = [r["count"] for r in dealt.groupBy(F.pmod("grp", F.lit(shards))).count().collect()]
+    assert len(sizes) == shards and max(sizes) < 2 * simhash.SHARD
+    met = dealt.where("in_tree").alias("a").join(dealt.where("as_query").alias("b"), "grp").select(F.least("a.fp", "b.fp"), F.greatest("a.fp", "b.fp"))
+    assert met.distinct().count() == 2000 * 2001 // 2
+
+
+def _similarity(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_near_duplicates_recall_against_all_pairs(spark):
+    """Pairs of the small table that share 0.8 of their five-word shingles: nine in ten at least get one component."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents", "doc_id", "text", "lang", "source", "n_chars")
+    sets = {r.doc_id: set(simhash.shingle_hashes(r.text, 5).tolist()) for r in docs.collect()}
+    kept = {r.doc_id for r in simhash.without_near_duplicates(docs).collect()}
+    ids = sorted(sets)
+    alike = {d: [o for o in ids if o < d and _similarity(sets[d], sets[o]) >= 0.8] for d in ids}
+    copies = [d for d in ids if alike[d]]
+    assert len(copies) > 30 and sum(d not in kept for d in copies) >= 0.9 * len(copies)
+    loose = [d for d in ids if d not in kept and not any(_similarity(sets[d], sets[o]) >= 0.6 for o in ids if o != d)]
+    assert not loose
+
+
 def test_sketches_equal_brute_force():
     rng = np.random.default_rng(9)
     values = rng.integers(0, 1 << 32, 60).astype("<u4")
