@@ -1,24 +1,31 @@
 """Soft-membership mixing of documents to target domain weights.
 
 Domains come from a labelled table: toxic (toxic is 1), low (quality is 0) and high. A classifier fitted on a bounded
-sample of labelled documents (about SAMPLE, the documented bound) gives every document its posterior over the domains. Each document then gets a rate of at least zero such that the expected tokens of
-a domain, the sum of rate times tokens times posterior over all documents, meet the targets: distributed projected-gradient
-least squares from rate one. Every step is one pass over a few numbers per document; the step's only result is a residual
-per domain, summed by task, and a document's rate is the steps applied to it in turn, cut off at zero each time. Steps are
-scaled by tokens and by the inverse Gram matrix of the domains, so few are needed.
-
-The budget is set by the anchor domain (high): its target is BUDGET times the tokens that it is expected to have, and the
-other targets follow from the weights, but are never over what their domain has. BUDGET is over one because the posterior
-of a clean document still has a little of the other domains, whose targets would otherwise pull its rate below one.
+sample of labelled documents (about SAMPLE, the documented bound) gives every document its posterior over the domains, in
+steps of 1 / GRAIN. Each document then gets a rate between zero and MOST such that the expected tokens of a domain, the sum
+of rate times tokens times posterior over all documents, match the targets: given shares of a given number of tokens, by
+default as many as the corpus has.
+
+The rates are found by projected-gradient least squares from rate one. Misses are weighed by the inverse Gram matrix of the
+posteriors, so that small domains count as much as large ones, and RIDGE times the squared distance of the rates from one,
+by token, is added: of all rates that come as near to the targets it picks those that change the corpus least, and where no
+rates can meet the targets (each clean text has a little posterior of every domain) it keeps them from putting all on a few
+texts. A step moves all rates along the gradient, scaled by the curvature of the documents that are between the bounds, and
+projects them onto the bounds; it is halved until it helps. So a rate is always one minus the posterior times a vector of a
+number a domain, cut off at the bounds. The corpus is summed up once by posterior, and every step is a pass over these sums,
+whose number doesn't grow with the corpus. The solver stops when the gradient is below CLOSE, which is at the optimum; the
+miss that is left is returned.
 
 Defined results: a null or empty text has no tokens, the prior as its posterior, and the rate that its posterior gives. A
 doc_id labelled more than once takes its worst labels, and of texts that share it the least one is learned from; null labels
-and labels of absent documents are left out. Without any usable label every document is high with rate one. Rows that share a doc_id are rated by their own texts.
+and labels of absent documents are left out. Without any usable label every document is high. Rows that share a doc_id are
+rated by their own texts. An empty table gives no rates.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +36,12 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from datakiln.llm.common import DOCUMENT_COLUMNS, numbered, saved, steps, table
 from datakiln.llm.text_models import Model, featured, fitted, word_features
 
-BITS, SAMPLE = 17, 12_000
+BITS, SAMPLE, GRAIN = 17, 12_000, 1024
 DOMAINS = ("high", "low", "toxic")
-#: Target shares of tokens, and the passes over the anchor domain that they add up to.
-WEIGHTS, BUDGET = {"high": 0.95, "low": 0.05, "toxic": 0.0}, 1.15
-#: Steps at most; the solver also stops where all domains are within CLOSE of their targets or a step gains less than GAIN.
-ROUNDS, CLOSE, GAIN = 30, 1e-4, 0.05
+#: Default target shares of tokens, the highest rate (so many passes over a document at most), and the pull to rate one.
+WEIGHTS, MOST, RIDGE = {"high": 0.95, "low": 0.05, "toxic": 0.0}, 4.0, 0.03
+#: Steps and halvings of a step at most, and the gradient at which the solver stops.
+ROUNDS, HALVINGS, CLOSE = 50, 16, 1e-9
 
 
 def words(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -43,7 +50,8 @@ def words(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def drawn(labels: DataFrame, bound: int = SAMPLE) -> DataFrame | None:
     """About bound labelled doc_ids with their domain as label, as many of each domain as there are; drawn by a hash of doc_id."""
-    worst = labels.select("doc_id", "quality", "toxic").dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    known = labels.select("doc_id", "quality", "toxic").dropna()
+    worst = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").otherwise("high")
     rows = worst.select("doc_id", domain.alias("label"))
     counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
@@ -63,6 +71,13 @@ def trained(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model |
     return fitted(sample, np.ones(1 << BITS), epochs=8, alpha=20.0, l1=0.2) if sample else None
 
 
+def rounded(p: np.ndarray) -> np.ndarray:
+    """A posterior in whole steps of 1 / GRAIN; the first domain takes what is left."""
+    out = np.round(p * GRAIN) / GRAIN
+    out[0] = 1.0 - out[1:].sum()
+    return np.maximum(out, 0.0)
+
+
 def memberships(docs: DataFrame, model: Model | None, keep: tuple[str, ...]) -> DataFrame:
     """The kept columns, n_tokens and p, the posterior over DOMAINS, of every text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -81,9 +96,11 @@ def memberships(docs: DataFrame, model: Model | None, keep: tuple[str, ...]) ->
                         slots, tf = words(text)
                         p = np.zeros(len(DOMAINS))
                         p[place] = m.posterior(slots, tf)
+                        p = rounded(p)
                     counts.append(len((text or "").split()))
                     ps.append(p.tolist())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(counts, pa.int64()), pa.array(ps, pa.list_(pa.float64()))], names=[*keep, "n_tokens", "p"])
+                values = [pa.array(counts, pa.int64()), pa.array(ps, pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *values], names=[*keep, "n_tokens", "p"])
 
     return rows.mapInArrow(run, rows.select(*keep).schema.add("n_tokens", "long").add("p", ArrayType(DoubleType())))
 
@@ -92,77 +109,89 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), len(DOMAINS))
 
 
-def rates(p: np.ndarray, moves: list[np.ndarray]) -> np.ndarray:
-    """Rates after the steps: each moves along the posterior and is cut off at zero."""
-    r = np.ones(len(p))
-    for move in moves:
-        r = np.maximum(0.0, r - p @ move)
-    return r
+def rates(p: np.ndarray, pull: np.ndarray) -> np.ndarray:
+    """Rates of posteriors: one minus the pulls of the domains, cut off at the bounds."""
+    return np.clip(1.0 - p @ pull, 0.0, MOST)
+
 
+def by_posterior(members: DataFrame) -> DataFrame:
+    """p, n_tokens: the tokens of all documents with a posterior, of which there are at most some GRAIN squared."""
+    return saved(members.groupBy("p").agg(F.sum("n_tokens").alias("n_tokens")).coalesce(8), "by-posterior")
 
-def _totals(members: DataFrame, moves: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Expected tokens by domain at the rates after the moves, and the token-weighted Gram matrix of the posteriors."""
+
+def _totals(cells: DataFrame, pulls: list[np.ndarray]) -> np.ndarray:
+    """For each pull, the expected tokens by domain and the Gram matrix of the documents between the bounds, in a row."""
+    k = len(DOMAINS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = len(DOMAINS)
-        total, gram = np.zeros(k), np.zeros((k, k))
+        sums = np.zeros((len(pulls), k + k * k))
         for b in batches:
             p, t = _matrix(b.column("p")), b.column("n_tokens").to_numpy(zero_copy_only=False).astype(float)
-            total += (rates(p, moves) * t) @ p
-            gram += (p * t[:, None]).T @ p
-        rows = [(i, total[i], -1, 0.0) for i in range(k)] + [(i, 0.0, j, gram[i, j]) for i in range(k) for j in range(k)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["i", "total", "j", "gram"])
-
-    summed = members.select("n_tokens", "p").mapInArrow(run, "i long, total double, j long, gram double").groupBy("i", "j").agg(F.sum("total").alias("total"), F.sum("gram").alias("gram"))
-    total, gram = np.zeros(len(DOMAINS)), np.zeros((len(DOMAINS), len(DOMAINS)))
-    for r in summed.collect():
-        if r.j < 0:
-            total[r.i] = r.total
-        else:
-            gram[r.i, r.j] = r.gram
-    return total, gram
-
-
-def targets(total: np.ndarray, weights: dict[str, float], anchor: str = "high") -> np.ndarray:
-    have = BUDGET * total[DOMAINS.index(anchor)]
-    return np.array([have if d == anchor else min(total[i], have * weights[d] / weights[anchor]) for i, d in enumerate(DOMAINS)])
-
-
-def solved(members: DataFrame, weights: dict[str, float]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """The moves, the targets and the expected totals reached: least squares by scaled projected gradient."""
-    total, gram = _totals(members, [])
-    goal = targets(total, weights)
-    scale = max(1.0, float(goal.sum()))
-    inverse = np.linalg.pinv(gram / scale + 1e-9 * np.eye(len(DOMAINS)))
-    moves: list[np.ndarray] = []
-    before = np.inf
+            for row, pull in zip(sums, pulls):
+                r = rates(p, pull)
+                row[:k] += (r * t) @ p
+                row[k:] += ((p * (t * ((r > 0) & (r < MOST)))[:, None]).T @ p).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array([sums.ravel().tolist()])], names=["sums"])
+
+    found = [r.sums for r in cells.mapInArrow(run, "sums array<double>").collect()]
+    return np.array(found).reshape(-1, len(pulls), k + k * k).sum(axis=0)
+
+
+@dataclass
+class Mix:
+    """The pulls that give the rates, the targets, the expected totals reached, and the gradient left."""
+
+    pull: np.ndarray
+    goal: np.ndarray
+    total: np.ndarray
+    gradient: float
+
+
+def solved(members: DataFrame, weights: dict[str, float] = WEIGHTS, budget: float | None = None, ridge: float = RIDGE) -> Mix:
+    """The mix whose expected totals are nearest to the domains' shares (weights) of budget tokens (None: the corpus's own)."""
+    cells, k = by_posterior(members), len(DOMAINS)
+    pull = np.zeros(k)
+    sums = _totals(cells, [pull])[0]
+    tokens = float(sums[:k].sum())
+    shares = np.array([weights.get(d, 0.0) for d in DOMAINS])
+    goal = shares / max(shares.sum(), 1e-12) * (tokens if budget is None else budget)
+    scale = max(1.0, tokens)
+    inverse = np.linalg.inv(sums[k:].reshape(k, k) / scale + 1e-9 * np.eye(k)) / scale
+
+    def gradient(sums: np.ndarray, pull: np.ndarray) -> np.ndarray:
+        """By domain: of a document between the bounds it is a token's worth of the posterior times this."""
+        return inverse @ (sums[:k] - goal) - ridge * pull
+
     for _ in range(ROUNDS):
-        miss = (total - goal) / scale
-        now = float(miss @ inverse @ miss)
-        if np.abs(miss).max() <= CLOSE or now > (1 - GAIN) * before:
+        now = gradient(sums, pull)
+        if np.abs(now).max() <= CLOSE:
             break
-        before = now
-        moves.append(inverse @ miss)
-        total, _ = _totals(members, moves)
-    return moves, goal, total
+        step = np.linalg.solve(ridge * np.eye(k) + inverse @ sums[k:].reshape(k, k), now)
+        tried = [pull + step * 0.5**i for i in range(HALVINGS)]
+        found = _totals(cells, tried)
+        left = [np.abs(gradient(x, v)).max() for x, v in zip(found, tried)]
+        best = next((i for i, x in enumerate(left) if x < (1 - 0.1 * 0.5**i) * np.abs(now).max()), int(np.argmin(left)))
+        pull, sums = tried[best], found[best]
+    return Mix(pull, goal, sums[:k], float(np.abs(gradient(sums, pull)).max()))
 
 
-def rated(members: DataFrame, moves: list[np.ndarray]) -> DataFrame:
+def rated(members: DataFrame, pull: np.ndarray) -> DataFrame:
     """members with their rate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rates(_matrix(b.column("p")), moves))], names=[*b.schema.names, "rate"])
+            found = pa.array(rates(_matrix(b.column("p")), pull))
+            yield pa.RecordBatch.from_arrays([*b.columns, found], names=[*b.schema.names, "rate"])
 
     return members.mapInArrow(run, StructType([*members.schema.fields, StructField("rate", DoubleType())]))
 
 
-def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, budget: float | None = None) -> DataFrame:
     """The documents that a pass over the mix takes: once if the rate is at least one, else with the rate as its chance."""
     rows = numbered(docs.select(*DOCUMENT_COLUMNS))
     members = saved(memberships(rows, trained(rows, labels), ("row", "doc_id")), "members")
     chance = F.pmod(F.xxhash64("doc_id", "row", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rated(members, solved(members, weights)[0]).where(chance < F.col("rate") + 1e-3).select("row")
+    chosen = rated(members, solved(members, weights, budget).pull).where(chance < F.col("rate")).select("row")
     return rows.join(chosen, "row").select(*DOCUMENT_COLUMNS)
 
 
@@ -171,4 +200,4 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = trained(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
     members = saved(memberships(docs, model, ("doc_id",)), "members")
     p = [F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)]
-    return rated(members, solved(members, WEIGHTS)[0]).select("doc_id", "n_tokens", *p, "rate")
+    return rated(members, solved(members).pull).select("doc_id", "n_tokens", *p, "rate")

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from datakiln.llm.common import steps
 
 Features = Callable[[str], tuple[np.ndarray, np.ndarray]]
+#: Labels that a model tells apart at most, the most frequent ones: its size is slots times labels.
+LABELS = 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -141,10 +143,11 @@ def softmax(z: np.ndarray) -> np.ndarray:
 def sample_rows(rows: DataFrame, label: str, features: Features, bound: int) -> list[tuple[str, bool, np.ndarray, np.ndarray]]:
     """(label, held back for the temperature, slots, counts) of about bound rows, as many of each label as there are.
 
-    rows: doc_id, text, label. Rows are taken by a hash of doc_id and text, at a rate per label that follows from the label's count.
+    rows: doc_id, text, label. Rows are taken by a hash of doc_id and text, at a rate per label that follows from the label's
+    count; rows of labels beyond the LABELS most frequent ones are not learned from.
     """
     rows = rows.select("doc_id", "text", F.col(label).alias("label")).where("text is not null and label is not null")
-    counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+    counts = {r.label: r["count"] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LABELS).collect()}
     if not counts:
         return []
     each = max(1, bound // len(counts))
