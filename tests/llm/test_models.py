@@ -166,25 +166,64 @@ def test_copies_do_not_save_a_shared_line(spark):
         assert {r.doc_id: r.text for r in apply(_docs(spark, rows)).collect()} == want
 
 
-def test_mixing_meets_its_targets(spark):
+def _bounded_least_squares(p, t, goal, ridge):
+    """Brute force: plain projected gradient with momentum over all documents until no rate moves any more."""
+    inverse = np.linalg.inv((p * t[:, None]).T @ p + 1e-9 * t.sum() * np.eye(p.shape[1]))
+    r = y = np.ones(len(p))
+    momentum = (1 - np.sqrt(ridge)) / (1 + np.sqrt(ridge))
+    for _ in range(5000):
+        slope = p @ (inverse @ ((y * t) @ p - goal)) + ridge * (y - 1)
+        new = np.clip(y - slope / (1 + ridge), 0.0, mixing.MOST)
+        if np.abs(new - r).max() < 1e-12:
+            break
+        r, y = new, new + momentum * (new - r)
+    return r
+
+
+@pytest.mark.parametrize("weights, budget", [({"high": 0.8, "low": 0.15, "toxic": 0.05}, None), (mixing.WEIGHTS, None), ({"low": 1.0}, 3e6)])
+def test_mixing_equals_bounded_least_squares(spark, weights, budget):
     docs = table(spark, "/root/testdata/sf0.01", "documents", "doc_id", "text")
     labels = table(spark, "/root/testdata/sf0.01", "labels", "doc_id", "quality", "toxic")
     members = mixing.memberships(docs, mixing.trained(docs, labels), ("doc_id",)).cache()
-    weights = {"high": 0.8, "low": 0.15, "toxic": 0.05}
-    moves, goal, total = mixing.solved(members, weights)
-    rows = mixing.rated(members, moves).toPandas()
-    p, t = np.array(rows.p.tolist()), rows.n_tokens.to_numpy()
-    start = t @ p
-    assert (rows.rate >= 0).all() and np.allclose((rows.rate.to_numpy() * t) @ p, total)
-    assert np.abs(total - goal).sum() < 0.5 * np.abs(start - goal).sum()
-    # brute force: plain projected gradient from rate one on the same objective ends no lower
-    truth = labels.toPandas().merge(rows, on="doc_id")
-    assert truth[truth.toxic == 1].rate.mean() < 0.6 < truth[(truth.toxic == 0) & (truth.quality == 1)].rate.mean()
+    mix = mixing.solved(members, weights, budget)
+    rows = mixing.rated(members, mix.pull).toPandas()
+    p, t = np.array(rows.p.tolist()), rows.n_tokens.to_numpy().astype(float)
+    share = np.array([weights.get(d, 0.0) for d in mixing.DOMAINS])
+    assert np.allclose(mix.goal, share * (t.sum() if budget is None else budget)) and mix.gradient <= mixing.CLOSE
+    assert rows.rate.between(0, mixing.MOST).all() and np.allclose((rows.rate.to_numpy() * t) @ p, mix.total)
+    assert np.abs(_bounded_least_squares(p, t, mix.goal, mixing.RIDGE) - rows.rate).max() < 1e-6
+    if budget is None:  # within three hundredths of all tokens
+        assert np.abs(mix.total - mix.goal).max() < 0.03 * t.sum()
+        truth = labels.toPandas().merge(rows, on="doc_id")
+        assert truth[truth.toxic == 1].rate.mean() < 0.5 < 0.9 < truth[(truth.toxic == 0) & (truth.quality == 1)].rate.mean()
 
 
 def test_rates_of_exact_posteriors():
     p = np.array([[1.0, 0, 0], [0, 1, 0], [0, 0, 1]])
-    assert mixing.rates(p, [np.array([0, 0.5, 2.0]), np.array([-0.1, 0, -0.2])]).tolist() == [1.1, 0.5, 0.2]
+    assert mixing.rates(p, np.array([-0.25, 0.5, 2.0])).tolist() == [1.25, 0.5, 0.0]
+    assert mixing.rates(p, np.array([-9.0, 0, 0])).tolist() == [mixing.MOST, 1.0, 1.0]
+
+
+def test_mixing_of_nulls_and_repeated_rows(spark):
+    rows = [(1, "good text about cats"), (1, "good text about cats"), (2, None), (None, ""), (3, "bad words here"), (4, "junk junk junk")]
+    labels = spark.createDataFrame([(1, 1, 0), (3, 1, 1), (4, 0, 0), (4, 1, None), (9, 1, 0)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    members = mixing.memberships(docs, mixing.trained(docs, labels), ("doc_id",))
+    got = mixing.rated(members, mixing.solved(members).pull).toPandas()
+    assert len(got) == 6 and (got.n_tokens[got.doc_id.isin([2]) | got.doc_id.isna()] == 0).all()
+    assert got[got.doc_id == 1].rate.nunique() == 1
+    alone = mixing.memberships(docs, mixing.trained(docs, labels.where("false")), ("doc_id",))
+    assert {tuple(r.p) for r in alone.collect()} == {(1.0, 0.0, 0.0)}
+
+
+def _check_shards(got, limit):
+    sums = got.groupby("shard").agg(total=("n_bytes", "sum"), said=("shard_bytes", "max"), n=("n_bytes", "size"))
+    assert (sums.total == sums.said).all() and ((sums.total <= limit) | (sums.n == 1)).all()
+    names = sorted(sums.index)
+    assert not any(b.startswith(a) for a, b in zip(names, names[1:]))
+    if len(names) > 1:  # only buckets over the limit have split
+        for s in names:
+            assert got[got.shard.str.startswith(s[:-1])].n_bytes.sum() > limit
 
 
 def test_shards_brute_force(spark):
@@ -193,14 +232,27 @@ def test_shards_brute_force(spark):
     df = spark.createDataFrame(rows, "k long, b long")
     for limit in (60, 500, 10**6):
         got = sharding.shards(df, F.col("k"), F.col("b"), ("k",), limit).toPandas()
-        sums = got.groupby("shard").agg(total=("n_bytes", "sum"), said=("shard_bytes", "max"), n=("k", "size"))
-        assert len(got) == 400 and (sums.total == sums.said).all()
-        assert ((sums.total <= limit) | (sums.n == 1)).all()
-        names = sorted(sums.index)
-        assert not any(b.startswith(a) for a, b in zip(names, names[1:]))
-        if len(names) > 1:  # only buckets over the limit have split
-            for s in names:
-                assert got[got.shard.str.startswith(s[:-1])].n_bytes.sum() > limit
+        assert len(got) == 400
+        _check_shards(got, limit)
+
+
+def test_written_shards_of_a_hot_key(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(7 if i % 3 == 0 else i, _body(i, int(n))) for i, n in enumerate(rng.integers(0, 60, 300))] + [(None, None), (None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    path = f"file://{tmp_path}/shards"
+    sharding.write_shards(df, F.col("doc_id"), path, 2000)
+    back = sharding.read_shards(spark, path).toPandas()
+    inferred = spark.read.parquet(path)  # names are strings to a reader that guesses types as well
+    assert dict(inferred.dtypes)["shard"] == "string" and set(inferred.select("shard").toPandas().shard) == set(back.shard)
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1] or "")
+    got = [(None if d != d else int(d), t) for d, t in zip(back.doc_id, back.text)]
+    assert sorted(got, key=key) == sorted(rows, key=key)
+    back["n_bytes"] = [len((t or "").encode()) for t in back.text]
+    back["shard_bytes"] = back.groupby("shard").n_bytes.transform("sum")
+    _check_shards(back, 2000)
+    assert back[back.doc_id == 7].shard.nunique() > 1
+    sharding.write_shards(df.where("false"), F.col("doc_id"), f"file://{tmp_path}/none", 2000)
 
 
 def _components(values, radius):
@@ -328,10 +380,47 @@ def test_sketches_equal_brute_force():
 
 
 def test_topk_bounds_are_bounds():
+    """The bounds that run, where their error is largest: near the limit of norms and on nearly one axis."""
     rng = np.random.default_rng(7)
-    x = rng.integers(-64, 64, (300, 16)).astype(float)
-    pivots = topk_search.farthest_first(x, 12)
-    d = topk_search.pivot_distances(x, pivots)
-    low = np.abs(d[:, None, :] - d[None, :, :]).max(axis=2)
-    n = (x * x).sum(axis=1)
-    assert ((n[:, None] + n[None, :] - low**2) / 2 + 1e-6 >= x @ x.T).all()
+    for spread, offset in ((64, 0), (64, 2**24), (2**22, 2**23)):
+        x = rng.integers(-spread, spread, (300, 16)).astype(float)
+        x[:, 0] += offset
+        assert topk_search._norms(x).max() < topk_search.EXACT
+        d = topk_search.pivot_distances(x, topk_search.farthest_first(x, 12))
+        n = topk_search._norms(x)
+        assert (topk_search.upper_bounds(n, d, n, d) >= x @ x.T).all()
+
+
+def _plain_topk(vectors, k):
+    """Brute force in whole numbers of any size."""
+    whole = [(i, [int(np.floor(64 * float(np.float32(c)))) for c in v]) for i, v in vectors]
+    out = []
+    for a, (q, u) in enumerate(whole):
+        if q % 20 == 0:
+            scores = sorted((-sum(s * t for s, t in zip(u, v)), i) for b, (i, v) in enumerate(whole) if b != a)
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("far", [6e7 / 64, 3e4, 1e12])
+def test_topk_with_a_far_vector_and_rows_on_one_axis(spark, monkeypatch, far):
+    """One far row makes a pivot; the others lie nearly on one axis, in clusters that bounds tell apart."""
+    monkeypatch.setattr(topk_search, "SLICE_ROWS", 100)
+    monkeypatch.setattr(topk_search, "QUERY_ROWS", 7)
+    monkeypatch.setattr(topk_search, "BOUNDS", 3)
+    rng = np.random.default_rng(11)
+    rows = [(int(i), [float(4 + i % 5 * 3 + rng.normal() * 0.2), *(rng.normal(size=3) * 0.05).tolist()]) for i in range(900)]
+    rows.append((900, [far, 1.0, 0.0, 0.0]))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = topk_search.search(df, F.col("vec_id") % 20 == 0)
+    assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == _plain_topk(rows, 20)
+
+
+def test_topk_leaves_pairs_out(spark, monkeypatch):
+    """Tight clusters that point apart: most pairs of groups and slices are never sent."""
+    monkeypatch.setattr(topk_search, "SLICE_ROWS", 60)
+    rng = np.random.default_rng(12)
+    rows = [(i, (8 * np.eye(10)[i % 10] + rng.normal(size=10) * 0.02).tolist()) for i in range(1200)]
+    found, pairs, held = topk_search.searched(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0)
+    assert sorted(tuple(r) for r in found.collect()) == _plain_topk(rows, 20)
+    assert pairs.count() < 0.2 * held.count() * held.select("cell").distinct().count()
