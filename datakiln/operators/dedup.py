@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from datakiln.functions import constants as C
@@ -17,29 +17,50 @@ def hamming(a, b):
     return F.bit_count(a.bitwiseXOR(b)).cast("int")
 
 
-def pairwise_hamming_le(df: DataFrame, threshold: int, key: str = "file", value: str = "phash") -> DataFrame:
-    """key_a < key_b, distance of all pairs whose 64-bit hashes differ in at most threshold bits; null hashes take no part.
+def _bands(threshold: int) -> Column:
+    """threshold + 1 bands of the bits of h, on one of which a pair within the threshold agrees at least."""
+    n, out = threshold + 1, []
+    for i in range(n):
+        low, high = 64 * i // n, 64 * (i + 1) // n
+        mask = F.lit((1 << high - low) - 1 if high - low < 64 else -1).cast("long")
+        out.append(F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("h", low).bitwiseAND(mask).alias("v")))
+    return F.array(*out)
+
+
+def hash_pairs(hashes: DataFrame, threshold: int) -> DataFrame:
+    """a < b, distance of all pairs of the distinct 64-bit numbers h that differ in 1 to threshold bits.
 
     Up to seven bits, hashes are met on threshold + 1 bands of bits: a pair within the threshold agrees on one of them at
-    least, so an equi-join finds it. Beyond, bands tell too little, and blocks of rows are compared with blocks of rows.
+    least, so an equi-join finds it. Beyond, bands tell too little, and blocks of hashes are compared with blocks of hashes.
     """
-    rows = df.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).alias("h"))
     if threshold <= 7:
-        n = threshold + 1
-        cuts = [64 * i // n for i in range(n + 1)]
-        bands = F.array(*(F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("h", a).bitwiseAND(F.lit((1 << b - a) - 1 if b - a < 64 else -1).cast("long")).alias("v")) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))))
-        banded = rows.select("k", "h", F.explode(bands).alias("band"))
-        a, b, on = banded.alias("a"), banded.alias("b"), "band"
+        banded = hashes.select("h", F.explode(_bands(threshold)).alias("band"))
+        a, b = banded.alias("a"), banded.alias("b")
     else:
-        size = max(1, -(-rows.count() // BLOCK))
-        own = rows.withColumn("own", F.pmod(F.xxhash64("k"), F.lit(size)))
+        size = max(1, -(-hashes.count() // BLOCK))
+        own = hashes.withColumn("own", F.pmod(F.xxhash64("h"), F.lit(size)))
         other = F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))
-        a = own.select("k", "h", F.explode(F.transform(other, lambda o: F.struct(F.col("own").alias("i"), o.alias("j")))).alias("band")).alias("a")
-        b = own.select("k", "h", F.explode(F.transform(other, lambda o: F.struct(o.alias("i"), F.col("own").alias("j")))).alias("band")).alias("b")
-        on = "band"
+        rows = F.transform(other, lambda o: F.struct(F.col("own").alias("i"), o.alias("j")))
+        columns = F.transform(other, lambda o: F.struct(o.alias("i"), F.col("own").alias("j")))
+        a, b = own.select("h", F.explode(rows).alias("band")).alias("a"), own.select("h", F.explode(columns).alias("band")).alias("b")
     d = hamming(F.col("a.h"), F.col("b.h"))
-    met = a.join(b, (F.col(f"a.{on}") == F.col(f"b.{on}")) & (F.col("a.k") < F.col("b.k")) & (d <= threshold))
-    return met.select(F.col("a.k").alias(f"{key}_a"), F.col("b.k").alias(f"{key}_b"), d.alias("distance")).distinct()
+    met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.h") < F.col("b.h")) & (d <= threshold))
+    return met.select(F.col("a.h").alias("a"), F.col("b.h").alias("b"), d.alias("distance")).distinct()
+
+
+def pairwise_hamming_le(df: DataFrame, threshold: int, key: str = "file", value: str = "phash") -> DataFrame:
+    """key_a < key_b, distance of all pairs whose 64-bit hashes differ in at most threshold bits; null hashes take no part.
+
+    Distinct hashes are compared once, however many samples have them; then pairs are listed sample by sample. dedup() and
+    its report do not need the list.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).alias("h"))
+    near = hash_pairs(rows.select("h").distinct(), threshold)
+    left, right = rows.select(F.col("k").alias("ka"), F.col("h").alias("a")), rows.select(F.col("k").alias("kb"), F.col("h").alias("b"))
+    apart = near.join(left, "a").join(right, "b").select("ka", "kb", "distance")
+    equal = left.join(right, (F.col("a") == F.col("b")) & (F.col("ka") < F.col("kb"))).select("ka", "kb", F.lit(0).alias("distance"))
+    first, second = F.least("ka", "kb").alias(f"{key}_a"), F.greatest("ka", "kb").alias(f"{key}_b")
+    return apart.unionByName(equal).select(first, second, "distance")
 
 
 def with_origins(pairs: DataFrame, df: DataFrame, key: str = "file", origin: str = "origin_id") -> DataFrame:
@@ -87,25 +108,65 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 def keepers(df: DataFrame, roots: DataFrame, key: str = "file", source: str = "source") -> DataFrame:
     """df with dedup_removed and dedup_reason: of a component the sample of the first source stays (ties: the least key)."""
-    priority = F.coalesce(F.create_map(*(F.lit(x) for kv in C.KEEP_PRIORITY.items() for x in kv))[F.col(source)], F.lit(C.OTHER_PRIORITY))
+    table = F.create_map(*(F.lit(x) for kv in C.KEEP_PRIORITY.items() for x in kv))
+    priority = F.coalesce(table[F.col(source)], F.lit(C.OTHER_PRIORITY)).alias("p")
     member = df.join(roots.withColumnRenamed("node", key), key, "left")
-    first = member.where("root is not null").groupBy("root").agg(F.min(F.struct(priority.alias("p"), F.col(key).alias("k"))).alias("first")).select(F.col("root").alias("_root"), F.col("first.k").alias("_keep"))
+    first = member.where("root is not null").groupBy("root").agg(F.min(F.struct(priority, F.col(key).alias("k"))).alias("first"))
+    first = first.select(F.col("root").alias("_root"), F.col("first.k").alias("_keep"))
     joined = member.join(first, F.col("root") == F.col("_root"), "left")
     removed = F.col("root").isNotNull() & (F.col(key) != F.col("_keep"))
-    return joined.drop("dedup_removed", "dedup_reason").select(*(c for c in df.columns if c not in ("dedup_removed", "dedup_reason")), removed.alias("dedup_removed"), F.when(removed, REASON).alias("dedup_reason"))
+    own = [c for c in df.columns if c not in ("dedup_removed", "dedup_reason")]
+    return joined.select(*own, removed.alias("dedup_removed"), F.when(removed, REASON).alias("dedup_reason"))
 
 
-def dedup(df: DataFrame, threshold: int = 4, key: str = "file", origin: str = "origin_id", source: str = "source", value: str = "phash") -> DataFrame:
-    """The manifest with dedup marks: near pairs of different origins only, as components."""
-    pairs = with_origins(pairwise_hamming_le(df, threshold, key, value), df, key, origin).where("cross")
-    return keepers(df, components(pairs, f"{key}_a", f"{key}_b"), key, source)
+def _units(df: DataFrame, origin: str, value: str) -> DataFrame:
+    """h, o, n: how many samples of an origin have a hash; o is (is null, origin), so that null is an origin like others."""
+    o = F.struct(F.col(origin).isNull().alias("none"), F.col(origin).alias("origin")).alias("o")
+    return df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("h"), o).agg(F.count("*").alias("n"))
+
 
+def unit_links(units: DataFrame, threshold: int) -> DataFrame:
+    """u, v: links between (h, o) units that connect them exactly as all near pairs of samples of different origins would.
 
-def dedup_report(df: DataFrame, marked: DataFrame, threshold: int = 4, key: str = "file", origin: str = "origin_id", source: str = "source", value: str = "phash", digest: str = "sha1") -> DataFrame:
-    """One row: total, removed, kept, pairs by kind and exact groups."""
-    pairs = with_origins(pairwise_hamming_le(df, threshold, key, value), df, key, origin)
+    Samples of a hash and an origin have the same partners, so they stand or fall together. The units of a hash all link to
+    its first origin's. Between two near hashes one link is enough: a hash with two origins or more hangs together anyway,
+    so it links by whichever of its origins differs from the other side's.
+    """
+    hashes = units.groupBy("h").agg(F.min("o").alias("first"), F.max("o").alias("last"))
+    same = units.join(hashes, "h").where(F.col("o") != F.col("first"))
+    same = same.select(F.struct("h", "o").alias("u"), F.struct("h", F.col("first").alias("o")).alias("v"))
+    left = hashes.select(F.col("h").alias("a"), F.col("first").alias("fa"), F.col("last").alias("la"))
+    right = hashes.select(F.col("h").alias("b"), F.col("first").alias("fb"), F.col("last").alias("lb"))
+    near = hash_pairs(hashes.select("h"), threshold).join(left, "a").join(right, "b")
+    oa = F.when((F.col("fa") == F.col("fb")) & (F.col("la") != F.col("fa")), F.col("la")).otherwise(F.col("fa"))
+    ob = F.when(oa == F.col("fb"), F.col("lb")).otherwise(F.col("fb"))
+    apart = near.where(oa != ob).select(F.struct(F.col("a").alias("h"), oa.alias("o")).alias("u"), F.struct(F.col("b").alias("h"), ob.alias("o")).alias("v"))
+    return same.unionByName(apart)
+
+
+def dedup(df: DataFrame, threshold: int = 4, key: str = "file", origin: str = "origin_id", source: str = "source", value: str = "phash") -> DataFrame:
+    """The manifest with dedup marks: near pairs of different origins only, as components."""
+    found = components(unit_links(_units(df, origin, value), threshold), "u", "v")
+    named = df.select(F.col(key).alias("node"), F.col(value).alias("h"), F.struct(F.col(origin).isNull().alias("none"), F.col(origin).alias("origin")).alias("o"))
+    units = found.select(F.col("node.h").alias("uh"), F.col("node.o").alias("uo"), "root")
+    met = named.join(units, (F.col("h") == F.col("uh")) & F.col("o").eqNullSafe(F.col("uo"))).select("node", "root")
+    return keepers(df, met, key, source)
+
+
+def dedup_report(df: DataFrame, marked: DataFrame, threshold: int = 4, origin: str = "origin_id", value: str = "phash", digest: str = "sha1") -> DataFrame:
+    """One row: total, removed, kept, pairs by kind (counted by hash, not listed) and exact groups."""
+    units = _units(df, origin, value)
+    hashes = units.groupBy("h").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+    inside = hashes.agg(F.sum((F.col("n") * F.col("n") - F.col("n")) / 2).alias("every"), F.sum((F.col("squares") - F.col("n")) / 2).alias("same"))
+    near = hash_pairs(hashes.select("h"), threshold)
+    left, right = (units.select(F.col("h").alias(s), "o", F.col("n").alias(f"n{s}")) for s in "ab")
+    sizes = (hashes.select(F.col("h").alias(s), F.col("n").alias(f"n{s}")) for s in "ab")
+    every = near.join(next(sizes), "a").join(next(sizes), "b").agg(F.sum(F.col("na") * F.col("nb")).alias("every"))
+    same = near.join(left, "a").join(right, ["b", "o"]).agg(F.sum(F.col("na") * F.col("nb")).alias("same"))
+    between = every.crossJoin(same)
+    sums = inside.unionByName(between).agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("every", "same")))
+    kinds = sums.select(F.col("same").alias("same_origin_pairs_skipped"), (F.col("every") - F.col("same")).alias("cross_origin_dup_pairs"))
     counts = marked.agg(F.count("*").alias("total"), F.count_if("dedup_removed").alias("removed"), F.count_if(~F.col("dedup_removed")).alias("kept"))
-    kinds = pairs.agg(F.count_if(~F.col("cross")).alias("same_origin_pairs_skipped"), F.count_if("cross").alias("cross_origin_dup_pairs"))
     return counts.crossJoin(kinds).crossJoin(exact_groups(df, digest).agg(F.count("*").alias("exact_sha1_groups")))
 
 

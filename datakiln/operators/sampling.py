@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from datakiln.functions.expressions import order_key
 from datakiln.operators.ranking import hash_ranked
 
+#: Refused frames that the log of a collection holds.
+MOST_REJECTS = 5000
+
 
 def quota_scan(df: DataFrame, num: int, night_quota: int, seq: str = "seq") -> DataFrame:
     """Accepted frames with idx and kind, as a scan in seq order would take them.
@@ -21,11 +24,11 @@ def quota_scan(df: DataFrame, num: int, night_quota: int, seq: str = "seq") -> D
     return both.withColumn("idx", F.row_number().over(Window.orderBy(seq)) - 1)  # as many rows as the quotas
 
 
-def quota_rejects(df: DataFrame, accepted: DataFrame, num: int, night_quota: int, seq: str = "seq") -> DataFrame:
-    """Frames the scan saw and did not take: up to where both quotas were full."""
+def quota_rejects(df: DataFrame, accepted: DataFrame, num: int, night_quota: int, seq: str = "seq", most: int = MOST_REJECTS) -> DataFrame:
+    """Frames the scan saw and did not take, up to where both quotas were full; the first most of them, as a log holds."""
     ends = accepted.agg(F.max(seq).alias("_end"), (F.count_if(F.col("kind") == "night") >= night_quota).alias("_nights"), (F.count_if(F.col("kind") == "normal") >= num).alias("_normals"))
     seen = df.crossJoin(F.broadcast(ends)).where(~(F.col("_nights") & F.col("_normals")) | (F.col(seq) <= F.col("_end")))
-    return seen.drop("_end", "_nights", "_normals").join(accepted.select(seq), seq, "left_anti")
+    return seen.drop("_end", "_nights", "_normals").join(accepted.select(seq), seq, "left_anti").orderBy(seq).limit(most)
 
 
 def stratum_counts(df: DataFrame, by: list[str]) -> DataFrame:
@@ -60,7 +63,7 @@ def stratified_sample(df: DataFrame, by: list[str], target: int, key: str, seq:
     for c in by:
         same = F.col(c).eqNullSafe(F.col(f"_q_{c}"))
         on = same if on is None else on & same
-    return ranked.join(F.broadcast(quotas), on).where(F.col("rank") <= F.col("quota")).select(*df.columns)
+    return ranked.join(quotas, on).where(F.col("rank") <= F.col("quota")).select(*df.columns)
 
 
 def stratified_report(df: DataFrame, picked: DataFrame, by: list[str], target: int, seq: str) -> DataFrame:
@@ -71,8 +74,9 @@ def stratified_report(df: DataFrame, picked: DataFrame, by: list[str], target: i
 
 
 def sample_without_replacement(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """n rows in hash order (all if fewer): a distributed top-n, not a global sort."""
-    return df.withColumn("_order", order_key(seed, F.col(key))).orderBy("_order", key).limit(n).drop("_order")
+    """n rows in hash order (all if fewer). Ranks go through buckets of the hash, so no task holds all n rows."""
+    ranked = hash_ranked(df.withColumn("_order", order_key(seed, F.col(key))), [], "_order", key)
+    return ranked.where(F.col("rank") <= n).select(*df.columns)
 
 
 def mix_sizes(n_real: int, n_synthetic: int, ratio: float) -> tuple[int, int]:

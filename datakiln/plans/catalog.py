@@ -245,45 +245,59 @@ def _(spark, d):
     return dedup.with_origins(dedup.pairwise_hamming_le(h, 16), h).where("cross").drop("cross").select("file_a", "file_b", "distance", "origin_a", "origin_b")
 
 
-def _text_hashes(spark, d):
-    phash = F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long")
+def _near_hashes(spark, d):
+    """Eight documents share a base and drift from it two bits at a time: distances of 2 to 14, chains, equal texts, origins."""
+    base = F.conv(F.substring(F.md5(F.expr("doc_id div 8").cast("string")), 1, 15), 16, 10).cast("long")
+    drift = F.expr("shiftleft(shiftleft(1L, int(2 * greatest(doc_id % 8 - doc_id % 3 % 2, 0))) - 1L, int(doc_id div 8 % 40))")
     source = F.when(F.col("lang") == "en", "real").when(F.col("lang") == "fr", "procedural").otherwise("aigc")
-    return t(spark, d, "documents").select(F.col("doc_id").alias("file"), F.col("source").alias("origin_id"), source.alias("source"), phash.alias("phash"), F.md5("text").alias("sha1"))
+    names = F.col("doc_id").alias("file"), F.col("source").alias("origin_id"), source.alias("source")
+    return t(spark, d, "documents").select(*names, base.bitwiseXOR(drift).alias("phash"), F.md5("text").alias("sha1"))
 
 
-T = """d AS (SELECT doc_id AS file, source AS origin_id, CASE lang WHEN 'en' THEN 'real' WHEN 'fr' THEN 'procedural' ELSE 'aigc' END AS source, md5(text) AS h FROM documents),
-p AS (SELECT a.file AS a, b.file AS b, a.origin_id <> b.origin_id AS cross_origin FROM d a JOIN d b ON a.h = b.h AND a.file < b.file),
+T = """d AS (SELECT doc_id AS file, source AS origin_id, CASE lang WHEN 'en' THEN 'real' WHEN 'fr' THEN 'procedural' ELSE 'aigc' END AS source,
+      md5(text) AS sha1, xor(('0x' || substr(md5((doc_id // 8)::VARCHAR), 1, 15))::BIGINT,
+      ((1::BIGINT << (2 * greatest(doc_id % 8 - doc_id % 3 % 2, 0))::INTEGER) - 1) << (doc_id // 8 % 40)::INTEGER) AS h FROM documents),
+p AS (SELECT a.file AS a, b.file AS b, bit_count(xor(a.h, b.h))::INTEGER AS distance, a.origin_id IS DISTINCT FROM b.origin_id AS cross_origin
+      FROM d a JOIN d b ON a.file < b.file WHERE bit_count(xor(a.h, b.h)) <= 4),
 e AS (SELECT a AS u, b AS v FROM p WHERE cross_origin UNION ALL SELECT b, a FROM p WHERE cross_origin),
 c AS (WITH RECURSIVE w(u, v) AS (SELECT u, u FROM e UNION SELECT w.u, e.v FROM w JOIN e ON w.v = e.u) SELECT u AS node, min(v) AS root FROM w GROUP BY u),
-k AS (SELECT root, min(struct_pack(p := CASE source WHEN 'real' THEN 0 WHEN 'procedural' THEN 1 ELSE 2 END, f := file)).f AS keep FROM c JOIN d ON node = file GROUP BY root),
-marked AS (SELECT d.file, d.origin_id, d.source, root IS NOT NULL AND d.file <> keep AS dedup_removed FROM d LEFT JOIN c ON d.file = node LEFT JOIN k USING (root))"""
+k AS (SELECT root, min(struct_pack(p := CASE source WHEN 'real' THEN 0 WHEN 'procedural' THEN 1 ELSE 2 END, f := file)).f AS keep
+      FROM c JOIN d ON node = file GROUP BY root),
+marked AS (SELECT d.file, d.origin_id, d.source, root IS NOT NULL AND d.file <> keep AS dedup_removed
+           FROM d LEFT JOIN c ON d.file = node LEFT JOIN k USING (root))"""
 
 
-@query("hamming_pairs_banded", f"WITH {T} SELECT a AS file_a, b AS file_b, 0 AS distance FROM p")
+@query("hamming_pairs_banded", f"WITH {T} SELECT a AS file_a, b AS file_b, distance FROM p")
 def _(spark, d):
-    return dedup.pairwise_hamming_le(_text_hashes(spark, d), 4)
+    return dedup.pairwise_hamming_le(_near_hashes(spark, d), 4)
 
 
 @query("dup_components", f"WITH {T} SELECT node, root FROM c")
 def _(spark, d):
-    h = _text_hashes(spark, d)
+    h = _near_hashes(spark, d)
     return dedup.components(dedup.with_origins(dedup.pairwise_hamming_le(h, 4), h).where("cross"), "file_a", "file_b")
 
 
 @query("dedup_keepers", f"WITH {T} SELECT file, origin_id, source, dedup_removed FROM marked")
 def _(spark, d):
-    return dedup.dedup(_text_hashes(spark, d)).select("file", "origin_id", "source", "dedup_removed")
+    return dedup.dedup(_near_hashes(spark, d)).select("file", "origin_id", "source", "dedup_removed")
 
 
-@query("dedup_report", f"WITH {T} SELECT count(*) AS total, count(*) FILTER (dedup_removed) AS removed, count(*) FILTER (NOT dedup_removed) AS kept, (SELECT count(*) FILTER (NOT cross_origin) FROM p) AS same_origin_pairs_skipped, (SELECT count(*) FILTER (cross_origin) FROM p) AS cross_origin_dup_pairs, (SELECT count(*) FROM (SELECT h FROM d GROUP BY h HAVING count(*) > 1)) AS exact_sha1_groups FROM marked")
+DEDUP_REPORT = """SELECT count(*) AS total, count(*) FILTER (dedup_removed) AS removed, count(*) FILTER (NOT dedup_removed) AS kept,
+(SELECT count(*) FILTER (NOT cross_origin) FROM p) AS same_origin_pairs_skipped,
+(SELECT count(*) FILTER (cross_origin) FROM p) AS cross_origin_dup_pairs,
+(SELECT count(*) FROM (SELECT sha1 FROM d GROUP BY sha1 HAVING count(*) > 1)) AS exact_sha1_groups FROM marked"""
+
+
+@query("dedup_report", f"WITH {T} {DEDUP_REPORT}")
 def _(spark, d):
-    h = _text_hashes(spark, d)
+    h = _near_hashes(spark, d)
     return dedup.dedup_report(h, dedup.dedup(h))
 
 
 @query("removed_by_source", f"WITH {T} SELECT source, count(*) AS n FROM marked WHERE dedup_removed GROUP BY source")
 def _(spark, d):
-    return dedup.removed_by_source(dedup.dedup(_text_hashes(spark, d)))
+    return dedup.removed_by_source(dedup.dedup(_near_hashes(spark, d)))
 
 
 # ---- evaluation --------------------------------------------------------------------------------------------------------
@@ -372,17 +386,67 @@ def _(spark, d):
     return calibration.nll_grid(scores(spark, d), [round(0.5 + 0.1 * i, 1) for i in range(31)]).select(*r6("temperature", "nll"))
 
 
-@query("temperature_fit")
-def _(spark, d):
-    s = scores(spark, d)
-    temperature, nll = calibration.fit_temperature(s)
-    return calibration.calibration_report(s, temperature).withColumn("temperature", F.lit(temperature)).withColumn("nll", F.lit(nll))
+def _temperature_sql(points: int = 17, rounds: int = 5) -> str:
+    """The rounds of finer grids as a chain of tables; best holds the temperature and its loss."""
+    parts = ["r0 AS (SELECT ln(0.05::DOUBLE) AS a, ln(20.0::DOUBLE) AS b)"]
+    for i in range(1, rounds + 1):
+        parts.append(f"""g{i} AS (SELECT exp(a + (b - a) * k / {points - 1}) AS temperature, (b - a) / {points - 1} AS step FROM r{i - 1}, (SELECT unnest(range(0, {points})) AS k)),
+m{i} AS (SELECT temperature, any_value(step) AS step, avg(greatest(logit / temperature, 0) - logit / temperature * y + ln(1 + exp(-abs(logit / temperature)))) AS nll FROM s0, g{i} GROUP BY temperature),
+r{i} AS (SELECT ln(temperature) - step AS a, ln(temperature) + step AS b, temperature, nll FROM m{i} ORDER BY nll, temperature LIMIT 1)""")
+    return ",\n".join(parts)
 
 
-@query("evaluate_bundle")
+CALIBRATED = f"""{_temperature_sql()},
+st AS (SELECT 'before' AS stage, 1::DOUBLE AS tt UNION ALL SELECT 'after', temperature FROM r5),
+v AS (SELECT stage, class, y, 1 / (1 + exp(-logit / tt)) AS prob FROM s0, st),
+vc AS (SELECT stage, class, avg((prob - y) ** 2) AS b, count(*) FILTER (prob > 0.5 AND y = 1) AS tp, count(*) FILTER (prob > 0.5 AND y <> 1) AS fp,
+       count(*) FILTER (prob <= 0.5 AND y = 1) AS fn FROM v GROUP BY ALL),
+vp AS (SELECT *, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall FROM vc),
+vf AS (SELECT stage, avg(b) AS brier, avg(f1) AS macro_f1 FROM (SELECT *, {F1} FROM vp) GROUP BY stage),
+vb AS (SELECT stage, bin, count(*) AS n, avg(prob) AS confidence, avg(((prob >= 0.5)::INTEGER = y)::INTEGER) AS accuracy
+       FROM v JOIN e ON prob <= hi AND (prob > lo OR bin = 0 AND prob >= lo) GROUP BY ALL),
+ve AS (SELECT stage, sum(n * abs(accuracy - confidence)) / sum(n) AS ece_multilabel FROM vb GROUP BY stage)
+SELECT stage, round(ece_multilabel, 6) AS ece_multilabel, round(brier, 6) AS brier, round(macro_f1, 6) AS macro_f1,
+       round(temperature, 4) AS temperature, round(nll, 6) AS nll FROM ve JOIN vf USING (stage), r5"""
+
+
+@query("temperature_fit", f"WITH {S}, {EDGES}, {CALIBRATED}")
 def _(spark, d):
     s = scores(spark, d)
-    return evaluation.evaluate(s, CLASSES, evaluation.search_thresholds(s))
+    temperature, nll = calibration.fit_temperature(s)
+    report = calibration.calibration_report(s, temperature).select("stage", *r6("ece_multilabel", "brier", "macro_f1"))
+    return report.withColumn("temperature", F.round(F.lit(temperature), 4)).withColumn("nll", F.round(F.lit(nll), 6))
+
+
+BUNDLE = f"""{CURVE.removeprefix(S + ", ")}, o AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY recall >= 0.95 DESC,
+      CASE WHEN recall >= 0.95 THEN precision ELSE round_even(recall, 4) END DESC, threshold) AS rn FROM v),
+w AS (SELECT s.class, y, prob > threshold AS pred FROM s JOIN o ON s.class = o.class AND rn = 1),
+wc AS (SELECT class, {PRF} FROM w GROUP BY class), wp AS (SELECT *, {PR} FROM wc), wf AS (SELECT *, {F1} FROM wp),
+eb AS (WITH pr AS (SELECT prob AS conf, (prob >= 0.5)::INTEGER = y AS correct FROM s) SELECT bin, count(*) AS n, avg(conf) AS confidence,
+       avg(correct::INTEGER) AS accuracy FROM pr JOIN e ON conf <= hi AND (conf > lo OR bin = 0 AND conf >= lo) GROUP BY bin),
+em AS (SELECT sum(n * abs(accuracy - confidence)) / sum(n) AS v FROM eb),
+bc AS (SELECT string_agg(coalesce(n, 0)::VARCHAR, ',' ORDER BY e.bin) AS v FROM e LEFT JOIN eb USING (bin)),
+gs AS (SELECT sample_id, max(CASE WHEN class = 'quality' THEN prob END) AS pq, max(CASE WHEN class = 'toxic' THEN prob END) AS pt,
+      max(CASE WHEN class = 'quality' THEN y END) AS yq, max(CASE WHEN class = 'toxic' THEN y END) AS yt FROM s GROUP BY 1),
+sb AS (WITH pr AS (SELECT greatest(pq, pt) AS conf, (pt > pq) = (yt > yq) AS correct FROM gs) SELECT bin, count(*) AS n, avg(conf) AS confidence,
+       avg(correct::INTEGER) AS accuracy FROM pr JOIN e ON conf <= hi AND (conf > lo OR bin = 0 AND conf >= lo) GROUP BY bin),
+es AS (SELECT sum(n * abs(accuracy - confidence)) / sum(n) AS v FROM sb),
+br AS (SELECT avg(b) AS v FROM (SELECT class, avg((prob - y) ** 2) AS b FROM s GROUP BY class))
+SELECT class, tp, fp, fn, tn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
+       round((SELECT avg(f1) FROM wf), 6) AS macro_f1, round(em.v, 6) AS ece_multilabel, round(es.v, 6) AS ece_singlelabel_ref,
+       round(br.v, 6) AS brier, bc.v AS bin_counts, (SELECT count(DISTINCT sample_id) FROM s) AS n FROM wf, em, es, br, bc"""
+
+
+@query("evaluate_bundle", f"WITH {S}, {EDGES}, {BUNDLE}")
+def _(spark, d):
+    """The one row of all metrics, opened to a row per class."""
+    s = scores(spark, d)
+    bundle = evaluation.evaluate(s, CLASSES, evaluation.search_thresholds(s))
+    rows = bundle.select("*", F.explode("per_class").alias("class", "m")).withColumn("c", F.col("confusion")[F.col("class")])
+    counts = F.array_join(F.transform("reliability_bins", lambda b: b.n.cast("string")), ",").alias("bin_counts")
+    whole = r6("macro_f1", "ece_multilabel", "ece_singlelabel_ref", "brier")
+    own = [F.round(f"m.{x}", 6).alias(x) for x in ("precision", "recall", "f1")]
+    return rows.select("class", "c.*", *own, *whole, counts, "n")
 
 
 # ---- agreement and consistency -----------------------------------------------------------------------------------------
@@ -478,11 +542,11 @@ def _(spark, d):
     return consistency.prototype_decision(_similar(spark, d), ["vec_id"]).select("vec_id", F.array_join("labels_pred", "|").alias("labels_pred"))
 
 
-@query("answer_parse", """WITH a AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'x {"labels": ["blur", "dark", "blur"]} y' WHEN 1 THEN '{"labels": ["noise", "other"]}' WHEN 2 THEN '{broken ' || left(text, 20) || '}' ELSE text END AS answer FROM conversations)
+@query("answer_parse", """WITH a AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'x {"labels": ["blur", "dark", "blur"]} y' WHEN 1 THEN '{"labels": ["noise", "other"]}' WHEN 2 THEN '{broken ' || text || '}' ELSE text END AS answer FROM conversations)
 SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'blur|dark|blur' WHEN 1 THEN 'noise' ELSE '' END AS labels FROM a""")
 def _(spark, d):
     turn = F.col("turn") % 4
-    answer = F.when(turn == 0, 'x {"labels": ["blur", "dark", "blur"]} y').when(turn == 1, '{"labels": ["noise", "other"]}').when(turn == 2, F.concat(F.lit("{broken "), F.substring("text", 1, 20), F.lit("}"))).otherwise(F.col("text"))
+    answer = F.when(turn == 0, 'x {"labels": ["blur", "dark", "blur"]} y').when(turn == 1, '{"labels": ["noise", "other"]}').when(turn == 2, F.concat(F.lit("{broken "), "text", F.lit("}"))).otherwise(F.col("text"))
     return t(spark, d, "conversations").select("conv_id", "turn", F.array_join(X.answer_labels(answer), "|").alias("labels"))
 
 
@@ -495,9 +559,9 @@ def _(spark, d):
     return t(spark, d, "documents").select("doc_id", F.array_join(X.prompt_labels(prompt), "|").alias("labels"))
 
 
-@query("split_labels", "SELECT doc_id, array_to_string(list_filter(list_transform(string_split(replace(left(text, 60), '|', ','), ','), lambda x: trim(x, ' ')), lambda x: x <> ''), '/') AS labels FROM documents")
+@query("split_labels", "SELECT doc_id, array_to_string(list_filter(list_transform(string_split(replace(text, '|', ','), ','), lambda x: trim(x, ' ')), lambda x: x <> ''), '/') AS labels FROM documents")
 def _(spark, d):
-    return t(spark, d, "documents").select("doc_id", F.array_join(X.split_labels(F.substring("text", 1, 60)), "/").alias("labels"))
+    return t(spark, d, "documents").select("doc_id", F.array_join(X.split_labels(F.col("text")), "/").alias("labels"))
 
 
 # ---- tables ------------------------------------------------------------------------------------------------------------
