@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from datakiln.functions import constants as C
+from datakiln.sources.scratch import written
 
 BLOCK = 4096
 REASON = "phash_near_duplicate"
@@ -74,23 +73,12 @@ def exact_groups(df: DataFrame, digest: str = "sha1") -> DataFrame:
     return df.where(F.col(digest).isNotNull() & (F.col(digest) != "")).groupBy(digest).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """df through a reliable checkpoint: in the folder of spark.checkpoint.dir, or a temporary one in local runs without it."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(found or f"/tmp/datakiln-checkpoints-{uuid.uuid4().hex}")
-    return df.checkpoint()
-
-
 def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """node, root for all nodes of the pairs; root is the least node that can be reached.
 
     Rounds of large-star and small-star until nothing changes; each only aggregates and joins.
     """
-    now = _written(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    now = written(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     mark = None
     while True:
         sign = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -102,7 +90,7 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = _written(small.union(lower.select("u", "m")).distinct())
+        now = written(small.union(lower.select("u", "m")).distinct())
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
 
 

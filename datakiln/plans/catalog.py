@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from datakiln.functions import expressions as X
 from datakiln.operators import agreement, calibration, consistency, dedup, evaluation, sampling, split, tables
+from datakiln.plans import image_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -654,3 +655,7 @@ def _(spark, d):
 def _(spark, d):
     rows = t(spark, d, "lineitem").select("l_suppkey", F.col("l_linenumber").alias("epoch"), F.round("l_quantity").alias("macro_f1"))
     return evaluation.best_epoch(rows, ["l_suppkey"])
+
+
+QUERIES |= image_queries.QUERIES
+ORACLE_SQL |= image_queries.ORACLE_SQL

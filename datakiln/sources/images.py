@@ -1,4 +1,4 @@
-"""Images: files, Parquet shards and frame stacks in; PNG files out. Decoding is the JVM's, so pixels are in BGR order."""
+"""Images: files, Parquet shards of encoded images and frame stacks in; PNG files out. The JVM decodes, to BGR order."""
 
 from __future__ import annotations
 
@@ -17,6 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.types import StructType
 
 from datakiln.functions.image import pixels
+from datakiln.sources.scratch import new_folder, written
 
 EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "webp")
 
@@ -89,66 +90,43 @@ def png_bytes(img: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows.tobytes(), 6)) + part(b"IEND", b"")
 
 
-def png_image(data: bytes) -> np.ndarray | None:
-    """The BGR array of an 8-bit gray, RGB or RGBA PNG without interlacing; null for anything else."""
-    try:
-        if data[:8] != b"\x89PNG\r\n\x1a\n":
-            return None
-        w, h, depth, kind, _, _, lace = struct.unpack(">IIBBBBB", data[16:29])
-        bands = {0: 1, 2: 3, 6: 4}.get(kind)
-        if depth != 8 or lace or bands is None:
-            return None
-        at, body = 8, b""
-        while at < len(data):
-            n = struct.unpack(">I", data[at : at + 4])[0]
-            if data[at + 4 : at + 8] == b"IDAT":
-                body += data[at + 8 : at + 8 + n]
-            at += 12 + n
-        raw = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, 1 + w * bands)
-        out = np.zeros((h, w * bands), np.uint8)
-        above = np.zeros(w * bands, np.int64)
-        for y in range(h):
-            f, line = raw[y, 0], raw[y, 1:].astype(np.int64)
-            if f == 2:
-                line = line + above & 255
-            elif f in (1, 3, 4):
-                for x in range(w * bands):
-                    a = line[x - bands] if x >= bands else 0
-                    b, c = above[x], above[x - bands] if x >= bands else 0
-                    if f == 1:
-                        guess = a
-                    elif f == 3:
-                        guess = (a + b) >> 1
-                    else:
-                        guess = min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
-                    line[x] = line[x] + guess & 255
-            out[y], above = line, line
-        img = out.reshape(h, w, bands)
-        return np.repeat(img, 3, axis=2) if bands == 1 else np.ascontiguousarray(img[:, :, 2::-1])
-    except (struct.error, zlib.error, ValueError):
-        return None
-
-
-def decoded(df: DataFrame, content: str = "content") -> DataFrame:
-    """df with an image struct of encoded PNG bytes; rows that cannot be decoded are dropped."""
-    from pyspark.sql.types import StructField
-
-    kind = StructType.fromDDL("origin string, height int, width int, nChannels int, mode int, data binary")
-    schema = StructType([*df.schema.fields, StructField("image", kind)])
-    image = pa.struct([("origin", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("nChannels", pa.int32()), ("mode", pa.int32()), ("data", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+IMAGE = "origin string, height int, width int, nChannels int, mode int, data binary"
+
+
+def decoded(df: DataFrame, content: str = "content", drop_invalid: bool = True) -> DataFrame:
+    """df with an image struct of the encoded bytes (JPEG, PNG and whatever else the JVM reads).
+
+    The JVM's image reader takes files only, so each distinct content is written once to the shared folder, named by its
+    digest, and read back by that reader. Rows that cannot be decoded are dropped, or kept with a null image for counting.
+    """
+    spark = df.sparkSession
+    folder = new_folder(spark, "encoded")
+    digest = F.sha2(content, 256)
+    once = df.where(F.col(content).isNotNull()).select(digest.alias("digest"), F.col(content).alias("content")).dropDuplicates(["digest"])
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(folder)
         for b in batches:
-            keep, out = [], []
-            for i, cell in enumerate(b.column(content).to_pylist()):
-                img = png_image(cell or b"")
-                if img is not None:
-                    keep.append(i)
-                    out.append({"origin": None, "height": img.shape[0], "width": img.shape[1], "nChannels": 3, "mode": 16, "data": img.tobytes()})
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in b.columns), pa.array(out, image)], names=[*b.schema.names, "image"])
-
-    return df.mapInArrow(run, schema)
+            for name, data in zip(b.column("digest").to_pylist(), b.column("content")):
+                fs.create_dir(f"{base}/{name[:2]}", recursive=True)
+                with fs.open_output_stream(f"{base}/{name[:2]}/{name}.img", compression=None) as out:
+                    out.write(data.as_buffer())  # a repeated task writes the same bytes
+            yield pa.RecordBatch.from_arrays([b.column("digest")], names=["digest"])
+
+    staged = written(once.mapInArrow(stage, "digest string"), "staged")
+    if staged.isEmpty():
+        found = spark.createDataFrame([], f"_digest string, image struct<{IMAGE.replace(' ', ':')}>".replace(",:", ","))
+    else:
+        read = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", "true").load(folder)
+        found = read.select(F.regexp_extract("image.origin", r"([0-9a-f]{64})\.img$", 1).alias("_digest"), "image")
+    rows = df.withColumn("_key", digest).join(found, F.col("_key") == F.col("_digest"), "inner" if drop_invalid else "left")
+    return rows.select(*df.columns, "image")
+
+
+def decode_report(rows: DataFrame) -> DataFrame:
+    """total, decoded, undecodable of rows decoded with drop_invalid=False."""
+    bad = F.count_if(F.col("image").isNull())
+    return rows.agg(F.count("*").alias("total"), (F.count("*") - bad).alias("decoded"), bad.alias("undecodable"))
 
 
 class _Written(WriterCommitMessage):

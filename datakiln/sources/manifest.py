@@ -46,15 +46,19 @@ def write_version(df: DataFrame, path: str, by: str = "split") -> None:
     df.write.mode("errorifexists").partitionBy(by).parquet(path)
 
 
-def export_manifest_json(df: DataFrame, path: str) -> None:
-    """One JSON array in one text file: an export for people, so one task writes it, row after row."""
+def export_manifest_json(df: DataFrame, path: str, one_array: bool = False) -> None:
+    """The manifest as JSON lines; with one_array one JSON array in one text file for people, which one task writes."""
+    if not one_array:
+        df.write.mode("overwrite").json(path)
+        return
     last = df.count()
     rows = df.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("value"))
     numbered = rows.coalesce(1).withColumn("_n", F.monotonically_increasing_id())
     comma = F.when(F.col("_n") < last - 1, ",").otherwise("")
     opening = F.when(F.col("_n") == 0, "[\n").otherwise("")
     closing = F.when(F.col("_n") == last - 1, "\n]").otherwise("")
-    body = numbered.select(F.concat(opening, "value", comma, closing).alias("value")) if last else df.sparkSession.createDataFrame([("[]",)], "value string").coalesce(1)
+    none = df.sparkSession.createDataFrame([("[]",)], "value string").coalesce(1)
+    body = numbered.select(F.concat(opening, "value", comma, closing).alias("value")) if last else none
     body.write.mode("overwrite").text(path)
 
 

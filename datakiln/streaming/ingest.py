@@ -15,7 +15,7 @@ def ingest(spark: SparkSession, incoming: str, manifest: str, checkpoint: str):
     def add(batch: DataFrame, _: int) -> None:
         fresh = keep_first(batch.where("file is not null"), "file", "seq")
         if exists(spark, manifest):
-            fresh = new_rows(fresh, spark.read.schema(MANIFEST).parquet(manifest))
+            fresh = new_rows(fresh, spark.read.schema("file string").parquet(manifest))  # names alone
         fresh.write.mode("append").parquet(manifest)
 
     lines = spark.readStream.schema(MANIFEST).json(incoming)
