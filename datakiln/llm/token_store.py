@@ -38,8 +38,8 @@ LEAST, BITS, MOST, WINDOW = 128, 9, 2048, 32
 TABLE_SIZE, TABLE_LONGEST, STEP = 400_000, 48, 2 << 20
 
 _SEGMENT = re.compile(r"\s*\S+|\s+")
-#: White space other than spaces and line feeds, a line feed next to a space, or the opening of an added token's name.
-_UNEVEN = (*(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"), "\n ", " \n", "<|")
+#: White space other than spaces and line feeds, or a line feed next to a space.
+_UNEVEN = (*(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"), "\n ", " \n")
 
 
 class SegmentEncoder:
@@ -58,6 +58,7 @@ class SegmentEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join(["[\x1c-\x1f]", *map(re.escape, added)]))
+        self.uneven = (*_UNEVEN, *sorted({t[:2] for t in added}))  # and the openings of added tokens
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.id_type = np.dtype("<u2") if max(vocab.values()) < 1 << 16 else np.dtype("<u4")
         self.lengths = np.zeros(max(vocab.values()) + 1, dtype=np.int64)  # bytes: byte-level pieces have a letter a byte
@@ -90,7 +91,7 @@ class SegmentEncoder:
         known = self.words.get
         for i, x in enumerate(texts):
             words = x.split(" ")
-            if "" in words[1:] or any(odd in x for odd in _UNEVEN):
+            if "" in words[1:] or any(odd in x for odd in self.uneven):
                 apart.append(i)
                 continue
             heads.append(words[0])
@@ -320,7 +321,12 @@ def _recipes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _bases(spark: SparkSession, path: str) -> DataFrame:
-    return F.broadcast(spark.read.schema("file int, base long").parquet(f"{path}/bases"))  # a row per recipe file
+    """file, base of the recipe files, a row per file; each must be there and sound."""
+    bases = spark.read.schema("file int, base long").parquet(f"{path}/bases")
+    found = bases.join(verify_files(spark, path), "file", "left")
+    if bad := found.where("sound is null or not sound").limit(1).collect():
+        raise ValueError(f"recipe file {bad[0].file} of {path} is missing or damaged")
+    return F.broadcast(bases)
 
 
 def _chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -338,27 +344,50 @@ def read_facts(spark: SparkSession, path: str) -> DataFrame:
     return docs.join(ids, ["file", "within"]).join(_bases(spark, path), "file").select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunk payloads of documents in order to lists of ids."""
+    for b in batches:
+        ids, ends = [np.zeros(0, np.int64)], [0]
+        for parts, size in zip(b.column("parts").to_pylist(), b.column("width").to_pylist()):
+            got = np.frombuffer(b"".join(parts), dtype=f"<u{size}")
+            ids.append(got.astype(np.int64))
+            ends.append(ends[-1] + len(got))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
+        yield pa.RecordBatch.from_arrays([b.column("file"), b.column("within"), b.column("doc_id"), lists], names=["file", "within", "doc_id", "ids"])
+
+
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start and the ids themselves, put together from the chunks."""
     uses = _recipes(spark, path).select("file", "within", "doc_id", F.posexplode("digests").alias("pos", "digest"))
-    unpack = F.udf(lambda parts, size: np.frombuffer(b"".join(parts), dtype=f"<u{size}").tolist(), "array<long>")
-    met = uses.join(_chunks(spark, path), "digest").groupBy("file", "within", "doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "payload"))).alias("parts"), F.max("width").alias("width"))
-    return met.join(_bases(spark, path), "file").select("doc_id", (F.col("base") + F.col("within")).alias("start"), unpack("parts.payload", "width").alias("ids"))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "payload"))).alias("parts")
+    met = uses.join(_chunks(spark, path), "digest").groupBy("file", "within", "doc_id").agg(ordered, F.max("width").alias("width"))
+    rows = met.select("file", "within", "doc_id", "parts.payload", "width").withColumnRenamed("payload", "parts")
+    found = rows.mapInArrow(_unpacked, "file int, within long, doc_id long, ids array<long>")
+    return found.join(_bases(spark, path), "file").select("doc_id", (F.col("base") + F.col("within")).alias("start"), "ids")
 
 
-def verify_files(spark: SparkSession, path: str) -> DataFrame:
-    """file, n_docs, sound: whether each recipe file's Merkle root follows from its recipes. A file is bounded by its writer."""
-
-    def check(pdf):
-        import pandas as pd
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Streams recipe files, each in order with its own row last; holds a node per level of one tree."""
+    file, tree, count, tokens = None, _Frontier(), 0, 0
+    for b in batches:
+        files, docs, sound = [], [], []
+        for kind, of, within, n, root in zip(*(b.column(c).to_pylist() for c in ("kind", "file", "within", "n_tokens", "root"))):
+            if of != file:
+                file, tree, count, tokens = of, _Frontier(), 0, 0
+            if kind == "doc":
+                tree.add(root)
+                count, tokens = count + 1, tokens + n
+            else:
+                files.append(of), docs.append(count), sound.append(tree.root() == root and count == within and tokens == n)
+        columns = [pa.array(files, pa.int32()), pa.array(docs, pa.int64()), pa.array(sound, pa.bool_())]
+        yield pa.RecordBatch.from_arrays(columns, names=["file", "n_docs", "sound"])
 
-        docs, own = pdf[pdf.kind == "doc"].sort_values("within"), pdf[pdf.kind == "file"].iloc[0]
-        tree = _Frontier()
-        for root in docs.root:
-            tree.add(bytes(root))
-        return pd.DataFrame({"file": [own.file], "n_docs": [len(docs)], "sound": [tree.root() == bytes(own.root) and len(docs) == own.within]})
 
-    return spark.read.schema(_RECIPE).parquet(f"{path}/recipes").select("kind", "file", "within", "root").groupBy("file").applyInPandas(check, "file int, n_docs long, sound boolean")
+def verify_files(spark: SparkSession, path: str) -> DataFrame:
+    """file, n_docs, sound: whether each recipe file's counts and Merkle root follow from its recipes."""
+    rows = spark.read.schema(_RECIPE).parquet(f"{path}/recipes").select("kind", "file", "within", "n_tokens", "root")
+    ordered = rows.repartition("file").sortWithinPartitions("file", "kind", "within")
+    return ordered.mapInArrow(_verified, "file int, n_docs long, sound boolean")
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,6 +96,22 @@ def test_damage_is_found(spark, tmp_path):
         token_store.read_facts(spark, bad).collect()
 
 
+@pytest.mark.parametrize("lost", ["a document", "a file"])
+def test_lost_recipes_are_found(spark, tmp_path, lost):
+    from pyspark.sql import functions as F
+
+    path, bad = new_folder(spark, "store"), new_folder(spark, "store")
+    token_store.write_store(table(spark, SF, "documents", "doc_id", "text"), BPE, path)
+    for part in ("chunks", "bases"):
+        spark.read.parquet(f"{path}/{part}").write.parquet(f"{bad}/{part}")
+    recipes = spark.read.parquet(f"{path}/recipes")
+    first = recipes.where("kind = 'doc'").agg(F.min(F.struct("file", "within")).alias("x")).first().x
+    gone = (F.col("file") == first.file) & ((F.col("kind") == "doc") & (F.col("within") == first.within) if lost == "a document" else F.lit(True))
+    recipes.where(~gone).write.parquet(f"{bad}/recipes")
+    with pytest.raises(ValueError, match="missing or damaged"):
+        token_store.read_facts(spark, bad).collect()
+
+
 def test_pieces_equal_the_library(spark, edge, texts):
     own, library = pieces._Tables(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
     for x in [t for _, t in texts] + _odd_texts(1500, " \n\tab▁é🎉<>0123'", 3) + [LONG, "", " ", "  ", "\n"]:
