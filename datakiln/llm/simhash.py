@@ -276,7 +276,8 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root for every node that has a link; root is the smallest node of its component.
 
     Large-star hangs each node's larger neighbours below its smallest; small-star hangs a node and its smaller neighbours
-    below the smallest. Both only aggregate and join, so a hub is pre-aggregated and its join can be split.
+    below the smallest. Both only aggregate and join. A hub is pre-aggregated, and its least neighbour is written before it
+    is joined, so that adaptive execution can split the join of a hub with very many neighbours.
     """
     spark = edges.sparkSession
     now = saved(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "edges")
@@ -287,14 +288,13 @@ def components(edges: DataFrame) -> DataFrame:
     mark = signature(now)
     while mark[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         turned = F.col("v").alias("u"), F.col("m").alias("v")
-        large = both.join(least, "u").where("v > u").select(*turned).distinct()
-        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = saved(both.join(least, "u").where("v > u").select(*turned).distinct(), "large-star")
+        smallest = saved(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         smaller = large.join(smallest, "u").where("v > m").select(*turned)
-        small = smaller.union(smallest.select("u", F.col("m").alias("v"))).distinct()
-        after = saved(small, "edges")
-        remove(spark, now.saved_path)
+        after = saved(smaller.union(smallest.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        remove(spark, *(x.saved_path for x in (now, least, large, smallest)))
         now, (before, mark) = after, (mark, signature(after))
         if mark == before:
             break
