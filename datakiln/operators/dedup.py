@@ -86,9 +86,10 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
             break
         mark = sign
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        # what a hub joins is written, so that adaptive execution can split the join
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        lower = written(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(lower, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = written(small.union(lower.select("u", "m")).distinct())
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
