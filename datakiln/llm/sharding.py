@@ -18,11 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datakiln.llm.common import new_folder, saved, table
+from datakiln.llm.common import new_folder, numbered, saved, table
 
 LIMIT_BYTES = 64 << 20
 #: The limit of the registered query: small, so that buckets split on small tables too.
-QUERY_LIMIT = 256 << 10
+QUERY_LIMIT = 512 << 10
+#: Prefixes in a directory that is small enough to be sent to every task, at about 60 bytes each; a larger one is joined.
+FEW_CELLS = 500_000
 _DEPTH = 120
 
 
@@ -52,33 +54,37 @@ def _directory(rows: DataFrame, low: int, high: int, limit: int) -> tuple[DataFr
 
 
 def shards(df: DataFrame, key: Column, size: Column, keep: tuple[str, ...], limit: int = LIMIT_BYTES) -> DataFrame:
-    """The kept columns, n_bytes, shard (p and its prefix of bits), depth and shard_bytes."""
-    name, number = F.coalesce(key.cast("string"), F.lit("null")), F.monotonically_increasing_id()
-    own = df.select(*keep, name.alias("_key"), F.coalesce(size, F.lit(0)).cast("long").alias("n_bytes"), number.alias("_row"))
-    bits = F.concat(_bits(F.encode("_key", "utf-8")), _bits(F.encode(F.concat_ws(":", "_key", "_row"), "utf-8")))
-    rows = saved(own.select(*keep, "n_bytes", "_row", bits.alias("_bits")), "sized", compression="zstd")
+    """The kept columns, n_bytes, shard (p and its prefix of bits), depth and shard_bytes.
+
+    df is read twice, for the sums and for the result; what is kept is not written in between.
+    """
+    name = F.coalesce(key.cast("string"), F.lit("null")).alias("_key")
+    own = numbered(df.select(*keep, name, F.coalesce(size, F.lit(0)).cast("long").alias("n_bytes")))
+    bits = F.concat(_bits(F.encode("_key", "utf-8")), _bits(F.encode(F.concat_ws(":", "_key", "row.file", "row.at"), "utf-8")))
+    rows = own.select(*keep, "n_bytes", "row", bits.alias("_bits"))
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     step = max(4, (total // limit).bit_length() + 4)
     shard = F.concat(F.lit("p"), F.substring("_bits", F.lit(1), F.col("depth"))).alias("shard")
     found = [shard, "depth", "shard_bytes"]
 
     directory, whole = _directory(rows, 0, step, limit)
-    met = rows.withColumn("_cell", F.substring("_bits", 1, step)).join(directory, "_cell", "left")
+    few = directory.count() <= FEW_CELLS
+    met = rows.withColumn("_cell", F.substring("_bits", 1, step)).join(F.broadcast(directory) if few else directory, "_cell", "left")
     out = met.where("depth is not null").select(*keep, "n_bytes", *found)
     if whole:
         return out
     # buckets deeper than that, as of keys with very many rows: rounds over their rows without what is kept
     deep = met.where("depth is null").drop("depth", "shard_bytes")
-    pending, low, rest = saved(deep.select("_row", "n_bytes", "_bits"), "pending"), step, None
+    pending, low, rest = saved(deep.select("row", "n_bytes", "_bits"), "pending"), step, None
     while not whole:
         high = min(low + step, _DEPTH)
         directory, whole = _directory(pending, low, high, limit)
         cut = pending.withColumn("_cell", F.substring("_bits", 1, high)).join(directory, "_cell", "left")
-        done = cut.where("depth is not null").select("_row", *found)
+        done = cut.where("depth is not null").select("row", *found)
         rest = done if rest is None else rest.unionByName(done)
         if not whole:
             pending, low = saved(cut.where("depth is null").select(*pending.columns), "pending"), high
-    return out.unionByName(deep.join(rest, "_row").select(*keep, "n_bytes", "shard", "depth", "shard_bytes"))
+    return out.unionByName(deep.join(rest, "row").select(*keep, "n_bytes", "shard", "depth", "shard_bytes"))
 
 
 def write_shards(df: DataFrame, key: Column, path: str, limit: int = LIMIT_BYTES) -> None:
@@ -108,6 +114,6 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(strlen(text), 0)::
 l AS (SELECT *, unnest(range(0, 31))::INTEGER AS depth FROM d),
 p AS (SELECT *, substr(lpad(bin(h), 60, '0'), 1, depth) AS prefix FROM l),
 s AS (SELECT *, sum(n_bytes) OVER w AS b, count(*) OVER w AS c FROM p WINDOW w AS (PARTITION BY depth, prefix)),
-f AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY depth) AS rn FROM s WHERE b <= 262144 OR c = 1)
+f AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY depth) AS rn FROM s WHERE b <= 524288 OR c = 1)
 SELECT doc_id, n_bytes, 'p' || prefix AS shard, depth, b::BIGINT AS shard_bytes FROM f WHERE rn = 1
 """

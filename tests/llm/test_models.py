@@ -226,11 +226,13 @@ def _check_shards(got, limit):
             assert got[got.shard.str.startswith(s[:-1])].n_bytes.sum() > limit
 
 
-def test_shards_brute_force(spark):
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_shards_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(sharding, "FEW_CELLS", few)
     rng = np.random.default_rng(3)
     rows = [(int(k), int(b)) for k, b in zip(rng.integers(0, 120, 400), rng.integers(0, 90, 400))]
     df = spark.createDataFrame(rows, "k long, b long")
-    for limit in (60, 500, 10**6):
+    for limit in (60, 500, 10**6) if few else (500,):
         got = sharding.shards(df, F.col("k"), F.col("b"), ("k",), limit).toPandas()
         assert len(got) == 400
         _check_shards(got, limit)
