@@ -3,10 +3,9 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from datakiln.functions import image
-from datakiln.operators import evaluation, scorers
-from datakiln.plans import collect, pipeline
-from datakiln.sources import images
+from datakiln.__main__ import main
+from datakiln.operators import evaluation, scorers, tables
+from datakiln.plans import collect, experiments, pipeline
 
 
 def test_scorer_to_metrics(spark):
@@ -44,4 +43,49 @@ def test_collect_quota(spark):
     assert refused.count() == 0
     _, refused = collect.collect_quota(df, 30, 1)
     assert {r.seq: r.reason for r in refused.collect()}[8] == "分辨率过小"
-    assert images.png_image(images.png_bytes(image.pixels(rows[0][1] and {"height": 340, "width": 330, "nChannels": 3, "data": bytes(rows[0][1][5])}))) is not None
+
+
+def _manifest(spark, n=240):
+    r = random.Random(5)
+    rows = []
+    for i in range(n):
+        x = [r.gauss(0, 1), r.gauss(0, 1)]
+        labels = [c for c, v in zip(("blur", "dark"), x) if v + r.gauss(0, 0.3) > 0.5]
+        split = ("train", "train", "val", "eval")[i // 2 % 4]
+        source = ("real", "procedural", "aigc")[i % 3]
+        rows.append((i, f"f{i}", f"s{i}", f"o{i // 2}", source, split, labels, "indoor", "mid" if labels else "none", x, i * 7919 << 20))
+    kinds = "seq long, file string, sha1 string, origin_id string, source string, split string, labels array<string>, scene string"
+    return spark.createDataFrame(rows, f"{kinds}, difficulty string, features array<double>, phash long")
+
+
+def test_grid_resumes_and_logs_errors(spark, tmp_path, monkeypatch):
+    data, classes, out = _manifest(spark), ("blur", "dark"), f"file://{tmp_path}/grid"
+    grid = tables.experiment_grid(spark, ["logistic", "absent"], [0.0, 0.5], [1])
+    log = experiments.run_grid(data, grid, classes, out)
+    rows = {r.exp_id: r for r in log.collect()}
+    assert len(rows) == 4 and sum(r.error is not None for r in rows.values()) == 2
+    good = next(r for r in rows.values() if r.error is None and r.ratio == 0.5)
+    assert good.n_real > 0 and good.n_synthetic == good.n_real and good.macro_f1 > 0.5 and set(good.per_class) == set(classes)
+    assert spark.read.parquet(f"{out}/runs/{good.exp_id}/eval").count() == 2 * data.where("split = 'eval'").count()
+    assert spark.read.parquet(f"{out}/runs/{good.exp_id}/thresholds").count() == 2
+    monkeypatch.setitem(experiments.MODELS, "absent", {"iterations": "5", "l2": "0.5"})
+    again = experiments.run_grid(data, grid, classes, out)
+    assert again.count() == 6 and again.where("error is null").select("exp_id").distinct().count() == 4
+    summary, checks = experiments.reported(again)
+    assert summary.count() == 4 and checks.where("check = 'macro_f1'").count() == 1
+    best = experiments.tune(data, {"a": {"l2": "0.01"}, "b": {"l2": "100.0"}}, classes, out).collect()
+    assert {r.name for r in best} == {"a", "b"} and best[0].macro_f1 >= best[1].macro_f1
+    assert experiments.benchmark(data, classes).where("hours > 0").count() >= 2 and experiments.unique_files(data) == 240
+
+
+def test_command_line(spark, tmp_path, capsys):
+    base = f"{tmp_path}/m"
+    _manifest(spark).drop("split").write.parquet(base)
+    assert main([]) == 2 and main(["run", "x"]) == 2 and main(["run", "absent", "x", "y"]) == 2 and main(["list"]) == 0
+    assert main(["dedup", base, f"{tmp_path}/d"]) == 0 and spark.read.parquet(f"{tmp_path}/d/manifest").count() == 240
+    assert main(["split", f"{tmp_path}/d/manifest", f"{tmp_path}/s", "40"]) == 0
+    assert main(["verify", base, f"{tmp_path}/d/manifest"]) == 0
+    gone = f"{tmp_path}/gone"
+    spark.read.parquet(base).where("seq > 3").write.parquet(gone)
+    assert main(["verify", base, gone]) == 1
+    assert "image_phash" in capsys.readouterr().out
