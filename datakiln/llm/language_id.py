@@ -55,9 +55,14 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
                     p = m.posterior(slots, tf)
                     best = int(p.argmax())
                     langs.append(m.classes[best]), scores.append(float(min(1.0, p[best])))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
-
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+                    names=["doc_id", "held_out", "lang_pred", "score"],
+                )
+
+    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(
+        run, "doc_id long, held_out boolean, lang_pred string, score double"
+    )
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

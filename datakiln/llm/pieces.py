@@ -78,8 +78,12 @@ class PieceModel:
                 trainer = dict(_fields(value))
             elif field == 3:
                 normalizer = dict(_fields(value))
-        if trainer.get(3, 1) != 2 or {USER_DEFINED, UNUSED} & set(self.kinds) or normalizer.get(2) or normalizer.get(4, 1) or trainer.get(24, 0):
-            raise ValueError("only merge-type vocabularies with the identity normaliser, kept white space and a prefix meta symbol are supported")
+        if trainer.get(3, 1) != 2 or {
+            USER_DEFINED, UNUSED
+        } & set(self.kinds) or normalizer.get(2) or normalizer.get(4, 1) or trainer.get(24, 0):
+            raise ValueError(
+                "only merge-type vocabularies with the identity normaliser, kept white space and a prefix meta symbol are supported"
+            )
         self.dummy_prefix = bool(normalizer.get(3, 1))
         self.byte_fallback = bool(trainer.get(35, 0))
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == NORMAL}
@@ -93,7 +97,9 @@ class PieceModel:
             self.cut = None
         else:
             lone = "".join(c for c in "\n\t\r" if not any(c in p for p in long))
-            self.cut = re.compile(f"[{re.escape(lone)}]|{META}*[^{META}{re.escape(lone)}]+|{META}+" if lone else f"{META}*[^{META}]+|{META}+")
+            self.cut = re.compile(
+                f"[{re.escape(lone)}]|{META}*[^{META}{re.escape(lone)}]+|{META}+" if lone else f"{META}*[^{META}]+|{META}+"
+            )
 
     def normalize(self, text: str) -> str:
         return ((" " if self.dummy_prefix else "") + text).replace(" ", META) if text else ""
@@ -248,9 +254,20 @@ def encode_documents(docs: DataFrame, model_path: str, keep_ids: bool = False) -
                     if keep_ids:
                         ids.append(np.fromstring(joined, dtype=np.int32, sep=" "))
                 t.forget(new)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(plains, pa.string()), *([pa.array(ids, pa.list_(pa.int32()))] if keep_ids else [])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep_ids else [])])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id"),
+                        pa.array(counts, pa.int64()),
+                        pa.array(digests, pa.string()),
+                        pa.array(plains, pa.string()),
+                        *([pa.array(ids, pa.list_(pa.int32()))] if keep_ids else []),
+                    ],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep_ids else [])],
+                )
+
+    return docs.select("doc_id", "text").mapInArrow(
+        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    )
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

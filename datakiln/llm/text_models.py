@@ -164,9 +164,19 @@ def featured(rows: DataFrame, features: Features) -> list[tuple[str, bool, np.nd
         for batch in batches:
             for part in steps(batch, "text"):
                 got = [features(t) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("label"), part.column("order"), pa.array([s.astype("<i4").tobytes() for s, _ in got], pa.binary()), pa.array([c.astype("<i4").tobytes() for _, c in got], pa.binary())], names=["label", "order", "slots", "counts"])
-
-    found = sorted(taken.mapInArrow(run, "label string, order long, slots binary, counts binary").collect(), key=lambda r: (r.order, r.label))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("label"),
+                        part.column("order"),
+                        pa.array([s.astype("<i4").tobytes() for s, _ in got], pa.binary()),
+                        pa.array([c.astype("<i4").tobytes() for _, c in got], pa.binary()),
+                    ],
+                    names=["label", "order", "slots", "counts"],
+                )
+
+    found = sorted(
+        taken.mapInArrow(run, "label string, order long, slots binary, counts binary").collect(), key=lambda r: (r.order, r.label)
+    )
     return [(r.label, r.order % 5 == 0, np.frombuffer(r.slots, "<i4").astype(np.int64), np.frombuffer(r.counts, "<i4")) for r in found]
 
 
@@ -174,7 +184,15 @@ def inverse_frequencies(df: np.ndarray, n_texts: int) -> np.ndarray:
     return np.log((1 + n_texts) / (1 + df)) + 1
 
 
-def fitted(sample: list[tuple[str, bool, np.ndarray, np.ndarray]], idf: np.ndarray, epochs: int = 4, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.001) -> Model:
+def fitted(
+    sample: list[tuple[str, bool, np.ndarray, np.ndarray]],
+    idf: np.ndarray,
+    epochs: int = 4,
+    alpha: float = 2.0,
+    beta: float = 1.0,
+    l1: float = 0.02,
+    l2: float = 0.001,
+) -> Model:
     """FTRL-proximal with an elastic net, then the temperature with the least log loss on the rows held back."""
     classes = sorted({y for y, *_ in sample})
     z, n = np.zeros((len(idf), len(classes))), np.zeros((len(idf), len(classes)))

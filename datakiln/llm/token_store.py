@@ -211,9 +211,22 @@ def _chunked(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
                     payloads.append(bodies)
                     if len(met) > 1 << 20:
                         met.clear()
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(roots, pa.binary()), pa.array(digests, pa.list_(pa.binary())), pa.array(lengths, pa.list_(pa.int32())), pa.array(payloads, pa.list_(pa.binary())), pa.array([size] * len(counts), pa.int32())], names=["doc_id", "n_tokens", "root", "digests", "lengths", "payloads", "width"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, root binary, digests array<binary>, lengths array<int>, payloads array<binary>, width int")
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id"),
+                        pa.array(counts, pa.int64()),
+                        pa.array(roots, pa.binary()),
+                        pa.array(digests, pa.list_(pa.binary())),
+                        pa.array(lengths, pa.list_(pa.int32())),
+                        pa.array(payloads, pa.list_(pa.binary())),
+                        pa.array([size] * len(counts), pa.int32()),
+                    ],
+                    names=["doc_id", "n_tokens", "root", "digests", "lengths", "payloads", "width"],
+                )
+
+    return docs.select("doc_id", "text").mapInArrow(
+        run, "doc_id long, n_tokens long, root binary, digests array<binary>, lengths array<int>, payloads array<binary>, width int"
+    )
 
 
 _RECIPE = "kind string, file int, doc_id long, within long, n_tokens long, root binary, digests array<binary>, lengths array<int>"
@@ -232,11 +245,35 @@ def _filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count += len(n)
         for root in b.column("root").to_pylist():
             tree.add(root)
-        out = pa.RecordBatch.from_arrays([pa.array(["doc"] * len(n)), pa.array(np.full(len(n), file, np.int32)), b.column("doc_id"), pa.array(within), pa.array(n), *(b.column(c) for c in ("root", "digests", "lengths"))], names=["kind", "file", "doc_id", "within", "n_tokens", "root", "digests", "lengths"])
+        out = pa.RecordBatch.from_arrays(
+            [
+                pa.array(["doc"] * len(n)),
+                pa.array(np.full(len(n), file, np.int32)),
+                b.column("doc_id"),
+                pa.array(within),
+                pa.array(n),
+                *(b.column(c) for c in ("root", "digests", "lengths")),
+            ],
+            names=["kind", "file", "doc_id", "within", "n_tokens", "root", "digests", "lengths"],
+        )
         schema = out.schema
         yield out
     if schema is not None:
-        yield pa.RecordBatch.from_pylist([{"kind": "file", "file": file, "doc_id": None, "within": count, "n_tokens": total, "root": tree.root(), "digests": [], "lengths": []}], schema=schema)
+        yield pa.RecordBatch.from_pylist(
+            [
+                {
+                    "kind": "file",
+                    "file": file,
+                    "doc_id": None,
+                    "within": count,
+                    "n_tokens": total,
+                    "root": tree.root(),
+                    "digests": [],
+                    "lengths": [],
+                }
+            ],
+            schema=schema,
+        )
 
 
 def write_store(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0) -> None:
@@ -254,7 +291,9 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0
     parts = parts.select("c.digests", "width", F.col("c.lengths").alias("n_ids"), F.col("c.payloads").alias("payload"))
     # a digest comes at most once from each task: nothing to combine before the shuffle
     first = F.row_number().over(Window.partitionBy("digest").orderBy("digest"))
-    unique = parts.select(F.col("digests").alias("digest"), "width", "n_ids", "payload").repartition("digest").withColumn("nth", first).where("nth = 1").drop("nth")
+    unique = parts.select(
+        F.col("digests").alias("digest"), "width", "n_ids", "payload"
+    ).repartition("digest").withColumn("nth", first).where("nth = 1").drop("nth")
     unique.write.option("compression", "zstd").parquet(f"{path}/chunks")
     remove(spark, staged.saved_path)
 
@@ -290,7 +329,9 @@ def _chunk_facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if _digest(bytes([size]) + body) != name or len(body) != n * size:
                 raise ValueError(f"chunk {name.hex()} is damaged")
             crcs.append(zlib.crc32(np.frombuffer(body, dtype=f"<u{size}").astype("<u4").tobytes()))
-        yield pa.RecordBatch.from_arrays([b.column("digest"), b.column("n_ids"), pa.array(crcs, pa.int64())], names=["chunk", "n_ids", "crc"])
+        yield pa.RecordBatch.from_arrays(
+            [b.column("digest"), b.column("n_ids"), pa.array(crcs, pa.int64())], names=["chunk", "n_ids", "crc"]
+        )
 
 
 def _uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,14 +347,26 @@ def _uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names += digests
             lengths += sizes
             after += total.tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(files, pa.int32()), pa.array(within, pa.int64()), pa.array(names, pa.binary()), pa.array(lengths, pa.int32()), pa.array(after, pa.int64())], names=["file", "within", "digest", "length", "after"])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(files, pa.int32()),
+                pa.array(within, pa.int64()),
+                pa.array(names, pa.binary()),
+                pa.array(lengths, pa.int32()),
+                pa.array(after, pa.int64()),
+            ],
+            names=["file", "within", "digest", "length", "after"],
+        )
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         crc = b.column("crc").to_numpy(zero_copy_only=False).astype(np.uint32)
         after = b.column("after").to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays([b.column("file"), b.column("within"), b.column("length"), pa.array(shifted_crc(crc, after * 4).astype(np.int64))], names=["file", "within", "length", "crc"])
+        yield pa.RecordBatch.from_arrays(
+            [b.column("file"), b.column("within"), b.column("length"), pa.array(shifted_crc(crc, after * 4).astype(np.int64))],
+            names=["file", "within", "length", "crc"],
+        )
 
 
 def _recipes(spark: SparkSession, path: str) -> DataFrame:
@@ -336,12 +389,24 @@ def _chunks(spark: SparkSession, path: str) -> DataFrame:
 def read_facts(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the chunks read back and verified."""
     facts = _chunks(spark, path).mapInArrow(_chunk_facts, "chunk binary, n_ids int, crc long")
-    uses = _recipes(spark, path).select("file", "within", "root", "digests", "lengths").mapInArrow(_uses, "file int, within long, digest binary, length int, after long")
-    met = uses.join(facts, uses.digest == facts.chunk, "left").select("file", "within", F.when(F.col("length") == F.col("n_ids"), F.col("length")).otherwise(F.raise_error("a chunk is missing or has another length").cast("int")).alias("length"), "after", "crc")
+    uses = _recipes(spark, path).select("file", "within", "root", "digests", "lengths").mapInArrow(
+        _uses, "file int, within long, digest binary, length int, after long"
+    )
+    met = uses.join(facts, uses.digest == facts.chunk, "left").select(
+        "file",
+        "within",
+        F.when(F.col("length") == F.col("n_ids"), F.col("length")).otherwise(
+            F.raise_error("a chunk is missing or has another length").cast("int")
+        ).alias("length"),
+        "after",
+        "crc",
+    )
     placed = met.mapInArrow(_placed, "file int, within long, length int, crc long")
     docs = placed.groupBy("file", "within").agg(F.sum("length").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"))
     ids = _recipes(spark, path).select("file", "within", "doc_id")
-    return docs.join(ids, ["file", "within"]).join(_bases(spark, path), "file").select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
+    return docs.join(ids, ["file", "within"]).join(_bases(spark, path), "file").select(
+        "doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32"
+    )
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,7 +418,9 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids.append(got.astype(np.int64))
             ends.append(ends[-1] + len(got))
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
-        yield pa.RecordBatch.from_arrays([b.column("file"), b.column("within"), b.column("doc_id"), lists], names=["file", "within", "doc_id", "ids"])
+        yield pa.RecordBatch.from_arrays(
+            [b.column("file"), b.column("within"), b.column("doc_id"), lists], names=["file", "within", "doc_id", "ids"]
+        )
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

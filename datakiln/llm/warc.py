@@ -52,7 +52,15 @@ def record_bytes(record_id: str, url: str | None, payload: bytes, refers_to: str
     """One record as a gzip member; with refers_to a revisit, which has the HTTP header only."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}".encode() + END
     block = http if refers_to else http + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if refers_to else 'response'}", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {date}", f"WARC-Target-URI: {_value(url or 'about:blank')}", f"WARC-Payload-Digest: sha256:{hashlib.sha256(payload).hexdigest()}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}"]
+    lines = [
+        "WARC/1.1",
+        f"WARC-Type: {'revisit' if refers_to else 'response'}",
+        f"WARC-Record-ID: <{record_id}>",
+        f"WARC-Date: {date}",
+        f"WARC-Target-URI: {_value(url or 'about:blank')}",
+        f"WARC-Payload-Digest: sha256:{hashlib.sha256(payload).hexdigest()}",
+        f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
+    ]
     if refers_to:
         lines += [f"WARC-Refers-To: <{refers_to}>", f"WARC-Profile: {PROFILE}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -151,9 +159,16 @@ def read_records(stream, keep_payload: bool = True) -> Iterator[Record]:
 def write_archives(pages: DataFrame, path: str, least: int = LEAST) -> DataFrame:
     """Writes (page_id, url, html) rows as .warc.gz files below path; returns the written manifest: file, n_records, n_bytes."""
     rows = numbered(pages.select("page_id", "url", "html")).withColumn("html", F.coalesce("html", F.lit("")))
-    slim = saved(rows.select("row", "page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("n")).where(F.col("n") >= least), "payloads")
-    firsts = slim.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    refers = slim.select("row", "digest").join(firsts, "digest").where("row <> first.row").select("row", F.struct("first.page_id", "first.row").alias("refers"))
+    slim = saved(
+        rows.select("row", "page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("n")).where(F.col("n") >= least),
+        "payloads",
+    )
+    firsts = slim.groupBy("digest").agg(
+        F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")).alias("first"), F.count("*").alias("copies")
+    ).where("copies > 1")
+    refers = slim.select("row", "digest").join(firsts, "digest").where("row <> first.row").select(
+        "row", F.struct("first.page_id", "first.row").alias("refers")
+    )
     schema = "file string, n_records long, n_bytes long"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +194,9 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST) -> DataFrame
                 if out is None:
                     temp, records, size = f"{base}/.{name}-{len(done):04d}.{context.taskAttemptId()}", 0, 0
                     out = fs.open_output_stream(temp, compression=None)
-                member = record_bytes(_name(page_id, row), url.as_py(), html.as_py().encode(), _name(refers["page_id"], refers["row"]) if refers else None)
+                member = record_bytes(
+                    _name(page_id, row), url.as_py(), html.as_py().encode(), _name(refers["page_id"], refers["row"]) if refers else None
+                )
                 out.write(member)
                 records, size = records + 1, size + len(member)
                 if size >= FILE_BYTES:
@@ -187,9 +204,15 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST) -> DataFrame
                     out = None
         if out is not None:
             close()
-        yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("file", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64())]))
+        yield pa.RecordBatch.from_pylist(
+            done, schema=pa.schema([("file", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64())])
+        )
 
-    return saved(rows.join(refers, "row", "left").select("page_id", "url", "html", "row", "refers").mapInArrow(write, schema), "manifest", f"{path}/manifest")
+    return saved(
+        rows.join(refers, "row", "left").select("page_id", "url", "html", "row", "refers").mapInArrow(write, schema),
+        "manifest",
+        f"{path}/manifest",
+    )
 
 
 def _name(page_id: int | None, row: dict[str, int]) -> str:
@@ -203,7 +226,16 @@ def read_archives(files: DataFrame) -> DataFrame:
     """A row of RECORDS per record of the files named in column file; n_records there is checked."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("page_id", pa.int64()), ("record", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers", pa.string())])
+        schema = pa.schema(
+            [
+                ("page_id", pa.int64()),
+                ("record", pa.string()),
+                ("payload_bytes", pa.int64()),
+                ("payload_digest", pa.string()),
+                ("record_type", pa.string()),
+                ("refers", pa.string()),
+            ]
+        )
         for batch in batches:
             for file, expected in zip(batch.column("file").to_pylist(), batch.column("n_records").to_pylist()):
                 fs, inside = pafs.FileSystem.from_uri(file)
@@ -212,7 +244,16 @@ def read_archives(files: DataFrame) -> DataFrame:
                     for r in read_records(stream, keep_payload=False):
                         record = r.headers["warc-record-id"].strip("<>")
                         page = record.split(":")[2]
-                        rows.append({"page_id": None if page == "null" else int(page), "record": record, "payload_bytes": r.payload_bytes, "payload_digest": r.payload_digest, "record_type": r.headers["warc-type"], "refers": r.headers.get("warc-refers-to", "").strip("<>") or None})
+                        rows.append(
+                            {
+                                "page_id": None if page == "null" else int(page),
+                                "record": record,
+                                "payload_bytes": r.payload_bytes,
+                                "payload_digest": r.payload_digest,
+                                "record_type": r.headers["warc-type"],
+                                "refers": r.headers.get("warc-refers-to", "").strip("<>") or None,
+                            }
+                        )
                         count += 1
                         if len(rows) == 4096:
                             yield pa.RecordBatch.from_pylist(rows, schema=schema)
@@ -222,12 +263,19 @@ def read_archives(files: DataFrame) -> DataFrame:
                 if count != expected:
                     raise ValueError(f"{file} holds {count} records, {expected} were written")
 
-    return files.select("file", "n_records").repartition(files.sparkSession.sparkContext.defaultParallelism, "file").mapInArrow(read, RECORDS)
+    return files.select("file", "n_records").repartition(
+        files.sparkSession.sparkContext.defaultParallelism, "file"
+    ).mapInArrow(read, RECORDS)
 
 
 def resolved(records: DataFrame) -> DataFrame:
     """Records with refers_to: the page_id of the response, which must exist and have the revisit's payload digest and length."""
-    responses = records.where("record_type = 'response'").select(F.col("record").alias("target"), F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b"))
+    responses = records.where("record_type = 'response'").select(
+        F.col("record").alias("target"),
+        F.col("page_id").alias("refers_to"),
+        F.col("payload_digest").alias("d"),
+        F.col("payload_bytes").alias("b"),
+    )
     met = records.join(responses, F.col("refers") == F.col("target"), "left")
     sound = F.col("refers").isNull() | (F.col("d").eqNullSafe(F.col("payload_digest")) & F.col("b").eqNullSafe(F.col("payload_bytes")))
     digest = F.when(sound, F.col("payload_digest")).otherwise(F.raise_error("a revisit refers to no equal payload").cast("string"))

@@ -10,10 +10,18 @@ DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long,
 
 
 def _tables(spark, top, documents, pages, embeddings, labels):
-    spark.createDataFrame([(*d, 7, "x", 0.5, "y", 1) for d in documents], DOCUMENTS).repartition(2).write.parquet(f"{top}/documents.parquet")
-    spark.createDataFrame([(*p, 3, "z") for p in pages], "page_id long, url string, html string, row long, digest string").write.parquet(f"{top}/pages.parquet")
-    spark.createDataFrame([(*e, 1) for e in embeddings], "vec_id long, embedding array<float>, label int, row long").write.parquet(f"{top}/embeddings.parquet")
-    spark.createDataFrame([(*x, 1.0) for x in labels], "doc_id long, quality int, toxic int, label double").write.parquet(f"{top}/labels.parquet")
+    spark.createDataFrame(
+        [(*d, 7, "x", 0.5, "y", 1) for d in documents], DOCUMENTS
+    ).repartition(2).write.parquet(f"{top}/documents.parquet")
+    spark.createDataFrame(
+        [(*p, 3, "z") for p in pages], "page_id long, url string, html string, row long, digest string"
+    ).write.parquet(f"{top}/pages.parquet")
+    spark.createDataFrame(
+        [(*e, 1) for e in embeddings], "vec_id long, embedding array<float>, label int, row long"
+    ).write.parquet(f"{top}/embeddings.parquet")
+    spark.createDataFrame(
+        [(*x, 1.0) for x in labels], "doc_id long, quality int, toxic int, label double"
+    ).write.parquet(f"{top}/labels.parquet")
     return str(top)
 
 
@@ -22,9 +30,46 @@ def edge(spark, tmp_path_factory):
     """Nulls in every column, empty and very long texts, ties, repeated rows, clashing extra columns."""
     top = tmp_path_factory.mktemp("edge")
     same = "the same text again and again, said twice.\nsecond line here"
-    documents = [(1, None, None, None, None), (2, "", "en", "a", 0), (None, same, "en", "a", 5), (None, None, None, "a", None), (3, same, "en", "a", 5), (3, same, "en", "a", 5), (3, "other", "fr", None, 5), (4, LONG, "en", "b", len(LONG)), (5, " \n\t ", "fr", "b", 4), (6, "123 !!! ###", None, "b", 11), (7, "\n".join(["one line of five words"] * 30), "en", "b", 9), (8, "日本語 🎉 <|endoftext|> x\x1cy", "ja", "c", 20), (9, "a", "en", "c", 1)]
-    pages = [(1, None, None), (2, "u", ""), (None, "u\nv", "x" * 300), (3, "u", "x" * 300), (3, "u", "x" * 300), (4, None, "é" * 50), (5, "u", "é" * 50), (6, "u", "short"), (7, "u", "short")]
-    embeddings = [(0, [1.0, 0.5], 1), (20, [0.5, 1.0], None), (20, [0.5, 1.0], 2), (1, None, 1), (2, [1.0, None], 1), (3, [float("nan"), 1.0], 1), (4, [float("inf"), 1.0], 1), (None, [1.0, 1.0], 1), (5, [], 1), (6, [1.0], 1), (7, [1.0, 0.5], 1), (8, [1.0, 0.5], 1)]
+    documents = [
+        (1, None, None, None, None),
+        (2, "", "en", "a", 0),
+        (None, same, "en", "a", 5),
+        (None, None, None, "a", None),
+        (3, same, "en", "a", 5),
+        (3, same, "en", "a", 5),
+        (3, "other", "fr", None, 5),
+        (4, LONG, "en", "b", len(LONG)),
+        (5, " \n\t ", "fr", "b", 4),
+        (6, "123 !!! ###", None, "b", 11),
+        (7, "\n".join(["one line of five words"] * 30), "en", "b", 9),
+        (8, "日本語 🎉 <|endoftext|> x\x1cy", "ja", "c", 20),
+        (9, "a", "en", "c", 1),
+    ]
+    pages = [
+        (1, None, None),
+        (2, "u", ""),
+        (None, "u\nv", "x" * 300),
+        (3, "u", "x" * 300),
+        (3, "u", "x" * 300),
+        (4, None, "é" * 50),
+        (5, "u", "é" * 50),
+        (6, "u", "short"),
+        (7, "u", "short"),
+    ]
+    embeddings = [
+        (0, [1.0, 0.5], 1),
+        (20, [0.5, 1.0], None),
+        (20, [0.5, 1.0], 2),
+        (1, None, 1),
+        (2, [1.0, None], 1),
+        (3, [float("nan"), 1.0], 1),
+        (4, [float("inf"), 1.0], 1),
+        (None, [1.0, 1.0], 1),
+        (5, [], 1),
+        (6, [1.0], 1),
+        (7, [1.0, 0.5], 1),
+        (8, [1.0, 0.5], 1),
+    ]
     labels = [(1, 1, 0), (2, None, 1), (3, 1, 0), (3, 0, 0), (4, 1, 0), (7, 0, 1), (None, 1, 1), (99, 1, 0), (9, 1, 0)]
     return _tables(spark, top, documents, pages, embeddings, labels)
 

@@ -12,7 +12,9 @@ FR, EN = "le chat est sur la table avec une souris", "the cat is on the table wi
 def test_language_held_out_accuracy(spark, edge):
     sf = "/root/testdata/sf0.01"
     got = language_id.op3_language_id(spark, sf).join(table(spark, sf, "documents", "doc_id", "lang"), "doc_id")
-    held = got.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")).alias("right"), F.avg("score").alias("score")).first()
+    held = got.where("held_out").agg(
+        F.avg((F.col("lang") == F.col("lang_pred")).cast("double")).alias("right"), F.avg("score").alias("score")
+    ).first()
     assert held.right > 0.98 and abs(held.right - held.score) < 0.03
     by_id = {}
     for r in language_id.op3_language_id(spark, edge).collect():
@@ -49,7 +51,9 @@ def test_repeated_words_brute_force():
 
 
 def _docs(spark, rows):
-    return spark.createDataFrame([(d, x, "en", "h", len(x)) for d, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return spark.createDataFrame(
+        [(d, x, "en", "h", len(x)) for d, x in rows], "doc_id long, text string, lang string, source string, n_chars long"
+    )
 
 
 def _word(x):
@@ -151,7 +155,9 @@ def test_shared_lines_with_the_longest_words_go(spark, n_links):
 
 def test_nulls_and_repeated_rows_of_lines(spark):
     rows = [(1, None), (2, ""), (None, "one two"), (None, "one two"), (3, "x"), (3, "x")]
-    df = spark.createDataFrame([(d, x, None, None, None) for d, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    df = spark.createDataFrame(
+        [(d, x, None, None, None) for d, x in rows], "doc_id long, text string, lang string, source string, n_chars long"
+    )
     got = sorted(((r.doc_id, r.text) for r in line_templates.apply_templates(df).collect()), key=str)
     assert got == sorted(rows, key=str)
     assert line_rules.apply_rules(df).count() == 0
@@ -180,7 +186,9 @@ def _bounded_least_squares(p, t, goal, ridge):
     return r
 
 
-@pytest.mark.parametrize("weights, budget", [({"high": 0.8, "low": 0.15, "toxic": 0.05}, None), (mixing.WEIGHTS, None), ({"low": 1.0}, 3e6)])
+@pytest.mark.parametrize(
+    "weights, budget", [({"high": 0.8, "low": 0.15, "toxic": 0.05}, None), (mixing.WEIGHTS, None), ({"low": 1.0}, 3e6)]
+)
 def test_mixing_equals_bounded_least_squares(spark, weights, budget):
     docs = table(spark, "/root/testdata/sf0.01", "documents", "doc_id", "text")
     labels = table(spark, "/root/testdata/sf0.01", "labels", "doc_id", "quality", "toxic")
@@ -336,7 +344,9 @@ def test_chance_links_displace_no_true_ones(spark):
             other = fp ^ sum(1 << int(b) for b in rng.choice(22, 12, replace=False))
             rows.append((10_000 + i, _signed(other << 13), sorted(sketch[:44] + rng.integers(8, 1 << 60, 4).tolist())))
     df = spark.createDataFrame(rows, "doc_id long, fp long, sketch array<long>")
-    got = simhash.with_component(df, simhash.WIDE_RADIUS, F.col("doc_id"), "first", lambda nodes: simhash.sketched_links(nodes, simhash.WIDE_RADIUS))
+    got = simhash.with_component(
+        df, simhash.WIDE_RADIUS, F.col("doc_id"), "first", lambda nodes: simhash.sketched_links(nodes, simhash.WIDE_RADIUS)
+    )
     first = {r.doc_id: r["first"] for r in got.collect()}
     assert first == {d: d % 10_000 for d, *_ in rows}
 
@@ -350,7 +360,9 @@ def test_hot_group_is_dealt_to_shards(spark, monkeypatch):
     shards = max(1, -(-n // simhash.SHARD))
     sizes = [r["count"] for r in dealt.groupBy(F.pmod("grp", F.lit(shards))).count().collect()]
     assert len(sizes) == shards and max(sizes) < 2 * simhash.SHARD
-    met = dealt.where("in_tree").alias("a").join(dealt.where("as_query").alias("b"), "grp").select(F.least("a.fp", "b.fp"), F.greatest("a.fp", "b.fp"))
+    met = dealt.where("in_tree").alias("a").join(dealt.where("as_query").alias("b"), "grp").select(
+        F.least("a.fp", "b.fp"), F.greatest("a.fp", "b.fp")
+    )
     assert met.distinct().count() == 2000 * 2001 // 2
 
 

@@ -29,7 +29,16 @@ def test_equals_sql(spark, duck, edge, name, where):
 def test_edge_cases_and_empty_tables(spark, edge, empty, name):
     df = ALL[name](spark, edge)
     n = df.count()
-    per_document = {"op1_token_store", "op3_language_id", "op4_line_templates", "op5_sentencepiece", "op7_extendible_shards", "op8_line_frequency", "op9_mixing", "op10_simhash"}
+    per_document = {
+        "op1_token_store",
+        "op3_language_id",
+        "op4_line_templates",
+        "op5_sentencepiece",
+        "op7_extendible_shards",
+        "op8_line_frequency",
+        "op9_mixing",
+        "op10_simhash",
+    }
     if name in per_document:
         assert n == 13
     assert ALL[name](spark, empty).count() == 0

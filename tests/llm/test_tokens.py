@@ -36,7 +36,9 @@ def test_cut_points_follow_content():
     assert len(cut(ids, ends) & cut(np.concatenate((ids[:700], ids[600:])), moved)) > 0.9 * len(ends)
     h = [sum(int(token_store._GEAR[ids[j]]) << (i - j) for j in range(max(0, i - 31), i + 1)) % (1 << 64) for i in range(3000)]
     want = [i + 1 for i in range(3000) if h[i] >> 55 == 0]
-    assert set(e for e in ends if e < 2900) <= set(want) | {e for e in ends if e - max([0] + [x for x in ends if x < e]) == token_store.MOST}
+    assert set(e for e in ends if e < 2900) <= set(want) | {
+        e for e in ends if e - max([0] + [x for x in ends if x < e]) == token_store.MOST
+    }
 
 
 def test_crc_of_parts():
@@ -106,7 +108,9 @@ def test_lost_recipes_are_found(spark, tmp_path, lost):
         spark.read.parquet(f"{path}/{part}").write.parquet(f"{bad}/{part}")
     recipes = spark.read.parquet(f"{path}/recipes")
     first = recipes.where("kind = 'doc'").agg(F.min(F.struct("file", "within")).alias("x")).first().x
-    gone = (F.col("file") == first.file) & ((F.col("kind") == "doc") & (F.col("within") == first.within) if lost == "a document" else F.lit(True))
+    gone = (F.col("file") == first.file) & (
+        (F.col("kind") == "doc") & (F.col("within") == first.within) if lost == "a document" else F.lit(True)
+    )
     recipes.where(~gone).write.parquet(f"{bad}/recipes")
     with pytest.raises(ValueError, match="missing or damaged"):
         token_store.read_facts(spark, bad).collect()

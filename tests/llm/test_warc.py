@@ -29,6 +29,11 @@ def test_damage():
     with pytest.raises(ValueError, match="ends inside"):
         list(warc.read_records(io.BytesIO(whole[:-9])))
     text = gzip.decompress(_file(2)[1])
-    for bad, why in ((text.replace(b"page 1 ", b"page 2 ", 1), "digest"), (text[:-5], "shorter|end"), (text + b"more", "more than"), (text.replace(b"\r\n\r\n", b"\r\n\r\nx", 1), "longer|digest")):
+    for bad, why in (
+        (text.replace(b"page 1 ", b"page 2 ", 1), "digest"),
+        (text[:-5], "shorter|end"),
+        (text + b"more", "more than"),
+        (text.replace(b"\r\n\r\n", b"\r\n\r\nx", 1), "longer|digest"),
+    ):
         with pytest.raises(ValueError, match=why):
             list(warc.read_records(io.BytesIO(gzip.compress(bad))))
