@@ -39,7 +39,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_ids=True)
 
 
-STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mixing", mix), ("sentencepiece", encode)]
+STAGES = [
+    ("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mixing", mix), ("sentencepiece", encode)
+]
 
 #: Hashes, fitted models and the encoder are beyond SQL; tests hold the stages against brute-force versions.
 ORACLE_SQL = None

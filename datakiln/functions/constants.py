@@ -13,7 +13,14 @@ STRENGTH_DIFFICULTY = {"mild": "hard", "moderate": "mid", "severe": "easy"}
 KEEP_PRIORITY = {"real": 0, "procedural": 1, "aigc": 2}
 OTHER_PRIORITY = 9
 #: Phrases of generator prompts and the label each stands for.
-PROMPT_LABELS = (("motion blur", "blur"), ("overexposed", "over_expo"), ("very dark", "dark"), ("compression artifacts", "noise"), ("dirt and rain", "occlusion"), ("low resolution", "low_res"))
+PROMPT_LABELS = (
+    ("motion blur", "blur"),
+    ("overexposed", "over_expo"),
+    ("very dark", "dark"),
+    ("compression artifacts", "noise"),
+    ("dirt and rain", "occlusion"),
+    ("low resolution", "low_res"),
+)
 #: Limits of a clean frame: least side, least Laplacian variance and luminance range, by day and by night.
 LEAST_SIDE = 320
 LEAST_SHARPNESS = {"day": 80.0, "night": 60.0}

@@ -68,7 +68,9 @@ def dark(img, rng, strength):
 
 def occlusion(img, rng, strength):
     out, (h, w) = img.copy(), img.shape[:2]
-    n, share, modes = int(rng.integers(*_pick(strength, (1, 2), (1, 3), (2, 4)))), _pick(strength, (0.05, 0.12), (0.12, 0.24), (0.24, 0.42)), []
+    n, share, modes = int(
+        rng.integers(*_pick(strength, (1, 2), (1, 3), (2, 4)))
+    ), _pick(strength, (0.05, 0.12), (0.12, 0.24), (0.24, 0.42)), []
     for _ in range(n):
         ph, pw = (min(side, max(8, int(side * _between(rng, share)))) for side in (h, w))
         y, x = int(rng.integers(0, h - ph + 1)), int(rng.integers(0, w - pw + 1))
@@ -92,7 +94,9 @@ def noise(img, rng, strength):
     return out, params
 
 
-DEGRADE: dict[str, Kernel] = {"low_res": low_res, "blur": blur, "over_expo": over_expo, "dark": dark, "occlusion": occlusion, "noise": noise}
+DEGRADE: dict[str, Kernel] = {
+    "low_res": low_res, "blur": blur, "over_expo": over_expo, "dark": dark, "occlusion": occlusion, "noise": noise
+}
 
 
 def sensor_noise(img, rng, strength):
@@ -135,7 +139,9 @@ def mud(img, rng, strength):
     for _ in range(n):
         r = max(2.0, _pick(strength, 0.05, 0.12, 0.22) * min(h, w) * _between(rng, (0.7, 1.3)))
         cy, cx = _between(rng, (0, h)), _between(rng, (0, w))
-        spots = [(cy, cx, r)] + [(cy + rng.normal(0, r), cx + rng.normal(0, r), r * _between(rng, (0.1, 0.4))) for _ in range(int(rng.integers(3, 9)))]
+        spots = [(cy, cx, r)] + [
+            (cy + rng.normal(0, r), cx + rng.normal(0, r), r * _between(rng, (0.1, 0.4))) for _ in range(int(rng.integers(3, 9)))
+        ]
         for sy, sx, sr in spots:
             mask[(y - sy) ** 2 + (x - sx) ** 2 <= sr * sr] = 1
     return _blend(img, np.array([30, 50, 70]), (mask * _pick(strength, 0.35, 0.6, 0.85))[:, :, None]), {"splashes": n}
@@ -182,7 +188,9 @@ def clean_edit(img, rng, strength="mild"):
     if kind == "sharpen":
         return clipped(1.3 * x - 0.3 * blurred(img, 5, 1.0)), {"edit": "clean_negative", "kind": kind}
     base = x.mean() if kind == "contrast" else gray(img)[:, :, None].astype(float)
-    return clipped(base + (x - base) * _between(rng, (0.92, 1.10) if kind == "contrast" else (0.85, 1.18))), {"edit": "clean_negative", "kind": kind}
+    return clipped(
+        base + (x - base) * _between(rng, (0.92, 1.10) if kind == "contrast" else (0.85, 1.18))
+    ), {"edit": "clean_negative", "kind": kind}
 
 
 def _weather(img, rng, strength):
@@ -190,7 +198,9 @@ def _weather(img, rng, strength):
     return (rain if u < 0.5 else fog if u < 0.75 else mud)(img, rng, strength)
 
 
-EDITS: dict[str, Kernel] = {"low_res": resampled, "blur": defocus, "over_expo": bloom, "dark": vignette, "occlusion": _weather, "noise": sensor_noise}
+EDITS: dict[str, Kernel] = {
+    "low_res": resampled, "blur": defocus, "over_expo": bloom, "dark": vignette, "occlusion": _weather, "noise": sensor_noise
+}
 
 
 def backlit(img, rng, strength):
@@ -223,10 +233,18 @@ def _rain_fog(img, rng, strength):
 
 
 #: kind: labels and kernel, in the order in which variants take turns.
-LONGTAIL: dict[str, tuple[tuple[str, ...], Kernel]] = {"backlit": (("over_expo", "dark"), backlit), "rain_fog": (("occlusion",), _rain_fog), "smudge": (("occlusion",), _smudge), "smear": (("blur",), smear), "harsh_combo": (("dark", "noise"), harsh_combo)}
-
-
-def applied(img: np.ndarray, rng: np.random.Generator, classes: list[str], strengths: list[str], kernels: dict[str, Kernel]) -> tuple[np.ndarray, dict]:
+LONGTAIL: dict[str, tuple[tuple[str, ...], Kernel]] = {
+    "backlit": (("over_expo", "dark"), backlit),
+    "rain_fog": (("occlusion",), _rain_fog),
+    "smudge": (("occlusion",), _smudge),
+    "smear": (("blur",), smear),
+    "harsh_combo": (("dark", "noise"), harsh_combo),
+}
+
+
+def applied(
+    img: np.ndarray, rng: np.random.Generator, classes: list[str], strengths: list[str], kernels: dict[str, Kernel]
+) -> tuple[np.ndarray, dict]:
     """The image after one kernel per class in turn, with the parameters, the order and the difficulty of the mildest."""
     params: dict = {}
     for c, s in zip(classes, strengths):

@@ -58,7 +58,9 @@ def clean_frame_reason(width: Column, height: Column, sharpness: Column, luminan
     """Why a frame is not clean (the first rule that it breaks), null if it is."""
     sharp = F.when(night, C.LEAST_SHARPNESS["night"]).otherwise(C.LEAST_SHARPNESS["day"])
     low, high = (F.when(night, C.LUMINANCE["night"][i]).otherwise(C.LUMINANCE["day"][i]) for i in (0, 1))
-    return F.when(F.least(width, height) < C.LEAST_SIDE, C.TOO_SMALL).when(sharpness < sharp, C.TOO_BLURRED).when((luminance < low) | (luminance > high), C.OUT_OF_RANGE)
+    return F.when(F.least(width, height) < C.LEAST_SIDE, C.TOO_SMALL).when(sharpness < sharp, C.TOO_BLURRED).when(
+        (luminance < low) | (luminance > high), C.OUT_OF_RANGE
+    )
 
 
 def scene_of(mean: Column, b: Column, g: Column, r: Column, sky: Column, green: Column) -> Column:
@@ -78,7 +80,9 @@ def stratum(labels: Column, order: Column, scene: Column, difficulty: Column, cl
 
 def hardest(strengths: Column) -> Column:
     """Difficulty of the mildest strength among those applied: a mild defect is hard to see."""
-    return F.when(F.exists(strengths, lambda s: s == "mild"), "hard").when(F.exists(strengths, lambda s: s == "moderate"), "mid").otherwise("easy")
+    return F.when(F.exists(strengths, lambda s: s == "mild"), "hard").when(
+        F.exists(strengths, lambda s: s == "moderate"), "mid"
+    ).otherwise("easy")
 
 
 def prompt_labels(prompt: Column) -> Column:
@@ -125,7 +129,16 @@ def median_hash(vector: Column) -> Column:
     """64 bits of a vector of 64 numbers, first component highest: set where a component is over the median."""
     ordered = F.array_sort(vector)
     middle = (F.element_at(ordered, 32).cast("double") + F.element_at(ordered, 33).cast("double")) / 2
-    pair = F.aggregate(vector, F.struct(F.lit(0).cast("long").alias("h"), middle.alias("m")), lambda a, x: F.struct(F.shiftleft(a["h"], 1).bitwiseOR(F.when(x.cast("double") > a["m"], F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))).alias("h"), a["m"].alias("m")))
+    pair = F.aggregate(
+        vector,
+        F.struct(F.lit(0).cast("long").alias("h"), middle.alias("m")),
+        lambda a, x: F.struct(
+            F.shiftleft(a["h"], 1).bitwiseOR(
+                F.when(x.cast("double") > a["m"], F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
+            ).alias("h"),
+            a["m"].alias("m"),
+        ),
+    )
     return pair["h"]
 
 

@@ -21,15 +21,30 @@ def merge_annotations(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def long_pairs(merged: DataFrame, classes: Sequence[str] = C.CLASSES) -> DataFrame:
     """file, class, y1, y2."""
-    return merged.select("file", "annotator1", "annotator2", F.explode(F.array(*(F.lit(c) for c in classes))).alias("class")).select("file", "class", *(F.coalesce(F.array_contains(f"annotator{i}", F.col("class")), F.lit(False)).cast("int").alias(f"y{i}") for i in (1, 2)))
+    return merged.select("file", "annotator1", "annotator2", F.explode(F.array(*(F.lit(c) for c in classes))).alias("class")).select(
+        "file",
+        "class",
+        *(F.coalesce(F.array_contains(f"annotator{i}", F.col("class")), F.lit(False)).cast("int").alias(f"y{i}") for i in (1, 2)),
+    )
 
 
 def kappa_per_class(pairs: DataFrame) -> DataFrame:
     """class, n, po, pe, kappa of (class, y1, y2) rows; where chance explains all, kappa is 1 if they always agree, else 0."""
-    s = pairs.groupBy("class").agg(F.count("*").alias("n"), F.avg((F.col("y1") == F.col("y2")).cast("double")).alias("po"), F.avg(F.col("y1").cast("double")).alias("p1"), F.avg(F.col("y2").cast("double")).alias("p2"))
+    s = pairs.groupBy("class").agg(
+        F.count("*").alias("n"),
+        F.avg((F.col("y1") == F.col("y2")).cast("double")).alias("po"),
+        F.avg(F.col("y1").cast("double")).alias("p1"),
+        F.avg(F.col("y2").cast("double")).alias("p2"),
+    )
     s = s.withColumn("pe", F.col("p1") * F.col("p2") + (1 - F.col("p1")) * (1 - F.col("p2")))
     sure = F.when(F.col("po") >= 1 - 1e-12, 1.0).otherwise(0.0)
-    return s.select("class", "n", "po", "pe", F.when(F.col("pe") >= 1 - 1e-12, sure).otherwise(F.try_divide(F.col("po") - F.col("pe"), 1 - F.col("pe"))).alias("kappa"))
+    return s.select(
+        "class",
+        "n",
+        "po",
+        "pe",
+        F.when(F.col("pe") >= 1 - 1e-12, sure).otherwise(F.try_divide(F.col("po") - F.col("pe"), 1 - F.col("pe"))).alias("kappa"),
+    )
 
 
 def macro_kappa(pairs: DataFrame) -> DataFrame:

@@ -16,7 +16,9 @@ def nll_grid(scores: DataFrame, temperatures: Sequence[float]) -> DataFrame:
     """temperature, nll: the mean loss at every temperature in one pass."""
     grid = F.array(*(F.lit(float(t)) for t in temperatures))
     each = scores.select("logit", "y", F.explode(grid).alias("temperature"))
-    return each.groupBy("temperature").agg(F.avg(stable_bce(apply_temperature(F.col("logit"), F.col("temperature")), F.col("y"))).alias("nll"))
+    return each.groupBy("temperature").agg(
+        F.avg(stable_bce(apply_temperature(F.col("logit"), F.col("temperature")), F.col("y"))).alias("nll")
+    )
 
 
 def fit_temperature(scores: DataFrame, low: float = 0.05, high: float = 20.0, points: int = 17, rounds: int = 5) -> tuple[float, float]:
@@ -40,6 +42,8 @@ def calibration_report(scores: DataFrame, temperature: float) -> DataFrame:
     out = None
     for name, logit in (("before", F.col("logit")), ("after", apply_temperature(F.col("logit"), temperature))):
         probs = scores.withColumn("prob", sigmoid(logit))
-        row = ece_multilabel(probs).crossJoin(brier(probs)).crossJoin(macro_f1(predicted(probs))).select(F.lit(name).alias("stage"), "ece_multilabel", "brier", "macro_f1")
+        row = ece_multilabel(probs).crossJoin(brier(probs)).crossJoin(macro_f1(predicted(probs))).select(
+            F.lit(name).alias("stage"), "ece_multilabel", "brier", "macro_f1"
+        )
         out = row if out is None else out.unionByName(row)
     return out

@@ -129,24 +129,36 @@ def unit_links(units: DataFrame, threshold: int) -> DataFrame:
     near = hash_pairs(hashes.select("h"), threshold).join(left, "a").join(right, "b")
     oa = F.when((F.col("fa") == F.col("fb")) & (F.col("la") != F.col("fa")), F.col("la")).otherwise(F.col("fa"))
     ob = F.when(oa == F.col("fb"), F.col("lb")).otherwise(F.col("fb"))
-    apart = near.where(oa != ob).select(F.struct(F.col("a").alias("h"), oa.alias("o")).alias("u"), F.struct(F.col("b").alias("h"), ob.alias("o")).alias("v"))
+    apart = near.where(oa != ob).select(
+        F.struct(F.col("a").alias("h"), oa.alias("o")).alias("u"), F.struct(F.col("b").alias("h"), ob.alias("o")).alias("v")
+    )
     return same.unionByName(apart)
 
 
-def dedup(df: DataFrame, threshold: int = 4, key: str = "file", origin: str = "origin_id", source: str = "source", value: str = "phash") -> DataFrame:
+def dedup(
+    df: DataFrame, threshold: int = 4, key: str = "file", origin: str = "origin_id", source: str = "source", value: str = "phash"
+) -> DataFrame:
     """The manifest with dedup marks: near pairs of different origins only, as components."""
     found = components(unit_links(_units(df, origin, value), threshold), "u", "v")
-    named = df.select(F.col(key).alias("node"), F.col(value).alias("h"), F.struct(F.col(origin).isNull().alias("none"), F.col(origin).alias("origin")).alias("o"))
+    named = df.select(
+        F.col(key).alias("node"),
+        F.col(value).alias("h"),
+        F.struct(F.col(origin).isNull().alias("none"), F.col(origin).alias("origin")).alias("o"),
+    )
     units = found.select(F.col("node.h").alias("uh"), F.col("node.o").alias("uo"), "root")
     met = named.join(units, (F.col("h") == F.col("uh")) & F.col("o").eqNullSafe(F.col("uo"))).select("node", "root")
     return keepers(df, met, key, source)
 
 
-def dedup_report(df: DataFrame, marked: DataFrame, threshold: int = 4, origin: str = "origin_id", value: str = "phash", digest: str = "sha1") -> DataFrame:
+def dedup_report(
+    df: DataFrame, marked: DataFrame, threshold: int = 4, origin: str = "origin_id", value: str = "phash", digest: str = "sha1"
+) -> DataFrame:
     """One row: total, removed, kept, pairs by kind (counted by hash, not listed) and exact groups."""
     units = _units(df, origin, value)
     hashes = units.groupBy("h").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
-    inside = hashes.agg(F.sum((F.col("n") * F.col("n") - F.col("n")) / 2).alias("every"), F.sum((F.col("squares") - F.col("n")) / 2).alias("same"))
+    inside = hashes.agg(
+        F.sum((F.col("n") * F.col("n") - F.col("n")) / 2).alias("every"), F.sum((F.col("squares") - F.col("n")) / 2).alias("same")
+    )
     near = hash_pairs(hashes.select("h"), threshold)
     left, right = (units.select(F.col("h").alias(s), "o", F.col("n").alias(f"n{s}")) for s in "ab")
     sizes = (hashes.select(F.col("h").alias(s), F.col("n").alias(f"n{s}")) for s in "ab")
@@ -155,7 +167,9 @@ def dedup_report(df: DataFrame, marked: DataFrame, threshold: int = 4, origin: s
     between = every.crossJoin(same)
     sums = inside.unionByName(between).agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("every", "same")))
     kinds = sums.select(F.col("same").alias("same_origin_pairs_skipped"), (F.col("every") - F.col("same")).alias("cross_origin_dup_pairs"))
-    counts = marked.agg(F.count("*").alias("total"), F.count_if("dedup_removed").alias("removed"), F.count_if(~F.col("dedup_removed")).alias("kept"))
+    counts = marked.agg(
+        F.count("*").alias("total"), F.count_if("dedup_removed").alias("removed"), F.count_if(~F.col("dedup_removed")).alias("kept")
+    )
     return counts.crossJoin(kinds).crossJoin(exact_groups(df, digest).agg(F.count("*").alias("exact_sha1_groups")))
 
 
@@ -169,7 +183,9 @@ def removed_head(marked: DataFrame, n: int = 50, key: str = "file") -> DataFrame
 
 def count_by(files: DataFrame, df: DataFrame, key: str = "file", source: str = "source") -> DataFrame:
     """Files per source; a file that is not in df counts as '?'."""
-    return files.select(key).join(df.select(key, source), key, "left").groupBy(F.coalesce(source, F.lit("?")).alias(source)).agg(F.count("*").alias("n"))
+    return files.select(key).join(df.select(key, source), key, "left").groupBy(
+        F.coalesce(source, F.lit("?")).alias(source)
+    ).agg(F.count("*").alias("n"))
 
 
 def keep_first(df: DataFrame, key: str, seq: str) -> DataFrame:

@@ -15,10 +15,14 @@ from datakiln.functions.expressions import sigmoid
 GRID = 81
 
 
-def to_long(df: DataFrame, values: str, truth: str, classes: Sequence[str], keys: Sequence[str] = ("sample_id",), value_name: str = "logit") -> DataFrame:
+def to_long(
+    df: DataFrame, values: str, truth: str, classes: Sequence[str], keys: Sequence[str] = ("sample_id",), value_name: str = "logit"
+) -> DataFrame:
     """A row per class of rows with an array of scores and one of targets, both in class order."""
     zipped = F.arrays_zip(F.array(*(F.lit(c) for c in classes)).alias("class"), F.col(values).alias("v"), F.col(truth).alias("y"))
-    return df.select(*keys, F.explode(zipped).alias("_z")).select(*keys, F.col("_z.class").alias("class"), F.col("_z.v").cast("double").alias(value_name), F.col("_z.y").cast("int").alias("y"))
+    return df.select(*keys, F.explode(zipped).alias("_z")).select(
+        *keys, F.col("_z.class").alias("class"), F.col("_z.v").cast("double").alias(value_name), F.col("_z.y").cast("int").alias("y")
+    )
 
 
 def with_probs(scores: DataFrame) -> DataFrame:
@@ -28,20 +32,29 @@ def with_probs(scores: DataFrame) -> DataFrame:
 def with_auto_probs(scores: DataFrame, value: str = "prob") -> DataFrame:
     """Scores that hold a negative anywhere are logits and go through the sigmoid; one scalar decides for all."""
     low = scores.agg((F.min(value) < 0).alias("_logits"))
-    return scores.crossJoin(F.broadcast(low)).withColumn(value, F.when("_logits", sigmoid(F.col(value))).otherwise(F.col(value))).drop("_logits")
+    return scores.crossJoin(F.broadcast(low)).withColumn(
+        value, F.when("_logits", sigmoid(F.col(value))).otherwise(F.col(value))
+    ).drop("_logits")
 
 
 def predicted(scores: DataFrame, thresholds: DataFrame | float = 0.5) -> DataFrame:
     """Adds pred; thresholds are one number or a (class, threshold) table."""
     if isinstance(thresholds, DataFrame):
-        return scores.join(F.broadcast(thresholds.select("class", "threshold")), "class").withColumn("pred", (F.col("prob") > F.col("threshold")).cast("int")).drop("threshold")
+        return scores.join(
+            F.broadcast(thresholds.select("class", "threshold")), "class"
+        ).withColumn("pred", (F.col("prob") > F.col("threshold")).cast("int")).drop("threshold")
     return scores.withColumn("pred", (F.col("prob") > float(thresholds)).cast("int"))
 
 
 def confusion(pred: DataFrame, by: Sequence[str] = ("class",)) -> DataFrame:
     """tp, fp, fn, tn of each class."""
     yes, truth = F.col("pred") == 1, F.col("y") == 1
-    return pred.groupBy(*by).agg(F.count_if(yes & truth).alias("tp"), F.count_if(yes & ~truth).alias("fp"), F.count_if(~yes & truth).alias("fn"), F.count_if(~yes & ~truth).alias("tn"))
+    return pred.groupBy(*by).agg(
+        F.count_if(yes & truth).alias("tp"),
+        F.count_if(yes & ~truth).alias("fp"),
+        F.count_if(~yes & truth).alias("fn"),
+        F.count_if(~yes & ~truth).alias("tn"),
+    )
 
 
 def f1_of(precision: Column, recall: Column, tp: Column, fp: Column, fn: Column) -> Column:
@@ -63,10 +76,16 @@ def macro_f1(pred: DataFrame) -> DataFrame:
 
 def slice_metrics(pred: DataFrame, keys: Sequence[str] = ("scene", "difficulty", "source"), sample: str = "sample_id") -> DataFrame:
     """key, bucket, n, macro_f1, macro_recall: grouping sets of each key with the class, in one pass."""
-    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("key"), F.coalesce(F.col(k).cast("string"), F.lit("unknown")).alias("bucket")) for k in keys)))
+    pairs = F.explode(
+        F.array(*(F.struct(F.lit(k).alias("key"), F.coalesce(F.col(k).cast("string"), F.lit("unknown")).alias("bucket")) for k in keys))
+    )
     long = pred.select("*", pairs.alias("_s")).select("_s.key", "_s.bucket", "class", "pred", "y", sample)
     per = prf(long, ("key", "bucket", "class"))
-    return per.groupBy("key", "bucket").agg(F.max(F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n"), F.avg("f1").alias("macro_f1"), F.avg("recall").alias("macro_recall"))
+    return per.groupBy("key", "bucket").agg(
+        F.max(F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n"),
+        F.avg("f1").alias("macro_f1"),
+        F.avg("recall").alias("macro_recall"),
+    )
 
 
 def bin_edges(spark: SparkSession, bins: int = 10) -> DataFrame:
@@ -95,7 +114,9 @@ def reliability_bins(pairs: DataFrame, bins: int = 10, conf: str = "prob", corre
     """bin, lo, hi, n, confidence, accuracy; empty bins are there with nulls. The first bin is closed below too."""
     edges = bin_edges(pairs.sparkSession, bins)
     inside = pairs.where(F.col(conf).between(0.0, 1.0)).withColumn("bin", _step_of(F.col(conf), 0.0, 1.0 / bins, bins - 1, False))
-    stats = inside.groupBy("bin").agg(F.count("*").alias("n"), F.avg(conf).alias("confidence"), F.avg(F.col(correct).cast("double")).alias("accuracy"))
+    stats = inside.groupBy("bin").agg(
+        F.count("*").alias("n"), F.avg(conf).alias("confidence"), F.avg(F.col(correct).cast("double")).alias("accuracy")
+    )
     return edges.join(stats, "bin", "left").select("bin", "lo", "hi", F.coalesce("n", F.lit(0)).alias("n"), "confidence", "accuracy")
 
 
@@ -121,7 +142,9 @@ def ece_multilabel(scores: DataFrame, bins: int = 10, standard: bool = False) ->
 def singlelabel_pairs(scores: DataFrame, classes: Sequence[str], sample: str = "sample_id") -> DataFrame:
     """The greatest probability of each sample and whether its class (the first if tied) is the first target."""
     place = F.create_map(*(F.lit(x) for i, c in enumerate(classes) for x in (c, i)))[F.col("class")]
-    best = scores.groupBy(sample).agg(F.max(F.struct(F.col("prob"), (-place).alias("i"))).alias("p"), F.max(F.struct(F.col("y"), (-place).alias("i"))).alias("t"))
+    best = scores.groupBy(sample).agg(
+        F.max(F.struct(F.col("prob"), (-place).alias("i"))).alias("p"), F.max(F.struct(F.col("y"), (-place).alias("i"))).alias("t")
+    )
     return best.select(F.col("p.prob").alias("prob"), (F.col("p.i") == F.col("t.i")).alias("correct"))
 
 
@@ -146,13 +169,20 @@ def threshold_curve(scores: DataFrame, n: int = GRID, low: float = 0.05, high: f
     """
     truth = F.col("y") == 1
     reached = _step_of(F.col("prob"), low, (high - low) / (n - 1), n - 1, True)
-    hist = scores.where(F.col("prob").isNotNull()).groupBy("class", reached.alias("step")).agg(F.count_if(truth).alias("pos"), F.count_if(~truth).alias("neg"))
+    hist = scores.where(F.col("prob").isNotNull()).groupBy("class", reached.alias("step")).agg(
+        F.count_if(truth).alias("pos"), F.count_if(~truth).alias("neg")
+    )
     totals = hist.groupBy("class").agg(F.sum("pos").alias("all_pos"))
     points = totals.crossJoin(F.broadcast(threshold_grid(scores.sparkSession, n, low, high))).join(hist, ["class", "step"], "left")
     above = Window.partitionBy("class").orderBy(F.desc("step"))
     tp, fp = (F.sum(F.coalesce(c, F.lit(0))).over(above) for c in ("pos", "neg"))
     zero = F.lit(0.0)
-    return points.select("class", "threshold", "all_pos", tp.alias("tp"), fp.alias("fp")).select("class", "threshold", F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fp")), zero).alias("precision"), F.coalesce(F.try_divide("tp", "all_pos"), zero).alias("recall"))
+    return points.select("class", "threshold", "all_pos", tp.alias("tp"), fp.alias("fp")).select(
+        "class",
+        "threshold",
+        F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fp")), zero).alias("precision"),
+        F.coalesce(F.try_divide("tp", "all_pos"), zero).alias("recall"),
+    )
 
 
 def search_thresholds(scores: DataFrame, recall_floor: float = 0.95, n: int = GRID) -> DataFrame:
@@ -173,13 +203,21 @@ def evaluate(scores: DataFrame, classes: Sequence[str], thresholds: DataFrame |
     """One row with all metrics of long scores with prob: nested per class, bins and confusion."""
     pred = predicted(scores, thresholds)
     per = prf(pred)
-    table = per.agg(F.avg("f1").alias("macro_f1"), F.map_from_entries(F.collect_list(F.struct("class", F.struct("precision", "recall", "f1")))).alias("per_class"), F.map_from_entries(F.collect_list(F.struct("class", F.struct("tp", "fp", "fn", "tn")))).alias("confusion"))
+    table = per.agg(
+        F.avg("f1").alias("macro_f1"),
+        F.map_from_entries(F.collect_list(F.struct("class", F.struct("precision", "recall", "f1")))).alias("per_class"),
+        F.map_from_entries(F.collect_list(F.struct("class", F.struct("tp", "fp", "fn", "tn")))).alias("confusion"),
+    )
     stats = reliability_bins(multilabel_pairs(scores))
     bins = stats.agg(F.array_sort(F.collect_list(F.struct("bin", "lo", "hi", "n", "confidence", "accuracy"))).alias("reliability_bins"))
-    out = table.crossJoin(_ece(stats, "ece_multilabel")).crossJoin(ece_singlelabel(scores, classes, sample=sample).withColumnRenamed("ece_singlelabel", "ece_singlelabel_ref"))
+    out = table.crossJoin(_ece(stats, "ece_multilabel")).crossJoin(
+        ece_singlelabel(scores, classes, sample=sample).withColumnRenamed("ece_singlelabel", "ece_singlelabel_ref")
+    )
     return out.crossJoin(brier(scores)).crossJoin(bins).crossJoin(scores.agg(F.countDistinct(sample).alias("n")))
 
 
 def best_epoch(log: DataFrame, by: Sequence[str], score: str = "macro_f1", epoch: str = "epoch") -> DataFrame:
     """The first epoch of the greatest score of each run."""
-    return log.groupBy(*by).agg(F.max(F.struct(F.col(score), (-F.col(epoch)).alias("_e"))).alias("_b")).select(*by, (-F.col("_b._e")).alias(epoch), F.col(f"_b.{score}").alias(score))
+    return log.groupBy(*by).agg(
+        F.max(F.struct(F.col(score), (-F.col(epoch)).alias("_e"))).alias("_b")
+    ).select(*by, (-F.col("_b._e")).alias(epoch), F.col(f"_b.{score}").alias(score))

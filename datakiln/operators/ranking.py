@@ -18,12 +18,19 @@ def hash_ranked(df: DataFrame, by: list[str], order: str, tie: str, amount: str
     total = F.sum(amount) if amount else F.lit(None).cast("long")
     sums = rows.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"), total.alias("_s") if amount else F.max(total).alias("_s"))
     earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_bucket").alias("_of"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_ranks"), F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_sums"))
+    bases = sums.select(
+        *(F.col(c).alias(f"_by_{c}") for c in by),
+        F.col("_bucket").alias("_of"),
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_ranks"),
+        F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_sums"),
+    )
     on = rows["_bucket"] == bases["_of"]
     for c in by:
         on = on & rows[c].eqNullSafe(bases[f"_by_{c}"])
     inside = Window.partitionBy(*by, "_bucket").orderBy(order, tie)
     out = rows.join(bases, on).withColumn("rank", F.col("_ranks") + F.row_number().over(inside))
     if amount:
-        out = out.withColumn("before", F.col("_sums") + F.coalesce(F.sum(amount).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        out = out.withColumn(
+            "before", F.col("_sums") + F.coalesce(F.sum(amount).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        )
     return out.select(*df.columns, "rank", *(["before"] if amount else []))

@@ -19,14 +19,20 @@ def quota_scan(df: DataFrame, num: int, night_quota: int, seq: str = "seq") -> D
     is. The first night_quota night frames do not depend on the others, so each class is the head of an ordered filter.
     """
     nights = df.where(F.coalesce("night_ok", F.lit(False))).orderBy(seq).limit(night_quota).withColumn("kind", F.lit("night"))
-    others = df.where(F.coalesce("normal_ok", F.lit(False))).join(nights.select(seq), seq, "left_anti").orderBy(seq).limit(num).withColumn("kind", F.lit("normal"))
+    others = df.where(
+        F.coalesce("normal_ok", F.lit(False))
+    ).join(nights.select(seq), seq, "left_anti").orderBy(seq).limit(num).withColumn("kind", F.lit("normal"))
     both = nights.unionByName(others)
     return both.withColumn("idx", F.row_number().over(Window.orderBy(seq)) - 1)  # as many rows as the quotas
 
 
 def quota_rejects(df: DataFrame, accepted: DataFrame, num: int, night_quota: int, seq: str = "seq", most: int = MOST_REJECTS) -> DataFrame:
     """Frames the scan saw and did not take, up to where both quotas were full; the first most of them, as a log holds."""
-    ends = accepted.agg(F.max(seq).alias("_end"), (F.count_if(F.col("kind") == "night") >= night_quota).alias("_nights"), (F.count_if(F.col("kind") == "normal") >= num).alias("_normals"))
+    ends = accepted.agg(
+        F.max(seq).alias("_end"),
+        (F.count_if(F.col("kind") == "night") >= night_quota).alias("_nights"),
+        (F.count_if(F.col("kind") == "normal") >= num).alias("_normals"),
+    )
     seen = df.crossJoin(F.broadcast(ends)).where(~(F.col("_nights") & F.col("_normals")) | (F.col(seq) <= F.col("_end")))
     return seen.drop("_end", "_nights", "_normals").join(accepted.select(seq), seq, "left_anti").orderBy(seq).limit(most)
 
@@ -43,10 +49,14 @@ def allocate_quotas(cells: DataFrame, target: int, first: str = "first_seen") ->
     """
     w = Window.orderBy("available", first)
     before = F.coalesce(F.sum("available").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = cells.select("*", F.row_number().over(w).alias("_k"), before.alias("_cum"), F.count("*").over(Window.partitionBy()).alias("_n"))
+    ranked = cells.select(
+        "*", F.row_number().over(w).alias("_k"), before.alias("_cum"), F.count("*").over(Window.partitionBy()).alias("_n")
+    )
     share = F.floor((F.lit(target) - F.col("_cum")) / (F.col("_n") - F.col("_k") + 1))
     every = Window.partitionBy()
-    level = F.coalesce(F.min(F.when(share < F.col("available"), F.struct("_k", share.alias("v")))).over(every)["v"], F.max("available").over(every))
+    level = F.coalesce(
+        F.min(F.when(share < F.col("available"), F.struct("_k", share.alias("v")))).over(every)["v"], F.max("available").over(every)
+    )
     filled = ranked.withColumn("_level", level).withColumn("_quota", F.greatest(F.lit(0), F.least("available", "_level")))
     left = F.lit(target) - F.sum("_quota").over(every)
     turn = F.row_number().over(Window.partitionBy(F.col("available") > F.col("_level")).orderBy(first))
@@ -70,7 +80,13 @@ def stratified_report(df: DataFrame, picked: DataFrame, by: list[str], target: i
     """Per stratum: available, quota, taken, underfilled."""
     cells = allocate_quotas(df.groupBy(*by).agg(F.count("*").alias("available"), F.min(seq).alias("first_seen")), target)
     taken = picked.groupBy(*by).agg(F.count("*").alias("taken"))
-    return cells.join(taken, by, "left").select(*by, "available", "quota", F.coalesce("taken", F.lit(0)).alias("taken"), (F.coalesce("taken", F.lit(0)) < F.col("quota")).alias("underfilled"))
+    return cells.join(taken, by, "left").select(
+        *by,
+        "available",
+        "quota",
+        F.coalesce("taken", F.lit(0)).alias("taken"),
+        (F.coalesce("taken", F.lit(0)) < F.col("quota")).alias("underfilled"),
+    )
 
 
 def sample_without_replacement(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
@@ -97,7 +113,13 @@ def make_train_mix(df: DataFrame, ratio: float, key: str = "file", source: str =
 def mix_report(mix: DataFrame, ratio: float, source: str = "source") -> DataFrame:
     """One row: ratio_target, n_real, n_synthetic, ratio_actual, n_total."""
     n = F.count("*")
-    return mix.agg(F.count_if(F.col(source) == "real").alias("n_real"), F.count_if(F.col(source) != "real").alias("n_synthetic"), n.alias("n_total")).select(F.lit(float(ratio)).alias("ratio_target"), "n_real", "n_synthetic", F.coalesce(F.try_divide("n_synthetic", "n_total"), F.lit(0.0)).alias("ratio_actual"), "n_total")
+    return mix.agg(F.count_if(F.col(source) == "real").alias("n_real"), F.count_if(F.col(source) != "real").alias("n_synthetic"), n.alias("n_total")).select(
+        F.lit(float(ratio)).alias("ratio_target"),
+        "n_real",
+        "n_synthetic",
+        F.coalesce(F.try_divide("n_synthetic", "n_total"), F.lit(0.0)).alias("ratio_actual"),
+        "n_total",
+    )
 
 
 def export_task(df: DataFrame, n: int, seed: int = 42, file: str = "file", labels: str = "labels") -> tuple[DataFrame, DataFrame]:

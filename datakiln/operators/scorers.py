@@ -18,7 +18,16 @@ from datakiln.operators.tables import active, of_source, of_split
 Scorer = Callable[[DataFrame], DataFrame]
 
 
-def samples(df: DataFrame, classes: Sequence[str], split: str | None = None, keep: Sequence[str] | None = None, exclude: Sequence[str] | None = None, limit: int | None = None, seed: int = 42, key: str = "file") -> DataFrame:
+def samples(
+    df: DataFrame,
+    classes: Sequence[str],
+    split: str | None = None,
+    keep: Sequence[str] | None = None,
+    exclude: Sequence[str] | None = None,
+    limit: int | None = None,
+    seed: int = 42,
+    key: str = "file",
+) -> DataFrame:
     """Active samples of a split and sources with their targets, in class order; a limited number in hash order."""
     rows = of_source(active(df), keep, exclude)
     rows = of_split(rows, split) if split else rows
@@ -26,10 +35,14 @@ def samples(df: DataFrame, classes: Sequence[str], split: str | None = None, kee
     return rows.withColumn("truth", labels_to_multihot(F.coalesce("labels", F.array().cast("array<string>")), classes))
 
 
-def train(rows: DataFrame, classes: Sequence[str], features: str = "features", iterations: int = 50, l2: float = 1e-3) -> dict[str, LogisticRegressionModel]:
+def train(
+    rows: DataFrame, classes: Sequence[str], features: str = "features", iterations: int = 50, l2: float = 1e-3
+) -> dict[str, LogisticRegressionModel]:
     """A weighted logistic regression per class; a class of one value only has none."""
     vectors = rows.withColumn("_v", array_to_vector(F.col(features).cast("array<double>")))
-    targets = rows.select(F.explode(F.arrays_zip(F.array(*(F.lit(c) for c in classes)).alias("class"), F.col("truth").alias("y"))).alias("t")).select("t.*")
+    targets = rows.select(
+        F.explode(F.arrays_zip(F.array(*(F.lit(c) for c in classes)).alias("class"), F.col("truth").alias("y"))).alias("t")
+    ).select("t.*")
     weights = {r["class"]: r.pos_weight for r in pos_weight(targets).collect()}
     seen = {r["class"]: (r.lo, r.hi) for r in targets.groupBy("class").agg(F.min("y").alias("lo"), F.max("y").alias("hi")).collect()}
     out = {}
@@ -41,7 +54,9 @@ def train(rows: DataFrame, classes: Sequence[str], features: str = "features", i
     return out
 
 
-def linear_scorer(models: dict[str, LogisticRegressionModel], classes: Sequence[str], features: str = "features", keys: Sequence[str] = ("file",)) -> Scorer:
+def linear_scorer(
+    models: dict[str, LogisticRegressionModel], classes: Sequence[str], features: str = "features", keys: Sequence[str] = ("file",)
+) -> Scorer:
     """Long scores (keys, class, logit, prob, y) from fitted models; a class without a model has logit 0."""
 
     def score(rows: DataFrame) -> DataFrame:
@@ -54,7 +69,9 @@ def linear_scorer(models: dict[str, LogisticRegressionModel], classes: Sequence[
                 continue
             w = F.array(*(F.lit(float(v)) for v in m.coefficients))
             logits.append(F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(float(m.intercept)), lambda a, b: a + b))
-        zipped = F.arrays_zip(F.array(*(F.lit(c) for c in classes)).alias("class"), F.array(*logits).alias("logit"), F.col("truth").alias("y"))
+        zipped = F.arrays_zip(
+            F.array(*(F.lit(c) for c in classes)).alias("class"), F.array(*logits).alias("logit"), F.col("truth").alias("y")
+        )
         return with_probs(rows.select(*keys, F.explode(zipped).alias("_z")).select(*keys, "_z.class", "_z.logit", "_z.y"))
 
     return score

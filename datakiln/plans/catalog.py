@@ -42,19 +42,34 @@ def _labelled(spark, d):
     return t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id").withColumn("labels", names)
 
 
-@query("multihot_encode", "SELECT doc_id, (quality = 1)::INTEGER AS m0, (toxic = 1)::INTEGER AS m1 FROM documents JOIN labels USING (doc_id)")
+@query(
+    "multihot_encode",
+    "SELECT doc_id, (quality = 1)::INTEGER AS m0, (toxic = 1)::INTEGER AS m1 FROM documents JOIN labels USING (doc_id)",
+)
 def _(spark, d):
-    return _labelled(spark, d).withColumn("m", X.labels_to_multihot(F.col("labels"), CLASSES)).select("doc_id", F.col("m")[0].alias("m0"), F.col("m")[1].alias("m1"))
+    return _labelled(spark, d).withColumn("m", X.labels_to_multihot(F.col("labels"), CLASSES)).select(
+        "doc_id", F.col("m")[0].alias("m0"), F.col("m")[1].alias("m1")
+    )
 
 
-@query("multihot_decode", "SELECT doc_id, concat_ws('|', CASE WHEN quality = 1 THEN 'quality' END, CASE WHEN toxic = 1 THEN 'toxic' END) AS labels FROM labels")
+@query(
+    "multihot_decode",
+    "SELECT doc_id, concat_ws('|', CASE WHEN quality = 1 THEN 'quality' END, CASE WHEN toxic = 1 THEN 'toxic' END) AS labels FROM labels",
+)
 def _(spark, d):
-    return t(spark, d, "labels").select("doc_id", F.array_join(X.multihot_to_labels(F.array("quality", "toxic"), CLASSES), "|").alias("labels"))
+    return t(spark, d, "labels").select(
+        "doc_id", F.array_join(X.multihot_to_labels(F.array("quality", "toxic"), CLASSES), "|").alias("labels")
+    )
 
 
 def _cells(spark, d):
     labels = F.when(F.col("o_orderstatus") == "O", F.array().cast("array<string>")).otherwise(F.array("o_orderstatus"))
-    cell = X.stratum(labels, F.lit(None).cast("array<string>"), F.nullif("o_orderpriority", F.lit("3-MEDIUM")), F.nullif("c_mktsegment", F.lit("BUILDING")))
+    cell = X.stratum(
+        labels,
+        F.lit(None).cast("array<string>"),
+        F.nullif("o_orderpriority", F.lit("3-MEDIUM")),
+        F.nullif("c_mktsegment", F.lit("BUILDING")),
+    )
     rows = t(spark, d, "orders").join(t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey")
     return rows.select("o_orderkey", "o_totalprice", cell.alias("c")).select("o_orderkey", "o_totalprice", "c.*")
 
@@ -94,7 +109,10 @@ def _(spark, d):
     return sampling.allocate_quotas(cells, TARGET).select(*BY, "available", "quota")
 
 
-SAMPLED = f"{WATER}, r AS (SELECT *, row_number() OVER (PARTITION BY defect, scene, difficulty ORDER BY md5('42:' || o_orderkey), o_orderkey) AS rn FROM c), picked AS (SELECT r.*, quota FROM r JOIN quotas USING (defect, scene, difficulty) WHERE rn <= quota)"
+SAMPLED = (
+    f"{WATER}, r AS (SELECT *, row_number() OVER (PARTITION BY defect, scene, difficulty ORDER BY md5('42:' || o_orderkey), o_orderkey) "
+    f"AS rn FROM c), picked AS (SELECT r.*, quota FROM r JOIN quotas USING (defect, scene, difficulty) WHERE rn <= quota)"
+)
 
 
 @query("stratified_sample", f"WITH {SAMPLED} SELECT o_orderkey, defect, scene, difficulty FROM picked")
@@ -102,7 +120,11 @@ def _(spark, d):
     return sampling.stratified_sample(_cells(spark, d), BY, TARGET, "o_orderkey", "o_orderkey").select("o_orderkey", *BY)
 
 
-@query("stratified_report", f"WITH {SAMPLED} SELECT *, taken < quota AS underfilled FROM (SELECT defect, scene, difficulty, q.available, q.quota, count(o_orderkey) AS taken FROM quotas q LEFT JOIN picked p USING (defect, scene, difficulty) GROUP BY ALL)")
+@query(
+    "stratified_report",
+    f"WITH {SAMPLED} SELECT *, taken < quota AS underfilled FROM (SELECT defect, scene, difficulty, q.available, q.quota, "
+    f"count(o_orderkey) AS taken FROM quotas q LEFT JOIN picked p USING (defect, scene, difficulty) GROUP BY ALL)",
+)
 def _(spark, d):
     cells = _cells(spark, d)
     picked = sampling.stratified_sample(cells, BY, TARGET, "o_orderkey", "o_orderkey")
@@ -110,7 +132,12 @@ def _(spark, d):
 
 
 def _scan(spark, d):
-    return t(spark, d, "events").select(F.col("event_id").alias("seq"), "value", ((F.col("event_type") == "view") | (F.col("value") > 90)).alias("night_ok"), (F.col("value") > 20).alias("normal_ok"))
+    return t(spark, d, "events").select(
+        F.col("event_id").alias("seq"),
+        "value",
+        ((F.col("event_type") == "view") | (F.col("value") > 90)).alias("night_ok"),
+        (F.col("value") > 20).alias("normal_ok"),
+    )
 
 
 SCAN = """e AS (SELECT event_id AS seq, value, coalesce(event_type = 'view' OR value > 90, false) AS night_ok, coalesce(value > 20, false) AS normal_ok FROM events),
@@ -124,31 +151,54 @@ def _(spark, d):
     return sampling.quota_scan(_scan(spark, d), 500, 100).select("seq", "kind", "idx")
 
 
-@query("quota_rejects", f"WITH {SCAN} SELECT seq FROM e WHERE seq NOT IN (SELECT seq FROM a) AND seq <= CASE WHEN (SELECT count(*) FILTER (kind = 'night') = 100 AND count(*) FILTER (kind = 'normal') = 500 FROM a) THEN (SELECT max(seq) FROM a) ELSE (SELECT max(seq) FROM e) END")
+@query(
+    "quota_rejects",
+    f"WITH {SCAN} SELECT seq FROM e WHERE seq NOT IN (SELECT seq FROM a) AND seq <= CASE WHEN (SELECT count(*) FILTER (kind = 'night') = "
+    f"100 AND count(*) FILTER (kind = 'normal') = 500 FROM a) THEN (SELECT max(seq) FROM a) ELSE (SELECT max(seq) FROM e) END",
+)
 def _(spark, d):
     rows = _scan(spark, d)
     return sampling.quota_rejects(rows, sampling.quota_scan(rows, 500, 100), 500, 100).select("seq")
 
 
-REASON = "CASE WHEN least(n_chars, n_chars + 100) < 320 THEN '分辨率过小' WHEN n_chars / 20e0 < CASE WHEN lang = 'de' THEN 60 ELSE 80 END THEN '天然模糊' WHEN n_chars / 30e0 < CASE WHEN lang = 'de' THEN 18 ELSE 45 END OR n_chars / 30e0 > CASE WHEN lang = 'de' THEN 88 ELSE 225 END THEN '亮度越界' END"
+REASON = (
+    "CASE WHEN least(n_chars, n_chars + 100) < 320 THEN '分辨率过小' WHEN n_chars / 20e0 < CASE WHEN lang = 'de' THEN 60 ELSE 80 END THEN "
+    "'天然模糊' WHEN n_chars / 30e0 < CASE WHEN lang = 'de' THEN 18 ELSE 45 END OR n_chars / 30e0 > CASE WHEN lang = 'de' THEN 88 ELSE 225 "
+    "END THEN '亮度越界' END"
+)
 
 
 @query("clean_frame_reason", f"SELECT doc_id, {REASON} AS reason FROM documents")
 def _(spark, d):
     n = F.col("n_chars")
-    return t(spark, d, "documents").select("doc_id", X.clean_frame_reason(n, n + 100, n / 20, n / 30, F.col("lang") == "de").alias("reason"))
+    return t(spark, d, "documents").select(
+        "doc_id", X.clean_frame_reason(n, n + 100, n / 20, n / 30, F.col("lang") == "de").alias("reason")
+    )
 
 
-@query("scene_of", "SELECT doc_id, CASE WHEN n_chars % 256 < 60 THEN 'night' WHEN n_chars % 256 < 95 AND doc_id % 100 > (doc_id * 7) % 100 + 12 AND doc_id % 100 > (doc_id * 3) % 100 THEN 'night' WHEN (doc_id % 10) / 40e0 + (n_chars % 10) / 40e0 > 0.18 THEN 'outdoor' ELSE 'indoor' END AS scene FROM documents")
+@query(
+    "scene_of",
+    "SELECT doc_id, CASE WHEN n_chars % 256 < 60 THEN 'night' WHEN n_chars % 256 < 95 AND doc_id % 100 > (doc_id * 7) % 100 + 12 AND "
+    "doc_id % 100 > (doc_id * 3) % 100 THEN 'night' WHEN (doc_id % 10) / 40e0 + (n_chars % 10) / 40e0 > 0.18 THEN 'outdoor' ELSE "
+    "'indoor' END AS scene FROM documents",
+)
 def _(spark, d):
     i, n = F.col("doc_id"), F.col("n_chars")
-    return t(spark, d, "documents").select("doc_id", X.scene_of(n % 256, i % 100, i * 3 % 100, i * 7 % 100, i % 10 / 40.0, n % 10 / 40.0).alias("scene"))
+    return t(spark, d, "documents").select(
+        "doc_id", X.scene_of(n % 256, i % 100, i * 3 % 100, i * 7 % 100, i % 10 / 40.0, n % 10 / 40.0).alias("scene")
+    )
 
 
-@query("difficulty_rollup", "SELECT l_orderkey, CASE WHEN bool_or(l_returnflag = 'A') THEN 'hard' WHEN bool_or(l_returnflag = 'N') THEN 'mid' ELSE 'easy' END AS difficulty FROM lineitem GROUP BY l_orderkey")
+@query(
+    "difficulty_rollup",
+    "SELECT l_orderkey, CASE WHEN bool_or(l_returnflag = 'A') THEN 'hard' WHEN bool_or(l_returnflag = 'N') THEN 'mid' ELSE 'easy' END AS "
+    "difficulty FROM lineitem GROUP BY l_orderkey",
+)
 def _(spark, d):
     strength = F.when(F.col("l_returnflag") == "A", "mild").when(F.col("l_returnflag") == "N", "moderate").otherwise("severe")
-    return t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set(strength).alias("s")).select("l_orderkey", X.hardest(F.col("s")).alias("difficulty"))
+    return t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set(strength).alias("s")).select(
+        "l_orderkey", X.hardest(F.col("s")).alias("difficulty")
+    )
 
 
 # ---- splits ------------------------------------------------------------------------------------------------------------
@@ -169,14 +219,25 @@ def _(spark, d):
     return _splits(spark, d)
 
 
-@query("split_stats", f"WITH {SPLIT} SELECT split, count(DISTINCT l_orderkey) AS origins, count(*) AS samples, count(*) FILTER (l_returnflag = 'A') AS n_real, count(*) FILTER (l_returnflag = 'N') AS n_procedural, count(*) FILTER (l_returnflag = 'R') AS n_aigc FROM lineitem JOIN splits USING (l_orderkey) GROUP BY split")
+@query(
+    "split_stats",
+    f"WITH {SPLIT} SELECT split, count(DISTINCT l_orderkey) AS origins, count(*) AS samples, count(*) FILTER (l_returnflag = 'A') AS "
+    f"n_real, count(*) FILTER (l_returnflag = 'N') AS n_procedural, count(*) FILTER (l_returnflag = 'R') AS n_aigc FROM lineitem JOIN "
+    f"splits USING (l_orderkey) GROUP BY split",
+)
 def _(spark, d):
     source = F.when(F.col("l_returnflag") == "A", "real").when(F.col("l_returnflag") == "N", "procedural").otherwise("aigc")
     rows = t(spark, d, "lineitem").select("l_orderkey", source.alias("source"))
     return split.split_stats(split.with_split(rows, _splits(spark, d), "l_orderkey"), "l_orderkey")
 
 
-@query("leakage_check", "WITH s AS (SELECT o_custkey, CASE WHEN o_orderkey % 97 = 0 THEN 'test' ELSE 'train' END AS split FROM orders), g AS (SELECT o_custkey, count(DISTINCT split) AS n FROM s GROUP BY 1), e AS (SELECT o_custkey FROM g WHERE n > 1 ORDER BY 1 LIMIT 10) SELECT count(*) FILTER (n > 1) = 0 AS passed, count(*) AS total_origins, count(*) FILTER (n > 1) AS leaked, (SELECT string_agg(o_custkey::VARCHAR, ',' ORDER BY o_custkey) FROM e) AS examples FROM g")
+@query(
+    "leakage_check",
+    "WITH s AS (SELECT o_custkey, CASE WHEN o_orderkey % 97 = 0 THEN 'test' ELSE 'train' END AS split FROM orders), g AS (SELECT "
+    "o_custkey, count(DISTINCT split) AS n FROM s GROUP BY 1), e AS (SELECT o_custkey FROM g WHERE n > 1 ORDER BY 1 LIMIT 10) SELECT "
+    "count(*) FILTER (n > 1) = 0 AS passed, count(*) AS total_origins, count(*) FILTER (n > 1) AS leaked, (SELECT "
+    "string_agg(o_custkey::VARCHAR, ',' ORDER BY o_custkey) FROM e) AS examples FROM g",
+)
 def _(spark, d):
     rows = t(spark, d, "orders").select("o_custkey", F.when(F.col("o_orderkey") % 97 == 0, "test").otherwise("train").alias("split"))
     return split.check_leakage(rows, "o_custkey").withColumn("examples", F.array_join(F.col("examples").cast("array<string>"), ","))
@@ -204,7 +265,11 @@ def _(spark, d):
     return _mix(spark, d)
 
 
-@query("train_mix_report", f"WITH {MIX} SELECT 0.25::DOUBLE AS ratio_target, count(*) FILTER (source = 'real') AS n_real, count(*) FILTER (source <> 'real') AS n_synthetic, round(count(*) FILTER (source <> 'real') / count(*), 6) AS ratio_actual, count(*) AS n_total FROM mix")
+@query(
+    "train_mix_report",
+    f"WITH {MIX} SELECT 0.25::DOUBLE AS ratio_target, count(*) FILTER (source = 'real') AS n_real, count(*) FILTER (source <> 'real') AS "
+    f"n_synthetic, round(count(*) FILTER (source <> 'real') / count(*), 6) AS ratio_actual, count(*) AS n_total FROM mix",
+)
 def _(spark, d):
     return sampling.mix_report(_mix(spark, d), 0.25).withColumn("ratio_actual", F.round("ratio_actual", 6))
 
@@ -215,7 +280,11 @@ def _(spark, d):
     return sampling.export_task(rows, 150, 7)[0]
 
 
-@query("round_robin_schedule", "WITH p AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS rn, count(*) OVER () AS n FROM part), i AS (SELECT unnest(range(0, 6000)) AS i) SELECT i, p_partkey FROM i JOIN p ON (i + 5) % n = rn")
+@query(
+    "round_robin_schedule",
+    "WITH p AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS rn, count(*) OVER () AS n FROM part), i AS (SELECT "
+    "unnest(range(0, 6000)) AS i) SELECT i, p_partkey FROM i JOIN p ON (i + 5) % n = rn",
+)
 def _(spark, d):
     return tables.round_robin(t(spark, d, "part").select("p_partkey"), 6000, "p_partkey", 5).select("i", "p_partkey")
 
@@ -227,7 +296,9 @@ def _(spark, d):
 
 
 def _hashes(spark, d):
-    return t(spark, d, "embeddings").select(F.col("vec_id").alias("file"), F.col("label").alias("origin_id"), X.median_hash(F.col("embedding")).alias("phash"))
+    return t(spark, d, "embeddings").select(
+        F.col("vec_id").alias("file"), F.col("label").alias("origin_id"), X.median_hash(F.col("embedding")).alias("phash")
+    )
 
 
 H = """u AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i, (list_sort(embedding)[32]::DOUBLE + list_sort(embedding)[33]::DOUBLE) / 2 AS m FROM embeddings),
@@ -243,7 +314,9 @@ def _(spark, d):
 @query("cross_origin_pairs", f"WITH {H} SELECT file_a, file_b, distance, origin_a, origin_b FROM pairs WHERE origin_a <> origin_b")
 def _(spark, d):
     h = _hashes(spark, d)
-    return dedup.with_origins(dedup.pairwise_hamming_le(h, 16), h).where("cross").drop("cross").select("file_a", "file_b", "distance", "origin_a", "origin_b")
+    return dedup.with_origins(dedup.pairwise_hamming_le(h, 16), h).where("cross").drop("cross").select(
+        "file_a", "file_b", "distance", "origin_a", "origin_b"
+    )
 
 
 def _near_hashes(spark, d):
@@ -306,7 +379,13 @@ def scores(spark, d):
     b = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id")
     n, i = F.col("n_chars"), F.col("doc_id")
     logits = F.array((n - 1200) / F.lit(800.0), (900 - n) / F.lit(700.0) + i % 7 / F.lit(7.0) - F.lit(0.5))
-    long = evaluation.to_long(b.select(i.alias("sample_id"), "lang", "source", logits.alias("logits"), F.array("quality", "toxic").alias("truth")), "logits", "truth", CLASSES, ("sample_id", "lang", "source"))
+    long = evaluation.to_long(
+        b.select(i.alias("sample_id"), "lang", "source", logits.alias("logits"), F.array("quality", "toxic").alias("truth")),
+        "logits",
+        "truth",
+        CLASSES,
+        ("sample_id", "lang", "source"),
+    )
     return evaluation.with_probs(long)
 
 
@@ -315,7 +394,10 @@ s0 AS (SELECT doc_id AS sample_id, lang, source, 'quality' AS class, (n_chars -
        UNION ALL SELECT doc_id, lang, source, 'toxic', (900 - n_chars) / 700e0 + (doc_id % 7) / 7e0 - 0.5e0, toxic FROM b),
 s AS (SELECT *, 1 / (1 + exp(-logit)) AS prob FROM s0),
 f AS (SELECT *, prob > 0.5 AS pred FROM s)"""
-PRF = "count(*) FILTER (pred AND y = 1) AS tp, count(*) FILTER (pred AND y <> 1) AS fp, count(*) FILTER (NOT pred AND y = 1) AS fn, count(*) FILTER (NOT pred AND y <> 1) AS tn"
+PRF = (
+    "count(*) FILTER (pred AND y = 1) AS tp, count(*) FILTER (pred AND y <> 1) AS fp, count(*) FILTER (NOT pred AND y = 1) AS fn, "
+    "count(*) FILTER (NOT pred AND y <> 1) AS tn"
+)
 PR = "tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall"
 F1 = "CASE WHEN precision > 0 AND recall > 0 THEN 2 * precision * recall / (precision + recall) WHEN tp + fp + fn > 0 THEN 0 END AS f1"
 
@@ -325,28 +407,57 @@ def _(spark, d):
     return evaluation.confusion(evaluation.predicted(scores(spark, d)))
 
 
-@query("prf_macro_f1", f"WITH {S}, c AS (SELECT class, {PRF} FROM f GROUP BY class), p AS (SELECT *, {PR} FROM c), r AS (SELECT *, {F1} FROM p) SELECT class, tp, fp, fn, tn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(avg(f1) OVER (), 6) AS macro_f1 FROM r")
+@query(
+    "prf_macro_f1",
+    f"WITH {S}, c AS (SELECT class, {PRF} FROM f GROUP BY class), p AS (SELECT *, {PR} FROM c), r AS (SELECT *, {F1} FROM p) SELECT "
+    f"class, tp, fp, fn, tn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(avg(f1) OVER (), 6) "
+    f"AS macro_f1 FROM r",
+)
 def _(spark, d):
     pred = evaluation.predicted(scores(spark, d))
     both = evaluation.prf(pred).crossJoin(F.broadcast(evaluation.macro_f1(pred)))
     return both.select("class", "tp", "fp", "fn", "tn", *r6("precision", "recall", "f1", "macro_f1"))
 
 
-@query("slice_metrics", f"WITH {S}, z AS (SELECT 'lang' AS key, lang AS bucket, class, pred, y FROM f UNION ALL SELECT 'source', source, class, pred, y FROM f), c AS (SELECT key, bucket, class, {PRF} FROM z GROUP BY ALL), p AS (SELECT *, {PR} FROM c), r AS (SELECT *, {F1} FROM p) SELECT key, bucket, max(tp + fp + fn + tn) AS n, round(avg(f1), 6) AS macro_f1, round(avg(recall), 6) AS macro_recall FROM r GROUP BY ALL")
+@query(
+    "slice_metrics",
+    f"WITH {S}, z AS (SELECT 'lang' AS key, lang AS bucket, class, pred, y FROM f UNION ALL SELECT 'source', source, class, pred, y FROM "
+    f"f), c AS (SELECT key, bucket, class, {PRF} FROM z GROUP BY ALL), p AS (SELECT *, {PR} FROM c), r AS (SELECT *, {F1} FROM p) SELECT "
+    f"key, bucket, max(tp + fp + fn + tn) AS n, round(avg(f1), 6) AS macro_f1, round(avg(recall), 6) AS macro_recall FROM r GROUP BY ALL",
+)
 def _(spark, d):
-    return evaluation.slice_metrics(evaluation.predicted(scores(spark, d)), ("lang", "source")).select("key", "bucket", "n", *r6("macro_f1", "macro_recall"))
+    return evaluation.slice_metrics(
+        evaluation.predicted(scores(spark, d)), ("lang", "source")
+    ).select("key", "bucket", "n", *r6("macro_f1", "macro_recall"))
 
 
-EDGES = "e AS (SELECT i::INTEGER AS bin, i * 0.1::DOUBLE AS lo, CASE WHEN i = 9 THEN 1::DOUBLE ELSE (i + 1) * 0.1::DOUBLE END AS hi FROM (SELECT unnest(range(0, 10)) AS i))"
-BINS = f"{EDGES}, q AS (SELECT bin, count(*) AS n, avg(conf) AS confidence, avg(correct::INTEGER) AS accuracy FROM pr JOIN e ON conf <= hi AND (conf > lo OR bin = 0 AND conf >= lo) GROUP BY bin), r AS (SELECT e.bin, lo, hi, coalesce(n, 0) AS n, confidence, accuracy FROM e LEFT JOIN q USING (bin))"
+EDGES = (
+    "e AS (SELECT i::INTEGER AS bin, i * 0.1::DOUBLE AS lo, CASE WHEN i = 9 THEN 1::DOUBLE ELSE (i + 1) * 0.1::DOUBLE END AS hi FROM "
+    "(SELECT unnest(range(0, 10)) AS i))"
+)
+BINS = (
+    f"{EDGES}, q AS (SELECT bin, count(*) AS n, avg(conf) AS confidence, avg(correct::INTEGER) AS accuracy FROM pr JOIN e ON conf <= hi "
+    f"AND (conf > lo OR bin = 0 AND conf >= lo) GROUP BY bin), r AS (SELECT e.bin, lo, hi, coalesce(n, 0) AS n, confidence, accuracy FROM "
+    f"e LEFT JOIN q USING (bin))"
+)
 PAIRS = f"{S}, pr AS (SELECT prob AS conf, (prob >= 0.5)::INTEGER = y AS correct FROM s)"
-SINGLE = f"{S}, g AS (SELECT sample_id, max(CASE WHEN class = 'quality' THEN prob END) AS pq, max(CASE WHEN class = 'toxic' THEN prob END) AS pt, max(CASE WHEN class = 'quality' THEN y END) AS yq, max(CASE WHEN class = 'toxic' THEN y END) AS yt FROM s GROUP BY 1), pr AS (SELECT greatest(pq, pt) AS conf, (pt > pq) = (yt > yq) AS correct FROM g)"
+SINGLE = (
+    f"{S}, g AS (SELECT sample_id, max(CASE WHEN class = 'quality' THEN prob END) AS pq, max(CASE WHEN class = 'toxic' THEN prob END) AS "
+    f"pt, max(CASE WHEN class = 'quality' THEN y END) AS yq, max(CASE WHEN class = 'toxic' THEN y END) AS yt FROM s GROUP BY 1), pr AS "
+    f"(SELECT greatest(pq, pt) AS conf, (pt > pq) = (yt > yq) AS correct FROM g)"
+)
 ECE = "round(sum(n * abs(accuracy - confidence)) / sum(n), 6)"
 
 
-@query("reliability_bins", f"WITH {PAIRS}, {BINS} SELECT bin, round(lo, 6) AS lo, round(hi, 6) AS hi, n, round(confidence, 6) AS confidence, round(accuracy, 6) AS accuracy FROM r")
+@query(
+    "reliability_bins",
+    f"WITH {PAIRS}, {BINS} SELECT bin, round(lo, 6) AS lo, round(hi, 6) AS hi, n, round(confidence, 6) AS confidence, round(accuracy, 6) "
+    f"AS accuracy FROM r",
+)
 def _(spark, d):
-    return evaluation.reliability_bins(evaluation.multilabel_pairs(scores(spark, d))).select("bin", *r6("lo", "hi"), "n", *r6("confidence", "accuracy"))
+    return evaluation.reliability_bins(evaluation.multilabel_pairs(scores(spark, d))).select(
+        "bin", *r6("lo", "hi"), "n", *r6("confidence", "accuracy")
+    )
 
 
 @query("ece_multilabel", f"WITH {PAIRS}, {BINS} SELECT {ECE} AS ece_multilabel FROM r")
@@ -364,25 +475,46 @@ def _(spark, d):
     return evaluation.brier(scores(spark, d)).select(*r6("brier"))
 
 
-CURVE = f"{S}, g AS (SELECT 0.05::DOUBLE + i * ((0.95::DOUBLE - 0.05::DOUBLE) / 80) AS threshold FROM (SELECT unnest(range(0, 81)) AS i)), c AS (SELECT class, threshold, count(*) FILTER (prob >= threshold AND y = 1) AS tp, count(*) FILTER (prob >= threshold AND y <> 1) AS fp, count(*) FILTER (prob < threshold AND y = 1) AS fn FROM s, g GROUP BY ALL), v AS (SELECT class, threshold, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall FROM c)"
+CURVE = (
+    f"{S}, g AS (SELECT 0.05::DOUBLE + i * ((0.95::DOUBLE - 0.05::DOUBLE) / 80) AS threshold FROM (SELECT unnest(range(0, 81)) AS i)), c "
+    f"AS (SELECT class, threshold, count(*) FILTER (prob >= threshold AND y = 1) AS tp, count(*) FILTER (prob >= threshold AND y <> 1) AS "
+    f"fp, count(*) FILTER (prob < threshold AND y = 1) AS fn FROM s, g GROUP BY ALL), v AS (SELECT class, threshold, coalesce(tp / "
+    f"nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall FROM c)"
+)
 
 
-@query("threshold_curve", f"WITH {CURVE} SELECT class, round(threshold, 6) AS threshold, round(precision, 6) AS precision, round(recall, 6) AS recall FROM v")
+@query(
+    "threshold_curve",
+    f"WITH {CURVE} SELECT class, round(threshold, 6) AS threshold, round(precision, 6) AS precision, round(recall, 6) AS recall FROM v",
+)
 def _(spark, d):
     return evaluation.threshold_curve(scores(spark, d)).select("class", *r6("threshold", "precision", "recall"))
 
 
-@query("threshold_search", f"WITH {CURVE}, o AS (SELECT *, recall >= 0.95 AS meets, row_number() OVER (PARTITION BY class ORDER BY recall >= 0.95 DESC, CASE WHEN recall >= 0.95 THEN precision ELSE round_even(recall, 4) END DESC, threshold) AS rn FROM v) SELECT class, round(threshold, 6) AS threshold, round(precision, 6) AS precision, round(recall, 6) AS recall, meets AS meets_recall_floor FROM o WHERE rn = 1")
+@query(
+    "threshold_search",
+    f"WITH {CURVE}, o AS (SELECT *, recall >= 0.95 AS meets, row_number() OVER (PARTITION BY class ORDER BY recall >= 0.95 DESC, CASE "
+    f"WHEN recall >= 0.95 THEN precision ELSE round_even(recall, 4) END DESC, threshold) AS rn FROM v) SELECT class, round(threshold, 6) "
+    f"AS threshold, round(precision, 6) AS precision, round(recall, 6) AS recall, meets AS meets_recall_floor FROM o WHERE rn = 1",
+)
 def _(spark, d):
     return evaluation.search_thresholds(scores(spark, d)).select("class", *r6("threshold", "precision", "recall"), "meets_recall_floor")
 
 
-@query("pos_weight", f"WITH {S} SELECT class, round(count(*) FILTER (y <> 1) / greatest(count(*) FILTER (y = 1), 1), 6) AS pos_weight FROM s GROUP BY class")
+@query(
+    "pos_weight",
+    f"WITH {S} SELECT class, round(count(*) FILTER (y <> 1) / greatest(count(*) FILTER (y = 1), 1), 6) AS pos_weight FROM s GROUP BY class",
+)
 def _(spark, d):
     return evaluation.pos_weight(scores(spark, d)).select("class", *r6("pos_weight"))
 
 
-@query("temperature_nll_grid", f"WITH {S}, g AS (SELECT (0.5 + 0.1 * i)::DOUBLE AS temperature FROM (SELECT unnest(range(0, 31)) AS i)), z AS (SELECT temperature, logit / temperature AS z, y FROM s, g) SELECT round(temperature, 6) AS temperature, round(avg(greatest(z, 0) - z * y + ln(1 + exp(-abs(z)))), 6) AS nll FROM z GROUP BY 1")
+@query(
+    "temperature_nll_grid",
+    f"WITH {S}, g AS (SELECT (0.5 + 0.1 * i)::DOUBLE AS temperature FROM (SELECT unnest(range(0, 31)) AS i)), z AS (SELECT temperature, "
+    f"logit / temperature AS z, y FROM s, g) SELECT round(temperature, 6) AS temperature, round(avg(greatest(z, 0) - z * y + ln(1 + "
+    f"exp(-abs(z)))), 6) AS nll FROM z GROUP BY 1",
+)
 def _(spark, d):
     return calibration.nll_grid(scores(spark, d), [round(0.5 + 0.1 * i, 1) for i in range(31)]).select(*r6("temperature", "nll"))
 
@@ -453,45 +585,97 @@ def _(spark, d):
 # ---- agreement and consistency -----------------------------------------------------------------------------------------
 def _guessed(spark, d):
     rows = _labelled(spark, d)
-    guess = F.filter(F.array(F.when(F.col("n_chars") > 400, "quality"), F.when(F.col("n_chars") % 5 == 0, "toxic")), lambda x: x.isNotNull())
-    return rows.select(F.col("doc_id").alias("file"), F.col("source").alias("origin_id"), F.col("lang").alias("source"), "labels", guess.alias("labels_pred"), F.create_map(F.lit("quality"), F.col("n_chars") / F.lit(1000.0)).alias("scores"))
+    guess = F.filter(
+        F.array(F.when(F.col("n_chars") > 400, "quality"), F.when(F.col("n_chars") % 5 == 0, "toxic")), lambda x: x.isNotNull()
+    )
+    return rows.select(
+        F.col("doc_id").alias("file"),
+        F.col("source").alias("origin_id"),
+        F.col("lang").alias("source"),
+        "labels",
+        guess.alias("labels_pred"),
+        F.create_map(F.lit("quality"), F.col("n_chars") / F.lit(1000.0)).alias("scores"),
+    )
 
 
 G = """g AS (SELECT doc_id AS file, source AS origin_id, lang AS source, n_chars, quality = 1 AS q, toxic = 1 AS x, n_chars > 400 AS gq, n_chars % 5 = 0 AS gx FROM documents JOIN labels USING (doc_id))"""
-IOU = "CASE WHEN (q OR gq)::INTEGER + (x OR gx)::INTEGER = 0 THEN 1 ELSE ((q AND gq)::INTEGER + (x AND gx)::INTEGER) / ((q OR gq)::INTEGER + (x OR gx)::INTEGER) END"
+IOU = (
+    "CASE WHEN (q OR gq)::INTEGER + (x OR gx)::INTEGER = 0 THEN 1 ELSE ((q AND gq)::INTEGER + (x AND gx)::INTEGER) / ((q OR gq)::INTEGER "
+    "+ (x OR gx)::INTEGER) END"
+)
 
 
 @query("label_iou", f"WITH {G} SELECT file, round({IOU}, 6) AS iou, q = gq AND x = gx AS exact_match FROM g")
 def _(spark, d):
     g = _guessed(spark, d)
-    return g.select("file", F.round(X.label_iou(F.col("labels"), F.col("labels_pred")), 6).alias("iou"), X.same_labels(F.col("labels"), F.col("labels_pred")).alias("exact_match"))
+    return g.select(
+        "file",
+        F.round(X.label_iou(F.col("labels"), F.col("labels_pred")), 6).alias("iou"),
+        X.same_labels(F.col("labels"), F.col("labels_pred")).alias("exact_match"),
+    )
 
 
-@query("kappa_multilabel", f"WITH {G}, p AS (SELECT 'quality' AS class, q::INTEGER AS a, gq::INTEGER AS b FROM g UNION ALL SELECT 'toxic', x::INTEGER, gx::INTEGER FROM g), s AS (SELECT class, count(*) AS n, avg((a = b)::INTEGER) AS po, avg(a) * avg(b) + (1 - avg(a)) * (1 - avg(b)) AS pe FROM p GROUP BY class) SELECT class, n, round((po - pe) / (1 - pe), 6) AS kappa FROM s")
+@query(
+    "kappa_multilabel",
+    f"WITH {G}, p AS (SELECT 'quality' AS class, q::INTEGER AS a, gq::INTEGER AS b FROM g UNION ALL SELECT 'toxic', x::INTEGER, "
+    f"gx::INTEGER FROM g), s AS (SELECT class, count(*) AS n, avg((a = b)::INTEGER) AS po, avg(a) * avg(b) + (1 - avg(a)) * (1 - avg(b)) "
+    f"AS pe FROM p GROUP BY class) SELECT class, n, round((po - pe) / (1 - pe), 6) AS kappa FROM s",
+)
 def _(spark, d):
     g = _guessed(spark, d)
     merged = agreement.merge_annotations(g.select("file", "labels"), g.select("file", F.col("labels_pred").alias("labels")))
     return agreement.kappa_per_class(agreement.long_pairs(merged, CLASSES)).select("class", "n", *r6("kappa"))
 
 
-@query("annotator_merge", "SELECT doc_id AS file, lang AS a, coalesce(CASE WHEN toxic = 1 THEN 'toxic' ELSE '' END, '') AS b FROM documents LEFT JOIN labels USING (doc_id)")
+@query(
+    "annotator_merge",
+    "SELECT doc_id AS file, lang AS a, coalesce(CASE WHEN toxic = 1 THEN 'toxic' ELSE '' END, '') AS b FROM documents LEFT JOIN labels "
+    "USING (doc_id)",
+)
 def _(spark, d):
     a = t(spark, d, "documents").select(F.col("doc_id").alias("file"), F.array("lang").alias("labels"))
-    b = t(spark, d, "labels").select(F.col("doc_id").alias("file"), F.when(F.col("toxic") == 1, F.array(F.lit("toxic"))).otherwise(F.array().cast("array<string>")).alias("labels"))
-    return agreement.merge_annotations(a, b).select("file", F.array_join("annotator1", "|").alias("a"), F.array_join("annotator2", "|").alias("b"))
-
-
-@query("consistency_report", f"WITH {G} SELECT count(*) AS n, round(avg((q = gq AND x = gx)::INTEGER), 6) AS exact_rate, round(avg({IOU}), 6) AS mean_iou, count(*) FILTER (NOT (q = gq AND x = gx)) AS review_size, round(1 - count(*) FILTER (NOT (q = gq AND x = gx)) / count(*), 6) AS consistency, round(count(*) FILTER (NOT q AND NOT x AND (gq OR gx)) / nullif(count(*) FILTER (NOT q AND NOT x), 0), 6) AS clean_false_alarm, round(count(*) FILTER ((q OR x) AND NOT gq AND NOT gx) / nullif(count(*) FILTER (q OR x), 0), 6) AS defect_missed, round(avg(q::INTEGER + x::INTEGER), 6) AS mean_labels, round(avg(gq::INTEGER + gx::INTEGER), 6) AS mean_labels_pred FROM g")
-def _(spark, d):
-    return consistency.consistency_report(_guessed(spark, d)).select("n", *r6("exact_rate", "mean_iou"), "review_size", *r6("consistency", "clean_false_alarm", "defect_missed", "mean_labels", "mean_labels_pred"))
-
-
-@query("consistency_recall", f"WITH {G} SELECT 'quality' AS class, count(*) AS support, round(avg(gq::INTEGER), 6) AS recall FROM g WHERE q UNION ALL SELECT 'toxic', count(*), round(avg(gx::INTEGER), 6) FROM g WHERE x")
+    b = t(spark, d, "labels").select(
+        F.col("doc_id").alias("file"),
+        F.when(F.col("toxic") == 1, F.array(F.lit("toxic"))).otherwise(F.array().cast("array<string>")).alias("labels"),
+    )
+    return agreement.merge_annotations(a, b).select(
+        "file", F.array_join("annotator1", "|").alias("a"), F.array_join("annotator2", "|").alias("b")
+    )
+
+
+@query(
+    "consistency_report",
+    f"WITH {G} SELECT count(*) AS n, round(avg((q = gq AND x = gx)::INTEGER), 6) AS exact_rate, round(avg({IOU}), 6) AS mean_iou, "
+    f"count(*) FILTER (NOT (q = gq AND x = gx)) AS review_size, round(1 - count(*) FILTER (NOT (q = gq AND x = gx)) / count(*), 6) AS "
+    f"consistency, round(count(*) FILTER (NOT q AND NOT x AND (gq OR gx)) / nullif(count(*) FILTER (NOT q AND NOT x), 0), 6) AS "
+    f"clean_false_alarm, round(count(*) FILTER ((q OR x) AND NOT gq AND NOT gx) / nullif(count(*) FILTER (q OR x), 0), 6) AS "
+    f"defect_missed, round(avg(q::INTEGER + x::INTEGER), 6) AS mean_labels, round(avg(gq::INTEGER + gx::INTEGER), 6) AS mean_labels_pred "
+    f"FROM g",
+)
+def _(spark, d):
+    return consistency.consistency_report(_guessed(spark, d)).select(
+        "n",
+        *r6("exact_rate", "mean_iou"),
+        "review_size",
+        *r6("consistency", "clean_false_alarm", "defect_missed", "mean_labels", "mean_labels_pred"),
+    )
+
+
+@query(
+    "consistency_recall",
+    f"WITH {G} SELECT 'quality' AS class, count(*) AS support, round(avg(gq::INTEGER), 6) AS recall FROM g WHERE q UNION ALL SELECT "
+    f"'toxic', count(*), round(avg(gx::INTEGER), 6) FROM g WHERE x",
+)
 def _(spark, d):
     return consistency.consistency_recall(_guessed(spark, d), CLASSES).select("class", "support", *r6("recall"))
 
 
-@query("review_queue", f"WITH {G} SELECT file, origin_id, source, concat_ws('|', CASE WHEN q THEN 'quality' END, CASE WHEN x THEN 'toxic' END) AS rule_labels, concat_ws('|', CASE WHEN gq THEN 'quality' END, CASE WHEN gx THEN 'toxic' END) AS vlm_labels, 'pending' AS status FROM g WHERE NOT (q = gq AND x = gx)")
+@query(
+    "review_queue",
+    f"WITH {G} SELECT file, origin_id, source, concat_ws('|', CASE WHEN q THEN 'quality' END, CASE WHEN x THEN 'toxic' END) AS "
+    f"rule_labels, concat_ws('|', CASE WHEN gq THEN 'quality' END, CASE WHEN gx THEN 'toxic' END) AS vlm_labels, 'pending' AS status FROM "
+    f"g WHERE NOT (q = gq AND x = gx)",
+)
 def _(spark, d):
     return consistency.review_queue(_guessed(spark, d)).drop("scores")
 
@@ -499,7 +683,9 @@ def _(spark, d):
 def _indicators(spark, d):
     rows = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id")
     blank = F.length("text") - F.length(F.translate("text", " ", ""))
-    return rows.select("doc_id", "quality", F.col("n_chars").cast("double").alias("size"), (blank / F.greatest("n_chars", F.lit(1))).alias("blank"))
+    return rows.select(
+        "doc_id", "quality", F.col("n_chars").cast("double").alias("size"), (blank / F.greatest("n_chars", F.lit(1))).alias("blank")
+    )
 
 
 I = """i AS (SELECT doc_id, quality, n_chars::DOUBLE AS size, (length(text) - length(replace(text, ' ', ''))) / greatest(n_chars, 1) AS blank FROM documents JOIN labels USING (doc_id)),
@@ -518,16 +704,31 @@ def _(spark, d):
     return _rules(spark, d).select("indicator", *r6("threshold", "scale"))
 
 
-@query("rule_predict", f"WITH {I}, m AS (SELECT max(CASE WHEN indicator = 'size' THEN threshold END) AS ts, max(CASE WHEN indicator = 'size' THEN scale END) AS ss, max(CASE WHEN indicator = 'blank' THEN threshold END) AS tb, max(CASE WHEN indicator = 'blank' THEN scale END) AS sb FROM rules), z AS (SELECT doc_id, 1 / (1 + exp(greatest(-30, least(30, (size - ts) / ss)))) AS short, 1 / (1 + exp(-greatest(-30, least(30, (blank - tb) / sb)))) AS airy FROM i, m) SELECT doc_id, concat_ws('|', CASE WHEN short > 0.5 THEN 'short' END, CASE WHEN airy > 0.5 THEN 'airy' END) AS labels_pred, round(short, 6) AS short, round(airy, 6) AS airy FROM z")
+@query(
+    "rule_predict",
+    f"WITH {I}, m AS (SELECT max(CASE WHEN indicator = 'size' THEN threshold END) AS ts, max(CASE WHEN indicator = 'size' THEN scale END) "
+    f"AS ss, max(CASE WHEN indicator = 'blank' THEN threshold END) AS tb, max(CASE WHEN indicator = 'blank' THEN scale END) AS sb FROM "
+    f"rules), z AS (SELECT doc_id, 1 / (1 + exp(greatest(-30, least(30, (size - ts) / ss)))) AS short, 1 / (1 + exp(-greatest(-30, "
+    f"least(30, (blank - tb) / sb)))) AS airy FROM i, m) SELECT doc_id, concat_ws('|', CASE WHEN short > 0.5 THEN 'short' END, CASE WHEN "
+    f"airy > 0.5 THEN 'airy' END) AS labels_pred, round(short, 6) AS short, round(airy, 6) AS airy FROM z",
+)
 def _(spark, d):
-    out = consistency.run_backend("rule", _indicators(spark, d), rules=_rules(spark, d), class_of={"size": "short", "blank": "airy"}, low_side=("size",))
-    return out.select("doc_id", F.array_join("labels_pred", "|").alias("labels_pred"), *(F.round(F.col("scores")[c], 6).alias(c) for c in ("short", "airy")))
+    out = consistency.run_backend(
+        "rule", _indicators(spark, d), rules=_rules(spark, d), class_of={"size": "short", "blank": "airy"}, low_side=("size",)
+    )
+    return out.select(
+        "doc_id",
+        F.array_join("labels_pred", "|").alias("labels_pred"),
+        *(F.round(F.col("scores")[c], 6).alias(c) for c in ("short", "airy")),
+    )
 
 
 def _similar(spark, d):
     e = t(spark, d, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"), F.posexplode("embedding").alias("i", "x"))
     means = e.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    dots = e.join(F.broadcast(means.select(F.col("label").alias("class"), "i", "m")), "i").groupBy("vec_id", "class").agg(F.sum(F.col("x") * F.col("m")).alias("dot"))
+    dots = e.join(
+        F.broadcast(means.select(F.col("label").alias("class"), "i", "m")), "i"
+    ).groupBy("vec_id", "class").agg(F.sum(F.col("x") * F.col("m")).alias("dot"))
     names = F.when(F.col("class") == "0", "normal").otherwise(F.concat(F.lit("c"), "class"))
     return dots.select("vec_id", names.alias("class"), F.round("dot", 9).alias("similarity"))
 
@@ -540,27 +741,42 @@ z AS (SELECT vec_id, max(CASE WHEN class = 'normal' THEN pr END) AS pn, max(CASE
 k AS (SELECT vec_id, class, row_number() OVER (PARTITION BY vec_id ORDER BY pr DESC, class) AS rn FROM q WHERE class <> 'normal' AND pr > 0.18)
 SELECT z.vec_id, CASE WHEN pn >= pm THEN '' ELSE coalesce((SELECT string_agg(class, '|' ORDER BY rn) FROM k WHERE k.vec_id = z.vec_id AND rn <= 3), '') END AS labels_pred FROM z""")
 def _(spark, d):
-    return consistency.prototype_decision(_similar(spark, d), ["vec_id"]).select("vec_id", F.array_join("labels_pred", "|").alias("labels_pred"))
+    return consistency.prototype_decision(_similar(spark, d), ["vec_id"]).select(
+        "vec_id", F.array_join("labels_pred", "|").alias("labels_pred")
+    )
 
 
 @query("answer_parse", """WITH a AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'x {"labels": ["blur", "dark", "blur"]} y' WHEN 1 THEN '{"labels": ["noise", "other"]}' WHEN 2 THEN '{broken ' || text || '}' ELSE text END AS answer FROM conversations)
 SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'blur|dark|blur' WHEN 1 THEN 'noise' ELSE '' END AS labels FROM a""")
 def _(spark, d):
     turn = F.col("turn") % 4
-    answer = F.when(turn == 0, 'x {"labels": ["blur", "dark", "blur"]} y').when(turn == 1, '{"labels": ["noise", "other"]}').when(turn == 2, F.concat(F.lit("{broken "), "text", F.lit("}"))).otherwise(F.col("text"))
+    answer = F.when(turn == 0, 'x {"labels": ["blur", "dark", "blur"]} y').when(turn == 1, '{"labels": ["noise", "other"]}').when(
+        turn == 2, F.concat(F.lit("{broken "), "text", F.lit("}"))
+    ).otherwise(F.col("text"))
     return t(spark, d, "conversations").select("conv_id", "turn", F.array_join(X.answer_labels(answer), "|").alias("labels"))
 
 
 PHRASES = ("the", "tion", "que", "und", "ció", "ment")
 
 
-@query("prompt_labels", "SELECT doc_id, concat_ws('|', CASE WHEN n_chars % 2 = 0 THEN 'blur' END, CASE WHEN n_chars % 3 = 0 THEN 'dark' END) AS labels FROM documents")
+@query(
+    "prompt_labels",
+    "SELECT doc_id, concat_ws('|', CASE WHEN n_chars % 2 = 0 THEN 'blur' END, CASE WHEN n_chars % 3 = 0 THEN 'dark' END) AS labels FROM "
+    "documents",
+)
 def _(spark, d):
-    prompt = F.concat(F.when(F.col("n_chars") % 2 == 0, "A Motion Blur photo ").otherwise("A photo "), F.when(F.col("n_chars") % 3 == 0, "very dark").otherwise(""))
+    prompt = F.concat(
+        F.when(F.col("n_chars") % 2 == 0, "A Motion Blur photo ").otherwise("A photo "),
+        F.when(F.col("n_chars") % 3 == 0, "very dark").otherwise(""),
+    )
     return t(spark, d, "documents").select("doc_id", F.array_join(X.prompt_labels(prompt), "|").alias("labels"))
 
 
-@query("split_labels", "SELECT doc_id, array_to_string(list_filter(list_transform(string_split(replace(text, '|', ','), ','), lambda x: trim(x, ' ')), lambda x: x <> ''), '/') AS labels FROM documents")
+@query(
+    "split_labels",
+    "SELECT doc_id, array_to_string(list_filter(list_transform(string_split(replace(text, '|', ','), ','), lambda x: trim(x, ' ')), "
+    "lambda x: x <> ''), '/') AS labels FROM documents",
+)
 def _(spark, d):
     return t(spark, d, "documents").select("doc_id", F.array_join(X.split_labels(F.col("text")), "/").alias("labels"))
 
@@ -574,7 +790,9 @@ x AS (SELECT coalesce(b.file, c.file) AS file, CASE WHEN c.file IS NULL THEN 'mi
 def _diff(spark, d):
     docs, i = t(spark, d, "documents"), F.col("doc_id")
     base = docs.where(i % 10 != 0).select(i.alias("file"), F.when(i % 11 == 0, "").otherwise(F.md5("text")).alias("sha1"))
-    now = docs.where(i % 9 != 0).select(i.alias("file"), F.when(i % 7 == 0, F.md5(F.concat("text", F.lit("!")))).otherwise(F.md5("text")).alias("sha1"))
+    now = docs.where(i % 9 != 0).select(
+        i.alias("file"), F.when(i % 7 == 0, F.md5(F.concat("text", F.lit("!")))).otherwise(F.md5("text")).alias("sha1")
+    )
     return tables.compare(base, now)
 
 
@@ -583,9 +801,22 @@ def _(spark, d):
     return _diff(spark, d)
 
 
-@query("manifest_diff_report", f"WITH {DIFF}, k AS (SELECT status, file, row_number() OVER (PARTITION BY status ORDER BY file) AS rn FROM x) SELECT count(*) FILTER (status = 'matched') AS matched, count(*) FILTER (status = 'missing') AS missing, count(*) FILTER (status = 'extra') AS extra, count(*) FILTER (status = 'mismatch') AS mismatch, count(*) FILTER (status IN ('missing', 'mismatch')) = 0 AS ok, (SELECT string_agg(file::VARCHAR, ',' ORDER BY file) FROM k WHERE status = 'missing' AND rn <= 10) AS missing_examples FROM x")
+@query(
+    "manifest_diff_report",
+    f"WITH {DIFF}, k AS (SELECT status, file, row_number() OVER (PARTITION BY status ORDER BY file) AS rn FROM x) SELECT count(*) FILTER "
+    f"(status = 'matched') AS matched, count(*) FILTER (status = 'missing') AS missing, count(*) FILTER (status = 'extra') AS extra, "
+    f"count(*) FILTER (status = 'mismatch') AS mismatch, count(*) FILTER (status IN ('missing', 'mismatch')) = 0 AS ok, (SELECT "
+    f"string_agg(file::VARCHAR, ',' ORDER BY file) FROM k WHERE status = 'missing' AND rn <= 10) AS missing_examples FROM x",
+)
 def _(spark, d):
-    return tables.compare_report(_diff(spark, d)).select("matched", "missing", "extra", "mismatch", "ok", F.array_join(F.col("missing_examples").cast("array<string>"), ",").alias("missing_examples"))
+    return tables.compare_report(_diff(spark, d)).select(
+        "matched",
+        "missing",
+        "extra",
+        "mismatch",
+        "ok",
+        F.array_join(F.col("missing_examples").cast("array<string>"), ",").alias("missing_examples"),
+    )
 
 
 @query("load_index", "SELECT user_id, arg_max(event_type, event_id) AS last_type FROM events GROUP BY user_id")
@@ -603,28 +834,72 @@ def _(spark, d):
     return tables.new_rows(t(spark, d, "documents"), t(spark, d, "labels"), "doc_id").select("doc_id")
 
 
-@query("eval_export", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS rn FROM documents) SELECT source || '/' || lang AS file, md5(text) AS sha1, source, lang AS origin_id, CASE WHEN lang = 'en' THEN '' ELSE 'blur' END AS labels, 'indoor' AS scene, CASE WHEN lang = 'en' THEN 'none' ELSE 'mid' END AS difficulty, CASE WHEN lang = 'en' THEN 'normal' ELSE 'blur' END AS defect_type, 0::VARCHAR AS longtail, 'auto' AS review_status FROM r WHERE rn = 1")
-def _(spark, d):
-    rows = t(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.concat_ws("/", "source", "lang").alias("file"), F.md5("text").alias("sha1"), "source", F.col("lang").alias("origin_id"), F.when(F.col("lang") == "en", F.array().cast("array<string>")).otherwise(F.array(F.lit("blur"))).alias("labels"), F.lit("indoor").alias("scene"), F.when(F.col("lang") == "en", "none").otherwise("mid").alias("difficulty"))
+@query(
+    "eval_export",
+    "WITH r AS (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS rn FROM documents) SELECT source || '/' || "
+    "lang AS file, md5(text) AS sha1, source, lang AS origin_id, CASE WHEN lang = 'en' THEN '' ELSE 'blur' END AS labels, 'indoor' AS "
+    "scene, CASE WHEN lang = 'en' THEN 'none' ELSE 'mid' END AS difficulty, CASE WHEN lang = 'en' THEN 'normal' ELSE 'blur' END AS "
+    "defect_type, 0::VARCHAR AS longtail, 'auto' AS review_status FROM r WHERE rn = 1",
+)
+def _(spark, d):
+    rows = t(spark, d, "documents").select(
+        F.col("doc_id").alias("seq"),
+        F.concat_ws("/", "source", "lang").alias("file"),
+        F.md5("text").alias("sha1"),
+        "source",
+        F.col("lang").alias("origin_id"),
+        F.when(F.col("lang") == "en", F.array().cast("array<string>")).otherwise(F.array(F.lit("blur"))).alias("labels"),
+        F.lit("indoor").alias("scene"),
+        F.when(F.col("lang") == "en", "none").otherwise("mid").alias("difficulty"),
+    )
     return tables.eval_csv_rows(tables.eval_rows(rows))
 
 
-@query("keep_first", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events) WHERE rn = 1")
+@query(
+    "keep_first",
+    "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events) WHERE rn = 1",
+)
 def _(spark, d):
     return dedup.keep_first(t(spark, d, "events"), "user_id", "event_id").select("user_id", "event_id")
 
 
 def _runs(spark, d):
     price, day = F.col("o_totalprice"), F.col("o_orderkey")
-    return t(spark, d, "orders").select(day.alias("seq"), F.col("o_orderpriority").alias("model"), (F.col("o_custkey") % 5 / F.lit(4.0)).alias("ratio"), (price / 500000).alias("macro_f1"), (price / 900000).alias("ece_multilabel"), F.when(day % 3 != 0, price / 800000).alias("brier"), (price / 100).alias("train_seconds"), day.alias("n_total"), F.when(F.col("o_orderstatus") == "P", "failed").alias("error"))
-
-
-SUMMARY = "g AS (SELECT o_orderpriority AS model, (o_custkey % 5) / 4e0 AS ratio, count(*) AS n_seeds, arg_min(o_orderkey, o_orderkey) AS n_train, avg(o_totalprice / 500000) AS macro_f1_mean, stddev_pop(o_totalprice / 500000) AS macro_f1_std, avg(o_totalprice / 900000) AS ece_mean, avg(CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice / 800000 ELSE 0 END) AS brier_mean, avg(o_totalprice / 100) AS seconds_mean FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL)"
-
-
-@query("ablation_summary", f"WITH {SUMMARY} SELECT model, ratio, n_seeds, n_train, round(macro_f1_mean, 6) AS macro_f1_mean, round(macro_f1_std, 6) AS macro_f1_std, round(ece_mean, 6) AS ece_mean, round(brier_mean, 6) AS brier_mean, round(seconds_mean, 4) AS seconds_mean FROM g")
-def _(spark, d):
-    return tables.summarize(_runs(spark, d)).select("model", "ratio", "n_seeds", "n_train", *r6("macro_f1_mean", "macro_f1_std", "ece_mean", "brier_mean"), F.round("seconds_mean", 4).alias("seconds_mean"))
+    return t(spark, d, "orders").select(
+        day.alias("seq"),
+        F.col("o_orderpriority").alias("model"),
+        (F.col("o_custkey") % 5 / F.lit(4.0)).alias("ratio"),
+        (price / 500000).alias("macro_f1"),
+        (price / 900000).alias("ece_multilabel"),
+        F.when(day % 3 != 0, price / 800000).alias("brier"),
+        (price / 100).alias("train_seconds"),
+        day.alias("n_total"),
+        F.when(F.col("o_orderstatus") == "P", "failed").alias("error"),
+    )
+
+
+SUMMARY = (
+    "g AS (SELECT o_orderpriority AS model, (o_custkey % 5) / 4e0 AS ratio, count(*) AS n_seeds, arg_min(o_orderkey, o_orderkey) AS "
+    "n_train, avg(o_totalprice / 500000) AS macro_f1_mean, stddev_pop(o_totalprice / 500000) AS macro_f1_std, avg(o_totalprice / 900000) "
+    "AS ece_mean, avg(CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice / 800000 ELSE 0 END) AS brier_mean, avg(o_totalprice / 100) AS "
+    "seconds_mean FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL)"
+)
+
+
+@query(
+    "ablation_summary",
+    f"WITH {SUMMARY} SELECT model, ratio, n_seeds, n_train, round(macro_f1_mean, 6) AS macro_f1_mean, round(macro_f1_std, 6) AS "
+    f"macro_f1_std, round(ece_mean, 6) AS ece_mean, round(brier_mean, 6) AS brier_mean, round(seconds_mean, 4) AS seconds_mean FROM g",
+)
+def _(spark, d):
+    return tables.summarize(_runs(spark, d)).select(
+        "model",
+        "ratio",
+        "n_seeds",
+        "n_train",
+        *r6("macro_f1_mean", "macro_f1_std", "ece_mean", "brier_mean"),
+        F.round("seconds_mean", 4).alias("seconds_mean"),
+    )
 
 
 @query("best_group", f"WITH {SUMMARY} SELECT model, ratio FROM g ORDER BY round_even(macro_f1_mean, 4) DESC, model, ratio LIMIT 1")
@@ -632,26 +907,55 @@ def _(spark, d):
     return tables.best_group(tables.summarize(_runs(spark, d))).select("model", "ratio")
 
 
-@query("acceptance_checks", f"WITH {SUMMARY} SELECT 'macro_f1' AS \"check\", round(macro_f1_mean, 6) AS value, 0.85::DOUBLE AS target, macro_f1_mean >= 0.85 AS passed FROM (SELECT * FROM g ORDER BY round_even(macro_f1_mean, 4) DESC, model, ratio LIMIT 1) UNION ALL SELECT 'recall_blur', round(0.97::DOUBLE, 6), 0.95::DOUBLE, true UNION ALL SELECT 'recall_low_res', round(0.9::DOUBLE, 6), 0.95::DOUBLE, false")
+@query(
+    "acceptance_checks",
+    f"WITH {SUMMARY} SELECT 'macro_f1' AS \"check\", round(macro_f1_mean, 6) AS value, 0.85::DOUBLE AS target, macro_f1_mean >= 0.85 AS "
+    f"passed FROM (SELECT * FROM g ORDER BY round_even(macro_f1_mean, 4) DESC, model, ratio LIMIT 1) UNION ALL SELECT 'recall_blur', "
+    f"round(0.97::DOUBLE, 6), 0.95::DOUBLE, true UNION ALL SELECT 'recall_low_res', round(0.9::DOUBLE, 6), 0.95::DOUBLE, false",
+)
 def _(spark, d):
     summary = tables.summarize(_runs(spark, d))
-    recalls = summary.select("model", "ratio", F.explode(F.array(F.struct(F.lit("blur").alias("class"), F.lit(0.97).alias("recall_mean")), F.struct(F.lit("low_res").alias("class"), F.lit(0.9).alias("recall_mean")))).alias("r")).select("model", "ratio", "r.*")
+    recalls = summary.select(
+        "model",
+        "ratio",
+        F.explode(
+            F.array(
+                F.struct(F.lit("blur").alias("class"), F.lit(0.97).alias("recall_mean")),
+                F.struct(F.lit("low_res").alias("class"), F.lit(0.9).alias("recall_mean")),
+            )
+        ).alias("r"),
+    ).select("model", "ratio", "r.*")
     return tables.acceptance(summary, recalls).withColumn("value", F.round("value", 6))
 
 
-@query("resume_worklist", "WITH g AS (SELECT DISTINCT user_id::VARCHAR AS exp_id FROM events) SELECT exp_id FROM g WHERE exp_id NOT IN (SELECT user_id::VARCHAR FROM events WHERE value > 99)")
+@query(
+    "resume_worklist",
+    "WITH g AS (SELECT DISTINCT user_id::VARCHAR AS exp_id FROM events) SELECT exp_id FROM g WHERE exp_id NOT IN (SELECT "
+    "user_id::VARCHAR FROM events WHERE value > 99)",
+)
 def _(spark, d):
-    e = t(spark, d, "events").select(F.col("user_id").cast("string").alias("exp_id"), F.when(F.col("value") > 99, F.lit(None).cast("string")).otherwise("failed").alias("error"))
+    e = t(spark, d, "events").select(
+        F.col("user_id").cast("string").alias("exp_id"),
+        F.when(F.col("value") > 99, F.lit(None).cast("string")).otherwise("failed").alias("error"),
+    )
     return tables.worklist(e.select("exp_id").distinct(), e)
 
 
-@query("count_by_source", "SELECT coalesce(d.source, '?') AS source, count(*) AS n FROM labels l LEFT JOIN documents d ON l.doc_id + 1 = d.doc_id AND d.doc_id % 5 <> 0 GROUP BY 1")
+@query(
+    "count_by_source",
+    "SELECT coalesce(d.source, '?') AS source, count(*) AS n FROM labels l LEFT JOIN documents d ON l.doc_id + 1 = d.doc_id AND d.doc_id "
+    "% 5 <> 0 GROUP BY 1",
+)
 def _(spark, d):
     files = t(spark, d, "labels").select((F.col("doc_id") + 1).alias("file"))
     return dedup.count_by(files, t(spark, d, "documents").where("doc_id % 5 <> 0").withColumnRenamed("doc_id", "file"))
 
 
-@query("best_epoch", "SELECT l_suppkey, max_by(l_linenumber, struct_pack(v := round(l_quantity), e := -l_linenumber)) AS epoch, round(max(round(l_quantity)), 6) AS macro_f1 FROM lineitem GROUP BY 1")
+@query(
+    "best_epoch",
+    "SELECT l_suppkey, max_by(l_linenumber, struct_pack(v := round(l_quantity), e := -l_linenumber)) AS epoch, "
+    "round(max(round(l_quantity)), 6) AS macro_f1 FROM lineitem GROUP BY 1",
+)
 def _(spark, d):
     rows = t(spark, d, "lineitem").select("l_suppkey", F.col("l_linenumber").alias("epoch"), F.round("l_quantity").alias("macro_f1"))
     return evaluation.best_epoch(rows, ["l_suppkey"])

@@ -13,12 +13,16 @@ from datakiln.operators.sampling import quota_rejects, quota_scan
 def judged(frames: DataFrame) -> DataFrame:
     """frames (seq, image) with measures, scene, and the reasons against it by day and by night (null if none)."""
     m = with_scene_stats(assess_quality(frames)).withColumn("width", F.col("image.width")).withColumn("height", F.col("image.height"))
-    m = m.withColumn("scene", scene_of(*(F.col(c) for c in ("mean", "b", "g", "r", "sky", "green")))).drop("mean", "b", "g", "r", "sky", "green")
+    m = m.withColumn(
+        "scene", scene_of(*(F.col(c) for c in ("mean", "b", "g", "r", "sky", "green")))
+    ).drop("mean", "b", "g", "r", "sky", "green")
 
     def reason(night: bool) -> Column:
         return clean_frame_reason(F.col("width"), F.col("height"), F.col("lap_var"), F.col("mean_lum"), F.lit(night))
 
-    return m.withColumn("normal_reason", reason(False)).withColumn("night_reason", reason(True)).withColumn("normal_ok", F.col("normal_reason").isNull()).withColumn("night_ok", F.col("night_reason").isNull() & (F.col("scene") == "night"))
+    return m.withColumn("normal_reason", reason(False)).withColumn("night_reason", reason(True)).withColumn("normal_ok", F.col("normal_reason").isNull()).withColumn(
+        "night_ok", F.col("night_reason").isNull() & (F.col("scene") == "night")
+    )
 
 
 def collect_quota(frames: DataFrame, num: int, night_quota: int) -> tuple[DataFrame, DataFrame]:
@@ -33,4 +37,19 @@ def collect_quota(frames: DataFrame, num: int, night_quota: int) -> tuple[DataFr
 def real_rows(taken: DataFrame) -> DataFrame:
     """Manifest rows of clean frames, named by their running number; frames taken for the night quota are night scenes."""
     name = F.format_string("real_%06d", F.col("idx"))
-    return taken.select("seq", F.concat(F.lit("real/"), name, F.lit(".png")).alias("file"), F.sha1("image.data").alias("sha1"), F.lit("real").alias("source"), name.alias("origin_id"), F.array().cast("array<string>").alias("labels"), F.when(F.col("kind") == "night", "night").otherwise(F.col("scene")).alias("scene"), F.lit("none").alias("difficulty"), "width", "height", "mean_lum", "lap_var", F.lit("unassigned").alias("split"), "image")
+    return taken.select(
+        "seq",
+        F.concat(F.lit("real/"), name, F.lit(".png")).alias("file"),
+        F.sha1("image.data").alias("sha1"),
+        F.lit("real").alias("source"),
+        name.alias("origin_id"),
+        F.array().cast("array<string>").alias("labels"),
+        F.when(F.col("kind") == "night", "night").otherwise(F.col("scene")).alias("scene"),
+        F.lit("none").alias("difficulty"),
+        "width",
+        "height",
+        "mean_lum",
+        "lap_var",
+        F.lit("unassigned").alias("split"),
+        "image",
+    )

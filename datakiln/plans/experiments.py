@@ -48,7 +48,9 @@ def run_single(data: DataFrame, run: dict, classes: Sequence[str], out: str, opt
     found = evaluation.evaluate(test, classes, spark.read.parquet(f"{path}/thresholds"), sample="file")
     sizes = mix_report(mix, run["ratio"]).select("n_real", "n_synthetic", "ratio_actual", "n_total")
     named = [F.lit(run[k]).alias(k) for k in ("exp_id", "model", "ratio", "seed")]
-    row = found.select("macro_f1", "ece_multilabel", "brier", "per_class").crossJoin(sizes).select(*named, "*", F.lit(seconds).alias("train_seconds"))
+    row = found.select(
+        "macro_f1", "ece_multilabel", "brier", "per_class"
+    ).crossJoin(sizes).select(*named, "*", F.lit(seconds).alias("train_seconds"))
     return row.withColumn("error", F.lit(None).cast("string"))
 
 
@@ -67,11 +69,15 @@ def run_grid(data: DataFrame, grid: DataFrame, classes: Sequence[str], out: str,
             row.coalesce(1).write.mode("append").json(log)
         except Exception as failure:  # the grid goes on; the run is tried again next time
             failed = [(time.time_ns(), run.exp_id, run.model, run.ratio, run.seed, str(failure)[:500])]
-            spark.createDataFrame(failed, "seq long, exp_id string, model string, ratio double, seed int, error string").write.mode("append").json(log)
+            spark.createDataFrame(
+                failed, "seq long, exp_id string, model string, ratio double, seed int, error string"
+            ).write.mode("append").json(log)
     return load_runs(spark, log)
 
 
-def tune(data: DataFrame, variants: dict[str, dict[str, str]], classes: Sequence[str], out: str, ratio: float = 0.5, seed: int = 42) -> DataFrame:
+def tune(
+    data: DataFrame, variants: dict[str, dict[str, str]], classes: Sequence[str], out: str, ratio: float = 0.5, seed: int = 42
+) -> DataFrame:
     """name and metrics of each variant of options, the best first."""
     rows = None
     for name, options in sorted(variants.items()):
@@ -85,9 +91,13 @@ def benchmark(data: DataFrame, classes: Sequence[str], samples: int = 6400, epoc
     """model, images_per_second of scoring, and the hours that a grid would take at that rate."""
     rate = []
     for name, options in sorted(MODELS.items()):
-        models = scorers.train(scorers.samples(data, classes, "train"), classes, iterations=int(options["iterations"]), l2=float(options["l2"]))
+        models = scorers.train(
+            scorers.samples(data, classes, "train"), classes, iterations=int(options["iterations"]), l2=float(options["l2"])
+        )
         rate.append((name, scorers.throughput(scorers.linear_scorer(models, classes, keys=KEYS), scorers.samples(data, classes))))
-    return tables.extrapolated_hours(data.sparkSession.createDataFrame(rate, "model string, images_per_second double"), samples, epochs, runs)
+    return tables.extrapolated_hours(
+        data.sparkSession.createDataFrame(rate, "model string, images_per_second double"), samples, epochs, runs
+    )
 
 
 def unique_files(rows: DataFrame, key: str = "file") -> int:

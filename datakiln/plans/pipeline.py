@@ -60,7 +60,9 @@ def curate(
     return Dataset(done.join(pixels, "file"), written(frozen, "eval"))
 
 
-def experiment(val: DataFrame, test: DataFrame, classes: tuple[str, ...], keys: tuple[str, ...] = ("scene", "difficulty", "source")) -> tuple[DataFrame, DataFrame, DataFrame]:
+def experiment(
+    val: DataFrame, test: DataFrame, classes: tuple[str, ...], keys: tuple[str, ...] = ("scene", "difficulty", "source")
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Thresholds found on val only, and the metrics and slices of test at them; both hold long scores with prob."""
     thresholds = evaluation.search_thresholds(val)
     pred = evaluation.predicted(test, thresholds)

@@ -25,13 +25,17 @@ EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "webp")
 def read_images(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """origin, image; files that cannot be decoded are dropped."""
     glob = "*.{" + ",".join(e for x in EXTENSIONS for e in (x, x.upper())) + "}"
-    found = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", glob).load(path)
+    found = spark.read.format("image").option("dropInvalid", True).option(
+        "recursiveFileLookup", str(recursive).lower()
+    ).option("pathGlobFilter", glob).load(path)
     return found.select(F.col("image.origin").alias("origin"), "image")
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """path, length and SHA-1 of the bytes of every file."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", F.sha1("content").alias("sha1"))
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(
+        "path", "length", F.sha1("content").alias("sha1")
+    )
 
 
 def collect_from_dir(spark: SparkSession, path: str, num: int) -> DataFrame:
@@ -43,7 +47,9 @@ def collect_from_dir(spark: SparkSession, path: str, num: int) -> DataFrame:
     scene = scene_of(*(F.col(c) for c in ("mean", "b", "g", "r", "sky", "green")))
     rows = m.withColumn("scene", scene).withColumn("width", F.col("image.width")).withColumn("height", F.col("image.height"))
     reason = clean_frame_reason(F.col("width"), F.col("height"), F.col("lap_var"), F.col("mean_lum"), F.col("scene") == "night")
-    return rows.withColumn("reason", reason).where("reason is null").orderBy("origin").limit(num).drop("reason", "mean", "b", "g", "r", "sky", "green")
+    return rows.withColumn("reason", reason).where("reason is null").orderBy("origin").limit(num).drop(
+        "reason", "mean", "b", "g", "r", "sky", "green"
+    )
 
 
 def list_shards(spark: SparkSession, pattern: str) -> list[str]:
@@ -87,7 +93,9 @@ def png_bytes(img: np.ndarray) -> bytes:
     def part(name: bytes, data: bytes) -> bytes:
         return struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
 
-    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows.tobytes(), 6)) + part(b"IEND", b"")
+    return b"\x89PNG\r\n\x1a\n" + part(
+        b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)
+    ) + part(b"IDAT", zlib.compress(rows.tobytes(), 6)) + part(b"IEND", b"")
 
 
 IMAGE = "origin string, height int, width int, nChannels int, mode int, data binary"

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 MANIFEST = (
-    "seq long, file string, sha1 string, source string, origin_id string, labels array<string>, params string, scene string, difficulty string,"
-    "width int, height int, mean_lum double, lap_var double, parent_sha1 string, split string, phash string, dedup_removed boolean, dedup_reason string,"
+    "seq long, file string, sha1 string, source string, origin_id string, labels array<string>, params string, scene string, difficulty "
+    "string,"
+    "width int, height int, mean_lum double, lap_var double, parent_sha1 string, split string, phash string, dedup_removed boolean, "
+    "dedup_reason string,"
     "aigc_backend string, eval_longtail boolean, review_status string, defect_override string"
 )
 
@@ -64,7 +66,9 @@ def export_manifest_json(df: DataFrame, path: str, one_array: bool = False) -> N
 
 def write_report(df: DataFrame, path: str) -> None:
     """A report of one row as pretty JSON."""
-    df.select(F.to_json(F.struct("*"), {"pretty": "true", "ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    df.select(
+        F.to_json(F.struct("*"), {"pretty": "true", "ignoreNullFields": "false"}).alias("value")
+    ).coalesce(1).write.mode("overwrite").text(path)
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:

@@ -13,7 +13,9 @@ BOM = "﻿"
 
 
 def check_readable(spark: SparkSession, path: str) -> None:
-    heads = spark.read.format("binaryFile").load(path).where(F.substring("content", 1, len(PROTECTED)) == F.lit(PROTECTED)).select("path").limit(1).collect()
+    heads = spark.read.format("binaryFile").load(path).where(
+        F.substring("content", 1, len(PROTECTED)) == F.lit(PROTECTED)
+    ).select("path").limit(1).collect()
     if heads:
         raise ValueError(f"{heads[0].path} is encrypted by a protection tool")
 
@@ -37,7 +39,10 @@ def _labels(df: DataFrame, name: str) -> Column:
     if name not in df.columns:
         return F.array().cast("array<string>")
     if df.schema[name].dataType.typeName() == "array":
-        return F.coalesce(F.filter(F.transform(F.col(name).cast("array<string>"), lambda x: F.trim(x)), lambda x: x != ""), F.array().cast("array<string>"))
+        return F.coalesce(
+            F.filter(F.transform(F.col(name).cast("array<string>"), lambda x: F.trim(x)), lambda x: x != ""),
+            F.array().cast("array<string>"),
+        )
     return split_labels(F.col(name))
 
 
@@ -54,4 +59,6 @@ def read_single(spark: SparkSession, path: str) -> DataFrame:
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     """file, annotator1, annotator2 of a merged sheet."""
     rows = read_rows(spark, path)
-    return rows.select(F.trim("file").alias("file"), *(_labels(rows, f"annotator{i}").alias(f"annotator{i}") for i in (1, 2))).where(F.coalesce("file", F.lit("")) != "")
+    return rows.select(
+        F.trim("file").alias("file"), *(_labels(rows, f"annotator{i}").alias(f"annotator{i}") for i in (1, 2))
+    ).where(F.coalesce("file", F.lit("")) != "")

@@ -42,7 +42,16 @@ def test_measures(spark, folder):
     assert images.collect_from_dir(spark, folder, 3).count() == 0  # all are too small
 
 
-@pytest.mark.parametrize("name,kernel", [*degrade.DEGRADE.items(), *((f"edit_{k}", v) for k, v in degrade.EDITS.items()), *((f"tail_{k}", v[1]) for k, v in degrade.LONGTAIL.items()), ("clean", degrade.clean_edit), ("chromatic", degrade.chromatic)])
+@pytest.mark.parametrize(
+    "name,kernel",
+    [
+        *degrade.DEGRADE.items(),
+        *((f"edit_{k}", v) for k, v in degrade.EDITS.items()),
+        *((f"tail_{k}", v[1]) for k, v in degrade.LONGTAIL.items()),
+        ("clean", degrade.clean_edit),
+        ("chromatic", degrade.chromatic),
+    ],
+)
 @pytest.mark.parametrize("strength", degrade.STRENGTHS)
 def test_kernels(name, kernel, strength):
     img = scene(1)
@@ -60,7 +69,17 @@ def test_kernels(name, kernel, strength):
 
 def _real(spark, folder):
     rows = images.read_images(spark, folder).withColumn("seq", F.regexp_extract("origin", r"(\d)\.png", 1).cast("long"))
-    return rows.select("seq", F.concat(F.lit("real/"), F.col("seq").cast("string")).alias("file"), F.sha1("image.data").alias("sha1"), F.lit("real").alias("source"), F.concat(F.lit("real_"), F.col("seq").cast("string")).alias("origin_id"), F.array().cast("array<string>").alias("labels"), F.lit("indoor").alias("scene"), F.lit("none").alias("difficulty"), "image")
+    return rows.select(
+        "seq",
+        F.concat(F.lit("real/"), F.col("seq").cast("string")).alias("file"),
+        F.sha1("image.data").alias("sha1"),
+        F.lit("real").alias("source"),
+        F.concat(F.lit("real_"), F.col("seq").cast("string")).alias("origin_id"),
+        F.array().cast("array<string>").alias("labels"),
+        F.lit("indoor").alias("scene"),
+        F.lit("none").alias("difficulty"),
+        "image",
+    )
 
 
 def test_generators_are_repeatable(spark, folder, tmp_path):
@@ -151,10 +170,16 @@ def test_kernels_against_plain_loops():
     g = image.gray(img).astype(int)
     h, w = g.shape
     at = lambda i, n: -i if i < 0 else 2 * n - 2 - i if i >= n else i  # noqa: E731  mirrored without the edge
-    lap = [[g[at(y - 1, h), x] + g[at(y + 1, h), x] + g[y, at(x - 1, w)] + g[y, at(x + 1, w)] - 4 * g[y, x] for x in range(w)] for y in range(h)]
+    lap = [
+        [
+            g[at(y - 1, h), x] + g[at(y + 1, h), x] + g[y, at(x - 1, w)] + g[y, at(x + 1, w)] - 4 * g[y, x] for x in range(w)
+        ] for y in range(h)
+    ]
     assert np.array_equal(image.laplacian(image.gray(img)), lap)
     kernel = np.arange(9.0).reshape(3, 3)
-    plain = [[sum(kernel[i, j] * g[at(y + i - 1, h), at(x + j - 1, w)] for i in range(3) for j in range(3)) for x in range(w)] for y in range(h)]
+    plain = [
+        [sum(kernel[i, j] * g[at(y + i - 1, h), at(x + j - 1, w)] for i in range(3) for j in range(3)) for x in range(w)] for y in range(h)
+    ]
     assert np.allclose(image.convolved(image.gray(img)[:, :, None], kernel)[:, :, 0], plain)
     small = image.resized(img, 6, 4)
     for y in range(6):

@@ -24,12 +24,22 @@ def test_banded_pairs_equal_brute_force(spark):
     df = spark.createDataFrame(rows, "file string, phash long")
     for t in (0, 4, 9):
         got = {(p.file_a, p.file_b, p.distance) for p in dedup.pairwise_hamming_le(df, t).collect()}
-        want = {(f"f{i:03d}", f"f{j:03d}", (values[i] ^ values[j]).bit_count()) for i in range(len(values)) for j in range(i + 1, len(values)) if (values[i] ^ values[j]).bit_count() <= t}
+        want = {
+            (
+                f"f{i:03d}", f"f{j:03d}", (values[i] ^ values[j]).bit_count()
+            ) for i in range(len(values)) for j in range(i + 1, len(values)) if (values[i] ^ values[j]).bit_count() <= t
+        }
         assert got == want
 
 
 def test_dedup_chain_keeps_the_first_source(spark):
-    rows = [("a", "o1", "aigc", 0b0000, "x"), ("b", "o2", "real", 0b1111, "x"), ("c", "o1", "procedural", 0b11111111, "y"), ("d", "o4", "real", 1 << 40 | 0xFFFF0000, ""), ("e", "o5", "real", None, "z")]
+    rows = [
+        ("a", "o1", "aigc", 0b0000, "x"),
+        ("b", "o2", "real", 0b1111, "x"),
+        ("c", "o1", "procedural", 0b11111111, "y"),
+        ("d", "o4", "real", 1 << 40 | 0xFFFF0000, ""),
+        ("e", "o5", "real", None, "z"),
+    ]
     df = spark.createDataFrame(rows, "file string, origin_id string, source string, phash long, sha1 string")
     marked = dedup.dedup(df)
     assert {r.file for r in marked.where("dedup_removed").collect()} == {"a", "c"}
@@ -153,7 +163,10 @@ def test_kappa_edges(spark):
 def test_answers_and_labels(spark):
     df = spark.createDataFrame([('ok {"labels": ["dark", "x", "dark"]}',), ("{bad",), (None,), ('{"labels": "dark"}',)], "a string")
     assert [r[0] for r in df.select(X.answer_labels(F.col("a"))).collect()] == [["dark", "dark"], [], [], []]
-    one = df.limit(1).select(X.label_iou(F.array().cast("array<string>"), F.array().cast("array<string>")).alias("e"), X.split_labels(F.lit(" a| b,,c ")).alias("s")).first()
+    one = df.limit(1).select(
+        X.label_iou(F.array().cast("array<string>"), F.array().cast("array<string>")).alias("e"),
+        X.split_labels(F.lit(" a| b,,c ")).alias("s"),
+    ).first()
     assert one.e == 1.0 and one.s == ["a", "b", "c"]
 
 

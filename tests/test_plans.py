@@ -15,7 +15,9 @@ def test_scorer_to_metrics(spark):
         x = [r.gauss(0, 1), r.gauss(0, 1)]
         labels = [c for c, v in zip(("blur", "dark"), x) if v + r.gauss(0, 0.3) > 0.5]
         rows.append((f"f{i}", "real", "train" if i % 4 else "val", labels, x, i % 7 == 0))
-    df = spark.createDataFrame(rows, "file string, source string, split string, labels array<string>, features array<double>, dedup_removed boolean")
+    df = spark.createDataFrame(
+        rows, "file string, source string, split string, labels array<string>, features array<double>, dedup_removed boolean"
+    )
     classes = ("blur", "dark", "noise")
     models = scorers.train(scorers.samples(df, classes, "train"), classes)
     assert set(models) == {"blur", "dark"}
@@ -23,7 +25,9 @@ def test_scorer_to_metrics(spark):
     val = score(scorers.samples(df, classes, "val")).withColumnRenamed("file", "sample_id")
     per = {x["class"]: x.f1 for x in evaluation.prf(evaluation.predicted(val)).collect()}
     assert per["blur"] > 0.7 and per["dark"] > 0.7 and per["noise"] is None
-    _, metrics, slices = pipeline.experiment(val.withColumn("source", F.lit("real")), val.withColumn("source", F.lit("real")), classes, ("source",))
+    _, metrics, slices = pipeline.experiment(
+        val.withColumn("source", F.lit("real")), val.withColumn("source", F.lit("real")), classes, ("source",)
+    )
     assert metrics.first().macro_f1 > 0.5 and slices.count() == 1
     assert scorers.samples(df, classes, limit=5).count() == 5 and scorers.throughput(score, scorers.samples(df, classes, "val")) > 0
 
