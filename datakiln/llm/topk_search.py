@@ -6,7 +6,7 @@ inequality the largest difference between two rows' entries is a lower bound of
 bound of their inner product.
 
 Rows lie in slices and queries in groups, by nearest centre and in pieces of bounded size. Each group first searches the
-slices of its own centre, which gives every query a score that its k-th best reaches at least. Then the pairs of groups and
+slices of its own centre, which gives its queries a score that their k-th best reaches at least. Then the pairs of groups and
 slices are bounded as wholes, from the intervals of their entries and from centres and radii, and only pairs that can still
 hold a result are sent to a task at all. There, rows whose bound is below a query's k-th best score so far are eliminated,
 and the rest is evaluated in the order of the bounds until the next bound is below. The k best of all slices are merged.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from datakiln.llm.common import saved, table
 
 K, PIVOTS, CENTRES, SAMPLE = 20, 32, 512, 2048
-QUERY_ROWS, SLICE_ROWS = 8192, 32_768
+QUERY_ROWS, SLICE_ROWS = 4096, 32_768
 CHUNK, BLOCK = 64, 2048
 #: Groups or slices whose bounds a task compares with as many others.
 BOUNDS = 2048
@@ -179,12 +179,22 @@ def nearest(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.concat(out, ignore_index=True)
 
 
-def indexed(rows: DataFrame, centres: np.ndarray, n_cells: int, sample: tuple[np.ndarray, np.ndarray], k: int) -> DataFrame:
-    """rows with dist (to the first PIVOTS centres, in bytes), norm, cell, near and floor.
+def indexed(
+    rows: DataFrame, centres: np.ndarray, cells: tuple[int, int], sample: tuple[np.ndarray, np.ndarray], k: int
+) -> DataFrame:
+    """rows with dist (to the first PIVOTS centres, in bytes), norm, cell and near, and for queries q_cell, q_near and floor.
 
-    cell is the nearest of the first n_cells centres and near the distance to it; -1 if the row is too large or there is none.
+    A cell is the nearest of the first centres, as many as cells says for rows and for queries, and near is the distance to
+    it; the cell is -1 if the row is too large or there is no centre.
     """
 
+    def nearest_of(dist: np.ndarray, small: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        cell, near = np.full(len(dist), -1, dtype=np.int32), np.zeros(len(dist))
+        if len(centres):
+            cell[small] = dist[small, :n].argmin(axis=1)
+            near[small] = dist[small, :n].min(axis=1)
+        return cell, near
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
@@ -192,18 +202,17 @@ def indexed(rows: DataFrame, centres: np.ndarray, n_cells: int, sample: tuple[np
             x = _matrix(b.column("vec").to_pylist())
             norm, dist = _norms(x), pivot_distances(x, centres)
             small = norm < EXACT
-            cell, near = np.full(len(x), -1), np.zeros(len(x))
-            if len(centres):
-                cell[small] = dist[small, :n_cells].argmin(axis=1)
-                near[small] = dist[small, :n_cells].min(axis=1)
+            found = [v for n in cells for v in nearest_of(dist, small, n)]
             asks = b.column("is_query").to_numpy(zero_copy_only=False).astype(bool)
             floor = np.full(len(x), LEAST)
             floor[asks] = sample_floors(x[asks], b.column("row").to_numpy()[asks], sample, k)
             table = pa.array([d.tobytes() for d in dist[:, :PIVOTS]], pa.binary())
-            values = [table, *map(pa.array, (norm, cell.astype(np.int32), near, floor))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *values], names=[*b.schema.names, "dist", "norm", "cell", "near", "floor"])
+            values = [table, *map(pa.array, (norm, *found, floor))]
+            names = ["dist", "norm", "cell", "near", "q_cell", "q_near", "floor"]
+            yield pa.RecordBatch.from_arrays([*b.columns, *values], names=[*b.schema.names, *names])
 
-    schema = "row long, vec_id long, is_query boolean, vec binary, dist binary, norm double, cell int, near double, floor double"
+    own = "row long, vec_id long, is_query boolean, vec binary, dist binary, norm double"
+    schema = f"{own}, cell int, near double, q_cell int, q_near double, floor double"
     return saved(rows.mapInArrow(run, schema), "pivot-table")
 
 
@@ -306,12 +315,14 @@ def searched(vectors: DataFrame, is_query: Column, k: int = K) -> tuple[DataFram
     rows = saved(given.mapInArrow(_quantized, "row long, vec_id long, is_query boolean, vec binary"), "whole-vectors")
     drawn = rows.select("row", "vec").orderBy(F.xxhash64("row", F.lit(17)), "row").limit(SAMPLE).toPandas()
     sample = (drawn.row.to_numpy(dtype=np.int64), _matrix(drawn.vec))
-    n = rows.count()
+    n, n_queries = rows.agg(F.count("*"), F.count_if("is_query")).first()
     n_cells = min(CENTRES, max(1, -(-n // SLICE_ROWS), min(2 * spark.sparkContext.defaultParallelism, n // 1024)))
+    n_groups = min(n_cells, max(1, -(-n_queries // QUERY_ROWS)))  # each group meets copies of the slices, so few of them
     centres = farthest_first(sample[1], max(PIVOTS, n_cells))
-    index = indexed(rows, centres, n_cells, sample, k)
-    slices = saved(_in_parts(index, SLICE_ROWS), "slices")
-    queries = saved(_in_parts(index.where("is_query"), QUERY_ROWS), "queries")
+    index = indexed(rows, centres, (n_cells, n_groups), sample, k)
+    slices = saved(_in_parts(index.drop("q_cell", "q_near"), SLICE_ROWS), "slices")
+    asked = index.where("is_query").withColumn("cell", F.col("q_cell")).withColumn("near", F.col("q_near"))
+    queries = saved(_in_parts(asked.drop("q_cell", "q_near"), QUERY_ROWS), "queries")
 
     held = extents(slices)
     s_of = held.select(F.col("part").alias("s"), "cell")

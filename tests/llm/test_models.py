@@ -433,6 +433,7 @@ def test_topk_with_a_far_vector_and_rows_on_one_axis(spark, monkeypatch, far):
 def test_topk_leaves_pairs_out(spark, monkeypatch):
     """Tight clusters that point apart: most pairs of groups and slices are never sent."""
     monkeypatch.setattr(topk_search, "SLICE_ROWS", 60)
+    monkeypatch.setattr(topk_search, "QUERY_ROWS", 6)
     rng = np.random.default_rng(12)
     rows = [(i, (8 * np.eye(10)[i % 10] + rng.normal(size=10) * 0.02).tolist()) for i in range(1200)]
     found, pairs, held = topk_search.searched(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0)
