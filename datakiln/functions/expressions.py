@@ -110,7 +110,10 @@ def split_labels(text: Column) -> Column:
 
 
 def percent(value: Column, digits: int = 1) -> Column:
-    return F.when(value.isNull(), "n/a").otherwise(F.format_string(f"%.{digits}f%%", value * 100))
+    """A share as a percentage; what lies exactly between two numbers goes to the even one."""
+    pattern = F.lit("0." + "0" * digits if digits else "0")
+    shown = F.call_function("format_number", (value * 100).cast("double"), pattern)
+    return F.when(value.isNull(), "n/a").otherwise(F.concat(shown, F.lit("%")))
 
 
 def relative_path(path: Column, root: str) -> Column:

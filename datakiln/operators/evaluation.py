@@ -33,7 +33,7 @@ def with_auto_probs(scores: DataFrame, value: str = "prob") -> DataFrame:
     """Scores that hold a negative anywhere are logits and go through the sigmoid; one scalar decides for all."""
     low = scores.agg((F.min(value) < 0).alias("_logits"))
     return scores.crossJoin(F.broadcast(low)).withColumn(
-        value, F.when("_logits", sigmoid(F.col(value))).otherwise(F.col(value))
+        value, F.when(F.col("_logits"), sigmoid(F.col(value))).otherwise(F.col(value))
     ).drop("_logits")
 
 

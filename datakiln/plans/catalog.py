@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from datakiln.functions import expressions as X
 from datakiln.operators import agreement, calibration, consistency, dedup, evaluation, sampling, split, tables
-from datakiln.plans import image_queries
+from datakiln.plans import image_queries, table_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -961,5 +961,5 @@ def _(spark, d):
     return evaluation.best_epoch(rows, ["l_suppkey"])
 
 
-QUERIES |= image_queries.QUERIES
-ORACLE_SQL |= image_queries.ORACLE_SQL
+QUERIES |= image_queries.QUERIES | table_queries.QUERIES
+ORACLE_SQL |= image_queries.ORACLE_SQL | table_queries.ORACLE_SQL
