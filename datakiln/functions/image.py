@@ -11,6 +11,8 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 #: Weights of blue, green and red in luminance.
 LUMA = np.array([0.114, 0.587, 0.299])
+#: Kernel entries that are added up one by one.
+MOST_TAPS = 64
 
 
 def pixels(row: dict) -> np.ndarray | None:
@@ -61,9 +63,8 @@ def resized(img: np.ndarray, height: int, width: int, how: str = "auto") -> np.n
     rows = (_area_weights if height < h and how != "linear" else _linear_weights)(h, height)
     cols = (_area_weights if width < w and how != "linear" else _linear_weights)(w, width)
     x = img.astype(np.float64)
-    out = np.einsum("ij,jk...->ik...", rows, x)
-    out = np.einsum("kj,ij...->ik...", cols, out)
-    return clipped(out)
+    out = np.tensordot(rows, x, axes=(1, 0))
+    return clipped(np.moveaxis(np.tensordot(cols, out, axes=(1, 1)), 0, 1))
 
 
 def keep_aspect(img: np.ndarray, longest: int = 960) -> np.ndarray:
@@ -80,8 +81,12 @@ def convolved(img: np.ndarray, kernel: np.ndarray) -> np.ndarray:
     mode = "reflect" if min(img.shape[:2]) > max(kh, kw) // 2 else "edge"
     p = np.pad(img.astype(np.float64), ((kh // 2, kh // 2), (kw // 2, kw // 2)) + ((0, 0),) * (img.ndim - 2), mode=mode)
     h, w = img.shape[:2]
+    taps = np.nonzero(kernel)
+    if len(taps[0]) > MOST_TAPS:  # dense kernels by the Fourier transform
+        power = np.fft.rfft2(p, axes=(0, 1)) * np.conj(np.fft.rfft2(kernel, p.shape[:2])).reshape(p.shape[0], -1, *(1,) * (img.ndim - 2))
+        return np.fft.irfft2(power, p.shape[:2], axes=(0, 1))[:h, :w]
     out = np.zeros(img.shape)
-    for i, j in zip(*np.nonzero(kernel)):
+    for i, j in zip(*taps):
         out += kernel[i, j] * p[i : i + h, j : j + w]
     return out
 
