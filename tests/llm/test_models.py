@@ -439,3 +439,23 @@ def test_topk_leaves_pairs_out(spark, monkeypatch):
     found, pairs, held = topk_search.searched(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0)
     assert sorted(tuple(r) for r in found.collect()) == _plain_topk(rows, 20)
     assert pairs.count() < 0.2 * held.count() * held.select("cell").distinct().count()
+
+
+def test_near_duplicates_of_nulls_and_repeated_rows(spark):
+    same = _body(1, 40)
+    rows = [(None, same), (7, same), (7, same), (8, same + " end"), (2, None), (3, ""), (None, " \n"), (9, "one two")]
+    got = simhash.without_near_duplicates(spark.createDataFrame(
+        [(d, x, None, None, None) for d, x in rows], "doc_id long, text string, lang string, source string, n_chars long"
+    )).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(7, same), (2, None), (9, "one two")], key=str)
+
+
+def test_mixed_takes_each_repeated_row_by_itself(spark):
+    rows = [(1, "good text about cats")] * 3 + [(None, None), (4, "")]
+    docs = spark.createDataFrame(
+        [(d, x, None, None, None) for d, x in rows], "doc_id long, text string, lang string, source string, n_chars long"
+    )
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    got = [(r.doc_id, r.text) for r in mixing.mixed(docs, labels, {"high": 1.0}).collect()]
+    assert sorted(got, key=str) == sorted(rows, key=str)  # all are high: every rate is one
+    assert mixing.mixed(docs, labels, {"high": 1.0}, budget=0.0).count() < len(rows)
