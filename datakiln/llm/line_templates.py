@@ -40,7 +40,7 @@ from datakiln.llm.simhash import components, joined_up
 DEPTH, SIMILAR = 3, 7
 MIN_DOCUMENTS, MOST_DROPPED = 4, 50
 #: Lines of a block compared with as many at once, lines a task takes, and cells of a comparison held in memory.
-GROUP, SHARD, CELLS = 2000, 50_000, 1 << 21
+GROUP, SHARD, CELLS = 2000, 10_000, 1 << 18
 #: Leaves that are few enough to be sent to every task.
 FEW_LEAVES = 500_000
 #: Bytes of text tokenised at once.
@@ -103,7 +103,7 @@ def _facts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in steps(batch, "text"):
+            for part in steps(batch, "text", STEP):
                 columns = zip(*map(line_facts, part.column("text").to_pylist()))
                 values = [pa.array(c, kind) for c, kind in zip(columns, FACTS.values())]
                 yield pa.RecordBatch.from_arrays([part.column("row"), *values], names=["row", *FACTS])
