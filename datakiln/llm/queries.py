@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
-from datakiln.llm import language_id, line_rules, line_templates, mixing, pieces, sharding, simhash, token_store, topk_search, warc
+from datakiln.llm import (
+    language_id,
+    lexical_search,
+    line_rules,
+    line_templates,
+    mixing,
+    pieces,
+    sharding,
+    simhash,
+    token_store,
+    topk_search,
+    warc,
+    whitening,
+)
 
 QUERIES = {
     "op1_token_store": token_store.op1_token_store,
@@ -15,6 +28,8 @@ QUERIES = {
     "op8_line_frequency": line_rules.op8_line_frequency,
     "op9_mixing": mixing.op9_mixing,
     "op10_simhash": simhash.op10_simhash,
+    "op11_wand": lexical_search.op11_wand,
+    "op12_whitening": whitening.op12_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -22,4 +37,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_topk": topk_search.OP6_SQL,
     "op7_extendible_shards": sharding.OP7_SQL,
     "op8_line_frequency": line_rules.OP8_SQL,
+    "op11_wand": lexical_search.OP11_SQL,
 }

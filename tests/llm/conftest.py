@@ -9,7 +9,7 @@ LONG = " ".join(f"word{i % 977} tail{i % 31}," for i in range(40_000))
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, row long, start string, fp double, p string, drop int"
 
 
-def _tables(spark, top, documents, pages, embeddings, labels):
+def _tables(spark, top, documents, pages, embeddings, labels, benchmark):
     spark.createDataFrame(
         [(*d, 7, "x", 0.5, "y", 1) for d in documents], DOCUMENTS
     ).repartition(2).write.parquet(f"{top}/documents.parquet")
@@ -22,6 +22,9 @@ def _tables(spark, top, documents, pages, embeddings, labels):
     spark.createDataFrame(
         [(*x, 1.0) for x in labels], "doc_id long, quality int, toxic int, label double"
     ).write.parquet(f"{top}/labels.parquet")
+    spark.createDataFrame(
+        [(*x, 1, "t", 2) for x in benchmark], "item_id long, text string, term int, shard string, row int"
+    ).write.parquet(f"{top}/benchmark.parquet")
     return str(top)
 
 
@@ -71,12 +74,23 @@ def edge(spark, tmp_path_factory):
         (8, [1.0, 0.5], 1),
     ]
     labels = [(1, 1, 0), (2, None, 1), (3, 1, 0), (3, 0, 0), (4, 1, 0), (7, 0, 1), (None, 1, 1), (99, 1, 0), (9, 1, 0)]
-    return _tables(spark, top, documents, pages, embeddings, labels)
+    benchmark = [
+        (1, None),
+        (2, ""),
+        (None, "the same TEXT twice twice"),
+        (3, "word1 tail1 word2"),
+        (3, "word1 tail1 word2"),
+        (3, "other words of five"),
+        (4, LONG),
+        (5, "日本語 x"),
+        (6, "nowhere-to-be-found"),
+    ]
+    return _tables(spark, top, documents, pages, embeddings, labels, benchmark)
 
 
 @pytest.fixture(scope="session")
 def empty(spark, tmp_path_factory):
-    return _tables(spark, tmp_path_factory.mktemp("empty"), [], [], [], [])
+    return _tables(spark, tmp_path_factory.mktemp("empty"), [], [], [], [], [])
 
 
 @pytest.fixture(scope="session")
