@@ -7,6 +7,7 @@ from datakiln.llm import (
     lexical_search,
     line_rules,
     line_templates,
+    minhash,
     mixing,
     pieces,
     sharding,
@@ -30,6 +31,7 @@ QUERIES = {
     "op10_simhash": simhash.op10_simhash,
     "op11_wand": lexical_search.op11_wand,
     "op12_whitening": whitening.op12_whitening,
+    "op13_minhash": minhash.op13_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -31,7 +31,7 @@ from datakiln.llm.common import saved, table
 
 COMPONENTS, OVERSAMPLE, POWER, SEED = 8, 8, 8, 12
 #: Residual of a component over its eigenvalue, and share of the trace below which there is no variance.
-TOLERANCE, VANISHING = 1e-13, 1e-12
+TOLERANCE, VANISHING = 1e-12, 1e-12
 SCALE, SHIFT, MOST = 1024.0, 100_000, 2.0**52
 #: Rows that are multiplied at once, and sums that one task adds at a level of the tree.
 ROWS, FAN = 4096, 64

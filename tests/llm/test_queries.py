@@ -38,6 +38,7 @@ def test_edge_cases_and_empty_tables(spark, edge, empty, name):
         "op8_line_frequency",
         "op9_mixing",
         "op10_simhash",
+        "op13_minhash",
     }
     if name in per_document:
         assert n == 13

