@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from datakiln.functions import constants as C
 from datakiln.functions.expressions import known_labels, label_iou, same_labels, sigmoid
+from datakiln.operators.selection import percentiles
 
 
 def first_clean(df: DataFrame, n: int = 300, seq: str = "seq", labels: str = "labels") -> DataFrame:
@@ -25,9 +26,7 @@ def calibrate_rules(clean: DataFrame, indicators: Sequence[str], low_side: Seque
     long = clean.select(
         F.explode(F.array(*(F.struct(F.lit(i).alias("indicator"), F.col(i).cast("double").alias("x")) for i in indicators))).alias("v")
     ).select("v.*").where("x is not null")
-    q = long.groupBy("indicator").agg(
-        F.percentile("x", F.array(F.lit(p), F.lit(0.5), F.lit(1 - p))).alias("q"), F.count("*").alias("n")
-    ).where("n >= 2")
+    q = percentiles(long, "indicator", "x", (p, 0.5, 1 - p)).where("n >= 2")
     threshold = F.when(F.col("indicator").isin(*low_side), F.col("q")[0]).otherwise(F.col("q")[2])
     span = F.abs(F.col("q")[1] - threshold)
     return q.select(

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from itertools import combinations
+from math import comb
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from datakiln.functions import constants as C
 from datakiln.sources.scratch import written
 
-BLOCK = 4096
+#: Keys a hash is looked up under at most, and cost of a pair that is met, in keys.
+MOST_KEYS, PAIR_COST = 100_000, 0.05
 REASON = "phash_near_duplicate"
 
 
@@ -16,35 +20,55 @@ def hamming(a, b):
     return F.bit_count(a.bitwiseXOR(b)).cast("int")
 
 
-def _bands(threshold: int) -> Column:
-    """threshold + 1 bands of the bits of h, on one of which a pair within the threshold agrees at least."""
-    n, out = threshold + 1, []
-    for i in range(n):
-        low, high = 64 * i // n, 64 * (i + 1) // n
-        mask = F.lit((1 << high - low) - 1 if high - low < 64 else -1).cast("long")
-        out.append(F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("h", low).bitwiseAND(mask).alias("v")))
-    return F.array(*out)
+def substrings(n: int, threshold: int) -> list[tuple[int, int, int]]:
+    """(low, width, radius) of the substrings of 64 bits by which n hashes find all others within the threshold.
+
+    Of m substrings, threshold = m * a + b: were the first b + 1 over a bits apart and the others over a - 1, the whole would be
+    over the threshold. So one of the first is within a or one of the others within a - 1, and where a is 0 the others needn't be
+    looked at. m is where the keys that are probed and the pairs that they are expected to meet cost least.
+    """
+    best = None
+    for m in range(1, threshold + 2):
+        cuts = [64 * i // m for i in range(m + 1)]
+        a, b = divmod(threshold, m)
+        found = [(x, y - x, a if i <= b else a - 1) for i, (x, y) in enumerate(zip(cuts, cuts[1:]))]
+        found = [f for f in found if f[2] >= 0]
+        keys = [sum(comb(w, r) for r in range(radius + 1)) for _, w, radius in found]
+        cost = n * sum(keys) + PAIR_COST * n * n * sum(k / 2.0**w for k, (_, w, _) in zip(keys, found))
+        if sum(keys) <= MOST_KEYS and (best is None or cost < best[0]):
+            best = cost, found
+    return best[1]
+
+
+def _flips(spark: SparkSession, subs: list[tuple[int, int, int]]) -> DataFrame:
+    """i, flip: what turns a key of substring i into each key within its radius."""
+    signed = lambda bits: sum(1 << k if k < 63 else -(1 << 63) for k in bits)
+    rows = [(i, signed(bits)) for i, (_, w, radius) in enumerate(subs) for r in range(radius + 1) for bits in combinations(range(w), r)]
+    return spark.createDataFrame(rows, "i int, flip long")
 
 
 def hash_pairs(hashes: DataFrame, threshold: int) -> DataFrame:
     """a < b, distance of all pairs of the distinct 64-bit numbers h that differ in 1 to threshold bits.
 
-    Up to seven bits, hashes are met on threshold + 1 bands of bits: a pair within the threshold agrees on one of them at
-    least, so an equi-join finds it. Beyond, bands tell too little, and blocks of hashes are compared with blocks of hashes.
+    Substrings of the bits are looked up under all keys within their radius (see substrings), and what is met is verified on
+    the whole hash. A pair is reported by the first substring that meets it, so nothing is listed twice.
     """
-    if threshold <= 7:
-        banded = hashes.select("h", F.explode(_bands(threshold)).alias("band"))
-        a, b = banded.alias("a"), banded.alias("b")
-    else:
-        size = max(1, -(-hashes.count() // BLOCK))
-        own = hashes.withColumn("own", F.pmod(F.xxhash64("h"), F.lit(size)))
-        other = F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))
-        rows = F.transform(other, lambda o: F.struct(F.col("own").alias("i"), o.alias("j")))
-        columns = F.transform(other, lambda o: F.struct(o.alias("i"), F.col("own").alias("j")))
-        a, b = own.select("h", F.explode(rows).alias("band")).alias("a"), own.select("h", F.explode(columns).alias("band")).alias("b")
-    d = hamming(F.col("a.h"), F.col("b.h"))
-    met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.h") < F.col("b.h")) & (d <= threshold))
-    return met.select(F.col("a.h").alias("a"), F.col("b.h").alias("b"), d.alias("distance")).distinct()
+    spark, subs = hashes.sparkSession, substrings(hashes.count(), threshold)
+
+    def part(h: Column, low: int, width: int) -> Column:
+        return F.shiftrightunsigned(h, low).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1).cast("long"))
+
+    parts = F.array(*(part(F.col("h"), low, width) for low, width, _ in subs))
+    stored = hashes.select(F.col("h").alias("b"), F.posexplode(parts).alias("i", "key"))
+    flips = _flips(spark, subs)  # MOST_KEYS rows at most
+    keyed = hashes.select(F.col("h").alias("a"), F.posexplode(parts).alias("i", "own")).join(F.broadcast(flips), "i")
+    probes = keyed.select("a", "i", F.col("own").bitwiseXOR(F.col("flip")).alias("key"))
+    d, apart = hamming(F.col("a"), F.col("b")), F.col("a").bitwiseXOR(F.col("b"))
+    earlier = F.lit(False)
+    for i, (low, width, radius) in enumerate(subs):
+        earlier = earlier | ((F.col("i") > i) & (F.bit_count(part(apart, low, width)) <= radius))
+    met = probes.join(stored, ["i", "key"]).where((F.col("a") < F.col("b")) & (d <= threshold) & ~earlier)
+    return met.select("a", "b", d.alias("distance"))
 
 
 def pairwise_hamming_le(df: DataFrame, threshold: int, key: str = "file", value: str = "phash") -> DataFrame:

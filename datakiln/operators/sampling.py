@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from datakiln.functions.expressions import order_key
-from datakiln.operators.ranking import hash_ranked
+from datakiln.operators.selection import group_key, hash_keys, heads
 
 #: Refused frames that the log of a collection holds.
 MOST_REJECTS = 5000
@@ -67,13 +67,8 @@ def allocate_quotas(cells: DataFrame, target: int, first: str = "first_seen") ->
 def stratified_sample(df: DataFrame, by: list[str], target: int, key: str, seq: str, seed: int = 42) -> DataFrame:
     """About target rows, spread over strata by allocate_quotas, in hash order within each."""
     cells = df.groupBy(*by).agg(F.count("*").alias("available"), F.min(seq).alias("first_seen"))
-    quotas = allocate_quotas(cells, target).select(*(F.col(c).alias(f"_q_{c}") for c in by), "quota")
-    ranked = hash_ranked(df.withColumn("_order", order_key(seed, F.col(key))), by, "_order", key)
-    on = None
-    for c in by:
-        same = F.col(c).eqNullSafe(F.col(f"_q_{c}"))
-        on = same if on is None else on & same
-    return ranked.join(quotas, on).where(F.col("rank") <= F.col("quota")).select(*df.columns)
+    quotas = allocate_quotas(cells, target).select(group_key(by).alias("g"), "quota")
+    return heads(df, by, quotas, hash_keys(order_key(seed, F.col(key))))
 
 
 def stratified_report(df: DataFrame, picked: DataFrame, by: list[str], target: int, seq: str) -> DataFrame:
@@ -90,9 +85,9 @@ def stratified_report(df: DataFrame, picked: DataFrame, by: list[str], target: i
 
 
 def sample_without_replacement(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """n rows in hash order (all if fewer). Ranks go through buckets of the hash, so no task holds all n rows."""
-    ranked = hash_ranked(df.withColumn("_order", order_key(seed, F.col(key))), [], "_order", key)
-    return ranked.where(F.col("rank") <= n).select(*df.columns)
+    """n rows in hash order (all if fewer). The last one's hash is found by counting, so no task sorts or holds all n rows."""
+    quota = df.sparkSession.range(1).select(group_key([]).alias("g"), F.lit(n).cast("long").alias("quota"))
+    return heads(df, [], quota, hash_keys(order_key(seed, F.col(key))))
 
 
 def mix_sizes(n_real: int, n_synthetic: int, ratio: float) -> tuple[int, int]:

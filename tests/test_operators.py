@@ -17,12 +17,12 @@ def test_banded_pairs_equal_brute_force(spark):
     for b in base:
         for _ in range(12):
             x = b
-            for _ in range(r.randrange(7)):
+            for _ in range(r.randrange(12)):
                 x ^= 1 << r.randrange(64)
             values.append(x)
     rows = [(f"f{i:03d}", x - (1 << 64) if x >> 63 else x) for i, x in enumerate(values)] + [("null", None)]
     df = spark.createDataFrame(rows, "file string, phash long")
-    for t in (0, 4, 9):
+    for t in (0, 1, 4, 8, 12, 16):
         got = {(p.file_a, p.file_b, p.distance) for p in dedup.pairwise_hamming_le(df, t).collect()}
         want = {
             (
@@ -32,6 +32,21 @@ def test_banded_pairs_equal_brute_force(spark):
         assert got == want
 
 
+@pytest.mark.parametrize("n", [10, 10**4, 10**6, 10**9])
+def test_wide_pairs_however_bits_are_cut(spark, monkeypatch, n):
+    """The cut of a large table loses nothing on a small one."""
+    subs = dedup.substrings(n, 12)
+    assert sum(w for _, w, _ in subs) <= 64 and len(dedup.substrings(10**9, 12)) < len(dedup.substrings(10, 12))
+    if sum(math.comb(w, k) for _, w, r in subs for k in range(r + 1)) > 20_000:
+        return
+    monkeypatch.setattr(dedup, "substrings", lambda *_: subs)
+    r = random.Random(n)
+    base = [r.getrandbits(63) for _ in range(5)]
+    values = sorted({b ^ sum(1 << k for k in r.sample(range(63), r.randrange(10))) for b in base for _ in range(15)})
+    got = {tuple(p) for p in dedup.hash_pairs(spark.createDataFrame([(v,) for v in values], "h long"), 12).collect()}
+    assert got == {(a, b, (a ^ b).bit_count()) for a in values for b in values if a < b and (a ^ b).bit_count() <= 12}
+
+
 def test_dedup_chain_keeps_the_first_source(spark):
     rows = [
         ("a", "o1", "aigc", 0b0000, "x"),
