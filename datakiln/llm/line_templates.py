@@ -1,14 +1,17 @@
 """Line deduplication with a tree of log templates.
 
 A line is its tokens, with tokens that hold a digit taken as variable. The tree has fixed depth: number of tokens, then the
-leading tokens. In a leaf, lines that agree in SIMILAR of their positions belong to one template, and so do lines that such
-steps connect; where the lines of a template differ, its tokens are variable. A template that MIN_DOCUMENTS distinct
-documents hold is boilerplate or a repeated passage: its lines are dropped.
+leading tokens. In a leaf, lines that agree in SIMILAR tenths of the positions after the leading ones are similar, and lines that
+such steps connect are a group. A template is a pattern and not a chain: a group whose lines don't all agree in that many
+positions is parted by its tokens in as many positions, those that vary least (the commonest token is held by the most
+lines; ties: the first position). So the lines of a template always have SIMILAR tenths of their free positions in common; where they
+differ, its tokens are variable. A template that MIN_DOCUMENTS distinct documents hold is boilerplate or a repeated
+passage: its lines are dropped.
 
 Similar lines are found by the pigeonhole principle. Two lines that may differ in m positions agree on a whole one of m + 1
 blocks of the positions after the leading ones, so only lines that share a block are compared, and of blocks with the same
 lines only one. Lines that share a block are compared in pieces of about GROUP; each task reports a spanning forest, and the
-components of all forests are the templates. So they don't depend on GROUP or on how lines are dealt.
+components of all forests are the groups. So templates don't depend on GROUP or on how lines are dealt.
 
 Rows with equal sequences of lines (digits made equal) are one document to the count, so copies of a text neither make a
 template recur nor keep it from that. A document that would lose more than MOST_DROPPED per cent of its words stays whole:
@@ -36,7 +39,7 @@ from datakiln.llm.common import DOCUMENT_COLUMNS, in_pieces, numbered, saved, st
 from datakiln.llm.line_rules import without_lines
 from datakiln.llm.simhash import components, joined_up
 
-#: Leading tokens in the path to a leaf; tenths of the positions in which lines of a template agree.
+#: Leading tokens in the path to a leaf; tenths of the positions after them in which lines of a template agree.
 DEPTH, SIMILAR = 3, 7
 MIN_DOCUMENTS, MOST_DROPPED = 4, 50
 #: Lines of a block compared with as many at once, lines a task takes, and cells of a comparison held in memory.
@@ -136,15 +139,13 @@ def _texts(docs: DataFrame, leaves: np.ndarray | None) -> DataFrame:
 
 
 def needed(n: int) -> int:
-    """In how many of n positions two lines of a template agree at least."""
-    return -(-SIMILAR * n // 10)
+    """In how many of the positions after the leading ones two lines of n tokens agree at least, if they are similar."""
+    return -(-SIMILAR * (n - DEPTH) // 10)
 
 
 def spans(n: int) -> list[tuple[int, int]]:
     """Blocks of the positions after the leading ones, of which similar lines of n tokens share a whole one."""
-    free, blocks = n - DEPTH, n - needed(n) + 1
-    if blocks > free:  # lines of the leaf can't differ in too many positions
-        return [(n, n)]
+    free, blocks = n - DEPTH, n - DEPTH - needed(n) + 1
     return [(DEPTH + free * i // blocks, DEPTH + free * (i + 1) // blocks) for i in range(blocks)]
 
 
@@ -176,7 +177,7 @@ def similar_links(keys: np.ndarray, bodies: list[bytes], first: np.ndarray, seco
     number: dict[bytes, int] = {}
     ids = np.array([[number.setdefault(t, len(number)) for t in r] for r in rows], dtype=np.int32).reshape(len(rows), width)
     a, b = np.flatnonzero(first), np.flatnonzero(second)
-    need = needed(width + DEPTH) - DEPTH
+    need = needed(width + DEPTH)
     columns = np.ascontiguousarray(ids[b].T)
     parent, us, vs = np.arange(len(rows)), [], []
     step = max(1, CELLS // max(1, len(b)))
@@ -238,7 +239,30 @@ def parsed(docs: DataFrame, facts: DataFrame) -> DataFrame:
     else:
         lines = _texts(docs, None).join(leaves, "leaf", "left_semi")
     bodies = saved(lines.groupBy("key", "leaf").agg(F.first("body").alias("body")), "bodies")
-    return components(line_links(bodies)).select(F.col("node").alias("key"), F.col("root").alias("template"))
+    groups = components(line_links(bodies)).select(F.col("node").alias("key"), F.col("root").alias("template"))
+    return parted(saved(groups.join(bodies.select("key", "body"), "key"), "line-groups"))
+
+
+def parted(groups: DataFrame) -> DataFrame:
+    """key, template of (key, template, body): groups whose lines have too little in common, cut into templates that have enough."""
+    tokens = F.split(F.col("body").cast("string"), " ")
+    each = groups.select("template", F.posexplode(tokens).alias("at", "token")).groupBy("template", "at", "token").agg(F.count("*").alias("n"))
+    places = each.groupBy("template", "at").agg(F.max("n").alias("most"), F.count("*").alias("tokens"))
+    free = places.where(F.col("at") >= DEPTH)
+    need = F.ceil(F.lit(SIMILAR) * F.count("*") / 10)
+    # positions in order: those that vary least first
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("most")).alias("most"), "at"))).alias("order")
+    loose = free.groupBy("template").agg(need.alias("need"), F.count_if(F.col("tokens") == 1).alias("kept"), ordered).where("kept < need")
+    # written, so that a hot group can be split in the join
+    loose = saved(loose.select("template", F.transform(F.slice("order", F.lit(1), F.col("need").cast("int")), lambda x: x["at"]).alias("by")), "loose")
+    met = groups.join(loose, "template", "left").withColumn("tokens", tokens)
+    part = F.when(F.col("by").isNotNull(), F.xxhash64(F.transform("by", lambda i: F.get("tokens", i))))
+    named = met.select("key", "template", part.alias("part"))
+    whole = named.where("part IS NULL").select("key", "template")
+    cut = named.where("part IS NOT NULL")
+    least = saved(cut.groupBy(F.col("template").alias("of"), F.col("part").alias("p")).agg(F.min("key").alias("first")), "cut-groups")
+    apart = cut.join(least, (F.col("template") == F.col("of")) & (F.col("part") == F.col("p"))).select("key", F.col("first").alias("template"))
+    return whole.union(apart)
 
 
 def patterns(members: DataFrame) -> DataFrame:

@@ -109,17 +109,20 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), len(DOMAINS))
 
 
-def rates(p: np.ndarray, pull: np.ndarray) -> np.ndarray:
+def rates(p: np.ndarray, pull: np.ndarray, most: float = MOST) -> np.ndarray:
     """Rates of posteriors: one minus the pulls of the domains, cut off at the bounds."""
-    return np.clip(1.0 - p @ pull, 0.0, MOST)
+    return np.clip(1.0 - p @ pull, 0.0, most)
 
 
 def by_posterior(members: DataFrame) -> DataFrame:
-    """p, n_tokens: the tokens of all documents with a posterior, of which there are at most some GRAIN squared."""
-    return saved(members.groupBy("p").agg(F.sum("n_tokens").alias("n_tokens")).coalesce(8), "by-posterior")
+    """p, n_tokens: the tokens of all documents with a posterior, of which there are at most some GRAIN squared.
 
+    The sums are made in the partitions of the aggregation; only their small result is dealt again.
+    """
+    return saved(members.groupBy("p").agg(F.sum("n_tokens").alias("n_tokens")).repartition(8), "by-posterior")
 
-def _totals(cells: DataFrame, pulls: list[np.ndarray]) -> np.ndarray:
+
+def _totals(cells: DataFrame, pulls: list[np.ndarray], most: float) -> np.ndarray:
     """For each pull, the expected tokens by domain and the Gram matrix of the documents between the bounds, in a row."""
     k = len(DOMAINS)
 
@@ -128,9 +131,9 @@ def _totals(cells: DataFrame, pulls: list[np.ndarray]) -> np.ndarray:
         for b in batches:
             p, t = _matrix(b.column("p")), b.column("n_tokens").to_numpy(zero_copy_only=False).astype(float)
             for row, pull in zip(sums, pulls):
-                r = rates(p, pull)
+                r = rates(p, pull, most)
                 row[:k] += (r * t) @ p
-                row[k:] += ((p * (t * ((r > 0) & (r < MOST)))[:, None]).T @ p).ravel()
+                row[k:] += ((p * (t * ((r > 0) & (r < most)))[:, None]).T @ p).ravel()
         yield pa.RecordBatch.from_arrays([pa.array([sums.ravel().tolist()])], names=["sums"])
 
     found = [r.sums for r in cells.mapInArrow(run, "sums array<double>").collect()]
@@ -147,14 +150,27 @@ class Mix:
     gradient: float
 
 
-def solved(members: DataFrame, weights: dict[str, float] = WEIGHTS, budget: float | None = None, ridge: float = RIDGE) -> Mix:
-    """The mix whose expected totals are nearest to the domains' shares (weights) of budget tokens (None: the corpus's own)."""
+def solved(
+    members: DataFrame,
+    weights: dict[str, float] = WEIGHTS,
+    budget: float | None = None,
+    ridge: float = RIDGE,
+    most: float = MOST,
+    in_reach: bool = False,
+) -> Mix:
+    """The mix whose expected totals are nearest to the domains' shares (weights) of budget tokens (None: the corpus's own).
+
+    Rates go up to most. in_reach cuts the budget to what the scarcest domain can fill at that rate.
+    """
     cells, k = by_posterior(members), len(DOMAINS)
     pull = np.zeros(k)
-    sums = _totals(cells, [pull])[0]
+    sums = _totals(cells, [pull], most)[0]
     tokens = float(sums[:k].sum())
     shares = np.array([weights.get(d, 0.0) for d in DOMAINS])
-    goal = shares / max(shares.sum(), 1e-12) * (tokens if budget is None else budget)
+    shares = shares / max(shares.sum(), 1e-12)
+    wanted = shares > 0
+    reach = float((most * sums[:k][wanted] / shares[wanted]).min(initial=np.inf)) if in_reach else np.inf
+    goal = shares * min(tokens if budget is None else budget, reach)
     scale = max(1.0, tokens)
     inverse = np.linalg.inv(sums[k:].reshape(k, k) / scale + 1e-9 * np.eye(k)) / scale
 
@@ -168,30 +184,34 @@ def solved(members: DataFrame, weights: dict[str, float] = WEIGHTS, budget: floa
             break
         step = np.linalg.solve(ridge * np.eye(k) + inverse @ sums[k:].reshape(k, k), now)
         tried = [pull + step * 0.5**i for i in range(HALVINGS)]
-        found = _totals(cells, tried)
+        found = _totals(cells, tried, most)
         left = [np.abs(gradient(x, v)).max() for x, v in zip(found, tried)]
         best = next((i for i, x in enumerate(left) if x < (1 - 0.1 * 0.5**i) * np.abs(now).max()), int(np.argmin(left)))
         pull, sums = tried[best], found[best]
     return Mix(pull, goal, sums[:k], float(np.abs(gradient(sums, pull)).max()))
 
 
-def rated(members: DataFrame, pull: np.ndarray) -> DataFrame:
+def rated(members: DataFrame, pull: np.ndarray, most: float = MOST) -> DataFrame:
     """members with their rate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = pa.array(rates(_matrix(b.column("p")), pull))
+            found = pa.array(rates(_matrix(b.column("p")), pull, most))
             yield pa.RecordBatch.from_arrays([*b.columns, found], names=[*b.schema.names, "rate"])
 
     return members.mapInArrow(run, StructType([*members.schema.fields, StructField("rate", DoubleType())]))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, budget: float | None = None) -> DataFrame:
-    """The documents that a pass over the mix takes: once if the rate is at least one, else with the rate as its chance."""
+    """The documents that a pass over the mix takes, each at most once: with its rate, which goes up to one, as its chance.
+
+    So what is taken is expected to be what the solver reaches, and the budget is one that single passes can fill.
+    """
     rows = numbered(docs.select(*DOCUMENT_COLUMNS))
     members = saved(memberships(rows, trained(rows, labels), ("row", "doc_id")), "members")
     chance = F.pmod(F.xxhash64("doc_id", "row", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rated(members, solved(members, weights, budget).pull).where(chance < F.col("rate")).select("row")
+    pull = solved(members, weights, budget, most=1.0, in_reach=True).pull
+    chosen = rated(members, pull, 1.0).where(chance < F.col("rate")).select("row")
     return rows.join(chosen, "row").select(*DOCUMENT_COLUMNS)
 
 

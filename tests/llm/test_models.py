@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from datakiln.llm import language_id, line_rules, line_templates, mixing, sharding, simhash, text_models, topk_search
-from datakiln.llm.common import table
+from datakiln.llm.common import DOCUMENT_COLUMNS, table
 from tests.llm.conftest import SF
 
 FR, EN = "le chat est sur la table avec une souris", "the cat is on the table with a mouse"
@@ -105,14 +105,58 @@ def _tree(lines):
 
         for i, a in enumerate(leaf):
             for j, b in enumerate(leaf[:i]):
-                if 10 * sum(x == y for x, y in zip(a, b)) >= 7 * len(a):
+                if 10 * sum(x == y for x, y in zip(a[3:], b[3:])) >= 7 * (len(a) - 3):
                     parent[max(root(i), root(j))] = min(root(i), root(j))
         keys = [line_templates.line_key(b" ".join(t)) for t in leaf]
+        groups = {}
         for i in range(len(leaf)):
-            out[keys[i]] = min(k for j, k in enumerate(keys) if root(j) == root(i))
+            groups.setdefault(root(i), []).append(i)
+        for group in groups.values():
+            columns = [[leaf[i][p] for i in group] for p in range(3, len(leaf[0]))]
+            need = -(-7 * len(columns) // 10)
+            if sum(len(set(c)) == 1 for c in columns) >= need:
+                parts = [group]
+            else:  # parted by the positions that vary least
+                by = sorted(range(len(columns)), key=lambda p: (-max(map(columns[p].count, columns[p])), p))[:need]
+                parts = {}
+                for k, i in enumerate(group):
+                    parts.setdefault(tuple(columns[p][k] for p in by), []).append(i)
+                parts = parts.values()
+            for part in parts:
+                for i in part:
+                    out[keys[i]] = min(keys[j] for j in part)
     return out
 
 
+def test_unlike_lines_are_no_template(spark):
+    """Short lines that only begin alike, and a chain of lines each of which is similar to the next."""
+    ends = ["school", "bed", "war", "Paris", "work", "church"]
+    chain = [[_word(k if k >= i * 2 else k + 500) for k in range(12)] for i in range(6)]
+    rows = [(i, f"He went to {ends[i]}\nOne two three {' '.join(chain[i])}\n{_body(i)}") for i in range(6)]
+    got = {r.doc_id: r.text for r in line_templates.apply_templates(_docs(spark, rows)).collect()}
+    assert got == dict(rows)
+
+
+def test_every_template_keeps_its_positions(spark):
+    """Chains of edited lines: what stays a template has 0.7 of its free positions in common."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for f in range(6):
+        line = [_word(int(x)) for x in rng.integers(0, 9999, 12)]
+        for i in range(40):
+            line = list(line)
+            line[int(rng.integers(0, 12))] = _word(int(rng.integers(0, 9999)))
+            rows.append((f * 40 + i, " ".join(["common", "three", "words", *line])))
+    docs = spark.createDataFrame(rows, "row long, text string")
+    template = {r.key: r.template for r in line_templates.parsed(docs, line_templates._facts(docs)).collect()}
+    groups = {}
+    for _, x in rows:
+        key = line_templates.line_key(x.encode())
+        groups.setdefault(template.get(key, key), []).append(x.split()[3:])
+    assert max(map(len, groups.values())) > 1
+    assert all(sum(len(set(c)) == 1 for c in zip(*g)) >= 9 for g in groups.values())
+
+
 def _leaf_lines(rng):
     """One leaf with 150 templates of five lines each, leaves of every short length, and unlike lines."""
     fields = [[_word(int(x)) for x in rng.integers(0, 9999, 9)] for _ in range(150)]
@@ -450,6 +494,25 @@ def test_near_duplicates_of_nulls_and_repeated_rows(spark):
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(7, same), (2, None), (9, "one two")], key=str)
 
 
+@pytest.mark.parametrize("weights", [mixing.WEIGHTS, {"high": 0.7, "low": 0.3}])
+def test_mixed_takes_what_the_solver_reaches(spark, weights):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents", *DOCUMENT_COLUMNS), table(spark, sf, "labels", "doc_id", "quality", "toxic")
+    members = mixing.memberships(docs, mixing.trained(docs, labels), ("doc_id",)).cache()
+    mix = mixing.solved(members, weights, most=1.0, in_reach=True)
+    rows = mixing.rated(members, mix.pull, 1.0).toPandas()
+    p, t, rate = np.stack(rows.p), rows.n_tokens.to_numpy(), rows.rate.to_numpy()
+    assert rate.max() <= 1 and mix.goal.sum() <= t.sum() * 1.000001
+    assert np.allclose((np.minimum(rate, 1.0) * t) @ p, mix.total, rtol=0.01)
+    wanted = np.array([weights.get(d, 0.0) > 0 for d in mixing.DOMAINS])
+    assert (mix.goal[wanted] <= (t @ p)[wanted] * 1.000001).all()
+    taken = {r.doc_id for r in mixing.mixed(docs, labels, weights).collect()}
+    got = t[rows.doc_id.isin(taken)] @ p[rows.doc_id.isin(taken)]
+    # what a draw can miss: the spread of the documents that are taken by chance
+    spread = np.sqrt(((rate * (1 - rate) * t**2) @ p**2))
+    assert (np.abs(got - mix.total) <= 5 * spread + 1).all()
+
+
 def test_mixed_takes_each_repeated_row_by_itself(spark):
     rows = [(1, "good text about cats")] * 3 + [(None, None), (4, "")]
     docs = spark.createDataFrame(
