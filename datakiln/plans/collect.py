@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable, Iterator
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from datakiln.functions.expressions import clean_frame_reason, scene_of
 from datakiln.functions.image import assess_quality, with_scene_stats
-from datakiln.operators.sampling import quota_rejects, quota_scan
+from datakiln.operators.sampling import MOST_REJECTS, quota_rejects, quota_scan
+from datakiln.sources import images
+from datakiln.sources.scratch import written
+
+#: Shards that a scan reads at first and at most at once; a scan reads at most about twice what it needs.
+FIRST_SHARDS, MOST_SHARDS = 1, 64
 
 
 def judged(frames: DataFrame) -> DataFrame:
@@ -34,6 +42,50 @@ def collect_quota(frames: DataFrame, num: int, night_quota: int) -> tuple[DataFr
     return real_rows(taken.join(frames.select("seq", "image"), "seq")), refused
 
 
+def scan_in_ranges(ranges: Iterable[DataFrame], num: int, night_quota: int, most: int = MOST_REJECTS) -> tuple[DataFrame | None, DataFrame | None]:
+    """As collect_quota over all ranges, reading no range after the one that fills both quotas.
+
+    ranges: frames (seq, image), each range after the last in seq order; they are asked for one by one. Quotas are dealt in order, so what
+    a range takes follows from how many the ranges before it took. None without any range.
+    """
+    nights, normals, seen, logged = night_quota, num, 0, 0
+    taken, refused = [], []
+    for frames in ranges:
+        rows = written(judged(frames), "judged")  # decoded and measured once
+        keys = rows.drop("image")
+        got = written(quota_scan(keys, normals, nights), "taken")
+        counts = {r.kind: r["count"] for r in got.groupBy("kind").count().collect()}
+        if logged < most:
+            why = F.coalesce("normal_reason", "night_reason").alias("reason")
+            against = written(quota_rejects(keys, got, normals, nights, most=most - logged).select("seq", why), "refused")
+            logged += against.count()
+            refused.append(against)
+        taken.append(got.withColumn("idx", F.col("idx") + seen).join(rows.select("seq", "image"), "seq"))
+        nights, normals, seen = nights - counts.get("night", 0), normals - counts.get("normal", 0), seen + sum(counts.values())
+        if nights <= 0 and normals <= 0:
+            break
+    if not taken:
+        return None, None
+    return real_rows(reduce(DataFrame.unionByName, taken)), reduce(DataFrame.unionByName, refused)
+
+
+def shard_ranges(spark: SparkSession, pattern: str, skip: int = 0, shards: int | None = None) -> Iterator[DataFrame]:
+    """Frames (seq, image) of Parquet shards in path order, a few shards at a time; a range is read only when it is asked for.
+
+    seq is the shard's number and the row's place in it. Rows that can't be decoded are left out.
+    """
+    paths = images.list_shards(spark, pattern)[skip:][:shards]
+    at, n = 0, FIRST_SHARDS
+    while at < len(paths):
+        parts = []
+        for i, path in enumerate(paths[at : at + n], at):
+            df = spark.read.parquet(path)
+            seq = F.shiftleft(F.lit(skip + i).cast("long"), 40) + F.col("_metadata.row_index")
+            parts.append(df.select(seq.alias("seq"), images.image_bytes(df).alias("content")))
+        yield images.decoded(reduce(DataFrame.unionByName, parts)).select("seq", "image")
+        at, n = at + n, min(2 * n, MOST_SHARDS)
+
+
 def real_rows(taken: DataFrame) -> DataFrame:
     """Manifest rows of clean frames, named by their running number; frames taken for the night quota are night scenes."""
     name = F.format_string("real_%06d", F.col("idx"))

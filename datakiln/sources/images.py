@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -20,14 +22,16 @@ from datakiln.functions.image import pixels
 from datakiln.sources.scratch import new_folder, written
 
 EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "webp")
+IMAGE_GLOB = "*.{" + ",".join(e for x in EXTENSIONS for e in (x, x.upper())) + "}"
+#: Files that an ordered scan of a folder reads at first and at most at once.
+FIRST_FILES, MOST_FILES = 64, 4096
 
 
 def read_images(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """origin, image; files that cannot be decoded are dropped."""
-    glob = "*.{" + ",".join(e for x in EXTENSIONS for e in (x, x.upper())) + "}"
     found = spark.read.format("image").option("dropInvalid", True).option(
         "recursiveFileLookup", str(recursive).lower()
-    ).option("pathGlobFilter", glob).load(path)
+    ).option("pathGlobFilter", IMAGE_GLOB).load(path)
     return found.select(F.col("image.origin").alias("origin"), "image")
 
 
@@ -38,18 +42,56 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def path_ranges(spark: SparkSession, path: str) -> Iterator[list[str]]:
+    """The image files of a folder in path order, FIRST_FILES at first and up to MOST_FILES at a time. Nothing is opened."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", IMAGE_GLOB).load(path)
+    names, last, n = listed.select("path"), None, FIRST_FILES
+    while True:
+        rest = names if last is None else names.where(F.col("path") > last)
+        found = [r.path for r in rest.orderBy("path").limit(n).collect()]
+        if found:
+            yield found
+        if len(found) < n:
+            return
+        last, n = found[-1], min(2 * n, MOST_FILES)
+
+
+def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """origin, image of the named files that can be decoded."""
+    escaped = [re.sub(r"([\\\[\]{}*?])", r"\\\1", p) for p in paths]  # names, not patterns
+    found = spark.read.format("image").option("dropInvalid", True).load(escaped)
+    return found.select(F.col("image.origin").alias("origin"), "image")
+
+
 def collect_from_dir(spark: SparkSession, path: str, num: int) -> DataFrame:
-    """The first num clean images of a folder in path order, with measures, scene and the running number."""
+    """The first num clean images of a folder in path order, with measures, scene and the running number idx.
+
+    Files are read range by range until there are enough; later ones are never opened.
+    """
     from datakiln.functions.expressions import clean_frame_reason, scene_of
     from datakiln.functions.image import assess_quality, with_scene_stats
 
-    m = with_scene_stats(assess_quality(read_images(spark, path)))
-    scene = scene_of(*(F.col(c) for c in ("mean", "b", "g", "r", "sky", "green")))
-    rows = m.withColumn("scene", scene).withColumn("width", F.col("image.width")).withColumn("height", F.col("image.height"))
-    reason = clean_frame_reason(F.col("width"), F.col("height"), F.col("lap_var"), F.col("mean_lum"), F.col("scene") == "night")
-    return rows.withColumn("reason", reason).where("reason is null").orderBy("origin").limit(num).drop(
-        "reason", "mean", "b", "g", "r", "sky", "green"
-    )
+    def clean(frames: DataFrame) -> DataFrame:
+        m = with_scene_stats(assess_quality(frames))
+        scene = scene_of(*(F.col(c) for c in ("mean", "b", "g", "r", "sky", "green")))
+        rows = m.withColumn("scene", scene).withColumn("width", F.col("image.width")).withColumn("height", F.col("image.height"))
+        reason = clean_frame_reason(F.col("width"), F.col("height"), F.col("lap_var"), F.col("mean_lum"), F.col("scene") == "night")
+        return rows.where(reason.isNull()).drop("mean", "b", "g", "r", "sky", "green")
+
+    parts, left = [], num
+    for paths in path_ranges(spark, path):
+        found = written(clean(read_files(spark, paths)).orderBy("origin").limit(left), "clean-frames")
+        n = found.count()
+        if n or not parts:
+            nth = F.row_number().over(Window.orderBy("origin"))  # at most MOST_FILES rows
+            parts.append(found.withColumn("idx", nth + (num - left - 1)))
+        left -= n
+        if left <= 0:
+            break
+    if not parts:
+        empty = spark.createDataFrame([], f"origin string, image struct<{IMAGE.replace(' ', ':')}>".replace(",:", ","))
+        return clean(empty).withColumn("idx", F.lit(0))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def list_shards(spark: SparkSession, pattern: str) -> list[str]:
