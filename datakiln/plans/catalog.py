@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from datakiln.functions import expressions as X
 from datakiln.operators import agreement, calibration, consistency, dedup, evaluation, sampling, split, tables
 from datakiln.plans import image_queries, table_queries
+from datakiln.sources.scratch import new_folder
+from datakiln.streaming import stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -131,15 +133,20 @@ def _(spark, d):
     return sampling.stratified_report(cells, picked, BY, TARGET, "o_orderkey")
 
 
-def _scan(spark, d):
-    return t(spark, d, "events").select(
+def _flagged(events):
+    return events.select(
         F.col("event_id").alias("seq"),
         "value",
+        "user_id",
         ((F.col("event_type") == "view") | (F.col("value") > 90)).alias("night_ok"),
         (F.col("value") > 20).alias("normal_ok"),
     )
 
 
+def _scan(spark, d):
+    return _flagged(t(spark, d, "events")).drop("user_id")
+
+
 SCAN = """e AS (SELECT event_id AS seq, value, coalesce(event_type = 'view' OR value > 90, false) AS night_ok, coalesce(value > 20, false) AS normal_ok FROM events),
 n AS (SELECT seq, 'night' AS kind FROM e WHERE night_ok ORDER BY seq LIMIT 100),
 o AS (SELECT seq, 'normal' AS kind FROM e WHERE normal_ok AND seq NOT IN (SELECT seq FROM n) ORDER BY seq LIMIT 500),
@@ -151,6 +158,26 @@ def _(spark, d):
     return sampling.quota_scan(_scan(spark, d), 500, 100).select("seq", "kind", "idx")
 
 
+@query(
+    "quota_stream",
+    f"WITH {SCAN}, u AS (SELECT user_id::VARCHAR AS collection, e.* FROM e JOIN events ON seq = event_id), "
+    "ns AS (SELECT * FROM u WHERE night_ok QUALIFY row_number() OVER (PARTITION BY collection ORDER BY seq) <= 3), "
+    "os AS (SELECT * FROM u WHERE normal_ok AND seq NOT IN (SELECT seq FROM ns) QUALIFY row_number() OVER (PARTITION BY collection ORDER BY seq) <= 10), "
+    "b AS (SELECT collection, seq, 'night' AS kind FROM ns UNION ALL SELECT collection, seq, 'normal' FROM os) "
+    "SELECT *, row_number() OVER (PARTITION BY collection ORDER BY seq)::BIGINT - 1 AS idx FROM b",
+)
+def _(spark, d):
+    """Quotas of each user's collection, kept in the state store of a stream over the events."""
+    session = stateful.stateful_session(spark)
+    path = f"{d}/events.parquet"
+    stream = session.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
+    flagged = _flagged(stream).withColumn("collection", F.col("user_id").cast("string"))
+    out, check = new_folder(spark, "quota-stream"), new_folder(spark, "quota-state")
+    writer = stateful.collect_stream(flagged, 10, 3).writeStream.format("parquet").option("path", out)
+    writer.option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("collection string, seq long, kind string, idx long").parquet(out)
+
+
 @query(
     "quota_rejects",
     f"WITH {SCAN} SELECT seq FROM e WHERE seq NOT IN (SELECT seq FROM a) AND seq <= CASE WHEN (SELECT count(*) FILTER (kind = 'night') = "
@@ -930,13 +957,13 @@ def _(spark, d):
 
 @query(
     "resume_worklist",
-    "WITH g AS (SELECT DISTINCT user_id::VARCHAR AS exp_id FROM events) SELECT exp_id FROM g WHERE exp_id NOT IN (SELECT "
-    "user_id::VARCHAR FROM events WHERE value > 99)",
+    "WITH e AS (SELECT user_id || '_' || event_type AS exp_id, value FROM events) SELECT DISTINCT exp_id FROM e WHERE exp_id NOT IN "
+    "(SELECT exp_id FROM e WHERE value > 90)",
 )
 def _(spark, d):
     e = t(spark, d, "events").select(
-        F.col("user_id").cast("string").alias("exp_id"),
-        F.when(F.col("value") > 99, F.lit(None).cast("string")).otherwise("failed").alias("error"),
+        F.concat_ws("_", F.col("user_id").cast("string"), "event_type").alias("exp_id"),
+        F.when(F.col("value") > 90, F.lit(None).cast("string")).otherwise("failed").alias("error"),
     )
     return tables.worklist(e.select("exp_id").distinct(), e)
 
