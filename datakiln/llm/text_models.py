@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datakiln.llm.common import steps
+from datakiln.llm.common import saved, steps
 
 Features = Callable[[str], tuple[np.ndarray, np.ndarray]]
-#: Labels that a model tells apart at most, the most frequent ones: its size is slots times labels.
-LABELS = 256
+#: Labels up to which weights are kept as a whole matrix; above, as sparse rows, as the elastic net leaves most at zero.
+DENSE = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -121,15 +121,38 @@ def document_frequencies(texts: DataFrame, features: Features, bits: int, fan: i
     return total, n
 
 
+@dataclass
+class Sparse:
+    """The weights other than zero by slot."""
+
+    starts: np.ndarray
+    columns: np.ndarray
+    values: np.ndarray
+    width: int
+
+    @classmethod
+    def of(cls, weights: np.ndarray) -> Sparse:
+        at, columns = np.nonzero(weights)
+        starts = np.searchsorted(at, np.arange(len(weights) + 1))
+        return cls(starts, columns.astype(np.int32), weights[at, columns], weights.shape[1])
+
+    def sums(self, slots: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """x times the rows of the slots."""
+        low, n = self.starts[slots], self.starts[slots + 1] - self.starts[slots]
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(self.columns[at], weights=np.repeat(x, n) * self.values[at], minlength=self.width)
+
+
 @dataclass
 class Model:
     classes: list[str]
     idf: np.ndarray
-    weights: np.ndarray  # slots x classes
+    weights: np.ndarray | Sparse  # slots x classes
     temperature: float = 1.0
 
     def logits(self, slots: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        return weighted(slots, tf, self.idf) @ self.weights[slots]
+        x = weighted(slots, tf, self.idf)
+        return self.weights.sums(slots, x) if isinstance(self.weights, Sparse) else x @ self.weights[slots]
 
     def posterior(self, slots: np.ndarray, tf: np.ndarray) -> np.ndarray:
         return softmax(self.logits(slots, tf) / self.temperature)
@@ -144,16 +167,17 @@ def sample_rows(rows: DataFrame, label: str, features: Features, bound: int) ->
     """(label, held back for the temperature, slots, counts) of about bound rows, as many of each label as there are.
 
     rows: doc_id, text, label. Rows are taken by a hash of doc_id and text, at a rate per label that follows from the label's
-    count; rows of labels beyond the LABELS most frequent ones are not learned from.
+    count. The bound is on the rows: a model is as wide as the labels they have.
     """
     rows = rows.select("doc_id", "text", F.col(label).alias("label")).where("text is not null and label is not null")
-    counts = {r.label: r["count"] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LABELS).collect()}
-    if not counts:
+    counts = saved(rows.groupBy("label").agg(F.count("*").alias("n")), "label-counts")
+    labels = counts.count()
+    if not labels:
         return []
-    each = max(1, bound // len(counts))
-    rate = F.create_map(*(F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, each / n))))
+    rates = counts.select(F.col("label").alias("of"), F.least(F.lit(1.0), F.lit(bound / labels) / F.col("n")).alias("rate"))
     u = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    return featured(rows.where(u < rate[F.col("label")]).dropDuplicates(["doc_id", "text"]), features)
+    drawn = rows.join(rates, F.col("label") == F.col("of")).where(u < F.col("rate")).select("doc_id", "text", "label")
+    return featured(drawn.dropDuplicates(["doc_id", "text"]), features)
 
 
 def featured(rows: DataFrame, features: Features) -> list[tuple[str, bool, np.ndarray, np.ndarray]]:
@@ -213,8 +237,9 @@ def fitted(
             root = np.sqrt(n[slots])
             n[slots] += grad * grad
             z[slots] += grad - (np.sqrt(n[slots]) - root) / alpha * w
-    model = Model(classes, idf, at(np.arange(len(idf))).astype(np.float64))
-    held = [(y, x @ model.weights[s]) for y, h, s, x in rows if h]
+    weights = at(np.arange(len(idf))).astype(np.float64)
+    held = [(y, x @ weights[s]) for y, h, s, x in rows if h]
+    model = Model(classes, idf, weights if len(classes) <= DENSE else Sparse.of(weights))
     if held and len(classes) > 1:
         ys, logits = np.array([y for y, _ in held]), np.array([v for _, v in held])
 

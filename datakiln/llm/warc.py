@@ -102,9 +102,12 @@ class _Members:
         got, self.out = self.out[:n], self.out[n:]
         return got
 
-    def until(self, mark: bytes, limit: int = 1 << 20) -> bytes:
-        while (at := self.out.find(mark)) < 0:
-            if len(self.out) > limit or not self._more():
+    def until(self, mark: bytes) -> bytes:
+        """The bytes before mark, which may be many: a header is as long as its target."""
+        start = 0
+        while (at := self.out.find(mark, start)) < 0:
+            start = max(0, len(self.out) - len(mark) + 1)  # what was searched needn't be again
+            if not self._more():
                 raise ValueError("a record header does not end")
         got, self.out = self.out[:at], self.out[at + len(mark) :]
         return got

@@ -58,6 +58,7 @@ def edge(spark, tmp_path_factory):
         (5, "u", "é" * 50),
         (6, "u", "short"),
         (7, "u", "short"),
+        (8, "é" * 1_500_000, "a page with a long address"),
     ]
     embeddings = [
         (0, [1.0, 0.5], 1),

@@ -22,6 +22,61 @@ def test_language_held_out_accuracy(spark, edge):
     assert {r.lang_pred for d in (1, 2, 5, 6) for r in by_id[d]} == {"und"} and all(0 <= r.score <= 1 for rs in by_id.values() for r in rs)
 
 
+def test_hundreds_of_labels_are_told_apart(spark):
+    """300 labels of which each has words of its own: none is left out, and sparse weights give what the matrix gives."""
+    rows = [(10 * i + k, f"{_word(i * 37 + 1)} {_word(i * 37 + 2)} {_word(i * 37 + 3)}", f"l{i:03d}") for i in range(300) for k in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    features = lambda x: text_models.word_features(x, 15)
+    sample = text_models.sample_rows(df, "label", features, 4000)
+    assert len(sample) == 1200
+    model = text_models.fitted(sample, np.ones(1 << 15), epochs=10)
+    assert len(model.classes) == 300 and isinstance(model.weights, text_models.Sparse)
+    right = sum(model.classes[int(np.argmax(model.posterior(*features(x))))] == y for _, x, y in rows[::4])
+    assert right > 270
+    rng = np.random.default_rng(0)
+    matrix = rng.standard_normal((50, 70)) * (rng.random((50, 70)) < 0.2)
+    slots, x = np.array([0, 3, 3, 49]), np.array([1.0, 2.0, -1.0, 0.5])
+    assert np.allclose(text_models.Sparse.of(matrix).sums(slots, x), x @ matrix[slots])
+    assert len(text_models.sample_rows(df, "label", features, 300)) < 450
+
+
+def _plain_fit(sample, n_slots, l1, l2, alpha, beta, epochs):
+    """The update of the follow-the-regularised-leader rule, number by number."""
+    classes = sorted({y for y, *_ in sample})
+    z, n = ([[0.0] * len(classes) for _ in range(n_slots)] for _ in range(2))
+
+    def weight(i, c):
+        return 0.0 if abs(z[i][c]) <= l1 else -(z[i][c] - np.sign(z[i][c]) * l1) / ((beta + n[i][c] ** 0.5) / alpha + l2)
+
+    for _ in range(epochs):
+        for y, held, slots, tf in sample:
+            if held:
+                continue
+            x = 1 + np.log(tf)
+            x = x / np.sqrt((x * x).sum())
+            w = [[weight(i, c) for c in range(len(classes))] for i in slots]
+            logit = [sum(x[k] * w[k][c] for k in range(len(slots))) for c in range(len(classes))]
+            e = np.exp(np.array(logit) - max(logit))
+            for c in range(len(classes)):
+                g = e[c] / e.sum() - (classes[c] == y)
+                for k, i in enumerate(slots):
+                    d = x[k] * g
+                    sigma = ((n[i][c] + d * d) ** 0.5 - n[i][c] ** 0.5) / alpha
+                    n[i][c] += d * d
+                    z[i][c] += d - sigma * w[k][c]
+    return np.array([[weight(i, c) for c in range(len(classes))] for i in range(n_slots)])
+
+
+def test_fit_equals_plain_rule():
+    rng = np.random.default_rng(6)
+    sample = []
+    for i in range(80):
+        slots = np.sort(rng.choice(20, 4, replace=False))
+        sample.append((("a", "b", "c")[int(slots[0]) % 3], i % 5 == 0, slots, rng.integers(1, 4, 4)))
+    model = text_models.fitted(sample, np.ones(20), epochs=3, alpha=2.0, beta=1.0, l1=0.02, l2=0.001)
+    assert np.allclose(model.weights, _plain_fit(sample, 20, 0.02, 0.001, 2.0, 1.0, 3), atol=1e-9)
+
+
 def test_char_ngrams_count_every_gram():
     slots, tf = text_models.char_ngrams("Ab, ab!", 15)
     assert tf.sum() == 6 + 5 + 4  # "ab ab " without what is no letter, as single spaces
