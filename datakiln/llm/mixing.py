@@ -160,7 +160,8 @@ def solved(
 ) -> Mix:
     """The mix whose expected totals are nearest to the domains' shares (weights) of budget tokens (None: the corpus's own).
 
-    Rates go up to most. in_reach cuts the budget to what the scarcest domain can fill at that rate.
+    Rates go up to most. in_reach cuts the budget to what the domain with the largest share can fill at that rate; a domain that
+    has less than its share is then taken whole.
     """
     cells, k = by_posterior(members), len(DOMAINS)
     pull = np.zeros(k)
@@ -168,8 +169,8 @@ def solved(
     tokens = float(sums[:k].sum())
     shares = np.array([weights.get(d, 0.0) for d in DOMAINS])
     shares = shares / max(shares.sum(), 1e-12)
-    wanted = shares > 0
-    reach = float((most * sums[:k][wanted] / shares[wanted]).min(initial=np.inf)) if in_reach else np.inf
+    main = int(shares.argmax())
+    reach = most * float(sums[main]) / shares[main] if in_reach and shares[main] > 0 else np.inf
     goal = shares * min(tokens if budget is None else budget, reach)
     scale = max(1.0, tokens)
     inverse = np.linalg.inv(sums[k:].reshape(k, k) / scale + 1e-9 * np.eye(k)) / scale
