@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from datakiln.functions import constants as C
-from datakiln.sources.scratch import written
+from datakiln.sources.scratch import removed, written
 
 #: Keys a hash is looked up under at most, and cost of a pair that is met, in keys.
 MOST_KEYS, PAIR_COST = 100_000, 0.05
@@ -53,21 +53,33 @@ def hash_pairs(hashes: DataFrame, threshold: int) -> DataFrame:
     Substrings of the bits are looked up under all keys within their radius (see substrings), and what is met is verified on
     the whole hash. A pair is reported by the first substring that meets it, so nothing is listed twice.
     """
-    spark, subs = hashes.sparkSession, substrings(hashes.count(), threshold)
+    subs = substrings(hashes.count(), threshold)
+    return met_pairs(probes(hashes, subs), indexed(hashes, subs), subs, threshold).where("a < b")
 
-    def part(h: Column, low: int, width: int) -> Column:
-        return F.shiftrightunsigned(h, low).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1).cast("long"))
 
-    parts = F.array(*(part(F.col("h"), low, width) for low, width, _ in subs))
-    stored = hashes.select(F.col("h").alias("b"), F.posexplode(parts).alias("i", "key"))
-    flips = _flips(spark, subs)  # MOST_KEYS rows at most
-    keyed = hashes.select(F.col("h").alias("a"), F.posexplode(parts).alias("i", "own")).join(F.broadcast(flips), "i")
-    probes = keyed.select("a", "i", F.col("own").bitwiseXOR(F.col("flip")).alias("key"))
+def _part(h: Column, low: int, width: int) -> Column:
+    return F.shiftrightunsigned(h, low).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1).cast("long"))
+
+
+def indexed(hashes: DataFrame, subs: list[tuple[int, int, int]]) -> DataFrame:
+    """b, i, key: the hashes under each of their substrings."""
+    return hashes.select(F.col("h").alias("b"), F.posexplode(F.array(*(_part(F.col("h"), low, width) for low, width, _ in subs))).alias("i", "key"))
+
+
+def probes(hashes: DataFrame, subs: list[tuple[int, int, int]]) -> DataFrame:
+    """a, i, key: the hashes under every key within the radius of each of their substrings."""
+    flips = _flips(hashes.sparkSession, subs)  # MOST_KEYS rows at most
+    own = indexed(hashes, subs).join(F.broadcast(flips), "i")
+    return own.select(F.col("b").alias("a"), "i", F.col("key").bitwiseXOR(F.col("flip")).alias("key"))
+
+
+def met_pairs(probing: DataFrame, index: DataFrame, subs: list[tuple[int, int, int]], threshold: int) -> DataFrame:
+    """a, b, distance of what probes meet in an index within the threshold, each by the first substring that meets it."""
     d, apart = hamming(F.col("a"), F.col("b")), F.col("a").bitwiseXOR(F.col("b"))
     earlier = F.lit(False)
     for i, (low, width, radius) in enumerate(subs):
-        earlier = earlier | ((F.col("i") > i) & (F.bit_count(part(apart, low, width)) <= radius))
-    met = probes.join(stored, ["i", "key"]).where((F.col("a") < F.col("b")) & (d <= threshold) & ~earlier)
+        earlier = earlier | ((F.col("i") > i) & (F.bit_count(_part(apart, low, width)) <= radius))
+    met = probing.join(index, ["i", "key"]).where((F.col("a") != F.col("b")) & (d <= threshold) & ~earlier)
     return met.select("a", "b", d.alias("distance"))
 
 
@@ -100,7 +112,8 @@ def exact_groups(df: DataFrame, digest: str = "sha1") -> DataFrame:
 def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """node, root for all nodes of the pairs; root is the least node that can be reached.
 
-    Rounds of large-star and small-star until nothing changes; each only aggregates and joins.
+    Rounds of large-star and small-star until nothing changes; each only aggregates and joins. A round's tables are removed
+    when the next one's edges are written.
     """
     now = written(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     mark = None
@@ -115,7 +128,8 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
         large = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         lower = written(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(lower, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(small.union(lower.select("u", "m")).distinct())
+        before, now = now, written(small.union(lower.select("u", "m")).distinct())
+        removed(before, least, large, lower)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
 
 
@@ -134,8 +148,7 @@ def keepers(df: DataFrame, roots: DataFrame, key: str = "file", source: str = "s
 
 def _units(df: DataFrame, origin: str, value: str) -> DataFrame:
     """h, o, n: how many samples of an origin have a hash; o is (is null, origin), so that null is an origin like others."""
-    o = F.struct(F.col(origin).isNull().alias("none"), F.col(origin).alias("origin")).alias("o")
-    return df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("h"), o).agg(F.count("*").alias("n"))
+    return df.where(F.col(value).isNotNull()).groupBy(*unit_of(value, origin)).agg(F.count("*").alias("n"))
 
 
 def unit_links(units: DataFrame, threshold: int) -> DataFrame:
@@ -146,11 +159,16 @@ def unit_links(units: DataFrame, threshold: int) -> DataFrame:
     so it links by whichever of its origins differs from the other side's.
     """
     hashes = units.groupBy("h").agg(F.min("o").alias("first"), F.max("o").alias("last"))
+    return links_of(units, hashes, hash_pairs(hashes.select("h"), threshold))
+
+
+def links_of(units: DataFrame, hashes: DataFrame, near: DataFrame) -> DataFrame:
+    """unit_links of units, from their hashes (h, first, last origin) and the near pairs (a, b) among these."""
     same = units.join(hashes, "h").where(F.col("o") != F.col("first"))
     same = same.select(F.struct("h", "o").alias("u"), F.struct("h", F.col("first").alias("o")).alias("v"))
     left = hashes.select(F.col("h").alias("a"), F.col("first").alias("fa"), F.col("last").alias("la"))
     right = hashes.select(F.col("h").alias("b"), F.col("first").alias("fb"), F.col("last").alias("lb"))
-    near = hash_pairs(hashes.select("h"), threshold).join(left, "a").join(right, "b")
+    near = near.join(left, "a").join(right, "b")
     oa = F.when((F.col("fa") == F.col("fb")) & (F.col("la") != F.col("fa")), F.col("la")).otherwise(F.col("fa"))
     ob = F.when(oa == F.col("fb"), F.col("lb")).otherwise(F.col("fb"))
     apart = near.where(oa != ob).select(
@@ -159,19 +177,29 @@ def unit_links(units: DataFrame, threshold: int) -> DataFrame:
     return same.unionByName(apart)
 
 
+def unit_of(value: str, origin: str) -> list[Column]:
+    """h and o of a sample, as in units."""
+    return [F.col(value).alias("h"), F.struct(F.col(origin).isNull().alias("none"), F.col(origin).alias("origin")).alias("o")]
+
+
+def sample_roots(df: DataFrame, roots: DataFrame, key: str = "file", origin: str = "origin_id", value: str = "phash") -> DataFrame:
+    """node, root of the samples whose units roots (h, o, root) names."""
+    named = df.select(F.col(key).alias("node"), *unit_of(value, origin))
+    units = roots.select(F.col("h").alias("uh"), F.col("o").alias("uo"), "root")
+    return named.join(units, (F.col("h") == F.col("uh")) & F.col("o").eqNullSafe(F.col("uo"))).select("node", "root")
+
+
+def sample_components(df: DataFrame, threshold: int = 4, key: str = "file", origin: str = "origin_id", value: str = "phash") -> DataFrame:
+    """node, root of every sample with a near sample of another origin; root is one unit (h, o) of the component."""
+    found = components(unit_links(_units(df, origin, value), threshold), "u", "v")
+    return sample_roots(df, found.select("node.h", "node.o", "root"), key, origin, value)
+
+
 def dedup(
     df: DataFrame, threshold: int = 4, key: str = "file", origin: str = "origin_id", source: str = "source", value: str = "phash"
 ) -> DataFrame:
     """The manifest with dedup marks: near pairs of different origins only, as components."""
-    found = components(unit_links(_units(df, origin, value), threshold), "u", "v")
-    named = df.select(
-        F.col(key).alias("node"),
-        F.col(value).alias("h"),
-        F.struct(F.col(origin).isNull().alias("none"), F.col(origin).alias("origin")).alias("o"),
-    )
-    units = found.select(F.col("node.h").alias("uh"), F.col("node.o").alias("uo"), "root")
-    met = named.join(units, (F.col("h") == F.col("uh")) & F.col("o").eqNullSafe(F.col("uo"))).select("node", "root")
-    return keepers(df, met, key, source)
+    return keepers(df, sample_components(df, threshold, key, origin, value), key, source)
 
 
 def dedup_report(

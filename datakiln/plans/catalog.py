@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from datakiln.functions import expressions as X
 from datakiln.operators import agreement, calibration, consistency, dedup, evaluation, sampling, split, tables
+from datakiln.operators.incremental import DedupStore
 from datakiln.plans import image_queries, table_queries
 from datakiln.sources.scratch import new_folder
 from datakiln.streaming import stateful
@@ -375,8 +376,9 @@ def _(spark, d):
 
 @query("dup_components", f"WITH {T} SELECT node, root FROM c")
 def _(spark, d):
-    h = _near_hashes(spark, d)
-    return dedup.components(dedup.with_origins(dedup.pairwise_hamming_le(h, 4), h).where("cross"), "file_a", "file_b")
+    met = dedup.sample_components(_near_hashes(spark, d))
+    least = met.groupBy("root").agg(F.min("node").alias("least"))
+    return met.join(least, "root").select("node", F.col("least").alias("root"))
 
 
 @query("dedup_keepers", f"WITH {T} SELECT file, origin_id, source, dedup_removed FROM marked")
@@ -384,6 +386,16 @@ def _(spark, d):
     return dedup.dedup(_near_hashes(spark, d)).select("file", "origin_id", "source", "dedup_removed")
 
 
+@query("dedup_incremental", f"WITH {T} SELECT file, origin_id, source, dedup_removed FROM marked")
+def _(spark, d):
+    """The manifest arrives in three batches; marks come from the kept components."""
+    rows = _near_hashes(spark, d)
+    kept = DedupStore(spark, new_folder(spark, "dedup"))
+    for i in range(3):
+        kept.add(rows.where(F.pmod(F.xxhash64("file"), F.lit(3)) == i), i)
+    return kept.marked(rows).select("file", "origin_id", "source", "dedup_removed")
+
+
 DEDUP_REPORT = """SELECT count(*) AS total, count(*) FILTER (dedup_removed) AS removed, count(*) FILTER (NOT dedup_removed) AS kept,
 (SELECT count(*) FILTER (NOT cross_origin) FROM p) AS same_origin_pairs_skipped,
 (SELECT count(*) FILTER (cross_origin) FROM p) AS cross_origin_dup_pairs,

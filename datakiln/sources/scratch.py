@@ -31,4 +31,30 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     """df written as Parquet and read back: it cuts lineage, is computed once and survives lost executors."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_path = path
+    return table
+
+
+def _path(spark: SparkSession, path: str):
+    """The path and its file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def removed(*tables: DataFrame) -> None:
+    """Removes written tables that nothing reads any more."""
+    for table in tables:
+        p, system = _path(table.sparkSession, table.written_path)
+        system.delete(p, True)
+
+
+def is_there(spark: SparkSession, path: str) -> bool:
+    p, system = _path(spark, path)
+    return system.exists(p)
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """An empty file."""
+    p, system = _path(spark, path)
+    system.create(p, True).close()
