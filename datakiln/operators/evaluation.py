@@ -64,7 +64,11 @@ def f1_of(precision: Column, recall: Column, tp: Column, fp: Column, fn: Column)
 
 def prf(pred: DataFrame, by: Sequence[str] = ("class",)) -> DataFrame:
     """Precision, recall and F1 of each class with its confusion counts."""
-    c = confusion(pred, by)
+    return prf_of(confusion(pred, by))
+
+
+def prf_of(c: DataFrame) -> DataFrame:
+    """Precision, recall and F1 of rows of confusion counts."""
     tp, fp, fn = (F.col(x) for x in ("tp", "fp", "fn"))
     with_pr = c.withColumn("precision", F.try_divide(tp, tp + fp)).withColumn("recall", F.try_divide(tp, tp + fn))
     return with_pr.withColumn("f1", f1_of(F.col("precision"), F.col("recall"), tp, fp, fn))
@@ -80,8 +84,12 @@ def slice_metrics(pred: DataFrame, keys: Sequence[str] = ("scene", "difficulty",
         F.array(*(F.struct(F.lit(k).alias("key"), F.coalesce(F.col(k).cast("string"), F.lit("unknown")).alias("bucket")) for k in keys))
     )
     long = pred.select("*", pairs.alias("_s")).select("_s.key", "_s.bucket", "class", "pred", "y", sample)
-    per = prf(long, ("key", "bucket", "class"))
-    return per.groupBy("key", "bucket").agg(
+    return slices_of(confusion(long, ("key", "bucket", "class")))
+
+
+def slices_of(counts: DataFrame, by: Sequence[str] = ("key", "bucket")) -> DataFrame:
+    """n, macro_f1 and macro_recall of slices from the confusion counts of their classes."""
+    return prf_of(counts).groupBy(*by).agg(
         F.max(F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n"),
         F.avg("f1").alias("macro_f1"),
         F.avg("recall").alias("macro_recall"),
@@ -110,10 +118,15 @@ def _step_of(x: Column, low: float, step: float, last: int, closed_below: bool)
     return F.greatest(F.lit(0), F.least(F.lit(last), exact)).cast("int")
 
 
+def bin_of(conf: Column, bins: int = 10) -> Column:
+    """The even bin over 0 to 1 that holds a confidence."""
+    return _step_of(conf, 0.0, 1.0 / bins, bins - 1, False)
+
+
 def reliability_bins(pairs: DataFrame, bins: int = 10, conf: str = "prob", correct: str = "correct") -> DataFrame:
     """bin, lo, hi, n, confidence, accuracy; empty bins are there with nulls. The first bin is closed below too."""
     edges = bin_edges(pairs.sparkSession, bins)
-    inside = pairs.where(F.col(conf).between(0.0, 1.0)).withColumn("bin", _step_of(F.col(conf), 0.0, 1.0 / bins, bins - 1, False))
+    inside = pairs.where(F.col(conf).between(0.0, 1.0)).withColumn("bin", bin_of(F.col(conf), bins))
     stats = inside.groupBy("bin").agg(
         F.count("*").alias("n"), F.avg(conf).alias("confidence"), F.avg(F.col(correct).cast("double")).alias("accuracy")
     )
@@ -139,13 +152,13 @@ def ece_multilabel(scores: DataFrame, bins: int = 10, standard: bool = False) ->
     return _ece(reliability_bins(multilabel_pairs(scores, standard), bins), "ece_multilabel")
 
 
-def singlelabel_pairs(scores: DataFrame, classes: Sequence[str], sample: str = "sample_id") -> DataFrame:
+def singlelabel_pairs(scores: DataFrame, classes: Sequence[str], sample: str = "sample_id", by: Sequence[str] = ()) -> DataFrame:
     """The greatest probability of each sample and whether its class (the first if tied) is the first target."""
     place = F.create_map(*(F.lit(x) for i, c in enumerate(classes) for x in (c, i)))[F.col("class")]
-    best = scores.groupBy(sample).agg(
+    best = scores.groupBy(sample, *by).agg(
         F.max(F.struct(F.col("prob"), (-place).alias("i"))).alias("p"), F.max(F.struct(F.col("y"), (-place).alias("i"))).alias("t")
     )
-    return best.select(F.col("p.prob").alias("prob"), (F.col("p.i") == F.col("t.i")).alias("correct"))
+    return best.select(*by, F.col("p.prob").alias("prob"), (F.col("p.i") == F.col("t.i")).alias("correct"))
 
 
 def ece_singlelabel(scores: DataFrame, classes: Sequence[str], bins: int = 10, sample: str = "sample_id") -> DataFrame:

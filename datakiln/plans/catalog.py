@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from datakiln.functions import expressions as X
 from datakiln.operators import agreement, calibration, consistency, dedup, evaluation, sampling, split, tables
+from datakiln.operators.eval_state import EvaluationStore
 from datakiln.operators.incremental import DedupStore
 from datakiln.plans import image_queries, table_queries
 from datakiln.sources.scratch import new_folder
@@ -621,6 +622,28 @@ def _(spark, d):
     return rows.select("class", "c.*", *own, *whole, counts, "n")
 
 
+def _folded(spark, d):
+    """The scores arrive in three batches, by sample."""
+    kept, rows = EvaluationStore(spark, new_folder(spark, "evaluation"), CLASSES, ("lang", "source")), scores(spark, d)
+    for i in range(3):
+        kept.fold(evaluation.predicted(rows.where(F.pmod(F.xxhash64("sample_id"), F.lit(3)) == i)), i)
+    return kept
+
+
+@query("slice_metrics_folded", ORACLE_SQL["slice_metrics"])
+def _(spark, d):
+    return _folded(spark, d).slices().where("key <> 'all'").select("key", "bucket", "n", *r6("macro_f1", "macro_recall"))
+
+
+@query(
+    "calibration_folded",
+    f"SELECT ({ORACLE_SQL['ece_multilabel']}) AS ece_multilabel, ({ORACLE_SQL['ece_singlelabel']}) AS ece_singlelabel, "
+    f"({ORACLE_SQL['brier']}) AS brier, (SELECT count(DISTINCT doc_id) FROM documents JOIN labels USING (doc_id)) AS n",
+)
+def _(spark, d):
+    return _folded(spark, d).calibration().select(*r6("ece_multilabel", "ece_singlelabel", "brier"), "n")
+
+
 # ---- agreement and consistency -----------------------------------------------------------------------------------------
 def _guessed(spark, d):
     rows = _labelled(spark, d)

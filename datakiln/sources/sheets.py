@@ -13,15 +13,18 @@ BOM = "﻿"
 
 
 def check_readable(spark: SparkSession, path: str) -> None:
-    heads = spark.read.format("binaryFile").load(path).where(
-        F.substring("content", 1, len(PROTECTED)) == F.lit(PROTECTED)
-    ).select("path").limit(1).collect()
-    if heads:
-        raise ValueError(f"{heads[0].path} is encrypted by a protection tool")
+    """Looks at the first bytes of each file; sheets are files that people fill in, so there are few, but they may be long."""
+    for row in spark.read.format("binaryFile").load(path).select("path").toLocalIterator():  # contents are not read
+        file = spark._jvm.org.apache.hadoop.fs.Path(row.path)
+        stream = file.getFileSystem(spark._jsc.hadoopConfiguration()).open(file)
+        head = bytes(stream.readNBytes(len(PROTECTED)))
+        stream.close()
+        if head == PROTECTED:
+            raise ValueError(f"{row.path} is encrypted by a protection tool")
 
 
 def read_rows(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as strings (lists stay lists in JSON) with seq, the order in the file."""
+    """All columns as strings (lists stay lists in JSON) with seq, which orders rows by file name and place in the file."""
     check_readable(spark, path)
     lower = path.lower()
     if lower.endswith(".jsonl"):
@@ -32,7 +35,9 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
             first = spark.read.text(path).limit(1).collect()
             separator = "\t" if first and "\t" in first[0].value else ","
         rows = spark.read.option("header", True).option("sep", separator).csv(path)
-    return rows.toDF(*(c.lstrip(BOM).strip() for c in rows.columns)).withColumn("seq", F.monotonically_increasing_id())
+    # splits are packed by size, so ids follow the order of rows in one split alone
+    seq = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("id")).alias("seq")
+    return rows.select(*(F.col(f"`{c}`").alias(c.lstrip(BOM).strip()) for c in rows.columns), seq)
 
 
 def _labels(df: DataFrame, name: str) -> Column:

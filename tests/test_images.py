@@ -213,3 +213,14 @@ def test_stream_adds_each_file_once(spark, tmp_path):
     (src / "2.json").write_text('{"seq": 4, "file": "b"}\n{"seq": 5, "file": "c"}\n')
     ingest(spark, str(src), out, str(tmp_path / "c")).awaitTermination()
     assert sorted((r.file, r.seq) for r in spark.read.parquet(out).collect()) == [("a", 1), ("b", 3), ("c", 5)]
+
+
+def test_sheets_of_several_files_keep_their_order(spark, tmp_path):
+    (tmp_path / "sheets").mkdir()
+    (tmp_path / "sheets/a.csv").write_text("file,labels\nx,noise\n")
+    (tmp_path / "sheets/b.csv").write_text("file,labels\n" + "".join(f"f{i},dark\n" for i in range(5000)) + "x,blur\nx,dark\n")
+    found = sheets.read_single(spark, f"{tmp_path}/sheets").where("file = 'x'").first()
+    assert found.labels == ["dark"]
+    (tmp_path / "sheets/c.csv").write_bytes(sheets.PROTECTED + b"\0\1")
+    with pytest.raises(ValueError):
+        sheets.read_rows(spark, f"{tmp_path}/sheets")
