@@ -6,6 +6,7 @@ dedup MANIFEST OUT               manifest (Parquet with phash) with dedup marks;
 split MANIFEST OUT EVAL          manifest with splits, leak check (exit code 2 if an origin leaks)
 eval-set MANIFEST OUT TARGET     stratified eval set of a split manifest
 grid DATA OUT                    all models, ratios and seeds over a split manifest with features; resumes
+networks DATA OUT                all networks, ratios and seeds, trained in the same jobs; resumes
 summarize OUT                    summary and acceptance checks of a grid's log, as markdown
 verify BASE CURRENT              compares two manifests by file and sha1 (exit code 1 if files are missing or differ)
 """
@@ -75,6 +76,16 @@ def _grid(spark: SparkSession, data: str, out: str) -> int:
     return int(not log.where("error is not null").join(log.where("error is null").select("exp_id"), "exp_id", "left_anti").isEmpty())
 
 
+def _networks(spark: SparkSession, data: str, out: str) -> int:
+    from datakiln.functions.constants import CLASSES
+    from datakiln.operators.tables import completed, experiment_grid
+    from datakiln.plans.experiments import NETWORKS, run_grid_together
+
+    grid = experiment_grid(spark, sorted(NETWORKS), (0.0, 0.25, 0.5, 0.75, 1.0), (42, 43, 44))
+    log = run_grid_together(spark.read.parquet(data), grid, CLASSES, out)
+    return int(not grid.join(completed(log), "exp_id", "left_anti").isEmpty())
+
+
 def _summarize(spark: SparkSession, out: str) -> int:
     from datakiln.operators.tables import to_markdown
     from datakiln.plans.experiments import load_runs, reported
@@ -99,6 +110,7 @@ COMMANDS = {
     "split": (_split, 3),
     "eval-set": (_eval_set, 3),
     "grid": (_grid, 2),
+    "networks": (_networks, 2),
     "summarize": (_summarize, 1),
     "verify": (_verify, 2),
 }

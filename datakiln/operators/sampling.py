@@ -105,6 +105,28 @@ def make_train_mix(df: DataFrame, ratio: float, key: str = "file", source: str =
     return chosen if real == 0 else df.where(F.col(source) == "real").unionByName(chosen)
 
 
+def make_train_mixes(
+    df: DataFrame, wanted: dict[str, tuple[float, int]], key: str = "file", source: str = "source"
+) -> DataFrame:
+    """The rows that any mix takes, with mixes, the names of those that do. wanted: ratio and seed of each name, a few by construction.
+
+    Each mix has the rows of make_train_mix; all are made in the same passes. Rows of one key go together.
+    """
+    n_real, n_synthetic = df.agg(F.count_if(F.col(source) == "real"), F.count_if(F.col(source).isin("procedural", "aigc"))).first()
+    sizes = {name: mix_sizes(n_real, n_synthetic, ratio) for name, (ratio, _) in wanted.items()}
+    spark, kinds = df.sparkSession, "mix string, seed int, quota long, whole boolean"
+    plan = spark.createDataFrame([(n, wanted[n][1], s[1], s[0] > 0) for n, s in sorted(sizes.items())], kinds)
+    named = F.array(*(F.struct(F.lit(n).alias("mix"), F.lit(seed).alias("seed")) for n, (_, seed) in sorted(wanted.items())))
+    pairs = df.where(F.col(source).isin("procedural", "aigc")).select(F.col(key).alias("_key"), F.explode(named).alias("_m")).select("_key", "_m.*")
+    order = F.md5(F.concat_ws(":", F.col("seed").cast("string"), F.col("_key").cast("string")).cast("binary"))
+    taken = heads(pairs, ["mix"], plan.select(group_key(["mix"]).alias("g"), "quota"), hash_keys(order))
+    synthetic = taken.groupBy("_key").agg(F.array_sort(F.collect_set("mix")).alias("mixes"))
+    whole = F.array(*(F.lit(n) for n, s in sorted(sizes.items()) if s[0] > 0)).cast("array<string>")
+    real = df.where((F.col(source) == "real") & (F.size(whole) > 0)).withColumn("mixes", whole)
+    chosen = df.where(F.col(source).isin("procedural", "aigc")).join(synthetic, F.col(key) == F.col("_key")).drop("_key")
+    return real.unionByName(chosen)
+
+
 def mix_report(mix: DataFrame, ratio: float, source: str = "source") -> DataFrame:
     """One row: ratio_target, n_real, n_synthetic, ratio_actual, n_total."""
     n = F.count("*")

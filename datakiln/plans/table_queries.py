@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from datakiln.functions import constants as C
 from datakiln.functions import expressions as X
 from datakiln.functions import image
-from datakiln.operators import consistency, evaluation, tables
+from datakiln.operators import consistency, evaluation, tables, training
 from datakiln.plans import experiments, image_queries
 from datakiln.sources import images, manifest, sheets
 from datakiln.sources.scratch import new_folder, written
@@ -177,6 +178,51 @@ def _(spark, d):
     return ranked.join(F.broadcast(bases), "part").select("name", "macro_f1", (F.col("base") + F.col("nth") + 1).alias("place"))
 
 
+# ---- training ----------------------------------------------------------------------------------------------------------
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with labels as samples: two features, and quality and toxic as targets."""
+    rows = spark.read.parquet(f"{d}/documents.parquet").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
+    x = F.array(F.col("n_chars") / 1000.0, F.col("doc_id") % 7 / 7.0).alias("features")
+    return rows.select(F.col("doc_id").cast("string").alias("file"), x, F.array("quality", "toxic").alias("truth"))
+
+
+#: Weights of two features for two classes and a bias for each, and the weight of the positives of each class.
+LINE, POSITIVES = (0.5, -0.25, 0.125, 0.75, 0.0625, -1.0), (2.0, 0.5)
+_Z = [f"x1 * {LINE[c]}e0 + x2 * {LINE[2 + c]}e0 + ({LINE[4 + c]}e0)" for c in (0, 1)]
+_BACK = ", ".join(
+    f"{POSITIVES[c]}e0 * y{c} * (1 / (1 + exp(-({_Z[c]}))) - 1) + (1 - y{c}) / (1 + exp(-({_Z[c]}))) AS b{c}, "
+    f"{POSITIVES[c]}e0 * y{c} * ln(1 + exp(-({_Z[c]}))) + (1 - y{c}) * ln(1 + exp({_Z[c]})) AS l{c}" for c in (0, 1)
+)
+_PLACES = ("l0 + l1", "x1 * b0", "x1 * b1", "x2 * b0", "x2 * b1", "b0", "b1")
+
+
+@query(
+    "weighted_gradient",
+    "WITH r AS (SELECT n_chars / 1000e0 AS x1, doc_id % 7 / 7e0 AS x2, quality AS y0, toxic AS y1 FROM documents JOIN labels USING (doc_id) "
+    f"WHERE n_chars IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL), g AS (SELECT *, {_BACK} FROM r) "
+    + " UNION ALL ".join(f"SELECT {i}::INTEGER AS place, round(avg({x}), 6) AS value FROM g" for i, x in enumerate(_PLACES)),
+)
+def _(spark, d):
+    """The mean weighted cross-entropy of a linear model and its gradient."""
+    run = training.Run("line", training.Settings(hidden=0), 2, 2, np.zeros(2), np.ones(2), np.array(POSITIVES), np.array(LINE))
+    rows = training.usable(_labelled(spark, d), 2, 2).select(F.col("_x").alias("x"), F.col("_y").alias("y"), F.col("_mixes").alias("mixes"))
+    training.summed(rows, [run], training.step_sums)
+    found = [] if run.total is None else [(i, float(v / run.total[0])) for i, v in enumerate(run.total[1:])]
+    return spark.createDataFrame(found, "place int, value double").select("place", F.round("value", 6).alias("value"))
+
+
+def network_history(spark: SparkSession, d: str) -> DataFrame:
+    """Loss and macro F1 of the epochs of four runs that train together; a fifth of the documents validates."""
+    rows = _labelled(spark, d)
+    held = F.pmod(F.xxhash64("file"), F.lit(5)) == 0
+    settings = {f"h{h}-{s}": training.Settings(h, 3, seed=s) for h in (0, 8) for s in (1, 2)}
+    runs = training.train_runs(rows.where(~held), rows.where(held), ("quality", "toxic"), settings, batches=2)
+    return training.history(spark, runs)
+
+
+QUERIES["network_history"] = network_history
+
+
 # ---- files -------------------------------------------------------------------------------------------------------------
 @query(
     "manifest_files",
