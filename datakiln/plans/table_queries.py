@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from datakiln.functions import constants as C
 from datakiln.functions import expressions as X
 from datakiln.functions import image
-from datakiln.operators import consistency, evaluation, tables, training
+from datakiln.operators import consistency, evaluation, sampling, tables, training
 from datakiln.plans import experiments, image_queries
 from datakiln.sources import images, manifest, sheets
 from datakiln.sources.scratch import new_folder, written
@@ -220,7 +220,30 @@ def network_history(spark: SparkSession, d: str) -> DataFrame:
     return training.history(spark, runs)
 
 
-QUERIES["network_history"] = network_history
+def network_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of all labelled documents by two runs that train together on all of them."""
+    rows = _labelled(spark, d)
+    runs = training.train_runs(rows, rows, ("quality", "toxic"), {f"h{h}": training.Settings(h, 2) for h in (0, 8)}, batches=2)
+    return training.network_scores(rows, runs, ("quality", "toxic")).drop("prob")
+
+
+QUERIES |= {"network_history": network_history, "network_scores": network_scores}
+MIXES = {"quarter": (0.25, 1), "half": (0.5, 2), "all": (1.0, 1)}
+_TAKEN = " UNION ALL ".join(
+    f"SELECT '{n}' AS mix, {r}e0 AS ratio, {s} AS seed" for n, (r, s) in MIXES.items()
+)
+
+
+@query(
+    "train_mixes",
+    f"WITH {M}, c AS (SELECT count(*) FILTER (source = 'real') AS r, count(*) FILTER (source <> 'real') AS n FROM m), w AS ({_TAKEN}), "
+    "q AS (SELECT w.*, CASE WHEN ratio >= 1 THEN least(4 * r, n) ELSE least(round_even(r * ratio / (1 - ratio), 0), n) END AS quota FROM w, c), "
+    "k AS (SELECT file, mix, quota, row_number() OVER (PARTITION BY mix ORDER BY md5(seed || ':' || file)) AS nth FROM m, q "
+    "WHERE source <> 'real') SELECT mix, file FROM k WHERE nth <= quota UNION ALL SELECT mix, file FROM m, q WHERE source = 'real' AND ratio < 1",
+)
+def _(spark, d):
+    mixes = sampling.make_train_mixes(_manifest(spark, d), MIXES)
+    return mixes.select(F.explode("mixes").alias("mix"), "file")
 
 
 # ---- files -------------------------------------------------------------------------------------------------------------
