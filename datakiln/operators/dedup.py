@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ from datakiln.sources.scratch import removed, written
 
 #: Keys a hash is looked up under at most, and cost of a pair that is met, in keys.
 MOST_KEYS, PAIR_COST = 100_000, 0.05
+#: Cost of a pair that two blocks of hashes compare, in keys; least and most hashes of a block, blocks where neither bound holds.
+COMPARE_COST, LEAST_BLOCK, MOST_BLOCK, BLOCKS = 0.002, 2048, 1 << 17, 64
 REASON = "phash_near_duplicate"
 
 
@@ -33,13 +38,21 @@ def substrings(n: int, threshold: int) -> list[tuple[int, int, int]]:
         a, b = divmod(threshold, m)
         found = [(x, y - x, a if i <= b else a - 1) for i, (x, y) in enumerate(zip(cuts, cuts[1:]))]
         found = [f for f in found if f[2] >= 0]
-        keys = [sum(comb(w, r) for r in range(radius + 1)) for _, w, radius in found]
-        cost = n * sum(keys) + PAIR_COST * n * n * sum(k / 2.0**w for k, (_, w, _) in zip(keys, found))
-        if sum(keys) <= MOST_KEYS and (best is None or cost < best[0]):
+        cost = _probing_cost(n, found)
+        if sum(_keys(found)) <= MOST_KEYS and (best is None or cost < best[0]):
             best = cost, found
     return best[1]
 
 
+def _keys(subs: list[tuple[int, int, int]]) -> list[int]:
+    """Keys that a hash is looked up under, by substring."""
+    return [sum(comb(w, r) for r in range(radius + 1)) for _, w, radius in subs]
+
+
+def _probing_cost(n: int, subs: list[tuple[int, int, int]]) -> float:
+    return n * sum(_keys(subs)) + PAIR_COST * n * n * sum(k / 2.0**w for k, (_, w, _) in zip(_keys(subs), subs))
+
+
 def _flips(spark: SparkSession, subs: list[tuple[int, int, int]]) -> DataFrame:
     """i, flip: what turns a key of substring i into each key within its radius."""
     signed = lambda bits: sum(1 << k if k < 63 else -(1 << 63) for k in bits)
@@ -51,12 +64,62 @@ def hash_pairs(hashes: DataFrame, threshold: int) -> DataFrame:
     """a < b, distance of all pairs of the distinct 64-bit numbers h that differ in 1 to threshold bits.
 
     Substrings of the bits are looked up under all keys within their radius (see substrings), and what is met is verified on
-    the whole hash. A pair is reported by the first substring that meets it, so nothing is listed twice.
+    the whole hash. A pair is reported by the first substring that meets it, so nothing is listed twice. Where the threshold is
+    so wide, or the table so small, that this costs more than to compare all pairs in blocks, blocks are compared.
     """
-    subs = substrings(hashes.count(), threshold)
+    n = hashes.count()
+    subs = substrings(n, threshold)
+    if COMPARE_COST * n * n / 2 < _probing_cost(n, subs):
+        return block_pairs(hashes, n, threshold)
     return met_pairs(probes(hashes, subs), indexed(hashes, subs), subs, threshold).where("a < b")
 
 
+def block_pairs(hashes: DataFrame, n: int, threshold: int) -> DataFrame:
+    """hash_pairs of about n hashes by comparing every two blocks of them.
+
+    A hash falls into a block by its own hash. A task gets some pairs of blocks and compares a hash with a whole block at once, so
+    it holds a few blocks and the pairs of one hash, whatever n. All pairs are compared, but only 16 bytes a hash and block move.
+    """
+    n_blocks = max(min(BLOCKS, -(-n // LEAST_BLOCK)), -(-n // MOST_BLOCK), 1)
+    block = F.pmod(F.xxhash64("h"), F.lit(n_blocks)).cast("int").alias("i")
+    packed = written(hashes.groupBy(block).agg(F.collect_list("h").alias("own")))
+    left = packed.select("i", "own", F.explode(F.sequence("i", F.lit(n_blocks - 1))).alias("j"))
+    pairs = left.join(packed.select(F.col("i").alias("j"), F.col("own").alias("other")), "j")
+    n_pairs = n_blocks * (n_blocks + 1) // 2
+    dealt = pairs.repartition(max(min(n_pairs, 8 * n_blocks), n_pairs // 16), "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, own, other in zip(*(batch.column(c) for c in ("i", "j", "own", "other"))):
+                yield from _compared(*(_unsigned(x) for x in (own, other)), threshold, i.as_py() == j.as_py())
+
+    return dealt.mapInArrow(run, "a long, b long, distance int")
+
+
+def _unsigned(numbers: pa.ListScalar) -> np.ndarray:
+    return numbers.values.to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def _compared(own: np.ndarray, other: np.ndarray, threshold: int, same: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs within the threshold of a hash of own and one of other; same: both are one block, whose pairs come once."""
+    apart, bits, near = np.empty(len(other), np.uint64), np.empty(len(other), np.uint8), np.empty(len(other), bool)
+    found, size = [], 0
+    for k, h in enumerate(own):
+        first = k + 1 if same else 0
+        np.bitwise_xor(other[first:], h, out=apart[first:])
+        np.bitwise_count(apart[first:], out=bits[first:])
+        np.less_equal(bits[first:], threshold, out=near[first:])
+        at = first + np.flatnonzero(near[first:])
+        found.append((np.full(len(at), h), other[at], bits[at]))
+        size += len(at)
+        if size > 1 << 16 or k + 1 == len(own):
+            a, b, d = (np.concatenate(x) for x in zip(*found))
+            a, b = a.view(np.int64), b.view(np.int64)
+            columns = [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "distance"])
+            found, size = [], 0
+
+
 def _part(h: Column, low: int, width: int) -> Column:
     return F.shiftrightunsigned(h, low).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1).cast("long"))
 

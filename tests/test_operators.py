@@ -47,6 +47,28 @@ def test_wide_pairs_however_bits_are_cut(spark, monkeypatch, n):
     assert got == {(a, b, (a ^ b).bit_count()) for a in values for b in values if a < b and (a ^ b).bit_count() <= 12}
 
 
+@pytest.mark.parametrize("threshold,bounds", [(16, (64, 1 << 17)), (12, (500, 100)), (30, (2048, 1 << 17))])
+def test_wide_pairs_are_compared_in_blocks(spark, monkeypatch, threshold, bounds):
+    """No hash is looked up under thousands of keys where comparing blocks costs less."""
+    monkeypatch.setattr(dedup, "probes", lambda *_: pytest.fail("looked up under keys"))
+    monkeypatch.setattr(dedup, "LEAST_BLOCK", bounds[0])
+    monkeypatch.setattr(dedup, "MOST_BLOCK", bounds[1])
+    r = random.Random(threshold)
+    values = [r.getrandbits(64) for _ in range(700)]
+    values += [v ^ sum(1 << k for k in r.sample(range(64), r.randrange(1, 20))) for v in values[:300]] + [0, 1 << 63, (1 << 64) - 1]
+    values = sorted({v - (1 << 64) if v >> 63 else v for v in values})
+    got = [tuple(p) for p in dedup.hash_pairs(spark.createDataFrame([(v,) for v in values], "h long"), threshold).collect()]
+    apart = lambda a, b: ((a ^ b) & ((1 << 64) - 1)).bit_count()
+    want = {(a, b, apart(a, b)) for i, a in enumerate(values) for b in values[i + 1 :] if apart(a, b) <= threshold}
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_narrow_pairs_of_large_tables_are_looked_up():
+    for n, threshold, blocks in ((600_000, 16, True), (600_000, 4, False), (10**9, 4, False)):
+        compared = dedup.COMPARE_COST * n * n / 2 < dedup._probing_cost(n, dedup.substrings(n, threshold))
+        assert compared == blocks
+
+
 def test_dedup_chain_keeps_the_first_source(spark):
     rows = [
         ("a", "o1", "aigc", 0b0000, "x"),
