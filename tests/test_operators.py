@@ -63,6 +63,18 @@ def test_wide_pairs_are_compared_in_blocks(spark, monkeypatch, threshold, bounds
     assert set(got) == want and len(got) == len(want)
 
 
+def test_cross_origin_pairs_of_wide_hashes(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "probes", lambda *_: pytest.fail("looked up under keys"))
+    r = random.Random(2)
+    values = [r.getrandbits(63) for _ in range(80)] + [0, 0, 7]
+    values += [v ^ sum(1 << k for k in r.sample(range(63), 9)) for v in values]
+    rows = [(i, [None, "a", "b"][i % 3], v) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "file long, origin_id string, phash long")
+    found = dedup.with_origins(dedup.pairwise_hamming_le(df, 16), df).where("cross").collect()
+    near = {(a, b, (x ^ y).bit_count()) for a, o, x in rows for b, p, y in rows if a < b and o != p and (x ^ y).bit_count() <= 16}
+    assert {(p.file_a, p.file_b, p.distance) for p in found} == near and len(found) == len(near) > 40
+
+
 def test_narrow_pairs_of_large_tables_are_looked_up():
     for n, threshold, blocks in ((600_000, 16, True), (600_000, 4, False), (10**9, 4, False)):
         compared = dedup.COMPARE_COST * n * n / 2 < dedup._probing_cost(n, dedup.substrings(n, threshold))
