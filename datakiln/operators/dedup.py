@@ -18,9 +18,16 @@ from datakiln.sources.scratch import removed, written
 MOST_KEYS, PAIR_COST = 100_000, 0.05
 #: Cost of a pair that two blocks of hashes compare, in keys; least and most hashes of a block, blocks where neither bound holds.
 COMPARE_COST, LEAST_BLOCK, MOST_BLOCK, BLOCKS = 0.002, 2048, 1 << 17, 64
+#: Rows up to which the planner may broadcast a table: what is broadcast passes the driver, in each of many joins.
+SMALL = 20_000
 REASON = "phash_near_duplicate"
 
 
+def shuffled(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, joined by shuffles alone if it or its partner has more than SMALL rows, or it isn't known how many."""
+    return df if rows is not None and rows <= SMALL else df.hint("merge")
+
+
 def hamming(a, b):
     return F.bit_count(a.bitwiseXOR(b)).cast("int")
 
@@ -136,13 +143,16 @@ def probes(hashes: DataFrame, subs: list[tuple[int, int, int]]) -> DataFrame:
     return own.select(F.col("b").alias("a"), "i", F.col("key").bitwiseXOR(F.col("flip")).alias("key"))
 
 
-def met_pairs(probing: DataFrame, index: DataFrame, subs: list[tuple[int, int, int]], threshold: int) -> DataFrame:
-    """a, b, distance of what probes meet in an index within the threshold, each by the first substring that meets it."""
+def met_pairs(probing: DataFrame, index: DataFrame, subs: list[tuple[int, int, int]], threshold: int, rows: int | None = None) -> DataFrame:
+    """a, b, distance of what probes meet in an index within the threshold, each by the first substring that meets it.
+
+    rows: about how many hashes are looked up, if that is known; a few are broadcast.
+    """
     d, apart = hamming(F.col("a"), F.col("b")), F.col("a").bitwiseXOR(F.col("b"))
     earlier = F.lit(False)
     for i, (low, width, radius) in enumerate(subs):
         earlier = earlier | ((F.col("i") > i) & (F.bit_count(_part(apart, low, width)) <= radius))
-    met = probing.join(index, ["i", "key"]).where((F.col("a") != F.col("b")) & (d <= threshold) & ~earlier)
+    met = shuffled(probing, rows).join(index, ["i", "key"]).where((F.col("a") != F.col("b")) & (d <= threshold) & ~earlier)
     return met.select("a", "b", d.alias("distance"))
 
 
@@ -188,9 +198,9 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
         both = now.union(now.select("v", "u"))
         # what a hub joins is written, so that adaptive execution can split the join
         least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = written(shuffled(both, sign[0]).join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         lower = written(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(lower, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = shuffled(large, sign[0]).join(lower, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         before, now = now, written(small.union(lower.select("u", "m")).distinct())
         removed(before, least, large, lower)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
@@ -200,10 +210,10 @@ def keepers(df: DataFrame, roots: DataFrame, key: str = "file", source: str = "s
     """df with dedup_removed and dedup_reason: of a component the sample of the first source stays (ties: the least key)."""
     table = F.create_map(*(F.lit(x) for kv in C.KEEP_PRIORITY.items() for x in kv))
     priority = F.coalesce(table[F.col(source)], F.lit(C.OTHER_PRIORITY)).alias("p")
-    member = df.join(roots.withColumnRenamed("node", key), key, "left")
+    member = df.join(shuffled(roots.withColumnRenamed("node", key)), key, "left")
     first = member.where("root is not null").groupBy("root").agg(F.min(F.struct(priority, F.col(key).alias("k"))).alias("first"))
     first = first.select(F.col("root").alias("_root"), F.col("first.k").alias("_keep"))
-    joined = member.join(first, F.col("root") == F.col("_root"), "left")
+    joined = member.join(shuffled(first), F.col("root") == F.col("_root"), "left")
     removed = F.col("root").isNotNull() & (F.col(key) != F.col("_keep"))
     own = [c for c in df.columns if c not in ("dedup_removed", "dedup_reason")]
     return joined.select(*own, removed.alias("dedup_removed"), F.when(removed, REASON).alias("dedup_reason"))
@@ -227,11 +237,11 @@ def unit_links(units: DataFrame, threshold: int) -> DataFrame:
 
 def links_of(units: DataFrame, hashes: DataFrame, near: DataFrame) -> DataFrame:
     """unit_links of units, from their hashes (h, first, last origin) and the near pairs (a, b) among these."""
-    same = units.join(hashes, "h").where(F.col("o") != F.col("first"))
+    same = units.join(shuffled(hashes), "h").where(F.col("o") != F.col("first"))
     same = same.select(F.struct("h", "o").alias("u"), F.struct("h", F.col("first").alias("o")).alias("v"))
     left = hashes.select(F.col("h").alias("a"), F.col("first").alias("fa"), F.col("last").alias("la"))
     right = hashes.select(F.col("h").alias("b"), F.col("first").alias("fb"), F.col("last").alias("lb"))
-    near = near.join(left, "a").join(right, "b")
+    near = near.join(shuffled(left), "a").join(shuffled(right), "b")
     oa = F.when((F.col("fa") == F.col("fb")) & (F.col("la") != F.col("fa")), F.col("la")).otherwise(F.col("fa"))
     ob = F.when(oa == F.col("fb"), F.col("lb")).otherwise(F.col("fb"))
     apart = near.where(oa != ob).select(
@@ -249,7 +259,7 @@ def sample_roots(df: DataFrame, roots: DataFrame, key: str = "file", origin: str
     """node, root of the samples whose units roots (h, o, root) names."""
     named = df.select(F.col(key).alias("node"), *unit_of(value, origin))
     units = roots.select(F.col("h").alias("uh"), F.col("o").alias("uo"), "root")
-    return named.join(units, (F.col("h") == F.col("uh")) & F.col("o").eqNullSafe(F.col("uo"))).select("node", "root")
+    return named.join(shuffled(units), (F.col("h") == F.col("uh")) & F.col("o").eqNullSafe(F.col("uo"))).select("node", "root")
 
 
 def sample_components(df: DataFrame, threshold: int = 4, key: str = "file", origin: str = "origin_id", value: str = "phash") -> DataFrame:

@@ -60,7 +60,7 @@ class DedupStore:
     def _moved(self, units: DataFrame, done: int) -> DataFrame:
         """Units with their present roots."""
         moves = self._read("moves", [done - 1] if done else []).withColumnRenamed("root", "now")
-        found = units.join(moves, F.coalesce("root", F.struct("h", "o")) == F.col("old"), "left")
+        found = units.join(D.shuffled(moves), F.coalesce("root", F.struct("h", "o")) == F.col("old"), "left")
         return found.select("h", "o", F.coalesce("now", "root").alias("root"))
 
     def roots(self) -> DataFrame:
@@ -81,34 +81,36 @@ class DedupStore:
         own = rows.where(F.col(self.value).isNotNull()).select(*D.unit_of(self.value, self.origin))
         own = scratch.written(own.distinct().select(*(F.col(f.name).cast(f.dataType) for f in self.schemas["units"].fields[:2])))
         hashes = scratch.written(own.select("h").distinct())
-        # written tables have known sizes: small batches are broadcast by the planner, large ones are not
-        old = scratch.written(stored.join(hashes, "h", "left_semi"))
-        new = scratch.written(own.join(old.select("h", "o"), ["h", "o"], "left_anti"))
+        # written tables have known sizes: small batches are broadcast by the planner; large ones never, as they would pass the driver
+        n = own.count()
+        apart = lambda df: D.shuffled(df, n)
+        old = scratch.written(stored.join(apart(hashes), "h", "left_semi"))
+        new = scratch.written(own.join(apart(old.select("h", "o")), ["h", "o"], "left_anti"))
         touched = scratch.written(new.select("h").distinct())
-        fresh = touched.join(old.select("h").distinct(), "h", "left_anti")
+        fresh = touched.join(apart(old.select("h").distinct()), "h", "left_anti")
         D.indexed(fresh, self.subs).write.mode("overwrite").parquet(f"{folder}/index")
         index = self._read("index", range(batch + 1))
         probing = scratch.written(D.probes(touched, self.subs))
-        met = D.met_pairs(probing, index, self.subs, self.threshold)
+        met = D.met_pairs(probing, index, self.subs, self.threshold, n)
         pairs = scratch.written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         # the units of touched hashes and of those that they met, with their present roots
         partners = pairs.select(F.explode(F.array("a", "b")).alias("h")).union(touched).distinct()
-        before = self._moved(stored.join(partners, "h", "left_semi"), done)
+        before = self._moved(stored.join(apart(partners), "h", "left_semi"), done)
         units = before.unionByName(new.select("h", "o", F.lit(None).alias("root")))
         units = scratch.written(units.withColumn("root", F.coalesce("root", F.struct("h", "o"))))
         firsts = units.groupBy("h").agg(F.min("o").alias("first"), F.max("o").alias("last"))
-        inside = units.join(touched, "h", "left_semi").select("h", "o")
+        inside = units.join(apart(touched), "h", "left_semi").select("h", "o")
         links = D.links_of(inside, firsts, pairs)
         root = units.select(F.struct("h", "o").alias("unit"), "root")
-        left, right = (root.select(F.col("unit").alias(x), F.col("root").alias(f"r{x}")) for x in "uv")
+        left, right = (apart(root.select(F.col("unit").alias(x), F.col("root").alias(f"r{x}"))) for x in "uv")
         classes = scratch.written(D.components(links.join(left, "u").join(right, "v"), "ru", "rv"))
         moved = classes.where(F.col("node") != F.col("root"))
-        labelled = new.join(classes, F.struct("h", "o") == F.col("node"), "left")
+        labelled = new.join(apart(classes), F.struct("h", "o") == F.col("node"), "left")
         labelled.select("h", "o", "root").write.mode("overwrite").parquet(f"{folder}/units")
         earlier = self._read("moves", [done - 1] if done else []).withColumnRenamed("root", "via")
-        redirected = earlier.join(moved, F.col("via") == F.col("node"), "left").select("old", F.coalesce("root", "via").alias("root"))
-        merged = classes.join(new, F.col("node") == F.struct("h", "o"), "left_anti").select(F.col("node").alias("old"), "root")
-        merged = merged.join(earlier.select("old"), "old", "left_anti")
+        redirected = earlier.join(apart(moved), F.col("via") == F.col("node"), "left").select("old", F.coalesce("root", "via").alias("root"))
+        merged = classes.join(apart(new), F.col("node") == F.struct("h", "o"), "left_anti").select(F.col("node").alias("old"), "root")
+        merged = merged.join(D.shuffled(earlier.select("old")), "old", "left_anti")
         redirected.unionByName(merged).write.mode("overwrite").parquet(f"{folder}/moves")
         scratch.mark(self.spark, f"{folder}/DONE")
         scratch.removed(own, hashes, old, new, touched, probing, pairs, units, classes)

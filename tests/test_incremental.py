@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from datakiln.operators import dedup
 from datakiln.operators.incremental import DedupStore
+from datakiln.sources import scratch
 
 SCHEMA = "file string, source string, origin_id string, phash long, origin_x int"
 
@@ -83,3 +84,25 @@ def test_an_empty_store(spark, tmp_path):
     kept = DedupStore(spark, f"file://{tmp_path}/store")
     df = spark.createDataFrame(_rows(5, 10), SCHEMA)
     assert kept.roots().isEmpty() and not kept.marked(df).where(F.col("dedup_removed")).count()
+
+
+def test_large_batches_are_not_sent_to_the_driver(spark, tmp_path, monkeypatch):
+    """What is broadcast passes the driver, in each of many joins: only small batches may be."""
+    monkeypatch.setattr(dedup, "SMALL", 0, raising=False)
+    plans, written = [], scratch.written
+
+    def recorded(df, *name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, *name)
+
+    monkeypatch.setattr(dedup, "written", recorded)
+    monkeypatch.setattr(scratch, "written", recorded)
+    rows, kept = _rows(6, 40), DedupStore(spark, f"file://{tmp_path}/store")
+    for i in range(2):
+        kept.add(spark.createDataFrame(rows[i::2], SCHEMA), i)
+    df = spark.createDataFrame(rows, SCHEMA)
+    marked = kept.marked(df)
+    plans.append(marked._jdf.queryExecution().executedPlan().toString())
+    joins = [p for p in plans if "Join" in p and "flip" not in p]  # the flips are a bounded table
+    assert len(joins) > 5 and not [p for p in joins if "Broadcast" in p]
+    assert {(r.file, r.dedup_removed) for r in marked.collect()} == _whole(df)[0]
