@@ -7,10 +7,10 @@ it had not been stopped. The state store is RocksDB: state may be larger than me
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import StructType
@@ -85,35 +85,46 @@ class Quotas(StatefulProcessor):
     def init(self, handle) -> None:
         self.taken = handle.getValueState("taken", "nights long, normals long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        nights, normals = self.taken.get() if self.taken.exists() else (0, 0)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        nights, normals = self.taken.get() or (0, 0)
         open_nights, open_normals = self.night_quota - nights, self.num - normals
         if open_nights <= 0 and open_normals <= 0:
             return
         # of each kind no more rows can count than the quotas still take
-        heads = [pd.DataFrame({"seq": [], "night_ok": [], "normal_ok": []}, dtype="int64").astype({"night_ok": bool, "normal_ok": bool})] * 2
-        for part in rows:
-            part = part[["seq", "night_ok", "normal_ok"]].fillna({"night_ok": False, "normal_ok": False}).astype({"night_ok": bool, "normal_ok": bool})
-            most = open_nights, open_nights + open_normals
-            heads = [pd.concat([h, part[part[c]]]).nsmallest(n, "seq") for h, c, n in zip(heads, ("night_ok", "normal_ok"), most)]
-        out = []
-        for seq, night, normal in pd.concat(heads).drop_duplicates("seq").sort_values("seq").itertuples(index=False):
+        most = open_nights, open_nights + open_normals
+        heads = [], []
+        for row in rows:
+            found = row.seq, bool(row.night_ok), bool(row.normal_ok)
+            for head, wanted, n in zip(heads, found[1:], most):
+                if wanted:
+                    head.append(found)
+                    if len(head) > 4 * n + 1000:
+                        head[:] = _first(head, n)
+        once = {}
+        for head, n in zip(heads, most):
+            for found in _first(head, n):
+                once.setdefault(found[0], found)
+        before = nights, normals
+        for seq, night, normal in _first(once.values(), len(once)):
+            idx = nights + normals
             if night and nights < self.night_quota:
-                out.append((seq, "night", nights + normals))
                 nights += 1
+                yield Row(collection=key[0], seq=seq, kind="night", idx=idx)
             elif normal and normals < self.num:
-                out.append((seq, "normal", nights + normals))
                 normals += 1
-        self.taken.update((int(nights), int(normals)))
-        if out:
-            found = pd.DataFrame(out, columns=["seq", "kind", "idx"])
-            found.insert(0, "collection", key[0])
-            yield found
+                yield Row(collection=key[0], seq=seq, kind="normal", idx=idx)
+        if (nights, normals) != before:
+            self.taken.update((nights, normals))
 
     def close(self) -> None:
         pass
 
 
+def _first(found: Iterable[tuple], n: int) -> list[tuple]:
+    """The n of (seq, night, normal) that come first by seq, those without one last."""
+    return sorted(found, key=lambda x: (x[0] is None, x[0]))[: max(n, 0)]
+
+
 def collect_stream(frames: DataFrame, num: int, night_quota: int) -> DataFrame:
     """collection, seq, kind, idx of the frames that a scan in order takes, as they come in.
 
@@ -122,4 +133,5 @@ def collect_stream(frames: DataFrame, num: int, night_quota: int) -> DataFrame:
     """
     wanted = frames.where(F.coalesce("night_ok", F.lit(False)) | F.coalesce("normal_ok", F.lit(False)))
     keys = wanted.select("collection", "seq", "night_ok", "normal_ok").groupBy("collection")
-    return keys.transformWithStateInPandas(Quotas(num, night_quota), "collection string, seq long, kind string, idx long", "Append", "None")
+    # rows, not data frames: a collection has a few rows in a batch, and building frames costs more than they do
+    return keys.transformWithState(Quotas(num, night_quota), "collection string, seq long, kind string, idx long", "Append", "None")

@@ -131,3 +131,28 @@ def test_quotas_go_on_after_a_restart(spark, tmp_path):
         df = spark.createDataFrame([x for x in rows if x[0] == c], schema)
         want |= {(c, x.seq, x.kind, x.idx) for x in sampling.quota_scan(df, 25, 9).collect()}
     assert got == want and len(got) == 68
+
+
+def test_quotas_take_rows_without_data_frames():
+    """A collection's batch is a plain scan of rows: equal numbers once, more rows than are kept, those without a number last."""
+    from pyspark.sql import Row
+
+    class State:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    quotas = stateful.Quotas(3, 2)
+    quotas.taken = State()
+    row = lambda seq, night, normal: Row(collection="c", seq=seq, night_ok=night, normal_ok=normal)
+    many = [row(i, i % 2 == 0, None) for i in range(5000, 9, -1)] + [row(4, None, True), row(3, True, True), row(3, None, True), row(None, True, True)]
+    got = [tuple(r) for r in quotas.handleInputRows(("c",), iter(many), None)]
+    assert got == [("c", 3, "night", 0), ("c", 4, "normal", 1), ("c", 10, "night", 2), ("c", None, "normal", 3)]
+    assert quotas.taken.value == (2, 2)
+    more = [row(6000, True, False), row(6001, False, True), row(6002, False, True)]
+    assert [tuple(r) for r in quotas.handleInputRows(("c",), iter(more), None)] == [("c", 6001, "normal", 4)]
+    assert [*quotas.handleInputRows(("c",), iter(more), None)] == []
