@@ -25,6 +25,8 @@ EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "webp")
 IMAGE_GLOB = "*.{" + ",".join(e for x in EXTENSIONS for e in (x, x.upper())) + "}"
 #: Files that an ordered scan of a folder reads at first and at most at once.
 FIRST_FILES, MOST_FILES = 64, 4096
+#: Partitions of a folder's scan that one task reads: Spark counts a file as 4 MB at least, which makes a partition of 32 small ones.
+TOGETHER = 16
 
 
 def read_images(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
@@ -32,7 +34,8 @@ def read_images(spark: SparkSession, path: str, recursive: bool = True) -> DataF
     found = spark.read.format("image").option("dropInvalid", True).option(
         "recursiveFileLookup", str(recursive).lower()
     ).option("pathGlobFilter", IMAGE_GLOB).load(path)
-    return found.select(F.col("image.origin").alias("origin"), "image")
+    parts, least = found.rdd.getNumPartitions(), 2 * spark.sparkContext.defaultParallelism
+    return found.coalesce(max(least, parts // TOGETHER)).select(F.col("image.origin").alias("origin"), "image")
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
