@@ -75,6 +75,20 @@ def test_cross_origin_pairs_of_wide_hashes(spark, monkeypatch):
     assert {(p.file_a, p.file_b, p.distance) for p in found} == near and len(found) == len(near) > 40
 
 
+@pytest.mark.parametrize("n,threshold", [(10, 4), (10**6, 4), (10, 12)])
+def test_keys_and_blocks_find_the_same(spark, monkeypatch, n, threshold):
+    """Small tables are compared in blocks; what large ones do is run here too."""
+    subs = dedup.substrings(n, threshold)
+    monkeypatch.setattr(dedup, "substrings", lambda *_: subs)
+    r = random.Random(n)
+    base = [r.getrandbits(63) for _ in range(5)]
+    values = sorted({b ^ sum(1 << k for k in r.sample(range(63), r.randrange(8))) for b in base for _ in range(15)})
+    df = spark.createDataFrame([(v,) for v in values], "h long")
+    blocks = {tuple(p) for p in dedup.hash_pairs(df, threshold).collect()}
+    monkeypatch.setattr(dedup, "COMPARE_COST", float("inf"))
+    assert {tuple(p) for p in dedup.hash_pairs(df, threshold).collect()} == blocks and blocks
+
+
 def test_narrow_pairs_of_large_tables_are_looked_up():
     for n, threshold, blocks in ((600_000, 16, True), (600_000, 4, False), (10**9, 4, False)):
         compared = dedup.COMPARE_COST * n * n / 2 < dedup._probing_cost(n, dedup.substrings(n, threshold))
