@@ -26,6 +26,44 @@ def test_segment_encoder_equals_the_library():
         assert np.frombuffer(got, own.id_type).tolist() == library.encode(x, add_special_tokens=False).ids, x
 
 
+def _noted(own):
+    """What the library is given from now on."""
+    given, packed = [], own._packed
+    own._packed = lambda texts: given.extend(texts) or packed(texts)
+    return given
+
+
+def test_a_word_is_encoded_once_whatever_ends_it():
+    library, own = Tokenizer.from_file(BPE), token_store.SegmentEncoder(BPE)
+    given = _noted(own)
+    texts = ["a Zorblaté. Zorblaté, Zorblaté Zorblaté!?\nZorblaté.\nZorblaté", "b Zorblaté; Zorblaté?\n\nZorblaté"]
+    for x in texts:
+        assert np.frombuffer(own.encode([x])[0], own.id_type).tolist() == library.encode(x, add_special_tokens=False).ids
+    assert "".join(given).count("Zorblaté") == 2  # after a space and after a line feed
+
+
+def test_words_met_most_are_kept(monkeypatch):
+    monkeypatch.setattr(token_store, "TABLE_SIZE", 2)
+    own = token_store.SegmentEncoder(BPE)
+    for x in ("a rare seldom", "a frequent frequent frequent common common"):
+        own.encode([x])
+    given = _noted(own)
+    own.encode(["a frequent common rare"])
+    assert "frequent" not in "".join(given) and "common" not in "".join(given) and "rare" in "".join(given)
+
+
+@pytest.mark.parametrize("size", [1, 50, 400_000])
+def test_words_apart_equal_the_library(monkeypatch, size):
+    monkeypatch.setattr(token_store, "TABLE_SIZE", size)
+    library, own = Tokenizer.from_file(BPE), token_store.SegmentEncoder(BPE)
+    for seed, alphabet in enumerate((" \n\n'stdrelvm.,!é1²ªßΩж中", "ab \n\n\n.!x", "A'S \n's'll don't.,-", "é1½.ⅷ·̀ͅ \n")):
+        texts = [*_odd_texts(800, alphabet, seed), "", " ", ","]
+        for x, got in zip(texts, own.encode(texts)):
+            assert np.frombuffer(got, own.id_type).tolist() == library.encode(x, add_special_tokens=False).ids, x
+        assert len(own.words) == len(own.ids) == len(own.met) <= size
+    assert own.encode([]) == [] and own.encode([""]) == [b""]
+
+
 def test_cut_points_follow_content():
     ids = np.random.default_rng(0).integers(0, 50_000, 60_000).astype(np.uint16)
     ends = token_store.cut_points(ids)
